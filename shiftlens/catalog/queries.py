@@ -18,6 +18,7 @@ from shiftlens.operators import (
     charts, chunking, embedding, governance, history, profiling, relationships, responses, retrieval, usage,
 )
 from shiftlens.plans.scratch import fresh_path
+from shiftlens.plans.sizing import spread_small_scan
 from shiftlens.sources import logs, store, tables
 from shiftlens.streaming import flows
 
@@ -290,7 +291,8 @@ def count_rows(spark, folder):
 
 @query
 def column_stats(spark, folder):
-    stats = profiling.column_stats(tables.load_table(spark, folder, "lineitem"))
+    lines = spread_small_scan(tables.load_table(spark, folder, "lineitem"), "l_orderkey")
+    stats = profiling.column_stats(lines)
     rounded = [F.round(c, 6).alias(f"{c}_value") for c in ("min", "max", "mean", "median")]
     return stats.select("ordinal", "column_name", "n_rows", "n_values", *rounded)
 
@@ -531,12 +533,12 @@ def extract_sql(spark, folder):
 
 @query
 def token_count(spark, folder):
-    return tables.load_table(spark, folder, "documents").select("doc_id", tx.token_count(F.col("text")).alias("n_tokens"))
+    return v.documents(spark, folder).select("doc_id", tx.token_count(F.col("text")).alias("n_tokens"))
 
 
 @query
 def text_preview(spark, folder):
-    return tables.load_table(spark, folder, "documents").select("doc_id", tx.text_preview(F.col("text")).alias("preview"))
+    return v.documents(spark, folder).select("doc_id", tx.text_preview(F.col("text")).alias("preview"))
 
 
 @query
@@ -678,14 +680,15 @@ def hashed_vectors(texts: Sequence[str], dims: int = vc.DIMENSIONS) -> list[list
 
 @query
 def embed_batches(spark, folder):
-    embedded = embedding.embed_batches(v.document_chunks(spark, folder), hashed_vectors)
+    texts = spread_small_scan(v.document_chunks(spark, folder), "chunk_id")
+    embedded = embedding.embed_batches(texts, hashed_vectors)
     parts = embedded.select(F.col("chunk_id").alias("doc_id"), F.posexplode("embedding").alias("bucket", "weight"))
     return parts.where(F.col("weight") > 0).withColumn("weight", F.round("weight", 6))
 
 
 @query
 def embed_hashed(spark, folder):
-    weights = embedding.sparse_weights(tables.load_table(spark, folder, "documents"), ["doc_id"], "text")
+    weights = embedding.sparse_weights(v.documents(spark, folder), ["doc_id"], "text")
     return weights.withColumn("weight", F.round("weight", 6))
 
 

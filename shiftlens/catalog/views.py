@@ -13,6 +13,7 @@ from shiftlens.operators.chunking import chunk_union
 from shiftlens.operators.embedding import embed_hashed
 from shiftlens.operators.relationships import Relationship, TableInfo
 from shiftlens.plans.scratch import fresh_path
+from shiftlens.plans.sizing import spread_small_scan
 from shiftlens.sources.store import append_store, read_store, store_rows
 from shiftlens.sources.tables import load_table
 
@@ -154,6 +155,11 @@ def text_queries(spark: SparkSession, folder: str) -> DataFrame:
     return embed_hashed(texts, "text").select("query_id", "embedding")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents, over all cores."""
+    return spread_small_scan(load_table(spark, folder, "documents"), "doc_id")
+
+
 def document_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Each whole document as a chunk of its source."""
     return load_table(spark, folder, "documents").select(
@@ -163,7 +169,7 @@ def document_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_store(spark: SparkSession, folder: str) -> DataFrame:
     """The documents with their vectors."""
-    return embed_hashed(document_chunks(spark, folder))
+    return embed_hashed(spread_small_scan(document_chunks(spark, folder), "chunk_id"))
 
 
 def chunked_tables(spark: SparkSession, folder: str) -> dict:

@@ -27,11 +27,10 @@ def select_numeric(df: DataFrame) -> DataFrame:
 
 def column_stats(df: DataFrame) -> DataFrame:
     """Min, max, mean and exact median of each numeric column, missing values skipped."""
-    columns = numeric_columns(df)
-    if not columns:
+    if not numeric_columns(df):
         return df.sparkSession.createDataFrame([], STATS_SCHEMA)
     numbers = select_numeric(df)
-    profile = written(numeric_profile(numbers, columns), "profile")
+    profile = written(numeric_profile(numbers), "profile")
     return with_exact_median(numbers, profile)
 
 

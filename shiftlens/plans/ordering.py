@@ -74,13 +74,14 @@ def with_rank_in_group(
     )
 
 
-def numeric_profile(df: DataFrame, columns: Sequence[str], accuracy: int = MEDIAN_ACCURACY) -> DataFrame:
+def numeric_profile(df: DataFrame, accuracy: int = MEDIAN_ACCURACY) -> DataFrame:
     """Count, min, max, mean and a bracket around the median, one row per column, in one scan.
 
-    ``ordinal`` follows ``columns``; ``n_rows`` counts all rows, ``n_values`` those that are
+    All columns must be numeric. ``ordinal`` is their order; ``n_rows`` counts all rows, ``n_values`` those that are
     neither null nor NaN. Up to ``accuracy`` values the bracket is the whole range; beyond, it is a
     pair of sketch quantiles a few rank errors to each side of the middle.
     """
+    columns = df.columns
     slack = 4.0 / accuracy
     values = df.select(*[_number(c).alias(f"v{i}") for i, c in enumerate(columns)])
     aggregates = [F.count(F.lit(1)).alias("n_rows")]
@@ -121,17 +122,13 @@ def numeric_profile(df: DataFrame, columns: Sequence[str], accuracy: int = MEDIA
 
 
 def with_exact_median(df: DataFrame, profile: DataFrame) -> DataFrame:
-    """Add the exact ``median`` to a saved :func:`numeric_profile` of ``df``.
+    """Add the exact ``median`` to a saved :func:`numeric_profile` of all (numeric) columns of ``df``.
 
     The second scan counts equal values, so a hot value is one row, and keeps single values only
     inside the bracket: at most ``accuracy`` or 8 / ``accuracy`` of the rows, whichever is more.
     Everything below the bracket is one count. The column names bound ``profile``.
     """
-    columns = [c for c in df.columns]
-    numeric = [r.column_name for r in profile.select("column_name").collect()]
-    long = df.select(*[_number(c).alias(c) for c in columns if c in numeric]).unpivot(
-        [], numeric, "column_name", "value"
-    )
+    long = df.select(*[_number(c).alias(c) for c in df.columns]).unpivot([], df.columns, "column_name", "value")
     bounds = F.broadcast(profile.select("column_name", "n_values", "low", "high"))
     counted = (
         long.join(bounds, "column_name")

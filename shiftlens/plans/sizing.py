@@ -20,3 +20,13 @@ def broadcast_if_small(keys: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataF
     execution splits hot partitions.
     """
     return keys if is_longer_than(keys, max_rows) else F.broadcast(keys)
+
+
+def spread_small_scan(scan: DataFrame, *keys: str) -> DataFrame:
+    """Deal a scan with fewer splits than cores out by key, before costly per-row work.
+
+    Only meant for a plain scan, whose split count is known without running anything. A table with
+    enough splits is returned as it is, so large data is not shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else scan
