@@ -33,7 +33,12 @@ _NO_CHUNK = np.iinfo(np.int64).max
 
 
 def _unit_rows(vectors: pa.Array, dims: int) -> np.ndarray:
-    """Vectors scaled to length 1, as a matrix; missing, empty and zero vectors are zero rows."""
+    """Vectors scaled to length 1, as a matrix; missing, empty and zero vectors are zero rows.
+
+    With no dimensions, which is a query batch without any vector, every row is empty.
+    """
+    if dims == 0:
+        return np.zeros((len(vectors), 0))
     lengths = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
     if not np.isin(lengths, (0, dims)).all():
         raise ValueError(f"vectors must have {dims} components, found {sorted(set(lengths.tolist()))}")
@@ -141,10 +146,12 @@ def _per_block(queries: DataFrame, store: DataFrame, search: Callable, block_byt
 
     def broadcast(block: DataFrame):
         table = block.toArrow().combine_chunks()
-        ids = pa.concat_arrays(table.column("query_id").chunks) if table.num_rows else pa.array([], table.schema.field(0).type)
-        vectors = pa.concat_arrays(table.column("embedding").chunks) if table.num_rows else pa.array([], table.schema.field(1).type)
-        return spark.sparkContext.broadcast((ids, _unit_rows(vectors, max(1, dims))))
+        return spark.sparkContext.broadcast(
+            (table.column("query_id").chunk(0), _unit_rows(table.column("embedding").chunk(0), dims))
+        )
 
+    if n == 0:
+        return search(rows.where(F.lit(False)), None)
     if n <= per_block:
         return search(rows, broadcast(queries))
     numbered = with_row_index(queries, ["query_id"], "__position")
