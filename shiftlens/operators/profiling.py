@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlens.plans.ordering import numeric_profile, with_exact_median
-from shiftlens.plans.scratch import written
+from shiftlens.plans.ordering import exact_medians, numeric_profile
 from shiftlens.sources.tables import column_profile, numeric_columns
 
 STATS_SCHEMA = (
@@ -26,12 +25,17 @@ def select_numeric(df: DataFrame) -> DataFrame:
 
 
 def column_stats(df: DataFrame) -> DataFrame:
-    """Min, max, mean and exact median of each numeric column, missing values skipped."""
+    """Min, max, mean and exact median of each numeric column, missing values skipped.
+
+    The scans run at once; what comes back is one row of numbers per column.
+    """
     if not numeric_columns(df):
         return df.sparkSession.createDataFrame([], STATS_SCHEMA)
     numbers = select_numeric(df)
-    profile = written(numeric_profile(numbers), "profile")
-    return with_exact_median(numbers, profile)
+    profile = numeric_profile(numbers).collect()
+    medians = exact_medians(numbers, {r.column_name: r.n_values for r in profile})
+    rows = [(*r, medians.get(r.column_name)) for r in profile]
+    return df.sparkSession.createDataFrame(rows, STATS_SCHEMA)
 
 
 def result_profile(result: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,8 +15,10 @@ from shiftlens.plans.sizing import broadcast_if_small
 # monotonically_increasing_id() keeps the partition number above 33 bits of row number.
 ROW_BITS = 33
 
-# Relative rank error of the quantile sketch that brackets a median.
-MEDIAN_ACCURACY = 100_000
+# Values of a column that may be left when its median is read off, and the size of the samples that
+# narrow the range until then.
+MEDIAN_VALUES = 100_000
+MEDIAN_SAMPLE = 100_000
 
 
 def with_row_index(
@@ -74,87 +78,146 @@ def with_rank_in_group(
     )
 
 
-def numeric_profile(df: DataFrame, accuracy: int = MEDIAN_ACCURACY) -> DataFrame:
-    """Count, min, max, mean and a bracket around the median, one row per column, in one scan.
+def numeric_profile(df: DataFrame) -> DataFrame:
+    """Count, min, max and mean of numeric columns, one row per column, in one scan.
 
-    All columns must be numeric. ``ordinal`` is their order; ``n_rows`` counts all rows, ``n_values`` those that are
-    neither null nor NaN. Up to ``accuracy`` values the bracket is the whole range; beyond, it is a
-    pair of sketch quantiles a few rank errors to each side of the middle.
+    All columns must be numeric. ``ordinal`` is their order; ``n_rows`` counts all rows, ``n_values``
+    those that are neither null nor NaN.
     """
-    columns = df.columns
-    slack = 4.0 / accuracy
-    values = df.select(*[_number(c).alias(f"v{i}") for i, c in enumerate(columns)])
+    values = _numbers(df)
     aggregates = [F.count(F.lit(1)).alias("n_rows")]
-    for i in range(len(columns)):
-        v = F.col(f"v{i}")
-        bracket = F.percentile_approx(v, [0.5 - slack, 0.5 + slack], accuracy)
-        aggregates += [
-            F.struct(
-                F.count(v).alias("n_values"),
-                F.min(v).alias("min"),
-                F.max(v).alias("max"),
-                F.avg(v).alias("mean"),
-                bracket.alias("bracket"),
-            ).alias(f"s{i}")
-        ]
+    for c in values.columns:
+        v = F.col(f"`{c}`")
+        parts = (F.count(v).alias("n_values"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"))
+        aggregates.append(F.struct(*parts).alias(f"stats_{c}"))
     rows = F.array(
         *[
-            F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column_name"), F.col(f"s{i}").alias("s"))
-            for i, c in enumerate(columns)
+            F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column_name"), F.col(f"`stats_{c}`").alias("s"))
+            for i, c in enumerate(values.columns)
         ]
     )
-    small = F.col("s.n_values") <= accuracy
-    return (
-        values.agg(*aggregates)
-        .select("n_rows", F.inline(rows))
-        .select(
-            "ordinal",
-            "column_name",
-            "n_rows",
-            "s.n_values",
-            "s.min",
-            "s.max",
-            "s.mean",
-            F.when(small, F.col("s.min")).otherwise(F.col("s.bracket")[0]).alias("low"),
-            F.when(small, F.col("s.max")).otherwise(F.col("s.bracket")[1]).alias("high"),
-        )
-    )
-
-
-def with_exact_median(df: DataFrame, profile: DataFrame) -> DataFrame:
-    """Add the exact ``median`` to a saved :func:`numeric_profile` of all (numeric) columns of ``df``.
-
-    The second scan counts equal values, so a hot value is one row, and keeps single values only
-    inside the bracket: at most ``accuracy`` or 8 / ``accuracy`` of the rows, whichever is more.
-    Everything below the bracket is one count. The column names bound ``profile``.
+    return values.agg(*aggregates).select("n_rows", F.inline(rows)).select("ordinal", "column_name", "n_rows", "s.*")
+
+
+@dataclass
+class _Search:
+    """Looks for the value at ``rank`` (from 0) of a column. It lies strictly between the bounds:
+    ``before`` values are at most ``low``, and ``upto`` values are less than ``high``."""
+
+    column: str
+    rank: int
+    upto: int
+    before: int = 0
+    low: float | None = None
+    high: float | None = None
+    value: float | None = None
+
+    @property
+    def range(self) -> tuple[str, float | None, float | None]:
+        return self.column, self.low, self.high
+
+    @property
+    def inside(self) -> int:
+        return self.upto - self.before
+
+    def between(self) -> Column:
+        v = F.col(f"`{self.column}`")
+        above = v.isNotNull() if self.low is None else v > self.low
+        return above if self.high is None else above & (v < self.high)
+
+    def narrow(self, a: float, b: float, below_a: int, to_a: int, below_b: int, to_b: int) -> None:
+        """Keep the part that holds the rank, or take the value when it is a bound itself."""
+        if self.rank < below_a:
+            self.high, self.upto = a, below_a
+        elif self.rank < to_a:
+            self.value = a
+        elif self.rank < below_b:
+            self.low, self.before, self.high, self.upto = a, to_a, b, below_b
+        elif self.rank < to_b:
+            self.value = b
+        else:
+            self.low, self.before = b, to_b
+
+
+def exact_medians(
+    df: DataFrame, n_values: dict[str, int], at_most: int = MEDIAN_VALUES, sample: int = MEDIAN_SAMPLE
+) -> dict[str, float]:
+    """Exact median of numeric columns, given how many values each has.
+
+    The range around the middle rank is narrowed until at most ``at_most`` values are left: two
+    quantiles of a small sample of it are guessed, and one scan counts the values up to each of
+    them. A bad guess only costs another round, a hot value is found as soon as it is a bound. Each
+    round moves a few numbers per column; only the values that are left at the end are shuffled.
     """
-    long = df.select(*[_number(c).alias(c) for c in df.columns]).unpivot([], df.columns, "column_name", "value")
-    bounds = F.broadcast(profile.select("column_name", "n_values", "low", "high"))
+    values = _numbers(df)
+    middle = {c: sorted({(n - 1) // 2, n // 2}) for c, n in n_values.items() if n}
+    searches = [_Search(c, rank, n_values[c]) for c, ranks in middle.items() for rank in ranks]
+    while wide := {s.range: s for s in searches if s.value is None and s.inside > at_most}:
+        guesses = _guess(values, list(wide.values()), sample)
+        counts = []
+        for (column, _, _), (a, b) in zip(wide, guesses):
+            v = F.col(f"`{column}`")
+            counts += [F.count_if(v < a), F.count_if(v <= a), F.count_if(v < b), F.count_if(v <= b)]
+        counted = values.agg(*[c.alias(f"n{i}") for i, c in enumerate(counts)]).first()
+        found = {r: (*guess, *counted[4 * i : 4 * i + 4]) for i, (r, guess) in enumerate(zip(wide, guesses))}
+        for s in searches:
+            if s.value is None and s.range in found:
+                s.narrow(*found[s.range])
+    _finish(values, [s for s in searches if s.value is None])
+    by_column: dict[str, list[float]] = {}
+    for s in searches:
+        by_column.setdefault(s.column, []).append(s.value)
+    return {c: sum(v) / len(v) for c, v in by_column.items()}
+
+
+def _guess(values: DataFrame, searches: list[_Search], sample: int) -> list[tuple[float, float]]:
+    """Two values per search that very likely enclose its rank, from a sample of what is left."""
+    slack = 2.5 / math.sqrt(sample)
+    drawn = values.withColumn("__draw", F.rand(17))
+    picked, quantiles = [], []
+    for i, s in enumerate(searches):
+        drawn_here = s.between() & (F.col("__draw") * s.inside < sample)
+        picked.append(F.when(drawn_here, F.col(f"`{s.column}`")).alias(f"v{i}"))
+        middle = (s.rank - s.before + 0.5) / s.inside
+        around = [max(0.0, middle - slack), min(1.0, middle + slack)]
+        quantiles.append(F.percentile_approx(f"v{i}", around).alias(f"v{i}"))
+    # An empty sample is all but impossible; any guess is right, only slower.
+    return [tuple(g) if g else (0.0, 0.0) for g in drawn.select(*picked).agg(*quantiles).first()]
+
+
+def _finish(values: DataFrame, searches: list[_Search]) -> None:
+    """Read off the ranks among the few values that are left.
+
+    Equal values are counted before the shuffle; the running count per range is over a bounded
+    number of rows.
+    """
+    if not searches:
+        return
+    ranges = list({s.range: s for s in searches}.values())
+    place = {s.range: str(i) for i, s in enumerate(ranges)}
+    cells = [F.when(s.between(), F.col(f"`{s.column}`")).alias(str(i)) for i, s in enumerate(ranges)]
     counted = (
-        long.join(bounds, "column_name")
-        .where(F.col("value") <= F.col("high"))
-        .groupBy("column_name", "n_values", F.when(F.col("value") >= F.col("low"), F.col("value")).alias("value"))
+        values.select(*cells)
+        .unpivot([], [f"`{i}`" for i in range(len(ranges))], "range", "value")
+        .where(F.col("value").isNotNull())
+        .groupBy("range", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    upto = F.sum("n").over(
-        Window.partitionBy("column_name").orderBy(F.asc_nulls_first("value"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    lower_rank = F.floor((F.col("n_values") - 1) / 2)
-    upper_rank = F.floor(F.col("n_values") / 2)
-    medians = (
-        counted.withColumn("upto", upto)
-        .groupBy("column_name")
-        .agg(
-            F.min(F.when(F.col("upto") > lower_rank, F.col("value"))).alias("a"),
-            F.min(F.when(F.col("upto") > upper_rank, F.col("value"))).alias("b"),
-        )
-        .select("column_name", ((F.col("a") + F.col("b")) / 2).alias("median"))
-    )
-    return profile.drop("low", "high").join(F.broadcast(medians), "column_name", "left")
-
-
-def _number(column: str) -> Column:
-    """A column as double, NaN counted as missing."""
-    value = F.col(f"`{column}`").cast("double")
-    return F.when(~F.isnan(value), value)
+    upto = Window.partitionBy("range").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = counted.withColumn("upto", F.sum("n").over(upto))
+    picks = [
+        F.min(F.when((F.col("range") == place[s.range]) & (F.col("upto") > s.rank - s.before), F.col("value")))
+        for s in searches
+    ]
+    row = running.agg(*[p.alias(f"p{i}") for i, p in enumerate(picks)]).first()
+    for s, value in zip(searches, row):
+        s.value = value
+
+
+def _numbers(df: DataFrame) -> DataFrame:
+    """Columns as double, NaN counted as missing."""
+    def number(column: str) -> Column:
+        value = F.col(f"`{column}`").cast("double")
+        return F.when(~F.isnan(value), value).alias(column)
+
+    return df.select(*[number(c) for c in df.columns])

@@ -35,13 +35,15 @@ def store_rows(embedded: DataFrame, created_at) -> DataFrame:
     ).select(*STORE_COLUMNS)
 
 
-def append_store(rows: DataFrame, path: str) -> None:
+def append_store(rows: DataFrame, path: str, gather: bool = False) -> None:
     """Append to the store.
 
-    The rebalance hint gathers the rows of a table into few files and splits a table that holds
-    much of the data over many tasks.
+    Chunks of whole tables come in partitions of one table each and are written as they are. Where
+    every partition mixes many tables, ``gather`` brings the rows of a table into few files; its
+    rebalance splits a table that holds much of the data over many tasks.
     """
-    rows.hint("rebalance", "table_name").write.mode("append").partitionBy("table_name").parquet(path)
+    gathered = rows.hint("rebalance", "table_name") if gather else rows
+    gathered.write.mode("append").partitionBy("table_name").parquet(path)
 
 
 def store_count(store: DataFrame) -> DataFrame:
@@ -95,7 +97,10 @@ def without_tables(store: DataFrame, stale: Sequence[str]) -> DataFrame:
 
 
 def missing_chunks(chunks: DataFrame, store: DataFrame) -> DataFrame:
-    """Chunks whose content the store does not hold for their table."""
+    """Chunks whose content the store does not hold for their table.
+
+    Of the store only the two key columns are read.
+    """
     held = store.select("table_name", "content_hash").distinct()
     return chunks.join(held, ["table_name", "content_hash"], "left_anti")
 

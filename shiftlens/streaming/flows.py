@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from shiftlens.plans.scratch import fresh_path
+from shiftlens.plans.sizing import broadcast_if_small
 from shiftlens.sources.logs import LOG_SCHEMA, TOKEN_SCHEMA
 from shiftlens.sources.store import STORE_SCHEMA, append_store, missing_chunks, read_store, store_rows
 
@@ -82,16 +83,17 @@ def store_missing_batch(embed: Callable[[DataFrame], DataFrame], path: str, crea
     """A micro-batch step that embeds and stores only the contents the store does not hold yet.
 
     The look-up is inside the step, so a replayed batch adds nothing. Equal contents of one batch
-    are folded first.
+    are folded first. The store is cut to the contents of the batch before anything is shuffled.
     """
 
     def step(chunks: DataFrame, batch: int) -> None:
-        spark = chunks.sparkSession
         rows = chunks.groupBy("table_name", "content_hash").agg(
             F.min(F.struct("chunk_id", "kind", "chunk_text")).alias("c")
-        ).select("table_name", "content_hash", "c.*")
-        missing = missing_chunks(rows, read_store(spark, path))
-        append_store(store_rows(embed(missing), created_at), path)
+        ).select("table_name", "content_hash", "c.*").persist()
+        keys = ["table_name", "content_hash"]
+        held = read_store(chunks.sparkSession, path).join(broadcast_if_small(rows.select(*keys)), keys, "left_semi")
+        append_store(store_rows(embed(missing_chunks(rows, held)), created_at), path, gather=True)
+        rows.unpersist()
 
     return step
 

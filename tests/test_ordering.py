@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shiftlens.plans import scratch
-from shiftlens.plans.ordering import numeric_profile, with_exact_median, with_rank_in_group, with_row_index
+from shiftlens.plans.ordering import exact_medians, numeric_profile, with_rank_in_group, with_row_index
 from shiftlens.plans.sizing import broadcast_if_small, is_longer_than
 from tests.conftest import plan_of
 
@@ -55,19 +55,19 @@ def test_rank_in_group_equals_row_number(spark):
     assert got == expected
 
 
-@pytest.mark.parametrize("accuracy", [100_000, 100])
-def test_exact_median(spark, accuracy):
+@pytest.mark.parametrize("limits", [(1_000_000, 1000), (50, 400)])
+def test_exact_medians(spark, limits):
     rng = random.Random(3)
     for n in (1, 2, 7, 1000, 5001):
         values = [rng.choice([5.0, rng.uniform(-10, 10), float(rng.randrange(4))]) for _ in range(n)]
-        df = spark.createDataFrame([(x, None, 1) for x in values], "a double, b double, c int")
-        profile = numeric_profile(df, accuracy=accuracy).persist()
-        got = {r.column_name: r for r in with_exact_median(df, profile).collect()}
-        assert got["a"].median == pytest.approx(statistics.median(values), abs=1e-12)
-        assert got["a"].min == min(values) and got["a"].max == max(values)
-        assert got["b"].median is None and got["b"].n_values == 0 and got["b"].n_rows == n
-        assert got["c"].median == 1.0
-        profile.unpersist()
+        spread = [rng.uniform(0, 1) * 10 ** rng.randrange(-300, 300) for _ in range(n)]
+        rows = [(x, None, 1, y) for x, y in zip(values, spread)]
+        df = spark.createDataFrame(rows, "a double, b double, c int, `d.e` double").repartition(3)
+        profile = {r.column_name: r for r in numeric_profile(df).collect()}
+        got = exact_medians(df, {c: r.n_values for c, r in profile.items()}, *limits)
+        assert got == {"a": statistics.median(values), "c": 1.0, "d.e": statistics.median(spread)}
+        assert profile["a"].min == min(values) and profile["a"].max == max(values)
+        assert profile["b"].n_values == 0 and profile["b"].n_rows == n
 
 
 def test_size_checks(spark):
