@@ -28,7 +28,7 @@ def row_texts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def chunk_index(df: DataFrame, order_by: Sequence[str], size: int = CHUNK_ROWS) -> DataFrame:
     """Row position and the chunk it falls into: consecutive groups of ``size`` rows."""
-    return with_row_index(df, order_by).withColumn("chunk_id", F.floor(F.col("row_index") / size))
+    return with_row_index(df, order_by).withColumn("chunk_id", F.expr(f"row_index div {int(size)}"))
 
 
 def data_chunks(df: DataFrame, order_by: Sequence[str], size: int = CHUNK_ROWS) -> DataFrame:
@@ -40,7 +40,7 @@ def data_chunks(df: DataFrame, order_by: Sequence[str], size: int = CHUNK_ROWS)
     lines = F.transform(F.sort_array(F.collect_list(F.struct("row_index", "row_text"))), lambda r: r["row_text"])
     text = F.concat(F.lit(f"{DATA_HEADER}\n"), F.array_join(lines, "\n"), F.lit("\n"))
     return indexed.groupBy("chunk_id").agg(text.alias("chunk_text")).select(
-        F.col("chunk_id").cast("bigint").alias("chunk_id"), F.lit("data").alias("kind"), "chunk_text"
+        "chunk_id", F.lit("data").alias("kind"), "chunk_text"
     )
 
 

@@ -64,7 +64,8 @@ def with_created_default(messages: DataFrame, now: dt.datetime) -> DataFrame:
 
 def history_dates(log: DataFrame) -> DataFrame:
     """The distinct dates, newest first."""
-    return log.select(date_text(F.col("created_at")).alias("date")).distinct().orderBy(F.desc("date"))
+    days = log.select(F.to_date("created_at").alias("date")).distinct().orderBy(F.desc("date"))
+    return days.select(date_text(F.col("date")).alias("date"))
 
 
 def of_date(log: DataFrame, day: dt.date) -> DataFrame:
@@ -95,13 +96,18 @@ def history_with_response(history: DataFrame, responses: DataFrame) -> DataFrame
 
 
 def history_panel(log: DataFrame, today: dt.date) -> DataFrame:
-    """What the history panel lists: label, preview and place of each question."""
-    return history_ranked(log).select(
+    """What the history panel lists: label, preview and place of each question.
+
+    The texts are cut before they are ranked, so only previews are shuffled.
+    """
+    rows = log.select(
         "query_id",
         relative_date(F.col("created_at"), today).alias("label"),
         text_preview(F.col("query_text")).alias("preview"),
-        "place",
+        "created_at",
     )
+    ranked = with_rank_in_group(rows, ["label"], [F.desc("created_at"), F.col("query_id")], "place")
+    return ranked.drop("created_at")
 
 
 def query_dedup(log: DataFrame) -> DataFrame:

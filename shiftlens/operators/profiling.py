@@ -54,8 +54,8 @@ def oee(availability: str = "availability", performance: str = "performance", qu
 
 
 def oee_rollup(shifts: DataFrame, start: str = "ShiftStartTime") -> DataFrame:
-    """Mean OEE and its parts by month of the shift start."""
-    return shifts.groupBy(F.date_format(start, "yyyy-MM").alias("month")).agg(
+    """Mean OEE and its parts by month of the shift start, which is written out per group only."""
+    monthly = shifts.groupBy(F.trunc(F.to_date(start), "month").alias("month")).agg(
         F.count(F.lit(1)).alias("n_shifts"),
         F.round(F.avg("availability"), 6).alias("availability"),
         F.round(F.avg("performance"), 6).alias("performance"),
@@ -63,3 +63,4 @@ def oee_rollup(shifts: DataFrame, start: str = "ShiftStartTime") -> DataFrame:
         F.round(F.avg(oee()), 6).alias("oee"),
         F.sum(F.col("total_count").cast("decimal(18,2)")).cast("double").alias("total_count"),
     )
+    return monthly.withColumn("month", F.date_format("month", "yyyy-MM"))

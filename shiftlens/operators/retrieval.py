@@ -27,7 +27,8 @@ from shiftlens.plans.sizing import broadcast_if_small
 TOP_K = 3
 SCORE_DIGITS = 6
 BLOCK_BYTES = 32 * 1024 * 1024  # vectors of one broadcast query block
-_TILE = 2_000_000  # scores held at once in a task
+_TILE = 2_000_000  # scores worked out at once in a task
+_HELD = 4_000_000  # part results a task keeps before it passes them on
 
 _NO_CHUNK = np.iinfo(np.int64).max
 
@@ -90,42 +91,53 @@ def _merge(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], k
 
 
 def _top_k_task(block, k: int) -> Callable:
+    """Arrow batches of the store to the best k rows per query and source of a task."""
+    def rows(query_ids, source, scores, ids):
+        held = ids != _NO_CHUNK
+        _, query = np.nonzero(held)
+        return pa.RecordBatch.from_arrays(
+            [query_ids.take(pa.array(query)), pa.array([source] * len(query), pa.string()),
+             pa.array(ids[held]), pa.array(scores[held])],
+            names=["query_id", "source", "chunk_id", "score"],
+        )
+
     def run(batches):
         query_ids, units = block.value
         best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for source, ids, scores in _scored_tiles(batches, units):
             found = _best(ids, scores, k)
             best[source] = _merge(best[source], found, k) if source in best else found
-        for source, (scores, ids) in best.items():
-            held = ids != _NO_CHUNK
-            _, query = np.nonzero(held)
-            yield pa.RecordBatch.from_arrays(
-                [query_ids.take(pa.array(query)), pa.array([source] * len(query), pa.string()),
-                 pa.array(ids[held]), pa.array(scores[held])],
-                names=["query_id", "source", "chunk_id", "score"],
-            )
+            if len(best) * k * len(units) > _HELD:
+                # Part results are merged after the shuffle anyway.
+                yield from (rows(query_ids, name, *part) for name, part in best.items())
+                best = {}
+        yield from (rows(query_ids, name, *part) for name, part in best.items())
 
     return run
 
 
 def _summary_task(block) -> Callable:
+    """Arrow batches of the store to one summary row per query and source of a task."""
+    def rows(query_ids, source, n, low, high, total):
+        return pa.RecordBatch.from_arrays(
+            [query_ids, pa.array([source] * len(n), pa.string()), pa.array(n), pa.array(low), pa.array(high), pa.array(total)],
+            names=["query_id", "source", "n", "low", "high", "total"],
+        )
+
     def run(batches):
         query_ids, units = block.value
-        totals: dict[str, list[np.ndarray]] = {}
+        sums: dict[str, tuple[np.ndarray, ...]] = {}
         for source, ids, scores in _scored_tiles(batches, units):
-            low, high = _rounded(scores.min(axis=0)), _rounded(scores.max(axis=0))
-            part = [np.full(scores.shape[1], len(ids)), low, high, scores.sum(axis=0)]
-            held = totals.setdefault(source, part)
-            if held is not part:
-                totals[source] = [
-                    held[0] + part[0], np.minimum(held[1], part[1]), np.maximum(held[2], part[2]), held[3] + part[3],
-                ]
-        for source, (n, low, high, total) in totals.items():
-            yield pa.RecordBatch.from_arrays(
-                [query_ids, pa.array([source] * len(n), pa.string()), pa.array(n.astype("int64")),
-                 pa.array(low), pa.array(high), pa.array(total)],
-                names=["query_id", "source", "n", "low", "high", "total"],
-            )
+            n = np.full(len(units), len(ids), dtype="int64")
+            part = (n, _rounded(scores.min(axis=0)), _rounded(scores.max(axis=0)), scores.sum(axis=0))
+            if source in sums:
+                held = sums[source]
+                part = (held[0] + part[0], np.minimum(held[1], part[1]), np.maximum(held[2], part[2]), held[3] + part[3])
+            sums[source] = part
+            if len(sums) * len(units) > _HELD:
+                yield from (rows(query_ids, name, *s) for name, s in sums.items())
+                sums = {}
+        yield from (rows(query_ids, name, *s) for name, s in sums.items())
 
     return run
 

@@ -6,7 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from shiftlens.plans import scratch
+from shiftlens.plans import ordering, scratch
 from shiftlens.plans.ordering import exact_medians, numeric_profile, with_rank_in_group, with_row_index
 from shiftlens.plans.sizing import broadcast_if_small, is_longer_than
 from tests.conftest import plan_of
@@ -21,6 +21,15 @@ def test_row_index_is_the_sorted_position_with_a_hot_key_and_nulls(spark):
     assert got == {v: i for i, (_, v) in enumerate(ordered)}
 
 
+def test_a_hot_leading_key_is_spread(spark, monkeypatch):
+    saved = []
+    monkeypatch.setattr(ordering, "written", lambda df, label: saved.append(scratch.written(df, label)) or saved[-1])
+    df = spark.range(60_000).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("k"), "id")
+    assert with_row_index(df, ["k", "id"], partitions=6).agg(F.max("row_index")).first()[0] == 59_999
+    sizes = [r[1] for r in saved[0].groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) == 6 and max(sizes) < 0.3 * 60_000
+
+
 def test_row_index_descending(spark):
     df = spark.range(50).repartition(3)
     got = with_row_index(df, [F.desc("id")]).collect()
