@@ -240,10 +240,10 @@ oracle("result_nonempty", f"""WITH {GOVERNED}
 SELECT 'own_plant' AS case_name, count(*) > 0 AS nonempty FROM seen
 UNION ALL SELECT 'other_plant', count(*) > 0 FROM shift_fact
   WHERE PUID IN (SELECT PUID FROM machine_access WHERE user_code = 'U3' AND Plantcode = 'P2')""")
+_OUTCOME = """CASE WHEN NOT store_ready THEN 'fallback' WHEN has_sql AND n_rows > 0 THEN 'sql_rows'
+            WHEN has_sql THEN 'sql_empty' ELSE 'text' END"""
 oracle("response_outcome", f"""WITH {RESPONSES}
-SELECT CASE WHEN NOT store_ready THEN 'fallback' WHEN has_sql AND n_rows > 0 THEN 'sql_rows'
-            WHEN has_sql THEN 'sql_empty' ELSE 'text' END AS outcome,
-       count(*) AS n_responses, count(sql_query) AS n_sql FROM parsed GROUP BY 1""")
+SELECT {_OUTCOME} AS outcome, count(*) AS n_responses, count(sql_query) AS n_sql FROM parsed GROUP BY 1""")
 oracle("log_to_messages", f"""WITH {QUERY_LOG}
 SELECT 'user' AS role, query_id AS id, query_text AS content, response_id, response_text AS text_response, strftime(created_at, {ISO}) AS created_at FROM query_log""")
 
@@ -254,7 +254,7 @@ SELECT user_code, Plantcode, groupcode, strftime(ShiftStartTime, {ISO}) AS shift
 FROM shift_fact JOIN machine_access USING (PUID)""")
 oracle("access_semi_join", f"WITH {GOVERNED} SELECT PUID, strftime(ShiftStartTime, {ISO}) AS shift_start, total_count FROM seen")
 oracle("history_join_first", f"""WITH {QUERY_LOG}
-SELECT query_id, response_id, response_text AS text_response FROM query_log""")
+SELECT query_id, response_id || '-again' AS response_id, response_text AS text_response FROM query_log""")
 oracle("similarity_pairs", f"""WITH {VECTOR_SCORES}
 SELECT query_id, source, count(*) AS n_pairs, min(score) AS min_score, max(score) AS max_score, round(avg(exact_score), 6) AS mean_score
 FROM scores GROUP BY query_id, source""")
@@ -396,10 +396,14 @@ oracle("relationship_info", f"""WITH {ROUTED}, lines(source, position, line) AS
   ('supplier', 0, 'Relationship: supplier INNER JOIN lineitem ON supplier.s_suppkey = lineitem.l_suppkey'),
   ('part', 0, 'Relationship: part INNER JOIN lineitem ON part.p_partkey = lineitem.l_partkey'))
 SELECT query_id, string_agg(line, chr(10) ORDER BY source, position) AS relationship_info FROM routed JOIN lines USING (source) GROUP BY query_id""")
-oracle("response_text", f"""WITH {RESPONSES}
-SELECT query_id, CASE WHEN n_rows > 0 THEN 'SQL Query:' || chr(10) || '```sql' || chr(10) || sql_query || chr(10) || '```' || chr(10) ELSE '' END
-       || response_text || chr(10) || chr(10) || 'Detailed results:' || chr(10) AS final_response
-FROM parsed WHERE has_sql""")
+oracle("response_text", f"""WITH {RESPONSES}, classed AS (SELECT *, {_OUTCOME} AS outcome FROM parsed)
+SELECT query_id, outcome, CASE outcome
+         WHEN 'sql_rows' THEN CASE WHEN length(response_text) % 2 = 0
+           THEN 'SQL Query:' || chr(10) || '```sql' || chr(10) || sql_query || chr(10) || '```' || chr(10) ELSE '' END
+           || response_text || chr(10) || chr(10) || 'Detailed results:' || chr(10)
+         WHEN 'sql_empty' THEN 'No results found.'
+         ELSE response END AS logged_text
+FROM classed""")
 oracle("created_default", f"""WITH {QUERY_LOG}
 SELECT query_id AS id, strftime(created_at, {ISO}) AS created_at FROM query_log
 UNION ALL SELECT response_id, '2025-05-04T12:00:00.000000' FROM query_log""")

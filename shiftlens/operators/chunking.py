@@ -26,17 +26,20 @@ def row_texts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.select(*keys, row_text(df.columns).alias("row_text"))
 
 
-def chunk_index(df: DataFrame, order_by: Sequence[str], size: int = CHUNK_ROWS) -> DataFrame:
+def chunk_index(
+    df: DataFrame, order_by: Sequence[str], size: int = CHUNK_ROWS, save: Sequence[str | Column] = ("*",)
+) -> DataFrame:
     """Row position and the chunk it falls into: consecutive groups of ``size`` rows."""
-    return with_row_index(df, order_by).withColumn("chunk_id", F.expr(f"row_index div {int(size)}"))
+    return with_row_index(df, order_by, save=save).withColumn("chunk_id", F.expr(f"row_index div {int(size)}"))
 
 
 def data_chunks(df: DataFrame, order_by: Sequence[str], size: int = CHUNK_ROWS) -> DataFrame:
     """Chunks of ``size`` consecutive rows; the last may be short.
 
-    Only keys and text travel to the sort. A group never holds more than ``size`` rows.
+    Typed columns are shuffled and sorted, the longer text is made after it. A group never holds more
+    than ``size`` rows.
     """
-    indexed = chunk_index(row_texts(df, order_by), order_by, size)
+    indexed = chunk_index(df, order_by, size, save=[row_text(df.columns).alias("row_text")])
     lines = F.transform(F.sort_array(F.collect_list(F.struct("row_index", "row_text"))), lambda r: r["row_text"])
     text = F.concat(F.lit(f"{DATA_HEADER}\n"), F.array_join(lines, "\n"), F.lit("\n"))
     return indexed.groupBy("chunk_id").agg(text.alias("chunk_text")).select(

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Mapping
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from shiftlens.plans.sizing import broadcast_if_small
 # Columns that are never shown.
 CONFIDENTIAL = ("PUID", "SHIFT_ID", "ID")
 
+_log = logging.getLogger(__name__)
+
 
 def identity_given(user: str | None, plant: str | None) -> Column:
     """False when the user or plant code is missing or blank.
@@ -82,3 +86,12 @@ def run_sql(locked: SparkSession, text: str, args: Mapping[str, object] | None =
     The text becomes a sub-select, so statements such as SET or CREATE do not parse.
     """
     return locked.sql(f"SELECT * FROM (\n{text}\n) AS q", args=dict(args or {}))
+
+
+def run_sql_or_none(locked: SparkSession, text: str, args: Mapping[str, object] | None = None) -> DataFrame | None:
+    """:func:`run_sql`, with no table in place of an error for a text that is refused or wrong."""
+    try:
+        return run_sql(locked, text, args)
+    except (AnalysisException, ParseException) as error:
+        _log.warning("query refused: %s", error.getCondition())
+        return None

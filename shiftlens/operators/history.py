@@ -80,12 +80,12 @@ def history_ranked(log: DataFrame) -> DataFrame:
 
 
 def first_responses(responses: DataFrame) -> DataFrame:
-    """One response per query id, the earliest.
+    """One response per query id: the first of a list that is read newest first.
 
     An aggregate, so repeats of one id are folded before the shuffle.
     """
-    earliest = F.struct("created_at", "response_id", "text_response")
-    return responses.groupBy("query_id").agg(F.min(earliest).alias("r")).select(
+    newest = F.struct("created_at", "response_id", "text_response")
+    return responses.groupBy("query_id").agg(F.max(newest).alias("r")).select(
         "query_id", "r.response_id", "r.text_response"
     )
 

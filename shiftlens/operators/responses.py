@@ -7,13 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shiftlens.functions.text import extract_sql, has_sql
+from shiftlens.functions.text import extract_sql, final_response, has_sql
 
 PREVIEW_ROWS = 10
 
-# The response texts of the reference behaviour.
+# Fixed value: what is answered when the SQL of a response finds nothing.
 NO_RESULTS = "No results found."
-NO_ACCESS = "You don't have access to this data. Please verify your credentials."
 
 
 def outcome(response: Column, n_rows: Column, store_ready: Column) -> Column:
@@ -34,6 +33,22 @@ def response_outcomes(responses: DataFrame) -> DataFrame:
     )
 
 
+def logged_text(
+    response: Column, n_rows: Column, store_ready: Column, summary: Column, debug: bool | Column = False
+) -> Column:
+    """The text that is shown and logged for a response, by its outcome.
+
+    A result is announced by its summary, an empty one by a fixed line; any other response is its
+    own text.
+    """
+    kind = outcome(response, n_rows, store_ready)
+    return (
+        F.when(kind == "sql_rows", final_response(summary, extract_sql(response), debug))
+        .when(kind == "sql_empty", NO_RESULTS)
+        .otherwise(response)
+    )
+
+
 def result_preview(df: DataFrame, order_by: Sequence[str], rows: int = PREVIEW_ROWS) -> DataFrame:
     """First and last rows of a long result, tagged; a short result once, whole.
 

@@ -26,6 +26,7 @@ def with_row_index(
     order_by: Sequence[str | Column],
     name: str = "row_index",
     partitions: int | None = None,
+    save: Sequence[str | Column] = ("*",),
 ) -> DataFrame:
     """Add the 0-based position of every row in the total order given by ``order_by``.
 
@@ -34,15 +35,14 @@ def with_row_index(
     partition, are summed up and added to the place. Rows equal in every order key are told apart
     by a hash of the whole row. Nulls come first in an ascending key, as in any Spark sort.
 
-    Select the columns you need before the call: all of them travel through the one shuffle.
-    ``partitions`` defaults to the session's shuffle partitions, merged by adaptive execution.
+    Select the columns you need before the call: all of them travel through the one shuffle, and the
+    range bounds are sampled from them. ``save`` is what is kept of each row; it is worked out after
+    the sort, so texts made from a row are neither sampled, shuffled nor sorted. ``partitions`` defaults to the session's shuffle partitions, merged by adaptive execution.
     """
     keys = [F.col(k) if isinstance(k, str) else k for k in order_by] + [F.xxhash64(*df.columns)]
     ranged = df.repartitionByRange(*([partitions] if partitions else []), *keys)
-    placed = written(
-        ranged.sortWithinPartitions(*keys).withColumn("__place", F.monotonically_increasing_id()),
-        "row-index",
-    )
+    ordered = ranged.sortWithinPartitions(*keys)
+    placed = written(ordered.select(*save, F.monotonically_increasing_id().alias("__place")), "row-index")
     part = F.shiftright("__place", ROW_BITS)
     sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__rows"))
     # One row per partition of the sort, so this unpartitioned window and the broadcast are bounded

@@ -108,7 +108,7 @@ def test_history(spark):
         [("q1", dt.datetime(2025, 5, 4), "r-late", "late"), ("q1", dt.datetime(2025, 5, 3), "r-first", "first"), ("q9", dt.datetime(2025, 5, 3), "r", "x")],
         "query_id string, created_at timestamp_ntz, response_id string, text_response string",
     )
-    assert [(r.query_id, r.response_id) for r in hi.history_with_response(log, responses).collect()] == [("q1", "r-first")]
+    assert [(r.query_id, r.response_id) for r in hi.history_with_response(log, responses).collect()] == [("q1", "r-late")]
 
 
 def test_messages(spark):
@@ -126,6 +126,10 @@ def test_outcomes(spark):
     )
     got = {r.outcome: r.n_responses for r in rs.response_outcomes(df).collect()}
     assert got == {"sql_rows": 1, "sql_empty": 2, "text": 2, "fallback": 1}
+    logged = rs.logged_text(F.col("response"), F.col("n_rows"), F.col("store_ready"), F.lit("sum"))
+    assert [r[0] for r in df.select(logged).collect()] == [
+        "sum\n\nDetailed results:\n", "No results found.", "No results found.", "text", "```sql a", None
+    ]
 
 
 def test_preview_of_short_and_long_results(spark):

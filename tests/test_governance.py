@@ -85,3 +85,4 @@ def test_governed_sql_runs_with_parameters(locked):
 def test_governed_sql_refuses(locked, text):
     with pytest.raises((AnalysisException, ParseException)):
         g.run_sql(locked, text).collect()
+    assert g.run_sql_or_none(locked, text) is None
