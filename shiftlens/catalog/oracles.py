@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shiftlens.functions.text import WHITESPACE
+from shiftlens.functions.fixed import WHITESPACE
 
 ORACLES: dict[str, str] = {}
 
@@ -139,21 +139,22 @@ def weights(name: str, source: str, key: str, text: str) -> str:
   SELECT {key}, CAST(bucket AS INTEGER) AS bucket, n / norm AS weight FROM {name}_counts JOIN {name}_norms USING ({key}))"""
 
 
-def text_scores(store: str) -> str:
-    """CTEs that score every benchmark text against every chunk of ``store`` (key, source, chunk_id)."""
-    return f"""{weights('q', 'benchmark', 'item_id', 'text')},
+def text_scores(store: str, queries: str = "benchmark", key: str = "item_id") -> str:
+    """CTEs that score every text of ``queries`` against every chunk of ``store`` (key, source, chunk_id)."""
+    return f"""{weights('q', queries, key, 'text')},
 {weights('c', store, 'ckey', 'chunk_text')},
 shared AS (
-  SELECT item_id, ckey, sum(a.weight * b.weight) AS s
-  FROM q_weights a JOIN c_weights b USING (bucket) GROUP BY item_id, ckey),
+  SELECT {key}, ckey, sum(a.weight * b.weight) AS s
+  FROM q_weights a JOIN c_weights b USING (bucket) GROUP BY {key}, ckey),
 scores AS (
-  SELECT item_id AS query_id, source, chunk_id, round(coalesce(s, 0), 6) AS score
-  FROM (SELECT item_id FROM benchmark) CROSS JOIN (SELECT ckey, source, chunk_id FROM {store})
-  LEFT JOIN shared USING (item_id, ckey))"""
+  SELECT {key} AS query_id, source, chunk_id, round(coalesce(s, 0), 6) AS score
+  FROM (SELECT {key} FROM {queries}) CROSS JOIN (SELECT ckey, source, chunk_id FROM {store})
+  LEFT JOIN shared USING ({key}, ckey))"""
 
 
-CHUNK_SCORES = f"""{CHUNKS}, tagged AS (
-  SELECT table_name || '_' || chunk_id AS ckey, table_name AS source, chunk_id, chunk_text FROM chunks),
+TAGGED = f"""{CHUNKS}, tagged AS (
+  SELECT table_name || '_' || chunk_id AS ckey, table_name AS source, chunk_id, chunk_text FROM chunks)"""
+CHUNK_SCORES = f"""{TAGGED},
 {text_scores('tagged')}"""
 
 DOC_SCORES = f"""docs AS (
@@ -323,6 +324,14 @@ oracle("retrieve_topk", f"WITH {VECTOR_SCORES}, {TOP_OVERALL} SELECT * FROM top
 oracle("retrieve_fallback", """SELECT source, chunk_id, rank FROM (
   SELECT CAST(label AS VARCHAR) AS source, vec_id AS chunk_id,
          CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) AS INTEGER) AS rank FROM embeddings) WHERE rank <= 3""")
+oracle("retrieve_contexts", f"""WITH {TAGGED}, talk AS (
+  SELECT conv_id || '-' || turn AS qkey, role, text FROM conversations),
+spoken AS (SELECT qkey, text FROM talk WHERE role <> 'system'),
+{text_scores('tagged', 'spoken', 'qkey')}, {TOP_OVERALL}, numbered AS (
+  SELECT source, chunk_id, row_number() OVER (PARTITION BY source ORDER BY chunk_id) AS i FROM tagged),
+listed AS (SELECT source, chunk_id, CAST(row_number() OVER (ORDER BY source, i) AS INTEGER) AS rank FROM numbered WHERE i <= 3)
+SELECT query_id, source, chunk_id, score, rank FROM top WHERE rank <= 3
+UNION ALL SELECT qkey, source, chunk_id, NULL, rank FROM talk CROSS JOIN listed WHERE role = 'system'""")
 oracle("chunk_index", f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate,
        i AS row_index, i // 5 AS chunk_id
 FROM (SELECT {LINE_KEYS}, row_number() OVER (ORDER BY {LINE_KEYS}) - 1 AS i FROM lineitem)""")

@@ -414,6 +414,15 @@ def retrieve_fallback(spark, folder):
     return retrieval.retrieve_fallback(v.vector_store(spark, folder)).drop("score")
 
 
+@query
+def retrieve_contexts(spark, folder):
+    """Every turn of the conversations as a query; system turns have no vector."""
+    talk = tables.load_table(spark, folder, "conversations")
+    vector = F.when(F.col("role") != "system", vc.hashed_vector(F.col("text")))
+    turns = talk.select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), vector.alias("embedding"))
+    return retrieval.retrieve_contexts(turns, v.chunk_store(spark, folder))
+
+
 @query
 def chunk_index(spark, folder):
     lines = tables.load_table(spark, folder, "lineitem").select(*LINE_KEYS)

@@ -7,7 +7,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftlens.functions.text import FENCE, SQL_FENCE, token_count
+from shiftlens.functions.fixed import FENCE, SQL_FENCE
+from shiftlens.functions.text import token_count
 from shiftlens.functions.vectors import DIMENSIONS
 from shiftlens.operators.chunking import chunk_union
 from shiftlens.operators.embedding import embed_hashed

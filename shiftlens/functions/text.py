@@ -7,19 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters that Python's str.split() and str.strip() take as white space. The
-# same class is understood by Java and RE2 regular expressions.
-WHITESPACE = (
-    r"[\s\x0B\x1C-\x1F\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+from shiftlens.functions.fixed import (
+    CELL, CELL_SEPARATOR, DETAILS, ELLIPSIS, FENCE, FIRST_LINE_CHARS, MISSING, PREVIEW_WORDS, SAMPLE_CHARS, SQL_FENCE,
+    WHITESPACE,
 )
 
-# The fence around SQL in a response.
-SQL_FENCE = "```sql"
-FENCE = "```"
-
-DATA_HEADER = "Data chunk:"
-SCHEMA_HEADER = "Table schema:"
-
 
 def _quoted(name: str) -> Column:
     return F.col(f"`{name}`")
@@ -28,9 +20,10 @@ def _quoted(name: str) -> Column:
 def row_text(columns: Sequence[str]) -> Column:
     """``col: value | col: value``; a missing value reads ``None``."""
     cells = [
-        F.concat(F.lit(f"{c}: "), F.coalesce(_quoted(c).cast("string"), F.lit("None"))) for c in columns
+        F.concat(F.lit(CELL.format(column=c)), F.coalesce(_quoted(c).cast("string"), F.lit(MISSING)))
+        for c in columns
     ]
-    return F.concat_ws(" | ", *cells)
+    return F.concat_ws(CELL_SEPARATOR, *cells)
 
 
 def words(text: Column) -> Column:
@@ -60,20 +53,20 @@ def extract_sql(text: Column) -> Column:
     return F.when(has_sql(text), stripped(F.substring_index(rest, FENCE, 1)))
 
 
-def text_preview(text: Column, n_words: int = 5) -> Column:
+def text_preview(text: Column, n_words: int = PREVIEW_WORDS) -> Column:
     """The first words, with an ellipsis when there are more."""
     w = words(text)
     return F.concat(
-        F.array_join(F.slice(w, 1, n_words), " "), F.when(F.size(w) > n_words, F.lit("...")).otherwise(F.lit(""))
+        F.array_join(F.slice(w, 1, n_words), " "), F.when(F.size(w) > n_words, F.lit(ELLIPSIS)).otherwise(F.lit(""))
     )
 
 
-def truncated(text: Column, length: int = 300) -> Column:
+def truncated(text: Column, length: int = SAMPLE_CHARS) -> Column:
     """The first ``length`` characters, with an ellipsis when there are more."""
-    return F.when(F.length(text) > length, F.concat(F.substring(text, 1, length), F.lit("..."))).otherwise(text)
+    return F.when(F.length(text) > length, F.concat(F.substring(text, 1, length), F.lit(ELLIPSIS))).otherwise(text)
 
 
-def first_line(text: Column, cut: int = 50) -> Column:
+def first_line(text: Column, cut: int = FIRST_LINE_CHARS) -> Column:
     """The first line, or the first ``cut`` characters of a text without line breaks."""
     return F.when(F.contains(text, F.lit("\n")), F.substring_index(text, "\n", 1)).otherwise(
         F.substring(text, 1, cut)
@@ -94,9 +87,9 @@ def final_response(summary: Column, sql: Column, debug: bool | Column = False) -
     """Summary and the heading of the details, after the SQL itself in debug mode."""
     shown = F.lit(debug) if isinstance(debug, bool) else debug
     prefix = F.concat(F.lit(f"SQL Query:\n{SQL_FENCE}\n"), sql, F.lit(f"\n{FENCE}\n"))
-    return F.concat(F.when(shown, prefix).otherwise(F.lit("")), summary, F.lit("\n\nDetailed results:\n"))
+    return F.concat(F.when(shown, prefix).otherwise(F.lit("")), summary, F.lit(DETAILS))
 
 
 def fixed_digits(value: Column, digits: int = 6) -> Column:
     """A number with a fixed count of decimals, ``None`` when missing."""
-    return F.coalesce(F.round(value, digits).cast(f"decimal(38,{digits})").cast("string"), F.lit("None"))
+    return F.coalesce(F.round(value, digits).cast(f"decimal(38,{digits})").cast("string"), F.lit(MISSING))

@@ -7,10 +7,7 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# How times are written in messages, logs and date labels.
-ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
-LOG_FORMAT = "yyyy-MM-dd HH:mm:ss"
-DATE_FORMAT = "yyyy-MM-dd"
+from shiftlens.functions.fixed import DATE_FORMAT, ISO_FORMAT, LOG_FORMAT, TODAY, YESTERDAY
 
 
 def iso_text(ts: Column) -> Column:
@@ -37,8 +34,8 @@ def relative_date(ts: Column, today: dt.date) -> Column:
     """``Today``, ``Yesterday`` or the date."""
     day = F.to_date(ts)
     return (
-        F.when(day == F.lit(today), "Today")
-        .when(day == F.date_sub(F.lit(today), 1), "Yesterday")
+        F.when(day == F.lit(today), TODAY)
+        .when(day == F.date_sub(F.lit(today), 1), YESTERDAY)
         .otherwise(date_text(ts))
     )
 

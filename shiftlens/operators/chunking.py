@@ -7,17 +7,19 @@ column. Equal chunks are kept.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shiftlens.functions.text import DATA_HEADER, SCHEMA_HEADER, content_hash, fixed_digits, row_text
+from shiftlens.functions.fixed import CHUNK_ROWS, DATA_HEADER, MISSING, SCHEMA_HEADER, SCHEMA_LINE
+from shiftlens.functions.text import content_hash, fixed_digits, row_text
 from shiftlens.operators.profiling import column_stats
 from shiftlens.plans.ordering import with_row_index
 from shiftlens.sources.tables import numeric_columns
 
-CHUNK_ROWS = 5
+TABLES_AT_ONCE = 4
 CHUNK_COLUMNS = ["table_name", "chunk_id", "kind", "chunk_text", "content_hash"]
 
 
@@ -53,7 +55,9 @@ def _chunks_before(n_rows: Column, size: int) -> Column:
 
 def schema_chunk(df: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
     """One chunk naming every column and its type; its id follows the data chunks."""
-    lines = "".join(f"Column: {f.name}, Type: {f.dataType.simpleString()}\n" for f in df.schema.fields)
+    lines = "".join(
+        SCHEMA_LINE.format(column=f.name, type=f.dataType.simpleString()) + "\n" for f in df.schema.fields
+    )
     return df.agg(F.count(F.lit(1)).alias("n")).select(
         _chunks_before(F.col("n"), size).alias("chunk_id"),
         F.lit("schema").alias("kind"),
@@ -67,7 +71,7 @@ def stats_chunks(df: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
     is_whole = F.col("column_name").isin(whole) if whole else F.lit(False)
 
     def extreme(name: str) -> Column:
-        as_integer = F.coalesce(F.col(name).cast("decimal(38,0)").cast("string"), F.lit("None"))
+        as_integer = F.coalesce(F.col(name).cast("decimal(38,0)").cast("string"), F.lit(MISSING))
         return F.when(is_whole, as_integer).otherwise(fixed_digits(F.col(name)))
 
     text = F.concat(
@@ -95,8 +99,13 @@ def table_chunks(df: DataFrame, table_name: str, order_by: Sequence[str], size:
 
 
 def chunk_union(tables: Mapping[str, tuple[DataFrame, Sequence[str]]], size: int = CHUNK_ROWS) -> DataFrame:
-    """Chunks of several tables, each given with the columns that order its rows."""
-    return reduce(
-        DataFrame.unionByName,
-        [table_chunks(df, name, order_by, size) for name, (df, order_by) in tables.items()],
-    )
+    """Chunks of several tables, each given with the columns that order its rows.
+
+    The sorts and scans of the tables do not depend on each other, so a few are submitted together.
+    """
+    def one(name: str) -> DataFrame:
+        df, order_by = tables[name]
+        return table_chunks(df, name, order_by, size)
+
+    with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
+        return reduce(DataFrame.unionByName, list(pool.map(one, tables)))

@@ -10,10 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shiftlens.functions.fixed import BATCH_TEXTS
 from shiftlens.functions.vectors import DIMENSIONS, hashed_vector, hashed_weights
 
-BATCH_TEXTS = 50
-
 _log = logging.getLogger(__name__)
 
 

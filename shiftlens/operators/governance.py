@@ -9,11 +9,9 @@ from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shiftlens.functions.fixed import CONFIDENTIAL
 from shiftlens.plans.sizing import broadcast_if_small
 
-# Columns that are never shown.
-CONFIDENTIAL = ("PUID", "SHIFT_ID", "ID")
-
 _log = logging.getLogger(__name__)
 
 

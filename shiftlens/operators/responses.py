@@ -7,13 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shiftlens.functions.fixed import NO_RESULTS, PREVIEW_ROWS
 from shiftlens.functions.text import extract_sql, final_response, has_sql
 
-PREVIEW_ROWS = 10
-
-# Fixed value: what is answered when the SQL of a response finds nothing.
-NO_RESULTS = "No results found."
-
 
 def outcome(response: Column, n_rows: Column, store_ready: Column) -> Column:
     """``fallback`` without a complete store, else by SQL fence and result rows."""

@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shiftlens.functions.fixed import TOP_K
 from shiftlens.plans.ordering import with_row_index
 from shiftlens.plans.scratch import fresh_path, written
 from shiftlens.plans.sizing import broadcast_if_small
 
-TOP_K = 3
 SCORE_DIGITS = 6
 BLOCK_BYTES = 32 * 1024 * 1024  # vectors of one broadcast query block
 _TILE = 2_000_000  # scores worked out at once in a task
@@ -260,6 +260,22 @@ def retrieve_fallback(store: DataFrame, k: int = TOP_K) -> DataFrame:
     )
 
 
+def retrieve_contexts(queries: DataFrame, store: DataFrame, k: int = TOP_K) -> DataFrame:
+    """The k best chunks of each query; a query without a vector gets the first k of every table.
+
+    The fallback list, k rows per table, is one scalar value that the queries without a vector unfold.
+    """
+    has_vector = F.coalesce(F.size("embedding") > 0, F.lit(False))
+    found = retrieve_topk(queries.where(has_vector), store, k)
+    rows = F.sort_array(F.collect_list(F.struct("source", "rank", "chunk_id")))
+    first = retrieve_fallback(store, k).agg(rows).scalar()
+    unfolded = queries.where(~has_vector).select("query_id", F.posexplode(first).alias("position", "c"))
+    listed = unfolded.select(
+        "query_id", "c.source", "c.chunk_id", F.lit(None).cast("double").alias("score"), (F.col("position") + 1).alias("rank")
+    )
+    return found.unionByName(listed)
+
+
 def with_chunk_text(hits: DataFrame, store: DataFrame) -> DataFrame:
     """Hits with their text, read only after the ranking.
 

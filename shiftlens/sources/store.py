@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shiftlens.functions.fixed import SAMPLE_CHUNKS, SAMPLE_COMPONENTS, SAMPLE_VECTORS
 from shiftlens.functions.text import first_line, truncated
 from shiftlens.functions.vectors import l2_norm, mean_of
 
@@ -162,14 +163,14 @@ def memory_estimate(store: DataFrame) -> DataFrame:
     )
 
 
-def chunk_samples(store: DataFrame, n: int = 2) -> DataFrame:
+def chunk_samples(store: DataFrame, n: int = SAMPLE_CHUNKS) -> DataFrame:
     """The first chunks by table and id, long texts cut."""
     return store.orderBy("table_name", "chunk_id").limit(n).select(
         "table_name", "chunk_id", truncated(F.col("chunk_text")).alias("sample_text")
     )
 
 
-def vector_samples(store: DataFrame, n: int = 1, shown: int = 20) -> DataFrame:
+def vector_samples(store: DataFrame, n: int = SAMPLE_VECTORS, shown: int = SAMPLE_COMPONENTS) -> DataFrame:
     """Leading components of the first vectors, as JSON, and how many follow."""
     lead = F.transform(F.slice("embedding", 1, shown), lambda x: F.round(x.cast("double"), 6))
     return store.orderBy("table_name", "chunk_id").limit(n).select(

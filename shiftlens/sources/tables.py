@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SAMPLE_ROWS = 1000
-PREVIEW_ROWS = 10
+from shiftlens.functions.fixed import PREVIEW_ROWS, SAMPLE_ROWS
 
 
 def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -136,6 +136,24 @@ def test_fallback(frames):
         assert sorted(x.chunk_id for x in rows if x.source == source) == sorted(c for s, c, _ in STORE if s == source)[:2]
 
 
+def test_queries_without_vector_fall_back(frames):
+    queries, store = frames
+    rows = r.retrieve_contexts(queries, store, 2).collect()
+    without = {q for q, v in QUERIES if not v}
+    scored = {x.query_id for x in rows if x.score is not None}
+    assert without and scored == {q for q, _ in QUERIES} - without
+    first = {}
+    for x in sorted(rows, key=lambda x: x["rank"]):
+        if x.query_id in without:
+            first.setdefault(x.query_id, []).append((x.source, x.chunk_id))
+    expected = [
+        (s, c) for s in sorted({s for s, _, _ in STORE}) for c in sorted(c for t, c, _ in STORE if t == s)[:2]
+    ]
+    assert all(first[q] == expected for q in without)
+    plan = plan_of(r.retrieve_contexts(queries, store, 2))
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_context_and_routing(spark):
     hits = spark.createDataFrame(
         [("q", "b", 1, 0.5, 2), ("q", "a", 7, 0.9, 1)], "query_id string, source string, chunk_id bigint, score double, rank int"
