@@ -30,8 +30,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path under the shared folder that no other table uses."""
-    return f"{shared_folder(spark)}/shiftlens/{label}-{uuid.uuid4().hex}"
+    """A path under this application's part of the shared folder that no other table uses."""
+    return f"{_application_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _application_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/shiftlens/{spark.sparkContext.applicationId}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete this application's scratch tables, once no frame that reads them is needed any more.
+
+    Stores and logs written to paths of your own are not touched.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shiftlens.plans import ordering, scratch
 from shiftlens.plans.ordering import exact_medians, numeric_profile, with_rank_in_group, with_row_index
-from shiftlens.plans.sizing import broadcast_if_small, is_longer_than
+from shiftlens.plans.sizing import broadcast_if_small, is_longer_than, spread_small_scan
 from tests.conftest import plan_of
 
 
@@ -93,3 +93,36 @@ def test_size_checks(spark):
 def test_shared_folder_is_the_clusters(spark):
     assert scratch.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     assert scratch.fresh_path(spark, "x") != scratch.fresh_path(spark, "x")
+
+
+def test_scratch_of_an_application_can_be_dropped(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "shared_folder", lambda _: str(tmp_path))
+    other = tmp_path / "shiftlens" / "another-application"
+    other.mkdir(parents=True)
+    saved = scratch.written(spark.range(5), "x")
+    assert saved.count() == 5 and len(list((tmp_path / "shiftlens").iterdir())) == 2
+    scratch.drop_scratch(spark)
+    assert list((tmp_path / "shiftlens").iterdir()) == [other]
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Cluster:
+        conf = Conf()
+
+        class sparkContext:
+            master = "yarn"
+            getConf = Conf
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.shared_folder(Cluster)
+
+
+def test_small_scans_are_spread(spark, folder):
+    scan = spark.read.parquet(f"{folder}/documents.parquet")
+    assert spread_small_scan(scan, "doc_id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    wide = spark.range(0, 100, 1, 50)
+    assert spread_small_scan(wide, "id") is wide
