@@ -219,6 +219,9 @@ _CSV = """SELECT 'p_partkey,p_name,p_brand,p_type,p_size,p_retailprice' || chr(1
 oracle("csv_preview", f"SELECT csv_text, CAST(len({words('csv_text')}) AS INTEGER) AS n_tokens FROM ({_CSV})")
 oracle("store_invalidate", f"""WITH {CHUNKS}
 SELECT table_name || '_' || chunk_id AS record_id, table_name, content_hash FROM chunks WHERE table_name <> 'part'""")
+oracle("store_without_stale", f"""WITH {CHUNKS}
+SELECT table_name || '_' || chunk_id AS record_id, table_name, kind, content_hash FROM chunks
+WHERE table_name <> 'supplier' OR (kind <> 'data' AND chunk_text NOT LIKE 'Stats for s_acctbal%')""")
 oracle("store_metadata", f"""WITH {CHUNKS}, schema_rows AS ({SCHEMA_ROWS}), cols AS (
   SELECT table_name, string_agg(column_name, ', ' ORDER BY ordinal) AS columns FROM schema_rows GROUP BY table_name)
 SELECT table_name, '2025-06-01T00:00:00.000000' AS created_at, count(*) AS num_chunks, count(*) AS num_embeddings, any_value(columns) AS columns

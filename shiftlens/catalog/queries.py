@@ -152,6 +152,16 @@ def store_invalidate(spark, folder):
     return store.without_tables(v.chunk_store(spark, folder), ["part"]).select("record_id", "table_name", "content_hash")
 
 
+@query
+def store_without_stale(spark, folder):
+    """What remains valid of the store after every supplier's balance has changed."""
+    given = v.chunked_tables(spark, folder)
+    suppliers, keys = given["supplier"]
+    given["supplier"] = (suppliers.withColumn("s_acctbal", F.col("s_acctbal") + 10_000), keys)
+    kept = store.without_stale(v.chunk_store(spark, folder), chunking.chunk_union(given))
+    return kept.select("record_id", "table_name", "kind", "content_hash")
+
+
 @query
 def store_metadata(spark, folder):
     schema = tables.schema_profile({n: tables.load_table(spark, folder, n) for n in v.CHUNKED})

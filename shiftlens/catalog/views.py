@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 
 from shiftlens.functions.fixed import FENCE, SQL_FENCE
 from shiftlens.functions.text import token_count
-from shiftlens.functions.vectors import DIMENSIONS
 from shiftlens.operators.chunking import chunk_union
 from shiftlens.operators.embedding import embed_hashed
 from shiftlens.operators.relationships import Relationship, TableInfo
 from shiftlens.plans.scratch import fresh_path
 from shiftlens.plans.sizing import spread_small_scan
-from shiftlens.sources.store import append_store, read_store, store_rows
+from shiftlens.sources.store import read_store, refresh_store
 from shiftlens.sources.tables import load_table
 
 # The identity that the registered queries act for.
@@ -186,8 +185,7 @@ def chunks(spark: SparkSession, folder: str) -> DataFrame:
 def build_store(spark: SparkSession, folder: str) -> str:
     """Chunk, embed and store the chunked tables; returns the store's path."""
     path = fresh_path(spark, "store")
-    embedded = embed_hashed(chunks(spark, folder), dims=DIMENSIONS)
-    append_store(store_rows(embedded, STORE_TIME), path)
+    refresh_store(chunks(spark, folder), path, embed_hashed, STORE_TIME)
     return path
 
 

@@ -152,14 +152,16 @@ def exact_medians(
     values = _numbers(df)
     middle = {c: sorted({(n - 1) // 2, n // 2}) for c, n in n_values.items() if n}
     searches = [_Search(c, rank, n_values[c]) for c, ranks in middle.items() for rank in ranks]
+    seed = 0
     while wide := {s.range: s for s in searches if s.value is None and s.inside > at_most}:
-        guesses = _guess(values, list(wide.values()), sample)
+        seed += 1
+        guesses = _guess(values, list(wide.values()), sample, seed)
         counts = []
-        for (column, _, _), (a, b) in zip(wide, guesses):
+        for (column, _, _), (a, b) in guesses.items():
             v = F.col(f"`{column}`")
             counts += [F.count_if(v < a), F.count_if(v <= a), F.count_if(v < b), F.count_if(v <= b)]
-        counted = values.agg(*[c.alias(f"n{i}") for i, c in enumerate(counts)]).first()
-        found = {r: (*guess, *counted[4 * i : 4 * i + 4]) for i, (r, guess) in enumerate(zip(wide, guesses))}
+        counted = values.agg(F.count(F.lit(1)), *[c.alias(f"n{i}") for i, c in enumerate(counts)]).first()[1:]
+        found = {r: (*guess, *counted[4 * i : 4 * i + 4]) for i, (r, guess) in enumerate(guesses.items())}
         for s in searches:
             if s.value is None and s.range in found:
                 s.narrow(*found[s.range])
@@ -170,10 +172,13 @@ def exact_medians(
     return {c: sum(v) / len(v) for c, v in by_column.items()}
 
 
-def _guess(values: DataFrame, searches: list[_Search], sample: int) -> list[tuple[float, float]]:
-    """Two values per search that very likely enclose its rank, from a sample of what is left."""
+def _guess(values: DataFrame, searches: list[_Search], sample: int, seed: int) -> dict[tuple, tuple[float, float]]:
+    """Two values per range that very likely enclose the rank, from a sample of what is left.
+
+    A range whose sample came out empty is left for the next round, which draws anew.
+    """
     slack = 2.5 / math.sqrt(sample)
-    drawn = values.withColumn("__draw", F.rand(17))
+    drawn = values.withColumn("__draw", F.rand(seed))
     picked, quantiles = [], []
     for i, s in enumerate(searches):
         drawn_here = s.between() & (F.col("__draw") * s.inside < sample)
@@ -181,8 +186,8 @@ def _guess(values: DataFrame, searches: list[_Search], sample: int) -> list[tupl
         middle = (s.rank - s.before + 0.5) / s.inside
         around = [max(0.0, middle - slack), min(1.0, middle + slack)]
         quantiles.append(F.percentile_approx(f"v{i}", around).alias(f"v{i}"))
-    # An empty sample is all but impossible; any guess is right, only slower.
-    return [tuple(g) if g else (0.0, 0.0) for g in drawn.select(*picked).agg(*quantiles).first()]
+    guesses = drawn.select(*picked).agg(*quantiles).first()
+    return {s.range: tuple(guess) for s, guess in zip(searches, guesses) if guess}
 
 
 def _finish(values: DataFrame, searches: list[_Search]) -> None:

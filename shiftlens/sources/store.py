@@ -5,8 +5,9 @@ Vectors and texts are native columns; JSON text appears only at the import and e
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,16 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STORE_SCHEMA).parquet(path)
 
 
+def store_or_empty(spark: SparkSession, path: str) -> DataFrame:
+    """The store, empty when nothing has been stored yet."""
+    try:
+        return read_store(spark, path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], STORE_SCHEMA)
+
+
 def store_rows(embedded: DataFrame, created_at) -> DataFrame:
     """Embedded chunks in the store's layout; the record id is ``table_chunk``."""
     return embedded.withColumns(
@@ -106,11 +117,34 @@ def missing_chunks(chunks: DataFrame, store: DataFrame) -> DataFrame:
     return chunks.join(held, ["table_name", "content_hash"], "left_anti")
 
 
+def without_stale(store: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The stored rows whose content is still among the present chunks of their table.
+
+    Written as a new store, it drops what changed data has left behind.
+    """
+    present = chunks.select("table_name", "content_hash").distinct()
+    return store.join(present, ["table_name", "content_hash"], "left_semi").select(*store.columns)
+
+
 def pair_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """Each chunk with its own vector, by key and never by position."""
     return chunks.join(vectors, ["table_name", "chunk_id"])
 
 
+def refresh_store(
+    chunks: DataFrame, path: str, embed: Callable[[DataFrame], DataFrame], created_at
+) -> DataFrame:
+    """Embed and append the chunks the store does not hold; returns the store.
+
+    Nothing is embedded on a second run over the same data, and a batch that failed before is tried
+    again.
+    """
+    spark = chunks.sparkSession
+    missing = missing_chunks(chunks, store_or_empty(spark, path))
+    append_store(store_rows(embed(missing), created_at), path)
+    return read_store(spark, path)
+
+
 def store_metadata(store: DataFrame, schema: DataFrame) -> DataFrame:
     """Per table: creation time, chunks, vectors and the table's column list.
 

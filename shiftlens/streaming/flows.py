@@ -15,7 +15,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from shiftlens.plans.scratch import fresh_path
 from shiftlens.plans.sizing import broadcast_if_small
 from shiftlens.sources.logs import LOG_SCHEMA, TOKEN_SCHEMA
-from shiftlens.sources.store import STORE_SCHEMA, append_store, missing_chunks, read_store, store_rows
+from shiftlens.sources.store import append_store, missing_chunks, store_or_empty, store_rows
 
 WATERMARK = "2 days"
 
@@ -91,7 +91,7 @@ def store_missing_batch(embed: Callable[[DataFrame], DataFrame], path: str, crea
             F.min(F.struct("chunk_id", "kind", "chunk_text")).alias("c")
         ).select("table_name", "content_hash", "c.*").persist()
         keys = ["table_name", "content_hash"]
-        held = read_store(chunks.sparkSession, path).join(broadcast_if_small(rows.select(*keys)), keys, "left_semi")
+        held = store_or_empty(chunks.sparkSession, path).join(broadcast_if_small(rows.select(*keys)), keys, "left_semi")
         append_store(store_rows(embed(missing_chunks(rows, held)), created_at), path, gather=True)
         rows.unpersist()
 
@@ -103,9 +103,7 @@ def run_store_missing(
 ) -> DataFrame:
     """Store the missing chunks of a stream, and return the store."""
     spark = chunk_stream.sparkSession
-    empty = spark.createDataFrame([], STORE_SCHEMA)
-    append_store(empty, path)
     writer = chunk_stream.writeStream.foreachBatch(store_missing_batch(embed, path, created_at))
     available_now(writer, fresh_path(spark, "store-state"))
-    return read_store(spark, path)
+    return store_or_empty(spark, path)
 

@@ -37,6 +37,30 @@ def test_second_build_adds_nothing(spark, chunks, saved):
     assert again.count() == 6 and {r.table_name for r in again.collect()} == {"a"}
 
 
+def test_refresh_stores_only_what_changed(spark):
+    from shiftlens.operators.chunking import table_chunks
+
+    def chunks(change):
+        rows = spark.range(20).select("id", F.when(F.col("id") == 7, change).otherwise(F.col("id")).alias("x"))
+        return table_chunks(rows, "t", ["id"])
+
+    calls = []
+
+    def embed(df):
+        calls.append(df.count())
+        return embedding.embed_hashed(df, dims=8)
+
+    path = fresh_path(spark, "store")
+    first = store.refresh_store(chunks(7), path, embed, NOW)
+    assert first.count() == 4 + 1 + 2
+    assert store.refresh_store(chunks(7), path, embed, NOW).count() == 7
+    changed = store.refresh_store(chunks(70), path, embed, NOW)
+    assert calls == [7, 0, 2]
+    valid = store.without_stale(changed, chunks(70))
+    assert valid.count() == 7 and valid.select("record_id").distinct().count() == 7
+    assert valid.columns == changed.columns
+
+
 def test_table_filter_prunes_partitions(spark, saved):
     plan = plan_of(store.read_store(spark, saved).where("table_name = 'a'"))
     assert "PartitionFilters: [isnotnull(table_name" in plan
