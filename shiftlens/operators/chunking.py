@@ -31,8 +31,12 @@ def row_texts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def chunk_index(
     df: DataFrame, order_by: Sequence[str], size: int = CHUNK_ROWS, save: Sequence[str | Column] = ("*",)
 ) -> DataFrame:
-    """Row position and the chunk it falls into: consecutive groups of ``size`` rows."""
-    return with_row_index(df, order_by, save=save).withColumn("chunk_id", F.expr(f"row_index div {int(size)}"))
+    """Row position and the chunk it falls into: consecutive groups of ``size`` rows of a table.
+
+    The table is a scan or saved, so copies of one row can be spread like any other rows.
+    """
+    indexed = with_row_index(df, order_by, save=save, spread_copies=True)
+    return indexed.withColumn("chunk_id", F.expr(f"row_index div {int(size)}"))
 
 
 def data_chunks(df: DataFrame, order_by: Sequence[str], size: int = CHUNK_ROWS) -> DataFrame:

@@ -27,6 +27,7 @@ def with_row_index(
     name: str = "row_index",
     partitions: int | None = None,
     save: Sequence[str | Column] = ("*",),
+    spread_copies: bool = False,
 ) -> DataFrame:
     """Add the 0-based position of every row in the total order given by ``order_by``.
 
@@ -37,9 +38,17 @@ def with_row_index(
 
     Select the columns you need before the call: all of them travel through the one shuffle, and the
     range bounds are sampled from them. ``save`` is what is kept of each row; it is worked out after
-    the sort, so texts made from a row are neither sampled, shuffled nor sorted. ``partitions`` defaults to the session's shuffle partitions, merged by adaptive execution.
+    the sort, so texts made from a row are neither sampled, shuffled nor sorted. ``partitions``
+    defaults to the session's shuffle partitions, merged by adaptive execution.
+
+    ``spread_copies`` also orders fully equal rows, by where they were read, so that a large group of
+    copies is cut like any other. It is for scans and saved tables: a task that is run again must see
+    its rows in the same order.
     """
     keys = [F.col(k) if isinstance(k, str) else k for k in order_by] + [F.xxhash64(*df.columns)]
+    if spread_copies:
+        df = df.withColumn("__read_at", F.monotonically_increasing_id())
+        keys.append(F.col("__read_at"))
     ranged = df.repartitionByRange(*([partitions] if partitions else []), *keys)
     ordered = ranged.sortWithinPartitions(*keys)
     placed = written(ordered.select(*save, F.monotonically_increasing_id().alias("__place")), "row-index")
@@ -54,7 +63,7 @@ def with_row_index(
         placed.withColumn("__part", part)
         .join(F.broadcast(offsets), "__part")
         .withColumn(name, F.col("__start") + in_part)
-        .drop("__place", "__part", "__start")
+        .drop("__place", "__part", "__start", "__read_at")
     )
 
 
@@ -65,7 +74,7 @@ def with_rank_in_group(
 
     Equal to ``row_number() over (partition by groups order by order_by)``, but a group that holds
     a third of all rows is still spread over many tasks: the rank is the row's global position less
-    the first position of its group.
+    the first position of its group. End ``order_by`` in a unique column.
     """
     indexed = with_row_index(df, [*groups, *order_by], "__index")
     firsts = written(indexed.groupBy(*groups).agg(F.min("__index").alias("__first")), "group-start")

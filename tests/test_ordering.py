@@ -30,6 +30,17 @@ def test_a_hot_leading_key_is_spread(spark, monkeypatch):
     assert len(sizes) == 6 and max(sizes) < 0.3 * 60_000
 
 
+def test_a_large_group_of_copies_is_spread(spark, monkeypatch):
+    saved = []
+    monkeypatch.setattr(ordering, "written", lambda df, label: saved.append(scratch.written(df, label)) or saved[-1])
+    df = spark.range(60_000).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("k"))
+    indexed = with_row_index(df, ["k"], partitions=6, spread_copies=True)
+    assert indexed.columns == ["k", "row_index"] and indexed.select("row_index").distinct().count() == 60_000
+    assert indexed.where("k = 7").agg(F.max("row_index") - F.min("row_index")).first()[0] == 40_000 - 1
+    sizes = [r[1] for r in saved[0].groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) == 6 and max(sizes) < 0.3 * 60_000
+
+
 def test_row_index_descending(spark):
     df = spark.range(50).repartition(3)
     got = with_row_index(df, [F.desc("id")]).collect()
