@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from shiftlens.functions.fixed import WHITESPACE
-
 ORACLES: dict[str, str] = {}
 
+# Python's white space, spelt out: RE2 has no Unicode \s.
+WHITESPACE = (
+    r"[\s\x0B\x1C-\x1F\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+)
+
 ISO = "'%Y-%m-%dT%H:%M:%S.%f'"
 LINE_KEYS = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate"
 DIMS = 256

@@ -39,8 +39,7 @@ DATE_FORMAT = "yyyy-MM-dd"
 TODAY = "Today"
 YESTERDAY = "Yesterday"
 
-# The characters that Python's str.split() and str.strip() take as white space, as a class that Java and
-# RE2 regular expressions both understand.
-WHITESPACE = (
-    r"[\s\x0B\x1C-\x1F\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-)
+# The characters that Python's str.split() and str.strip() take as white space: Unicode white space and
+# the four ASCII separators.
+WHITESPACE = r"[\s\x1C-\x1F]"
+UNICODE_CLASSES = "(?U)"

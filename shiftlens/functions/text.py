@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shiftlens.functions.fixed import (
     CELL, CELL_SEPARATOR, DETAILS, ELLIPSIS, FENCE, FIRST_LINE_CHARS, MISSING, PREVIEW_WORDS, SAMPLE_CHARS, SQL_FENCE,
-    WHITESPACE,
+    UNICODE_CLASSES, WHITESPACE,
 )
 
 
@@ -28,7 +28,7 @@ def row_text(columns: Sequence[str]) -> Column:
 
 def words(text: Column) -> Column:
     """Words between white space; none for null or blank text."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), f"{WHITESPACE}+"), lambda w: w != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), f"{UNICODE_CLASSES}{WHITESPACE}+"), lambda w: w != "")
 
 
 def token_count(text: Column) -> Column:
@@ -38,7 +38,7 @@ def token_count(text: Column) -> Column:
 
 def stripped(text: Column) -> Column:
     """Text without leading and trailing white space of any kind."""
-    return F.regexp_replace(text, f"^{WHITESPACE}+|{WHITESPACE}+$", "")
+    return F.regexp_replace(text, f"{UNICODE_CLASSES}^{WHITESPACE}+|{WHITESPACE}+$", "")
 
 
 def has_sql(text: Column) -> Column:

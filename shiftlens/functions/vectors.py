@@ -54,7 +54,7 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def sorted_buckets(text: Column, dims: int = DIMENSIONS) -> Column:
     """Ascending buckets of all words of a text, repeats kept."""
-    return F.array_sort(F.transform(words(text), lambda w: word_bucket(w, dims)))
+    return F.sort_array(F.transform(words(text), lambda w: word_bucket(w, dims)))
 
 
 def _run_ends(buckets: Column) -> Column:

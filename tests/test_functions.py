@@ -26,6 +26,14 @@ def test_words_split_like_python(spark):
     assert got == [len((t or "").split()) for t in TEXTS]
 
 
+def test_every_white_space_character_is_pythons(spark):
+    codes = [*range(1, 0xD800), *range(0xE000, 0x11000)]
+    df = spark.createDataFrame([(c, f"a{chr(c)}b", f"{chr(c)}a{chr(c)}") for c in codes], "c int, t string, s string")
+    rows = df.select("c", tx.token_count(F.col("t")).alias("n"), tx.stripped(F.col("s")).alias("s")).collect()
+    wrong = [r.c for r in rows if r.n != len(f"a{chr(r.c)}b".split()) or r.s != f"{chr(r.c)}a{chr(r.c)}".strip()]
+    assert wrong == []
+
+
 def test_preview(spark):
     got = _values(spark, tx.text_preview(F.col("t")), [(t,) for t in TEXTS[:-1]])
     assert got == [" ".join(t.split()[:5]) + ("..." if len(t.split()) > 5 else "") for t in TEXTS[:-1]]
