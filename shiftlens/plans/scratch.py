@@ -1,19 +1,17 @@
 """Tables written to the folder that all executors share.
 
 Reliable storage, not executor-local blocks: a lost executor costs a re-read, never the data.
-The folder is the cluster's ``spark.checkpoint.dir``; only a local session without that setting
-falls back to a folder of its own.
+The folder is the cluster's ``spark.checkpoint.dir``; a session without that setting uses a folder
+under its warehouse, which its executors share as well.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
-_local_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,12 +19,7 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {_SETTING} to a folder that every executor can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _local_folders:
-        _local_folders[app] = tempfile.mkdtemp(prefix="shiftlens-")
-    return _local_folders[app]
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

@@ -5,8 +5,31 @@ A cluster job brings its own session; nothing in the library depends on these se
 
 from __future__ import annotations
 
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's modules to the executors, once per application.
+
+    Functions that run in Python workers name their modules, which a worker elsewhere cannot import
+    by itself. The archive lies in the session's own folder on the driver, from where Spark serves it.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(context._temp_dir) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for module in sorted(package.rglob("*.py")):
+            out.write(module, module.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
 
 def build_session(app: str, cpus: str | int = "*", memory: str = "8g") -> SparkSession:
     """A local session with adaptive execution and a fixed time zone."""

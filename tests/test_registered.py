@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from shiftlens.catalog.oracles import ORACLES
+from shiftlens.catalog.queries import QUERIES
 from tools.check_queries import TABLES, _rows
 
 
@@ -21,10 +23,11 @@ def test_entry(spark, folder):
 
 
 def test_every_query_has_a_counterpart():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, folder, db, name):
     df = queries()[name](spark, folder)
     got = [tuple(r) for r in df.collect()]
