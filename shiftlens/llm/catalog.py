@@ -7,17 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shiftlens.llm.signature_join import signature_join
+from shiftlens.llm.site_template import extract_main_text
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_site_templates(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_main_text(_table(spark, folder, "pages"))
+
+
 def op4_signature_join(spark: SparkSession, folder: str) -> DataFrame:
     return signature_join(_table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_site_templates": op1_site_templates,
     "op4_signature_join": op4_signature_join,
 }
 
