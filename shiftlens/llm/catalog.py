@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shiftlens.llm.signature_join import signature_join
 from shiftlens.llm.site_template import extract_main_text
+from shiftlens.llm.warc_writer import read_warc, write_warc
+from shiftlens.plans.scratch import fresh_path
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,9 +24,16 @@ def op4_signature_join(spark: SparkSession, folder: str) -> DataFrame:
     return signature_join(_table(spark, folder, "documents"))
 
 
+def op10_warc_writer(spark: SparkSession, folder: str) -> DataFrame:
+    archive = fresh_path(spark, "warc")
+    write_warc(_table(spark, folder, "pages"), archive)
+    return read_warc(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_templates": op1_site_templates,
     "op4_signature_join": op4_signature_join,
+    "op10_warc_writer": op10_warc_writer,
 }
 
 ORACLES: dict[str, str] = {}
