@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shiftlens.llm.descent import nearest
 from shiftlens.llm.signature_join import signature_join
 from shiftlens.llm.site_template import extract_main_text
 from shiftlens.llm.warc_writer import read_warc, write_warc
@@ -24,6 +25,10 @@ def op4_signature_join(spark: SparkSession, folder: str) -> DataFrame:
     return signature_join(_table(spark, folder, "documents"))
 
 
+def op8_nn_descent(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(_table(spark, folder, "embeddings"))
+
+
 def op10_warc_writer(spark: SparkSession, folder: str) -> DataFrame:
     archive = fresh_path(spark, "warc")
     write_warc(_table(spark, folder, "pages"), archive)
@@ -33,6 +38,7 @@ def op10_warc_writer(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_templates": op1_site_templates,
     "op4_signature_join": op4_signature_join,
+    "op8_nn_descent": op8_nn_descent,
     "op10_warc_writer": op10_warc_writer,
 }
 
