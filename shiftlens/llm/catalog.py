@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from shiftlens.llm.descent import nearest
 from shiftlens.llm.signature_join import signature_join
 from shiftlens.llm.site_template import extract_main_text
+from shiftlens.llm.url_words import judge_urls
 from shiftlens.llm.warc_writer import read_warc, write_warc
 from shiftlens.plans.scratch import fresh_path
 
@@ -25,6 +26,10 @@ def op4_signature_join(spark: SparkSession, folder: str) -> DataFrame:
     return signature_join(_table(spark, folder, "documents"))
 
 
+def op5_url_words(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_urls(_table(spark, folder, "pages"))
+
+
 def op8_nn_descent(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(_table(spark, folder, "embeddings"))
 
@@ -38,6 +43,7 @@ def op10_warc_writer(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_templates": op1_site_templates,
     "op4_signature_join": op4_signature_join,
+    "op5_url_words": op5_url_words,
     "op8_nn_descent": op8_nn_descent,
     "op10_warc_writer": op10_warc_writer,
 }
