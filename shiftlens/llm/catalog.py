@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shiftlens.llm.block_dedup import block_dedup
 from shiftlens.llm.descent import nearest
 from shiftlens.llm.signature_join import signature_join
 from shiftlens.llm.site_template import extract_main_text
@@ -30,6 +31,10 @@ def op5_url_words(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(_table(spark, folder, "pages"))
 
 
+def op6_block_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return block_dedup(_table(spark, folder, "documents"), keep_text=False)
+
+
 def op8_nn_descent(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(_table(spark, folder, "embeddings"))
 
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_templates": op1_site_templates,
     "op4_signature_join": op4_signature_join,
     "op5_url_words": op5_url_words,
+    "op6_block_dedup": op6_block_dedup,
     "op8_nn_descent": op8_nn_descent,
     "op10_warc_writer": op10_warc_writer,
 }

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shiftlens.llm.batches import saved
 from shiftlens.llm.components import components
 from shiftlens.llm.fingerprints import grams, slices, words_of
 from shiftlens.plans.scratch import written
@@ -33,7 +34,9 @@ from shiftlens.plans.sizing import broadcast_if_small
 #: Tokens sorted together in a bucket, and held by a tree.
 BUCKET_TOKENS = 700_000
 TREE_TOKENS = 1_500_000
-#: Rows gathered in a task before they are dealt to buckets.
+#: Classes whose shared tokens are looked at together.
+CHUNK_CLASSES = 40_000
+#: Tokens gathered in a task before they are dealt to buckets.
 FLUSH_TOKENS = 1_500_000
 FANOUT = 16
 
@@ -92,146 +95,172 @@ def _classes(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _heads(docs: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
-    """``bucket, tokens, owners, marks``: packed arrays, one row per task's load and bucket."""
+    """Packed arrays, one row per task's load and bucket: tokens, their owners, the owners' marks and sizes."""
 
-    def packed(tokens: list[np.ndarray], marks: list[int]) -> Iterator[pa.RecordBatch]:
+    def packed(tokens: list[np.ndarray], marks: list[int], sizes: list[int]) -> Iterator[pa.RecordBatch]:
         if not tokens:
             return
-        sizes = np.array([len(t) for t in tokens])
         token = np.concatenate(tokens)
-        owner = np.repeat(np.arange(len(tokens), dtype=np.int32), sizes)
+        owner = np.repeat(np.arange(len(tokens), dtype=np.int32), [len(t) for t in tokens])
         order = np.argsort(token, kind="stable")
         token, owner = token[order], owner[order]
-        bucket = (token >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(token), np.int64)
+        bucket = (token >> np.uint64(64 - bits)).astype(np.int64)
         rest = ((token << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
-        mark = np.array(marks, np.int64)
+        mark, size = np.array(marks, np.int64), np.array(sizes, np.int32)
         edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
         rows = []
         for low, high in zip(edges[:-1], edges[1:], strict=True):
             who, index = np.unique(owner[low:high], return_inverse=True)
-            rows.append((int(bucket[low]), rest[low:high].tobytes(), index.astype(np.int32).tobytes(), mark[who].tobytes()))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)],
-            ["bucket", "tokens", "owners", "marks"],
-        )
+            blobs = (rest[low:high], index.astype(np.int32), mark[who], size[who])
+            rows.append((int(bucket[low]), *(b.tobytes() for b in blobs)))
+        yield _batch(rows, _HEADS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, marks, held, seen = [], [], 0, set()
+        tokens, marks, sizes, held, seen = [], [], [], 0, set()
         for _, sets in _sets(batches, k):
             for one in sets:
-                if not len(one):
-                    continue
                 mark = _mark(_key(one))
-                if mark in seen:
+                if not len(one) or mark in seen:
                     continue
                 seen.add(mark)
                 tokens.append(one[: int(_head(np.int64(len(one)), percent))].copy())
                 marks.append(mark)
+                sizes.append(len(one))
                 held += len(tokens[-1])
             if held > FLUSH_TOKENS:
-                yield from packed(tokens, marks)
-                tokens, marks, held, seen = [], [], 0, set()
-        yield from packed(tokens, marks)
-
-    return docs.mapInArrow(run, "bucket int, tokens binary, owners binary, marks binary")
-
-
-def _unpack(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ``(token, mark)`` of a bucket, sorted by token."""
-    tokens, marks = [], []
-    for t, o, m in zip(group["tokens"], group["owners"], group["marks"], strict=True):
-        tokens.append(np.frombuffer(t.as_py(), np.uint32))
-        marks.append(np.frombuffer(m.as_py(), np.int64)[np.frombuffer(o.as_py(), np.int32)])
-    token, mark = np.concatenate(tokens), np.concatenate(marks)
-    order = np.lexsort((mark, token))
-    token, mark = token[order], mark[order]
-    fresh = np.r_[True, (token[1:] != token[:-1]) | (mark[1:] != mark[:-1])]
-    return token[fresh], mark[fresh]
-
-
-def _by_owner(bucket: int, token: np.ndarray, mark: np.ndarray, often: np.ndarray) -> pa.Table:
-    """One row per class: its shared tokens in this bucket and in how many classes each occurs."""
-    order = np.argsort(mark, kind="stable")
-    token, mark, often = token[order], mark[order], often[order]
-    edges = np.flatnonzero(np.r_[True, mark[1:] != mark[:-1], True]) if len(mark) else np.zeros(1, np.int64)
-    spans = list(zip(edges[:-1], edges[1:], strict=True))
-    return pa.table(
-        {
-            "mark": pa.array([int(mark[a]) for a, _ in spans], pa.int64()),
-            "bucket": pa.array([bucket] * len(spans), pa.int32()),
-            "n": pa.array([int(z - a) for a, z in spans], pa.int32()),
-            "tokens": pa.array([token[a:z].tobytes() for a, z in spans], pa.binary()),
-            "often": pa.array([often[a:z].astype(np.int32).tobytes() for a, z in spans], pa.binary()),
-        }
-    )
+                yield from packed(tokens, marks, sizes)
+                tokens, marks, sizes, held, seen = [], [], [], 0, set()
+        yield from packed(tokens, marks, sizes)
+
+    return docs.mapInArrow(run, _HEADS)
+
+
+_HEADS = "bucket int, tokens binary, owners binary, marks binary, sizes binary"
+_SHARED = "chunk int, bucket int, marks binary, sizes binary, counts binary, tokens binary, often binary"
+_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+
+
+def _batch(rows: list[tuple], layout: str) -> pa.RecordBatch:
+    fields = [f.split() for f in layout.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+
+
+def _read(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+    return [np.frombuffer(v.as_py(), kind) for v in column]
+
+
+class _Owned:
+    """Shared tokens by class: parallel arrays, one entry per class and token."""
+
+    def __init__(self, mark: np.ndarray, size: np.ndarray, token: np.ndarray, often: np.ndarray):
+        self.mark, self.size, self.token, self.often = mark, size, token, often
+
+    def kept(self, which: np.ndarray) -> _Owned:
+        return _Owned(self.mark[which], self.size[which], self.token[which], self.often[which])
+
+    @classmethod
+    def read(cls, group: pa.Table) -> tuple[_Owned, np.ndarray]:
+        """The entries of some packed rows, and the bucket of each."""
+        counts = _read(group["counts"], np.int32)
+        each = np.concatenate(counts)
+        mark = np.repeat(np.concatenate(_read(group["marks"], np.int64)), each)
+        size = np.repeat(np.concatenate(_read(group["sizes"], np.int32)), each)
+        bucket = np.repeat(group["bucket"].to_numpy(), [int(c.sum()) for c in counts])
+        return cls(mark, size, np.concatenate(_read(group["tokens"], np.uint32)), np.concatenate(_read(group["often"], np.int32))), bucket
+
+    def rows(self, bucket: int, chunks: int) -> list[tuple]:
+        """Packed rows of one bucket, one for each chunk of classes."""
+        chunk = (self.mark.view(np.uint64) % np.uint64(chunks)).astype(np.int32)
+        order = np.lexsort((self.token, self.mark, chunk))
+        chunk, mark, size, token, often = chunk[order], self.mark[order], self.size[order], self.token[order], self.often[order]
+        out = []
+        edges = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1], True]) if len(chunk) else np.zeros(1, int)
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            at = low + np.flatnonzero(np.r_[True, mark[low + 1 : high] != mark[low : high - 1]])
+            counts = np.diff(np.r_[at, high]).astype(np.int32)
+            blobs = (mark[at], size[at], counts, token[low:high], often[low:high].astype(np.int32))
+            out.append((int(chunk[low]), bucket, *(b.tobytes() for b in blobs)))
+        return out
+
+    def spare(self, percent: int) -> np.ndarray:
+        """For each entry, how many more shared tokens its class has than it must have.
 
+        The head of a class with a partner has more shared tokens than the class may lack.
+        """
+        _, index, have = np.unique(self.mark, return_inverse=True, return_counts=True)
+        size = self.size.astype(np.int64)
+        return have[index] - (size - _least_overlap(size, percent)) - 1
 
-_SHARED = "mark bigint, bucket int, n int, tokens binary, often binary"
 
+def _table(rows: list[tuple], layout: str) -> pa.Table:
+    return pa.Table.from_batches([_batch(rows, layout)])
 
-def _shared(heads: DataFrame) -> DataFrame:
-    """The tokens of each class that another class also has, bucket by bucket."""
+
+def _often(token: np.ndarray) -> np.ndarray:
+    _, index, count = np.unique(token, return_inverse=True, return_counts=True)
+    return count[index].astype(np.int32)
+
+
+def _shared(heads: DataFrame, chunks: int) -> DataFrame:
+    """Per bucket, the tokens that more than one class has."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        token, mark = _unpack(group)
-        _, index, count = np.unique(token, return_inverse=True, return_counts=True)
-        often = count[index]
-        keep = often > 1
-        return _by_owner(key[0].as_py(), token[keep], mark[keep], often[keep])
+        owners = _read(group["owners"], np.int32)
+        token = np.concatenate(_read(group["tokens"], np.uint32))
+        mark = np.concatenate([m[o] for m, o in zip(_read(group["marks"], np.int64), owners, strict=True)])
+        size = np.concatenate([z[o] for z, o in zip(_read(group["sizes"], np.int32), owners, strict=True)])
+        order = np.lexsort((mark, token))
+        token, mark, size = token[order], mark[order], size[order]
+        fresh = np.r_[True, (token[1:] != token[:-1]) | (mark[1:] != mark[:-1])]  # a class in several loads
+        token, mark, size = token[fresh], mark[fresh], size[fresh]
+        owned = _Owned(mark, size, token, _often(token))
+        return _table(owned.kept(owned.often > 1).rows(key[0].as_py(), chunks), _SHARED)
 
     return heads.groupBy("bucket").applyInArrow(run, _SHARED)
 
 
-def _recount(shared: DataFrame) -> DataFrame:
-    """The same after classes have left: tokens that only one class still has go."""
+def _able(shared: DataFrame, percent: int, chunks: int) -> DataFrame:
+    """The same rows without the classes that can have no partner."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        tokens = [np.frombuffer(t.as_py(), np.uint32) for t in group["tokens"]]
-        token = np.concatenate(tokens)
-        mark = np.repeat(group["mark"].to_numpy(), [len(t) for t in tokens])
-        _, index, count = np.unique(token, return_inverse=True, return_counts=True)
-        often = count[index]
-        keep = often > 1
-        return _by_owner(key[0].as_py(), token[keep], mark[keep], often[keep])
+        owned, bucket = _Owned.read(group)
+        keep = owned.spare(percent) >= 0
+        owned, bucket = owned.kept(keep), bucket[keep]
+        rows = []
+        for b in np.unique(bucket):
+            rows += owned.kept(bucket == b).rows(int(b), chunks)
+        return _table(rows, _SHARED)
 
-    return shared.groupBy("bucket").applyInArrow(run, _SHARED)
+    return shared.groupBy("chunk").applyInArrow(run, _SHARED)
 
 
-def _able(shared: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """``mark, size, spare``: classes that may still have a partner.
+def _recount(shared: DataFrame, chunks: int) -> DataFrame:
+    """The same rows without tokens that only one class still has."""
 
-    The head of a class with a partner has more shared hashes than the class may lack; ``spare`` is
-    how many more.
-    """
-    lacking = F.col("size") - F.ceil(F.col("size") * percent / F.lit(100.0)).cast("bigint")
-    return (
-        shared.groupBy("mark").agg(F.sum("n").alias("have")).join(sizes, "mark")
-        .select("mark", "size", (F.col("have") - lacking - 1).alias("spare")).where("spare >= 0")
-    )
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        owned, _ = _Owned.read(group)
+        owned.often = _often(owned.token)
+        return _table(owned.kept(owned.often > 1).rows(key[0].as_py(), chunks), _SHARED)
 
+    return shared.groupBy("bucket").applyInArrow(run, _SHARED)
 
-def _routes(shared: DataFrame, able: DataFrame) -> DataFrame:
-    """``mark, route``: the ``spare + 1`` rarest shared tokens; linked classes have one in common."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            marks, routes = [], []
-            for mark, spare, buckets, tokens, often in zip(*(batch.column(c) for c in ("mark", "spare", "buckets", "tokens", "often")), strict=True):
-                parts = [np.frombuffer(t, np.uint32) for t in tokens.as_py()]
-                count = np.concatenate([np.frombuffer(o, np.int32) for o in often.as_py()])
-                token = np.concatenate(parts).astype(np.int64) | (np.repeat(np.array(buckets.as_py(), np.int64), [len(p) for p in parts]) << 32)
-                order = np.lexsort((token, count))[: spare.as_py() + 1]
-                marks.append(np.full(len(order), mark.as_py(), np.int64))
-                routes.append(token[order])
-            if marks:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(marks)), pa.array(np.concatenate(routes))], ["mark", "route"])
-
-    whole = shared.join(able.select("mark", "spare"), "mark").groupBy("mark").agg(
-        F.first("spare").alias("spare"),
-        F.collect_list(F.struct("bucket", "tokens", "often")).alias("all"),
-    )
-    flat = whole.select("mark", "spare", F.col("all.bucket").alias("buckets"), F.col("all.tokens").alias("tokens"), F.col("all.often").alias("often"))
-    return flat.mapInArrow(run, "mark bigint, route bigint")
+def _routes(shared: DataFrame, percent: int) -> DataFrame:
+    """``mark, route``: of each class the ``spare + 1`` rarest shared tokens; linked classes have one in common."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        owned, bucket = _Owned.read(group)
+        spare = owned.spare(percent)
+        token = owned.token.astype(np.int64) | (bucket.astype(np.int64) << 32)
+        order = np.lexsort((token, owned.often, owned.mark))
+        mark = owned.mark[order]
+        begins = np.flatnonzero(np.r_[True, mark[1:] != mark[:-1]]) if len(mark) else np.zeros(0, int)
+        place = np.arange(len(mark)) - np.repeat(begins, np.diff(np.r_[begins, len(mark)]))
+        keep = place <= spare[order]
+        return pa.table({"mark": pa.array(mark[keep]), "route": pa.array(token[order][keep])})
+
+    return shared.groupBy("chunk").applyInArrow(run, "mark bigint, route bigint")
 
 
 class _Tree:
@@ -368,9 +397,11 @@ def _placed(sets: DataFrame) -> DataFrame:
     load = small.agg(F.sum("total").alias("t")).first()["t"] or 0
     trees = max(2 * spark.sparkContext.defaultParallelism, int(2 * load / TREE_TOKENS) + 1)
     whole = (
-        sets.join(small, "family")
+        sets.join(small.select("family"), "family")
         .select(F.concat(F.lit("s"), F.pmod(F.xxhash64("family"), F.lit(trees))).alias("tree"), F.lit(False).alias("paired"), F.lit(0).alias("side"), "key", "tokens")
     )
+    if not sizes.where(F.col("total") > TREE_TOKENS).limit(1).count():
+        return whole
     banded = sets.join(sizes.where(F.col("total") > TREE_TOKENS).select("family"), "family").withColumn(
         "band", F.floor(F.log(F.col("size")) / F.log(F.lit(1.3))).cast("int")
     )
@@ -411,26 +442,25 @@ def signature_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Other columns are not read. ``percent`` is 50 to 100.
     """
     docs = docs.select("doc_id", "text")
-    rows = written(_classes(docs, k), "shingles")
+    rows = saved(_classes(docs, k), "shingles")
     classes = (
         rows.where("key is not null and doc_id is not null").groupBy("key")
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.count("*").alias("copies"))
     )
     classes = written(_with_mark(classes), "classes")
-    total = classes.agg(F.sum("size").alias("t")).first()["t"] or 0
-    bits = min(20, max(4, int(np.ceil(np.log2(max(1.0, 0.4 * total / BUCKET_TOKENS))))))
+    facts = classes.agg(F.sum("size").alias("tokens"), F.count("*").alias("n")).first()
+    bits = min(20, max(4, int(np.ceil(np.log2(max(1.0, 0.4 * (facts["tokens"] or 0) / BUCKET_TOKENS))))))
+    chunks = max(8, facts["n"] // CHUNK_CLASSES + 1)
     known = docs.where("doc_id is not null")
-    shared = written(_shared(_heads(known, k, percent, bits)), "shared")
-    sizes = classes.groupBy("mark").agg(F.max("size").alias("size"))
-    able = _able(shared, sizes, percent)
-    shared = written(_recount(shared.join(able.select("mark"), "mark", "left_semi")), "shared")
-    able = written(_able(shared, sizes, percent), "able")
-    routes = written(_routes(shared, able), "routes")
+    shared = saved(_shared(_heads(known, k, percent, bits), chunks), "shared")
+    shared = written(_recount(_able(shared, percent, chunks), chunks), "shared")
+    routes = written(_routes(shared, percent), "routes")
     first = routes.groupBy("route").agg(F.min("mark").alias("first"), F.count("*").alias("n")).where("n > 1")
     families = components(routes.join(first, "route").where("mark <> first").select("mark", "first"))
     families = families.withColumnsRenamed({"node": "mark", "root": "family"})
     wanted = classes.join(families, "mark").select(F.col("rep").alias("doc_id"), F.col("key").alias("wanted"), "family")
-    links = written(_tree_links(_placed(written(_sets_of(known, wanted, k), "sets")), percent), "links")
+    sets = saved(_sets_of(known, wanted, k), "sets")
+    links = saved(_tree_links(_placed(sets), percent), "links")
     joined = components(links).withColumnsRenamed({"node": "key"})
     least = classes.join(joined, "key").select("key", "root", "rep")
     least = least.join(least.groupBy("root").agg(F.min("rep").alias("component")), "root").select("key", "component")
@@ -450,7 +480,10 @@ def _with_mark(classes: DataFrame) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``key, family, size, tokens`` of the classes that are to be compared."""
+    """``key, family, size, tokens`` of the classes that are to be compared.
+
+    A class comes twice when its ``doc_id`` does; equal sets then just link with themselves.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches, k):
@@ -467,5 +500,4 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             )
 
     texts = docs.join(broadcast_if_small(wanted), "doc_id")
-    found = texts.mapInArrow(run, "key binary, family bigint, size bigint, tokens binary")
-    return found.dropDuplicates(["key"])
+    return texts.mapInArrow(run, "key binary, family bigint, size bigint, tokens binary")
