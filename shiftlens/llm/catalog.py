@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shiftlens.llm.batches import saved
 from shiftlens.llm.block_dedup import block_dedup
 from shiftlens.llm.descent import nearest
+from shiftlens.llm.quality_vote import score_quality
 from shiftlens.llm.signature_join import signature_join
 from shiftlens.llm.site_template import extract_main_text
 from shiftlens.llm.url_words import judge_urls
@@ -23,6 +25,12 @@ def op1_site_templates(spark: SparkSession, folder: str) -> DataFrame:
     return extract_main_text(_table(spark, folder, "pages"))
 
 
+def op2_quality_vote(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents").select("doc_id", "text")
+    scored = score_quality(documents, _table(spark, folder, "labels"))
+    return saved(scored.select("doc_id", "held_out", "score", "predicted"), "scores")
+
+
 def op4_signature_join(spark: SparkSession, folder: str) -> DataFrame:
     return signature_join(_table(spark, folder, "documents"))
 
@@ -47,6 +55,7 @@ def op10_warc_writer(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_templates": op1_site_templates,
+    "op2_quality_vote": op2_quality_vote,
     "op4_signature_join": op4_signature_join,
     "op5_url_words": op5_url_words,
     "op6_block_dedup": op6_block_dedup,
