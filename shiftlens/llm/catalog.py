@@ -14,6 +14,7 @@ from shiftlens.llm.signature_join import signature_join
 from shiftlens.llm.site_template import extract_main_text
 from shiftlens.llm.url_words import judge_urls
 from shiftlens.llm.warc_writer import read_warc, write_warc
+from shiftlens.llm.winnowing import decontaminate
 from shiftlens.plans.scratch import fresh_path
 
 
@@ -43,6 +44,10 @@ def op6_block_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return block_dedup(_table(spark, folder, "documents"), keep_text=False)
 
 
+def op7_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op8_nn_descent(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(_table(spark, folder, "embeddings"))
 
@@ -59,8 +64,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_signature_join": op4_signature_join,
     "op5_url_words": op5_url_words,
     "op6_block_dedup": op6_block_dedup,
+    "op7_winnowing": op7_winnowing,
     "op8_nn_descent": op8_nn_descent,
     "op10_warc_writer": op10_warc_writer,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_winnowing": """
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM documents),
+b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM benchmark),
+bw AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[p : p + least(10, len(w)) - 1], ' ') AS run
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS p FROM b WHERE len(w) > 0)),
+dw AS (
+  SELECT doc_id, p, l.n, array_to_string(w[p : p + l.n - 1], ' ') AS run
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d), (SELECT DISTINCT n FROM bw) AS l WHERE p + l.n - 1 <= len(w)),
+h AS (SELECT doc_id, p, dw.n, item_id FROM dw JOIN bw ON dw.run = bw.run AND dw.n = bw.n),
+c AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM h) GROUP BY doc_id),
+i AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+      FROM h GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)
+""",
+}
