@@ -10,6 +10,7 @@ from shiftlens.llm.batches import saved
 from shiftlens.llm.block_dedup import block_dedup
 from shiftlens.llm.descent import nearest
 from shiftlens.llm.quality_vote import score_quality
+from shiftlens.llm.randomness import scan_secrets
 from shiftlens.llm.signature_join import signature_join
 from shiftlens.llm.site_template import extract_main_text
 from shiftlens.llm.url_words import judge_urls
@@ -52,6 +53,10 @@ def op8_nn_descent(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(_table(spark, folder, "embeddings"))
 
 
+def op9_randomness(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_secrets(_table(spark, folder, "documents"))
+
+
 def op10_warc_writer(spark: SparkSession, folder: str) -> DataFrame:
     archive = fresh_path(spark, "warc")
     write_warc(_table(spark, folder, "pages"), archive)
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_block_dedup": op6_block_dedup,
     "op7_winnowing": op7_winnowing,
     "op8_nn_descent": op8_nn_descent,
+    "op9_randomness": op9_randomness,
     "op10_warc_writer": op10_warc_writer,
 }
 
