@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shiftlens.llm.batches import saved
 from shiftlens.llm.block_dedup import block_dedup
 from shiftlens.llm.descent import nearest
 from shiftlens.llm.quality_vote import score_quality
+from shiftlens.llm.raking import mix
 from shiftlens.llm.randomness import scan_secrets
 from shiftlens.llm.signature_join import signature_join
 from shiftlens.llm.site_template import extract_main_text
@@ -33,6 +35,11 @@ def op2_quality_vote(spark: SparkSession, folder: str) -> DataFrame:
     return saved(scored.select("doc_id", "held_out", "score", "predicted"), "scores")
 
 
+def op3_raking(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mix(_table(spark, folder, "documents"))
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "kept")
+
+
 def op4_signature_join(spark: SparkSession, folder: str) -> DataFrame:
     return signature_join(_table(spark, folder, "documents"))
 
@@ -66,6 +73,7 @@ def op10_warc_writer(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_templates": op1_site_templates,
     "op2_quality_vote": op2_quality_vote,
+    "op3_raking": op3_raking,
     "op4_signature_join": op4_signature_join,
     "op5_url_words": op5_url_words,
     "op6_block_dedup": op6_block_dedup,
@@ -76,6 +84,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_raking": """
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens,
+    CASE WHEN regexp_matches(text, '\\|[^|]+\\|[^|]+\\|') THEN 'listing' WHEN regexp_matches(text, '[*#$%&]{3}') THEN 'symbols'
+         WHEN regexp_matches(text, '[A-Z]{2,}!!') THEN 'shouting' WHEN regexp_matches(text, '(?i:licen[cs]e|copyright)') THEN 'legal'
+         WHEN regexp_matches(text, '[0-9]{6}') THEN 'figures' ELSE 'prose' END AS topic
+  FROM documents),
+c AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL),
+s AS (SELECT source, sqrt(sum(tokens)) AS share FROM c GROUP BY ALL), l AS (SELECT lang, sqrt(sum(tokens)) AS share FROM c GROUP BY ALL),
+t AS (SELECT topic, sqrt(sum(tokens)) AS share FROM c GROUP BY ALL),
+ipf AS (
+  SELECT 0 AS step, c.source, c.lang, c.topic, tokens, tokens AS weight, s.share / (SELECT sum(share) FROM s) AS ts,
+         l.share / (SELECT sum(share) FROM l) AS tl, t.share / (SELECT sum(share) FROM t) AS tt
+  FROM c JOIN s USING (source) JOIN l USING (lang) JOIN t USING (topic)
+  UNION ALL
+  SELECT step + 1, source, lang, topic, tokens,
+         CASE step % 3 WHEN 0 THEN weight * ts / sum(weight) OVER (PARTITION BY source) WHEN 1 THEN weight * tl / sum(weight) OVER (PARTITION BY lang)
+              ELSE weight * tt / sum(weight) OVER (PARTITION BY topic) END, ts, tl, tt
+  FROM ipf WHERE step < 36),
+r AS (SELECT *, weight / tokens AS ratio FROM ipf WHERE step = 36 AND tokens > 0),
+x AS (SELECT ratio, ((SELECT sum(tokens) FROM c) * 0.5 - coalesce(sum(tokens) OVER (ORDER BY ratio DESC, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+             / sum(weight) OVER (ORDER BY ratio DESC, tokens ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS scale FROM r),
+f AS (SELECT arg_max(scale, ratio) AS scale FROM x WHERE scale * ratio <= 1),
+p AS (SELECT source, lang, topic, greatest(0, least(1, scale * ratio)) AS probability FROM r, f)
+SELECT doc_id, source, lang, topic, n_tokens, round(coalesce(probability, 0), 6) AS probability,
+       CAST('0x' || substr(md5('3:' || doc_id), 1, 13) AS BIGINT) / 4503599627370496.0 < coalesce(probability, 0) AS kept
+FROM d LEFT JOIN p USING (source, lang, topic)
+""",
     "op7_winnowing": """
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
