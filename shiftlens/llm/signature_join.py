@@ -501,3 +501,19 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     texts = docs.join(broadcast_if_small(wanted), "doc_id")
     return texts.mapInArrow(run, "key binary, family bigint, size bigint, tokens binary")
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each group of linked ones, that with the smallest ``doc_id``.
+
+    Texts without words and rows without a ``doc_id`` stay. Rows that repeat both ``doc_id`` and text become one.
+    """
+    facts = written(signature_join(docs, k, percent).select("doc_id", "component_id"), "components")
+    gone = facts.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(broadcast_if_small(gone), "doc_id", "left_anti")
+    repeated = facts.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if not repeated.limit(1).count():
+        return kept
+    repeated = broadcast_if_small(repeated)
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once)
