@@ -155,6 +155,17 @@ scores AS (
   LEFT JOIN shared USING ({key}, ckey))"""
 
 
+def components(name: str, key: str) -> str:
+    """CTE with the non-zero components of the vectors of :func:`weights`, as text in order."""
+    value = "CAST(CAST(weight AS DECIMAL(18,6)) AS VARCHAR)"
+    return f"""{name}_components AS (
+  SELECT {key}, string_agg(bucket || ':' || {value}, ',' ORDER BY bucket) AS components FROM {name}_weights GROUP BY {key})"""
+
+
+CHUNK_VECTORS = f"""{CHUNKS}, keyed AS (SELECT *, table_name || '_' || chunk_id AS ckey FROM chunks),
+{weights('v', 'keyed', 'ckey', 'chunk_text')}, {components('v', 'ckey')},
+embedded AS (SELECT * FROM keyed JOIN v_components USING (ckey))"""
+
 TAGGED = f"""{CHUNKS}, tagged AS (
   SELECT table_name || '_' || chunk_id AS ckey, table_name AS source, chunk_id, chunk_text FROM chunks)"""
 CHUNK_SCORES = f"""{TAGGED},
@@ -201,10 +212,10 @@ SELECT strftime(ShiftStartTime, '%Y') AS year, count(*) AS n_shifts,
        round(avg(availability * performance * quality), 6) AS oee
 FROM seen WHERE performance >= 0.25 GROUP BY 1""")
 oracle("store_count", f"WITH {CHUNKS} SELECT table_name, count(*) AS n_chunks FROM chunks GROUP BY table_name")
-oracle("store_decode", f"""WITH {CHUNKS}
-SELECT table_name || '_' || chunk_id AS record_id, chunk_text, CAST({DIMS} AS INTEGER) AS n_dims, CAST(1 AS DOUBLE) AS norm FROM chunks""")
-oracle("store_append", f"""WITH {CHUNKS}
-SELECT table_name || '_' || chunk_id AS record_id, table_name, chunk_id, kind, content_hash, CAST({DIMS} AS INTEGER) AS n_dims FROM chunks""")
+oracle("store_decode", f"""WITH {CHUNK_VECTORS}
+SELECT table_name || '_' || chunk_id AS record_id, chunk_text, CAST({DIMS} AS INTEGER) AS n_dims, CAST(1 AS DOUBLE) AS norm, components FROM embedded""")
+oracle("store_append", f"""WITH {CHUNK_VECTORS}
+SELECT table_name || '_' || chunk_id AS record_id, table_name, chunk_id, kind, content_hash, CAST({DIMS} AS INTEGER) AS n_dims, components FROM embedded""")
 oracle("log_scan_user", f"""WITH {QUERY_LOG}
 SELECT query_id, response_id, query_text, response_text, strftime(created_at, {ISO}) AS created_at
 FROM query_log WHERE user_code = 'U3' ORDER BY created_at DESC, query_id""")
@@ -214,14 +225,21 @@ oracle("log_delete", f"""WITH {QUERY_LOG}
 SELECT query_id, user_code, plant_code FROM query_log WHERE NOT (user_code = 'U3' AND plant_code = 'P3')""")
 oracle("token_log_append", f"WITH {TOKENS} SELECT * FROM token_lines")
 oracle("token_log_scan", f"WITH {TOKENS} SELECT timestamp, total_tokens, true AS adds_up FROM token_lines")
-oracle("json_export", """SELECT CAST(to_json({'c_custkey': c_custkey, 'c_name': c_name, 'c_nationkey': c_nationkey, 'c_mktsegment': c_mktsegment}) AS VARCHAR) AS record,
-       c_custkey, c_mktsegment FROM customer""")
+oracle("json_export", """SELECT '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_nationkey":' || c_nationkey || ',"c_acctbal":'
+       || CAST(c_acctbal AS DECIMAL(18,2)) || ',"c_mktsegment":"' || c_mktsegment || '"}' AS record,
+       c_custkey, c_name, c_nationkey, CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS DOUBLE) AS c_acctbal, c_mktsegment FROM customer""")
 _CSV = """SELECT 'p_partkey,p_name,p_brand,p_type,p_size,p_retailprice' || chr(10) || string_agg(
          p_partkey || ',' || p_name || ',' || p_brand || ',' || p_type || ',' || p_size || ',' || p_retailprice || chr(10), '' ORDER BY p_partkey) AS csv_text
   FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 10)"""
 oracle("csv_preview", f"SELECT csv_text, CAST(len({words('csv_text')}) AS INTEGER) AS n_tokens FROM ({_CSV})")
 oracle("store_invalidate", f"""WITH {CHUNKS}
 SELECT table_name || '_' || chunk_id AS record_id, table_name, content_hash FROM chunks WHERE table_name <> 'part'""")
+_CHANGED = CHUNKS.replace("FROM supplier", "FROM (SELECT * REPLACE (s_acctbal + 10000 AS s_acctbal) FROM supplier)")
+oracle("store_refresh_changed", f"""WITH {_CHANGED}, tagged AS (
+  SELECT table_name || '_' || chunk_id AS ckey, table_name AS source, chunk_id, chunk_text FROM chunks),
+{text_scores('tagged')}, {TOP_OVERALL}
+SELECT query_id, rank, top.source, top.chunk_id, score, chunk_text
+FROM top JOIN tagged ON tagged.source = top.source AND tagged.chunk_id = top.chunk_id WHERE rank <= 3""")
 oracle("store_without_stale", f"""WITH {CHUNKS}
 SELECT table_name || '_' || chunk_id AS record_id, table_name, kind, content_hash FROM chunks
 WHERE table_name <> 'supplier' OR (kind <> 'data' AND chunk_text NOT LIKE 'Stats for s_acctbal%')""")
@@ -237,7 +255,7 @@ oracle("filter_role", "SELECT conv_id, turn, text FROM conversations WHERE role
 oracle("filter_date", "SELECT event_id, event_type, value FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-15'")
 oracle("select_numeric", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem")
 oracle("access_guard", """SELECT 'given' AS case_name, count(*) AS n_rows FROM lineitem
-UNION ALL SELECT unnest(['no_user', 'no_plant', 'blank_user', 'empty_plant']), CAST(0 AS BIGINT)""")
+UNION ALL SELECT unnest(['no_user', 'no_plant', 'blank_user', 'empty_plant', 'tab_user', 'newline_plant', 'no_break_user']), CAST(0 AS BIGINT)""")
 oracle("mask_columns", f"""WITH {SHIFT_FACT}
 SELECT strftime(ShiftStartTime, {ISO}) AS ShiftStartTime, strftime(ShiftEndTime, {ISO}) AS ShiftEndTime,
        round(availability, 6) AS availability, round(performance, 6) AS performance, round(quality, 6) AS quality, total_count
@@ -259,13 +277,18 @@ SELECT 'user' AS role, query_id AS id, query_text AS content, response_id, respo
 oracle("join_by_relationship", f"""WITH {SHIFT_FACT}, {ACCESS}
 SELECT user_code, Plantcode, groupcode, strftime(ShiftStartTime, {ISO}) AS shift_start, total_count
 FROM shift_fact JOIN machine_access USING (PUID)""")
+oracle("join_by_relationship_left", f"""WITH {SHIFT_FACT}, {ACCESS}
+SELECT user_code, Plantcode, count(*) AS n_shifts, count(PUID) AS n_machines
+FROM shift_fact LEFT JOIN (SELECT * FROM machine_access WHERE user_code = 'U3') USING (PUID) GROUP BY ALL""")
+oracle("sql_or_none", """SELECT 'good' AS case_name, count(*) AS n_rows FROM orders WHERE o_orderkey % 2 = 0
+UNION ALL SELECT unnest(['fails_later', 'wrong_name', 'statement']), CAST(NULL AS BIGINT)""")
 oracle("access_semi_join", f"WITH {GOVERNED} SELECT PUID, strftime(ShiftStartTime, {ISO}) AS shift_start, total_count FROM seen")
 oracle("history_join_first", f"""WITH {QUERY_LOG}
 SELECT query_id, response_id || '-again' AS response_id, response_text AS text_response FROM query_log""")
 oracle("similarity_pairs", f"""WITH {VECTOR_SCORES}
 SELECT query_id, source, count(*) AS n_pairs, min(score) AS min_score, max(score) AS max_score, round(avg(exact_score), 6) AS mean_score
 FROM scores GROUP BY query_id, source""")
-oracle("chunk_vector_join", f"WITH {CHUNKS} SELECT table_name, chunk_id, kind, content_hash, CAST({DIMS} AS INTEGER) AS n_dims FROM chunks")
+oracle("chunk_vector_join", f"WITH {CHUNK_VECTORS} SELECT table_name, chunk_id, kind, content_hash, CAST({DIMS} AS INTEGER) AS n_dims, components FROM embedded")
 oracle("store_missing", f"WITH {CHUNKS} SELECT table_name, chunk_id, kind, content_hash FROM chunks WHERE table_name = 'part'")
 
 # ---- aggregations
@@ -277,8 +300,8 @@ oracle("column_stats", " UNION ALL ".join(
   round(avg({c}), 6) AS mean_value, round(median(CAST({c} AS DOUBLE)), 6) AS median_value FROM lineitem"""
     for i, c in enumerate(["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"])
 ))
-oracle("chart_bar", """SELECT strftime(o_orderdate, '%Y-%m') AS month, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total
-FROM orders GROUP BY 1""")
+oracle("chart_bar", """SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total
+FROM orders GROUP BY ALL""")
 oracle("chart_bar_short", """SELECT event_type, count(*) AS n_events, CASE WHEN event_type = 'error' THEN 'bad' ELSE 'good' END AS tone
 FROM events GROUP BY event_type""")
 oracle("chart_heatmap", """SELECT l_returnflag, round(avg(l_quantity) FILTER (l_linestatus = 'F'), 6) AS "F",
@@ -298,8 +321,7 @@ SELECT count(*) AS num_chunks, count(v) AS num_embeddings,
 oracle("embedding_row_mean", """SELECT CAST(label AS VARCHAR) AS table_name, vec_id AS chunk_id,
        round(list_avg(CAST(embedding AS DOUBLE[])), 6) AS mean_value FROM embeddings""")
 oracle("chunk_kind_counts", f"""WITH {CHUNKS}
-SELECT CASE WHEN contains(chunk_text, chr(10)) THEN string_split(chunk_text, chr(10))[1] ELSE substr(chunk_text, 1, 50) END AS chunk_kind,
-       count(*) AS n_chunks FROM chunks GROUP BY 1""")
+SELECT string_split(chunk_text, chr(10))[1] AS chunk_kind, count(*) AS n_chunks FROM chunks GROUP BY 1""")
 oracle("store_memory_estimate", """SELECT CAST(label AS VARCHAR) AS table_name, count(*) AS num_embeddings,
        round(sum(len(embedding)) * 4 / 1048576.0, 6) AS size_mb FROM embeddings GROUP BY 1""")
 oracle("store_complete", f"""WITH {CHUNKS}, counts AS (SELECT count(DISTINCT table_name) AS n FROM chunks)
@@ -342,7 +364,7 @@ oracle("chunk_index", f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
        i AS row_index, i // 5 AS chunk_id
 FROM (SELECT {LINE_KEYS}, row_number() OVER (ORDER BY {LINE_KEYS}) - 1 AS i FROM lineitem)""")
 oracle("history_ranked", f"""WITH {QUERY_LOG}, dated AS (SELECT *, strftime(created_at, '%Y-%m-%d') AS date FROM query_log)
-SELECT query_id, date, row_number() OVER (PARTITION BY date ORDER BY created_at DESC, query_id) AS place FROM dated""")
+SELECT query_id, user_code, date, row_number() OVER (PARTITION BY user_code, date ORDER BY created_at DESC, query_id) AS place FROM dated""")
 _LABEL = """CASE WHEN CAST(created_at AS DATE) = DATE '2025-05-03' THEN 'Today'
   WHEN CAST(created_at AS DATE) = DATE '2025-05-02' THEN 'Yesterday' ELSE strftime(created_at, '%Y-%m-%d') END"""
 
@@ -353,14 +375,16 @@ def preview(text: str) -> str:
 
 
 oracle("history_panel", f"""WITH {QUERY_LOG}
-SELECT query_id, {_LABEL} AS label, {preview('query_text')} AS preview,
-       row_number() OVER (PARTITION BY CAST(created_at AS DATE) ORDER BY created_at DESC, query_id) AS place FROM query_log""")
+SELECT query_id, user_code, {_LABEL} AS label, {preview('query_text')} AS preview,
+       row_number() OVER (PARTITION BY user_code, CAST(created_at AS DATE) ORDER BY created_at DESC, query_id) AS place
+FROM query_log WHERE conv_id % 5 <> 0""")
 oracle("chart_line", f"""SELECT strftime(o_orderdate, {ISO}) AS o_orderdate, o_totalprice, o_orderpriority,
        row_number() OVER (ORDER BY orders.o_orderdate, o_totalprice, o_orderpriority) - 1 AS position FROM orders""")
 oracle("chart_scatter", "SELECT p_size, p_retailprice, p_brand FROM part")
 oracle("result_preview", """WITH result AS (SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY o_custkey)
 SELECT 'head' AS part, * FROM (SELECT * FROM result ORDER BY o_custkey LIMIT 5)
-UNION ALL SELECT 'tail' AS part, * FROM (SELECT * FROM result ORDER BY o_custkey DESC LIMIT 5)""")
+UNION ALL SELECT 'tail' AS part, * FROM (SELECT * FROM result ORDER BY o_custkey DESC LIMIT 5)
+WHERE o_custkey NOT IN (SELECT o_custkey FROM result ORDER BY o_custkey LIMIT 5)""")
 oracle("store_samples", f"""WITH {CHUNKS}
 SELECT table_name, chunk_id, CASE WHEN length(chunk_text) > 300 THEN substr(chunk_text, 1, 300) || '...' ELSE chunk_text END AS sample_text
 FROM chunks ORDER BY table_name, chunk_id LIMIT 2""")
@@ -381,6 +405,10 @@ UNION ALL SELECT role, text, 'r-' || conv_id || '-' || turn, NULL FROM conversat
 
 oracle("row_to_text", f"SELECT o_orderkey, {row_text(ORDERS)} AS row_text FROM orders")
 oracle("chunk_text", data_chunks("orders", ORDERS))
+oracle("chunk_any_schema", """SELECT CAST(i // 5 AS BIGINT) AS chunk_id, 'data' AS kind,
+  'Data chunk:' || chr(10) || string_agg(t, chr(10) ORDER BY i) || chr(10) AS chunk_text
+FROM (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS i, 'part.key: ' || p_partkey || ' | sizes: {' || p_brand || ' -> ' || p_size || '} | types: ['
+      || p_type || '] | box: {' || p_size || ', ' || p_brand || '}' AS t FROM part) GROUP BY i // 5""")
 oracle("schema_chunk", f"SELECT table_name AS case_name, chunk_id, kind, chunk_text FROM ({_each(schema_chunk)})")
 oracle("stats_chunk", f"SELECT table_name AS case_name, chunk_id, kind, chunk_text FROM ({_each(stats_chunks)})")
 oracle("cosine", """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
@@ -401,16 +429,20 @@ SELECT sha256(query_text) AS query_hash, count(*) AS n_queries, min(query_id) AS
 oracle("context_assemble", f"""WITH {DOC_SCORES}, {TOP_OVERALL}
 SELECT query_id, string_agg('From ' || top.source || ': ' || text, chr(10) ORDER BY rank) AS context
 FROM top JOIN documents ON doc_id = chunk_id WHERE rank <= 3 GROUP BY query_id""")
-oracle("table_info", f"""WITH {ROUTED}, schema_rows AS ({SCHEMA_ROWS}), lines AS (
-  SELECT table_name AS source, 'Table ' || table_name || ': Columns: ' || string_agg(column_name, ', ' ORDER BY ordinal) AS line
+_TABLE_INFO = f"""WITH {ROUTED}, schema_rows AS ({SCHEMA_ROWS}), lines AS (
+  SELECT table_name AS source, 'Table ' || table_name || ': Columns: ' || %s AS line
   FROM schema_rows GROUP BY table_name)
-SELECT query_id, string_agg(line, chr(10) ORDER BY source) AS table_info FROM routed JOIN lines USING (source) GROUP BY query_id""")
+SELECT query_id, string_agg(line, chr(10) ORDER BY source) AS table_info FROM routed JOIN lines USING (source) GROUP BY query_id""".replace("% ", "%% ")
+oracle("table_info", _TABLE_INFO % "string_agg(column_name, ', ' ORDER BY ordinal)")
 oracle("relationship_info", f"""WITH {ROUTED}, lines(source, position, line) AS (VALUES
   ('customer', 0, 'Relationship: CUSTOMER INNER JOIN nation ON CUSTOMER.c_nationkey = nation.n_nationkey'),
   ('customer', 1, 'Relationship: CUSTOMER INNER JOIN supplier ON CUSTOMER.c_nationkey = supplier.s_nationkey'),
   ('supplier', 0, 'Relationship: supplier INNER JOIN lineitem ON supplier.s_suppkey = lineitem.l_suppkey'),
   ('part', 0, 'Relationship: part INNER JOIN lineitem ON part.p_partkey = lineitem.l_partkey'))
 SELECT query_id, string_agg(line, chr(10) ORDER BY source, position) AS relationship_info FROM routed JOIN lines USING (source) GROUP BY query_id""")
+oracle("question_inputs", f"""SELECT query_id, coalesce(context, '') AS context, coalesce(table_info, '') AS table_info, coalesce(relationship_info, '') AS relationship_info
+FROM ({ORACLES["context_assemble"]}) FULL JOIN ({_TABLE_INFO % "string_agg(column_name || ' (' || column_type || ')', ', ' ORDER BY ordinal)"}) USING (query_id)
+FULL JOIN ({ORACLES["relationship_info"]}) USING (query_id)""")
 oracle("response_text", f"""WITH {RESPONSES}, classed AS (SELECT *, {_OUTCOME} AS outcome FROM parsed)
 SELECT query_id, outcome, CASE outcome
          WHEN 'sql_rows' THEN CASE WHEN length(response_text) % 2 = 0
@@ -430,8 +462,10 @@ SELECT substr(timestamp, 1, 10) AS day, count(*) AS n_turns, CAST(sum(total_toke
 FROM token_lines GROUP BY 1""")
 oracle("stream_log_dedup", f"""WITH {QUERY_LOG}
 SELECT query_id, response_id, user_code, plant_code, strftime(created_at, {ISO}) AS created_at FROM query_log""")
-oracle("stream_embed_missing", f"""SELECT source || '_' || min(doc_id) AS record_id, source AS table_name, min(doc_id) AS chunk_id,
-       sha256(text) AS content_hash, CAST({DIMS} AS INTEGER) AS n_dims FROM documents GROUP BY source, text""")
+oracle("stream_embed_missing", f"""WITH once AS (SELECT source, min(doc_id) AS doc_id, sha256(text) AS content_hash FROM documents GROUP BY source, text),
+{weights('d', 'documents', 'doc_id', 'text')}, {components('d', 'doc_id')}
+SELECT source || '_' || doc_id AS record_id, source AS table_name, doc_id AS chunk_id, content_hash, CAST({DIMS} AS INTEGER) AS n_dims,
+       coalesce(components, '') AS components FROM once LEFT JOIN d_components USING (doc_id)""")
 
 # ---- embedding functions and routing
 

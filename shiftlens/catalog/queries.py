@@ -7,7 +7,7 @@ import hashlib
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftlens.catalog import views as v
@@ -17,9 +17,9 @@ from shiftlens.functions import vectors as vc
 from shiftlens.operators import (
     charts, chunking, embedding, governance, history, profiling, relationships, responses, retrieval, usage,
 )
-from shiftlens.plans.scratch import fresh_path
+from shiftlens.plans.scratch import fresh_path, written
 from shiftlens.plans.sizing import spread_small_scan
-from shiftlens.sources import logs, store, tables
+from shiftlens.sources import logs, snapshots, store, tables
 from shiftlens.streaming import flows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,14 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def _shown(vector: str) -> Column:
+    """A vector's non-zero components as text, ``place:value`` with six decimals."""
+    pairs = F.transform(
+        vector, lambda x, i: F.when(x != 0, F.concat_ws(":", i.cast("string"), x.cast("decimal(18,6)").cast("string")))
+    )
+    return F.array_join(F.filter(pairs, lambda p: p.isNotNull()), ",").alias("components")
+
+
 def _tagged(cases: dict[str, DataFrame]) -> DataFrame:
     parts = [df.select(F.lit(case).alias("case_name"), "*") for case, df in cases.items()]
     return reduce(DataFrame.unionByName, parts)
@@ -55,7 +63,7 @@ def _tagged(cases: dict[str, DataFrame]) -> DataFrame:
 
 @query
 def scan_sample(spark, folder):
-    return tables.scan_sample(tables.load_table(spark, folder, "orders"), ["o_orderkey"])
+    return tables.scan_sample(tables.load_table(spark, folder, "orders"), ["o_orderkey"], 1000)
 
 
 @query
@@ -83,7 +91,7 @@ def store_decode(spark, folder):
     decoded = store.decode_json(store.encode_json(v.chunk_store(spark, folder)))
     return decoded.select(
         "record_id", "chunk_text", F.size("embedding").alias("n_dims"),
-        F.round(vc.l2_norm(F.col("embedding")), 6).alias("norm"),
+        F.round(vc.l2_norm(F.col("embedding")), 6).alias("norm"), _shown("embedding"),
     )
 
 
@@ -91,7 +99,7 @@ def store_decode(spark, folder):
 def store_append(spark, folder):
     """Builds and writes a store of its own."""
     saved = store.read_store(spark, v.build_store(spark, folder))
-    return saved.select("record_id", "table_name", "chunk_id", "kind", "content_hash", F.size("embedding").alias("n_dims"))
+    return saved.select("record_id", "table_name", "chunk_id", "kind", "content_hash", F.size("embedding").alias("n_dims"), _shown("embedding"))
 
 
 @query
@@ -110,8 +118,12 @@ def log_append(spark, folder):
 
 @query
 def log_delete(spark, folder):
-    kept = logs.without_user_plant(v.query_log(spark, folder), v.USER, v.PLANT)
-    return kept.select("query_id", "user_code", "plant_code")
+    """The log is saved, then its next version without the deleted rows, which readers then see."""
+    root = fresh_path(spark, "query-log")
+    snapshots.write_snapshot(v.query_log(spark, folder).select(*logs.LOG_COLUMNS), root)
+    kept = logs.without_user_plant(snapshots.read_snapshot(spark, root), v.USER, v.PLANT)
+    snapshots.write_snapshot(kept, root)
+    return snapshots.read_snapshot(spark, root).select("query_id", "user_code", "plant_code")
 
 
 @query
@@ -134,22 +146,42 @@ def token_log_scan(spark, folder):
 
 @query
 def json_export(spark, folder):
-    rows = tables.load_table(spark, folder, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    records = tables.json_records(rows)
-    back = F.from_json("record", rows.schema)
-    return records.select("record", back["c_custkey"].alias("c_custkey"), back["c_mktsegment"].alias("c_mktsegment"))
+    """Every column as JSON, and every column back from it."""
+    customers = tables.load_table(spark, folder, "customer")
+    rows = customers.withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(18,2)"))
+    back = F.from_json("record", rows.schema).alias("r")
+    read = tables.json_records(rows).select("record", back).select("record", "r.*")
+    return read.withColumn("c_acctbal", F.col("c_acctbal").cast("double"))
 
 
 @query
 def csv_preview(spark, folder):
-    return tables.csv_preview(tables.load_table(spark, folder, "part"), ["p_partkey"]).withColumn(
+    return tables.csv_preview(tables.load_table(spark, folder, "part"), ["p_partkey"], 10).withColumn(
         "n_tokens", tx.token_count(F.col("csv_text"))
     )
 
 
 @query
 def store_invalidate(spark, folder):
-    return store.without_tables(v.chunk_store(spark, folder), ["part"]).select("record_id", "table_name", "content_hash")
+    """The store less one table is written as its next version and read back."""
+    root = fresh_path(spark, "store-versions")
+    snapshots.write_snapshot(v.chunk_store(spark, folder), root, "table_name")
+    kept = store.without_tables(snapshots.read_snapshot(spark, root, store.STORE_SCHEMA), ["part"])
+    snapshots.write_snapshot(kept, root, "table_name")
+    return snapshots.read_snapshot(spark, root, store.STORE_SCHEMA).select("record_id", "table_name", "content_hash")
+
+
+@query
+def store_refresh_changed(spark, folder):
+    """Build, change every supplier's balance, refresh, retrieve, read the texts: only present contents come back."""
+    path = fresh_path(spark, "store")
+    store.refresh_store(v.chunks(spark, folder), path, embedding.embed_hashed, v.STORE_TIME)
+    given = v.chunked_tables(spark, folder)
+    suppliers, keys = given["supplier"]
+    given["supplier"] = (suppliers.withColumn("s_acctbal", F.col("s_acctbal") + 10_000), keys)
+    present = store.refresh_store(chunking.chunk_union(given), path, embedding.embed_hashed, v.STORE_TIME)
+    hits = retrieval.retrieve_topk(v.text_queries(spark, folder), present)
+    return retrieval.with_chunk_text(hits, present).select("query_id", "rank", "source", "chunk_id", "score", "chunk_text")
 
 
 @query
@@ -199,7 +231,8 @@ def access_guard(spark, folder):
     fact = v.shift_fact(spark, folder)
     callers = {
         "given": (v.USER, v.PLANT), "no_user": (None, v.PLANT), "no_plant": (v.USER, None),
-        "blank_user": ("  ", v.PLANT), "empty_plant": (v.USER, ""),
+        "blank_user": ("  ", v.PLANT), "empty_plant": (v.USER, ""), "tab_user": ("\t", v.PLANT),
+        "newline_plant": (v.USER, "\n"), "no_break_user": ("\u00a0", v.PLANT),
     }
     return _tagged({c: profiling.count_rows(governance.access_guard(fact, *who)) for c, who in callers.items()})
 
@@ -252,6 +285,35 @@ def join_by_relationship(spark, folder):
     )
 
 
+@query
+def join_by_relationship_left(spark, folder):
+    """A declared LEFT JOIN keeps the shifts of machines that the user has no access to."""
+    access = v.machine_access(spark, folder).where(F.col("user_code") == v.USER)
+    declared = {
+        "Machine_Access": relationships.TableInfo(
+            "Access", ("PUID",), (relationships.Relationship("shift_fact", (("PUID", "PUID"),), "right outer join"),)
+        )
+    }
+    views = {"SHIFT_FACT": v.shift_fact(spark, folder), "machine_access": access}
+    joined = relationships.join_by_relationship(views, declared, "shift_fact", "machine_access")
+    return joined.groupBy("user_code", "Plantcode").agg(F.count(F.lit(1)).alias("n_shifts"), F.count("PUID").alias("n_machines"))
+
+
+@query
+def sql_or_none(spark, folder):
+    """Which of some texts give a table: a query, one that fails while it runs, a wrong one, and no query."""
+    locked = governance.locked_session(spark, lambda s: {"orders": tables.load_table(s, folder, "orders")})
+    texts = {
+        "good": "SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0",
+        "fails_later": "SELECT o_orderkey / (o_orderkey - o_orderkey) AS x FROM orders",
+        "wrong_name": "SELECT no_such_column FROM orders",
+        "statement": "DROP TABLE orders",
+    }
+    answers = {case: governance.run_sql_or_none(locked, text) for case, text in texts.items()}
+    counts = {c: None if a is None else a.count() for c, a in answers.items()}
+    return spark.createDataFrame(list(counts.items()), "case_name string, n_rows bigint")
+
+
 @query
 def access_semi_join(spark, folder):
     rows = governance.accessible_rows(v.shift_fact(spark, folder), v.machine_access(spark, folder), v.USER, v.PLANT)
@@ -280,9 +342,9 @@ def similarity_pairs(spark, folder):
 
 @query
 def chunk_vector_join(spark, folder):
-    stored = v.chunk_store(spark, folder).select("table_name", "chunk_id", "embedding")
+    stored = v.chunk_store(spark, folder).select("table_name", "content_hash", "chunk_id", "embedding")
     paired = store.pair_vectors(v.chunks(spark, folder), stored)
-    return paired.select("table_name", "chunk_id", "kind", "content_hash", F.size("embedding").alias("n_dims"))
+    return paired.select("table_name", "chunk_id", "kind", "content_hash", F.size("embedding").alias("n_dims"), _shown("embedding"))
 
 
 @query
@@ -313,13 +375,13 @@ def chart_bar(spark, folder):
         F.col("o_totalprice").cast("decimal(18,2)").alias("total"),
         "o_orderpriority",
     )
-    bars = charts.chart_data(orders, charts.ChartSpec("bar", "month", "total", "o_orderpriority"))
+    bars = charts.chart_data(orders, charts.ChartSpec("bar", "month", "total", "o_orderpriority"), rollup=True)
     return bars.withColumn("total", F.col("total").cast("double"))
 
 
 @query
 def chart_bar_short(spark, folder):
-    """A result of at most 25 rows keeps its rows and its colour."""
+    """Without a rollup a result keeps its rows and its colour."""
     counts = tables.load_table(spark, folder, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n_events"))
     labelled = counts.withColumn("tone", F.when(F.col("event_type") == "error", "bad").otherwise("good"))
     return charts.chart_data(labelled, charts.ChartSpec("bar", "event_type", "n_events", "tone"))
@@ -442,12 +504,16 @@ def chunk_index(spark, folder):
 
 @query
 def history_ranked(spark, folder):
-    return history.history_ranked(v.query_log(spark, folder)).select("query_id", "date", "place")
+    return history.history_ranked(v.query_log(spark, folder)).select("query_id", "user_code", "date", "place")
 
 
 @query
 def history_panel(spark, folder):
-    return history.history_panel(v.query_log(spark, folder), TODAY)
+    """Every fifth conversation has got no response yet."""
+    log = v.query_log(spark, folder)
+    answered = log.where(F.col("conv_id") % 5 != 0)
+    given = answered.select("query_id", "created_at", "response_id", F.col("response_text").alias("text_response"))
+    return history.history_panel(log, given, TODAY, 5)
 
 
 @query
@@ -466,17 +532,17 @@ def chart_scatter(spark, folder):
 @query
 def result_preview(spark, folder):
     result = tables.load_table(spark, folder, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_orders"))
-    return responses.result_preview(result, ["o_custkey"])
+    return responses.result_preview(result, ["o_custkey"], 5, 5)
 
 
 @query
 def store_samples(spark, folder):
-    return store.chunk_samples(v.chunk_store(spark, folder))
+    return store.chunk_samples(v.chunk_store(spark, folder), 2, 300)
 
 
 @query
 def store_vector_samples(spark, folder):
-    return store.vector_samples(v.vector_store(spark, folder))
+    return store.vector_samples(v.vector_store(spark, folder), 1, 20)
 
 
 # ---- unions
@@ -489,9 +555,8 @@ def chunk_union(spark, folder):
 
 @query
 def hits_union(spark, folder):
-    stored, queries = v.chunk_store(spark, folder), v.text_queries(spark, folder)
-    per_table = [retrieval.topk_per_source(queries, stored.where(F.col("table_name") == t)) for t in v.CHUNKED]
-    return reduce(DataFrame.unionByName, per_table)
+    """The hits of all tables, from one retrieval that keeps the tables apart."""
+    return retrieval.topk_per_source(v.text_queries(spark, folder), v.chunk_store(spark, folder))
 
 
 @query
@@ -516,6 +581,18 @@ def chunk_text(spark, folder):
     return chunking.data_chunks(tables.load_table(spark, folder, "orders"), ["o_orderkey"])
 
 
+@query
+def chunk_any_schema(spark, folder):
+    """Chunks of a table with a dotted name, a map, an array and a struct."""
+    parts = tables.load_table(spark, folder, "part").select(
+        F.col("p_partkey").alias("part.key"),
+        F.create_map("p_brand", "p_size").alias("sizes"),
+        F.array("p_type").alias("types"),
+        F.struct(F.col("p_size").alias("size"), F.col("p_brand").alias("brand")).alias("box"),
+    )
+    return chunking.data_chunks(parts, ["part.key"])
+
+
 @query
 def schema_chunk(spark, folder):
     return _tagged({n: chunking.schema_chunk(tables.load_table(spark, folder, n)) for n in v.CHUNKED})
@@ -556,7 +633,7 @@ def token_count(spark, folder):
 
 @query
 def text_preview(spark, folder):
-    return v.documents(spark, folder).select("doc_id", tx.text_preview(F.col("text")).alias("preview"))
+    return v.documents(spark, folder).select("doc_id", tx.text_preview(F.col("text"), 5).alias("preview"))
 
 
 @query
@@ -567,8 +644,8 @@ def relative_date(spark, folder):
 @query
 def ts_parts(spark, folder):
     events = tables.load_table(spark, folder, "events")
-    written = events.select("event_id", "ts", tm.iso_text(F.col("ts")).alias("iso"))
-    return written.select(
+    texts = events.select("event_id", "ts", tm.iso_text(F.col("ts")).alias("iso"))
+    return texts.select(
         "event_id", "iso", tm.date_text(F.col("ts")).alias("day"), tm.log_time_text(F.col("ts")).alias("log_time"),
         (tm.parse_time(F.col("iso")) == F.col("ts")).alias("parsed_back"),
     )
@@ -626,6 +703,19 @@ def relationship_info(spark, folder):
     return relationships.relationship_info(_routed(spark, folder), declared)
 
 
+@query
+def question_inputs(spark, folder):
+    """Context, typed table text and relationship text of each question."""
+    routed = written(_routed(spark, folder), "routed")
+    columns = tables.schema_profile({n: tables.load_table(spark, folder, n) for n in v.CHUNKED})
+    declared = relationships.relationship_rows(spark, v.METADATA)
+    return relationships.question_inputs(
+        context_assemble(spark, folder),
+        relationships.table_info(routed, columns, typed=True),
+        relationships.relationship_info(routed, declared),
+    )
+
+
 @query
 def response_text(spark, folder):
     """What is logged for each response; every second result is in debug mode."""
@@ -652,7 +742,7 @@ def created_default(spark, folder):
 def stream_token_daily(spark, folder):
     path = fresh_path(spark, "token-log")
     logs.append_tokens(logs.token_rows(v.token_counts(spark, folder)), path)
-    return flows.run_token_daily(spark, path)
+    return flows.run_token_daily(spark, path, files_per_batch=1)
 
 
 @query
@@ -664,7 +754,7 @@ def stream_log_dedup(spark, folder):
     )
     rows.write.mode("append").parquet(path)
     rows.write.mode("append").parquet(path)
-    once = flows.run_log_dedup(spark, path)
+    once = flows.run_log_dedup(spark, path, files_per_batch=1)
     return once.select("query_id", "response_id", "user_code", "plant_code", tm.iso_text(F.col("created_at")).alias("created_at"))
 
 
@@ -681,7 +771,7 @@ def stream_embed_missing(spark, folder):
         tx.content_hash(F.col("text")).alias("content_hash"),
     )
     stored = flows.run_store_missing(chunk_rows, fresh_path(spark, "store"), embedding.embed_hashed, v.STORE_TIME)
-    return stored.select("record_id", "table_name", "chunk_id", "content_hash", F.size("embedding").alias("n_dims"))
+    return stored.select("record_id", "table_name", "chunk_id", "content_hash", F.size("embedding").alias("n_dims"), _shown("embedding"))
 
 
 # ---- embedding functions and routing

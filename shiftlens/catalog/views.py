@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +13,10 @@ from shiftlens.functions.text import token_count
 from shiftlens.operators.chunking import chunk_union
 from shiftlens.operators.embedding import embed_hashed
 from shiftlens.operators.relationships import Relationship, TableInfo
-from shiftlens.plans.scratch import fresh_path
+from shiftlens.plans.scratch import fresh_path, named_path
 from shiftlens.plans.sizing import spread_small_scan
-from shiftlens.sources.store import read_store, refresh_store
+from shiftlens.sources.snapshots import current_path, read_snapshot, write_snapshot
+from shiftlens.sources.store import STORE_SCHEMA, read_store, refresh_store
 from shiftlens.sources.tables import load_table
 
 # The identity that the registered queries act for.
@@ -189,12 +191,19 @@ def build_store(spark: SparkSession, folder: str) -> str:
     return path
 
 
-_built: dict[tuple[str, str], str] = {}
-
-
 def chunk_store(spark: SparkSession, folder: str) -> DataFrame:
-    """The stored chunks of the chunked tables, built by the first query that reads them."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _built:
-        _built[key] = build_store(spark, folder)
-    return read_store(spark, _built[key])
+    """The stored chunks of the chunked tables.
+
+    Built where this application's scratch folder has no store for these very files yet, and marked when it
+    is whole; after :func:`drop_scratch`, or for changed files, it is built again.
+    """
+    files = sorted(f for name in CHUNKED for f in load_table(spark, folder, name).inputFiles())
+    facts = []
+    for file in files:
+        where = spark._jvm.org.apache.hadoop.fs.Path(file)
+        status = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where)
+        facts.append((file, status.getLen(), status.getModificationTime()))
+    root = named_path(spark, f"chunk-store-{hashlib.sha256(repr(facts).encode()).hexdigest()[:24]}")
+    if current_path(spark, root) is None:
+        write_snapshot(read_store(spark, build_store(spark, folder)), root, "table_name")
+    return read_snapshot(spark, root, STORE_SCHEMA)

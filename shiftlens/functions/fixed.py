@@ -4,15 +4,6 @@
 CHUNK_ROWS = 5
 BATCH_TEXTS = 50
 TOP_K = 3
-SAMPLE_ROWS = 1000
-PREVIEW_ROWS = 10
-PREVIEW_WORDS = 5
-ROLLUP_ABOVE = 25
-SAMPLE_CHUNKS = 2
-SAMPLE_CHARS = 300
-SAMPLE_VECTORS = 1
-SAMPLE_COMPONENTS = 20
-FIRST_LINE_CHARS = 50
 
 # Columns that are never shown.
 CONFIDENTIAL = ("PUID", "SHIFT_ID", "ID")

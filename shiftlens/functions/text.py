@@ -8,8 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shiftlens.functions.fixed import (
-    CELL, CELL_SEPARATOR, DETAILS, ELLIPSIS, FENCE, FIRST_LINE_CHARS, MISSING, PREVIEW_WORDS, SAMPLE_CHARS, SQL_FENCE,
-    UNICODE_CLASSES, WHITESPACE,
+    CELL, CELL_SEPARATOR, DETAILS, ELLIPSIS, FENCE, MISSING, SQL_FENCE, UNICODE_CLASSES, WHITESPACE,
 )
 
 
@@ -53,7 +52,7 @@ def extract_sql(text: Column) -> Column:
     return F.when(has_sql(text), stripped(F.substring_index(rest, FENCE, 1)))
 
 
-def text_preview(text: Column, n_words: int = PREVIEW_WORDS) -> Column:
+def text_preview(text: Column, n_words: int) -> Column:
     """The first words, with an ellipsis when there are more."""
     w = words(text)
     return F.concat(
@@ -61,16 +60,14 @@ def text_preview(text: Column, n_words: int = PREVIEW_WORDS) -> Column:
     )
 
 
-def truncated(text: Column, length: int = SAMPLE_CHARS) -> Column:
+def truncated(text: Column, length: int) -> Column:
     """The first ``length`` characters, with an ellipsis when there are more."""
     return F.when(F.length(text) > length, F.concat(F.substring(text, 1, length), F.lit(ELLIPSIS))).otherwise(text)
 
 
-def first_line(text: Column, cut: int = FIRST_LINE_CHARS) -> Column:
-    """The first line, or the first ``cut`` characters of a text without line breaks."""
-    return F.when(F.contains(text, F.lit("\n")), F.substring_index(text, "\n", 1)).otherwise(
-        F.substring(text, 1, cut)
-    )
+def first_line(text: Column) -> Column:
+    """The whole first line; a text without line breaks is one line."""
+    return F.substring_index(text, "\n", 1)
 
 
 def content_hash(text: Column) -> Column:
@@ -88,8 +85,3 @@ def final_response(summary: Column, sql: Column, debug: bool | Column = False) -
     shown = F.lit(debug) if isinstance(debug, bool) else debug
     prefix = F.concat(F.lit(f"SQL Query:\n{SQL_FENCE}\n"), sql, F.lit(f"\n{FENCE}\n"))
     return F.concat(F.when(shown, prefix).otherwise(F.lit("")), summary, F.lit(DETAILS))
-
-
-def fixed_digits(value: Column, digits: int = 6) -> Column:
-    """A number with a fixed count of decimals, ``None`` when missing."""
-    return F.coalesce(F.round(value, digits).cast(f"decimal(38,{digits})").cast("string"), F.lit(MISSING))

@@ -13,8 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shiftlens.functions.fixed import CHUNK_ROWS, DATA_HEADER, MISSING, SCHEMA_HEADER, SCHEMA_LINE
-from shiftlens.functions.text import content_hash, fixed_digits, row_text
+from shiftlens.functions.fixed import CHUNK_ROWS, DATA_HEADER, SCHEMA_HEADER, SCHEMA_LINE
+from shiftlens.functions.text import content_hash, row_text
 from shiftlens.operators.profiling import column_stats
 from shiftlens.plans.ordering import with_row_index
 from shiftlens.sources.tables import numeric_columns
@@ -25,7 +25,7 @@ CHUNK_COLUMNS = ["table_name", "chunk_id", "kind", "chunk_text", "content_hash"]
 
 def row_texts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Each row's text beside its keys."""
-    return df.select(*keys, row_text(df.columns).alias("row_text"))
+    return df.select(*[F.col(f"`{k}`") for k in keys], row_text(df.columns).alias("row_text"))
 
 
 def chunk_index(
@@ -71,19 +71,9 @@ def schema_chunk(df: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
 
 def stats_chunks(df: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
     """One chunk per numeric column with min, max, mean and median."""
-    whole = [f.name for f in df.schema.fields if f.dataType.typeName() in ("byte", "short", "integer", "long")]
-    is_whole = F.col("column_name").isin(whole) if whole else F.lit(False)
-
-    def extreme(name: str) -> Column:
-        as_integer = F.coalesce(F.col(name).cast("decimal(38,0)").cast("string"), F.lit(MISSING))
-        return F.when(is_whole, as_integer).otherwise(fixed_digits(F.col(name)))
-
-    text = F.concat(
-        F.lit("Stats for "), "column_name",
-        F.lit(":\nMin: "), extreme("min"), F.lit(", Max: "), extreme("max"),
-        F.lit(", Mean: "), fixed_digits(F.col("mean")), F.lit(", Median: "), fixed_digits(F.col("median")),
-        F.lit("\n"),
-    )
+    parts = [("\nMin: ", "min_text"), (", Max: ", "max_text"), (", Mean: ", "mean_text"), (", Median: ", "median_text")]
+    shown = [c for label, column in parts for c in (F.lit(label), F.col(column))]
+    text = F.concat(F.lit("Stats for "), "column_name", F.lit(":"), *shown, F.lit("\n"))
     return column_stats(df).select(
         (_chunks_before(F.col("n_rows"), size) + 1 + F.col("ordinal")).alias("chunk_id"),
         F.lit("stats").alias("kind"),

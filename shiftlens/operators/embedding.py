@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Iterator, Sequence
+from typing import TYPE_CHECKING
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,34 +16,52 @@ from shiftlens.functions.vectors import DIMENSIONS, hashed_vector, hashed_weight
 _log = logging.getLogger(__name__)
 
 
+if TYPE_CHECKING:
+    import pandas as pd
+
+
 def embed_batches(
     chunks: DataFrame,
     embed: Callable[[list[str]], list[list[float]]],
     text: str = "chunk_text",
     batch: int = BATCH_TEXTS,
 ) -> DataFrame:
-    """Add the vectors that ``embed`` returns for up to ``batch`` texts per call.
+    """Add ``embedding``, the vectors that ``embed`` returns for up to ``batch`` texts per call, and ``error``.
 
-    A batch that fails is left out and logged; its chunks stay missing in the store and are tried
-    again by the next build.
+    No row is lost: those of a call that fails, or that answers with another number of vectors, have no
+    vector and say why. They are left out of the store, stay missing there and are tried again by the
+    next build; ``embedding_errors`` counts them.
     """
-    schema = T.StructType([*chunks.schema.fields, T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType(
+        [*chunks.schema.fields, T.StructField("embedding", T.ArrayType(T.DoubleType())), T.StructField("error", T.StringType())]
+    )
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd  # in the workers only: the driver has no use for it
+
         for frame in frames:
             for start in range(0, len(frame), batch):
                 part = frame.iloc[start : start + batch]
+                vectors, error = [], None
                 try:
                     vectors = embed(part[text].tolist())
-                except Exception:
+                except Exception as reason:
                     _log.exception("embedding failed for a batch of %d texts", len(part))
-                    continue
-                if len(vectors) == len(part):
-                    yield part.assign(embedding=vectors)
+                    error = f"{type(reason).__name__}: {reason}"
+                if error is None and len(vectors) != len(part):
+                    error = f"{len(vectors)} vectors for {len(part)} texts"
+                nothing = pd.Series([None] * len(part), index=part.index, dtype=object)
+                given = nothing if error else pd.Series(list(vectors), index=part.index, dtype=object)
+                yield part.assign(embedding=given, error=nothing if error is None else error)
 
     return chunks.mapInPandas(run, schema)
 
 
+def embedding_errors(embedded: DataFrame) -> DataFrame:
+    """How many chunks have no vector, by reason."""
+    return embedded.where(F.col("embedding").isNull()).groupBy("error").agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
 def embed_hashed(df: DataFrame, text: str = "chunk_text", dims: int = DIMENSIONS) -> DataFrame:
     """Add ``embedding``, the unit vector of the text's word buckets: a projection, no shuffle."""
     return df.withColumn("embedding", hashed_vector(F.col(text), dims))

@@ -5,11 +5,13 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Mapping
 
-from pyspark.errors import AnalysisException, ParseException
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftlens.functions.fixed import CONFIDENTIAL
+from shiftlens.functions.text import stripped
+from shiftlens.plans.scratch import written
 from shiftlens.plans.sizing import broadcast_if_small
 
 _log = logging.getLogger(__name__)
@@ -21,8 +23,7 @@ def identity_given(user: str | None, plant: str | None) -> Column:
     A constant, so Catalyst turns a denied read into an empty relation and scans nothing.
     """
     def given(code: str | None) -> Column:
-        value = F.lit(code).cast("string")
-        return F.coalesce(F.trim(value) != "", F.lit(False))
+        return F.coalesce(stripped(F.lit(code).cast("string")) != "", F.lit(False))
 
     return given(user) & given(plant)
 
@@ -87,9 +88,13 @@ def run_sql(locked: SparkSession, text: str, args: Mapping[str, object] | None =
 
 
 def run_sql_or_none(locked: SparkSession, text: str, args: Mapping[str, object] | None = None) -> DataFrame | None:
-    """:func:`run_sql`, with no table in place of an error for a text that is refused or wrong."""
+    """:func:`run_sql`, with no table in place of an error.
+
+    The result is worked out and saved here, so a query that only fails while it runs, such as on a
+    division by zero, gives no table either.
+    """
     try:
-        return run_sql(locked, text, args)
-    except (AnalysisException, ParseException) as error:
+        return written(run_sql(locked, text, args), "answer")
+    except PySparkException as error:
         _log.warning("query refused: %s", error.getCondition())
         return None

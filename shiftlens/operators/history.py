@@ -74,9 +74,9 @@ def of_date(log: DataFrame, day: dt.date) -> DataFrame:
 
 
 def history_ranked(log: DataFrame) -> DataFrame:
-    """Questions with their date and their place in it, newest first."""
-    rows = log.select("query_id", "query_text", "created_at", date_text(F.col("created_at")).alias("date"))
-    return with_rank_in_group(rows, ["date"], [F.desc("created_at"), F.col("query_id")], "place")
+    """Questions with their date and their place among their user's of that date, newest first."""
+    rows = log.select("query_id", "user_code", "query_text", "created_at", date_text(F.col("created_at")).alias("date"))
+    return with_rank_in_group(rows, ["user_code", "date"], [F.desc("created_at"), F.col("query_id")], "place")
 
 
 def first_responses(responses: DataFrame) -> DataFrame:
@@ -95,18 +95,21 @@ def history_with_response(history: DataFrame, responses: DataFrame) -> DataFrame
     return history.join(first_responses(responses), "query_id")
 
 
-def history_panel(log: DataFrame, today: dt.date) -> DataFrame:
-    """What the history panel lists: label, preview and place of each question.
+def history_panel(log: DataFrame, responses: DataFrame, today: dt.date, n_words: int) -> DataFrame:
+    """What each user's history panel lists: label, preview and place of the questions that have a response.
 
-    The texts are cut before they are ranked, so only previews are shuffled.
+    The texts are cut to ``n_words`` before they are ranked, so only previews are shuffled. A question's place is among
+    those of its user and date.
     """
     rows = log.select(
         "query_id",
+        "user_code",
         relative_date(F.col("created_at"), today).alias("label"),
-        text_preview(F.col("query_text")).alias("preview"),
+        text_preview(F.col("query_text"), n_words).alias("preview"),
         "created_at",
     )
-    ranked = with_rank_in_group(rows, ["label"], [F.desc("created_at"), F.col("query_id")], "place")
+    answered = history_with_response(rows, responses).select(*rows.columns)
+    ranked = with_rank_in_group(answered, ["user_code", "label"], [F.desc("created_at"), F.col("query_id")], "place")
     return ranked.drop("created_at")
 
 

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import math
+from decimal import ROUND_HALF_UP, Decimal, localcontext
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlens.plans.ordering import exact_medians, numeric_profile
+from shiftlens.functions.fixed import MISSING
+from shiftlens.plans.medians import ColumnStats, column_facts
 from shiftlens.sources.tables import column_profile, numeric_columns
 
 STATS_SCHEMA = (
     "ordinal int, column_name string, n_rows bigint, n_values bigint, "
-    "min double, max double, mean double, median double"
+    "min double, max double, mean double, median double, "
+    "min_text string, max_text string, mean_text string, median_text string"
 )
 
 
@@ -27,15 +32,32 @@ def select_numeric(df: DataFrame) -> DataFrame:
 def column_stats(df: DataFrame) -> DataFrame:
     """Min, max, mean and exact median of each numeric column, missing values skipped.
 
-    The scans run at once; what comes back is one row of numbers per column.
+    As doubles, and as text that keeps every digit of large whole numbers and decimals. The scans run at
+    once; what comes back is one row per column.
+    """
+    facts = column_facts(select_numeric(df)) if numeric_columns(df) else []
+    return df.sparkSession.createDataFrame([_stats_row(i, f) for i, f in enumerate(facts)], STATS_SCHEMA)
+
+
+def _stats_row(ordinal: int, facts: ColumnStats) -> tuple:
+    values = [facts.min, facts.max, facts.mean, facts.median]
+    whole = isinstance(facts.min, int)
+    texts = [str(v) if whole and i < 2 and v is not None else number_text(v) for i, v in enumerate(values)]
+    return (ordinal, facts.name, facts.n_rows, facts.n_values, *[None if v is None else float(v) for v in values], *texts)
+
+
+def number_text(value: float | Decimal | None, digits: int = 6) -> str:
+    """A number with a fixed count of decimals, rounded half up; ``None`` when missing.
+
+    Doubles too large for that are written as they are, infinite ones as ``Infinity``.
     """
-    if not numeric_columns(df):
-        return df.sparkSession.createDataFrame([], STATS_SCHEMA)
-    numbers = select_numeric(df)
-    profile = numeric_profile(numbers).collect()
-    medians = exact_medians(numbers, {r.column_name: r.n_values for r in profile})
-    rows = [(*r, medians.get(r.column_name)) for r in profile]
-    return df.sparkSession.createDataFrame(rows, STATS_SCHEMA)
+    if value is None:
+        return MISSING
+    if isinstance(value, float) and (math.isinf(value) or math.isnan(value) or abs(value) >= 1e32):
+        return {math.inf: "Infinity", -math.inf: "-Infinity"}.get(value, repr(value).replace("nan", "NaN"))
+    exact = value if isinstance(value, Decimal) else Decimal(repr(value))
+    with localcontext(prec=80):
+        return format(exact.quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP) + 0, "f")
 
 
 def result_profile(result: DataFrame) -> DataFrame:

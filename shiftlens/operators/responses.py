@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shiftlens.functions.fixed import NO_RESULTS, PREVIEW_ROWS
+from shiftlens.functions.fixed import NO_RESULTS
 from shiftlens.functions.text import extract_sql, final_response, has_sql
 
 
@@ -45,14 +45,14 @@ def logged_text(
     )
 
 
-def result_preview(df: DataFrame, order_by: Sequence[str], rows: int = PREVIEW_ROWS) -> DataFrame:
-    """First and last rows of a long result, tagged; a short result once, whole.
+def result_preview(df: DataFrame, order_by: Sequence[str], head: int, tail: int) -> DataFrame:
+    """The first ``head`` and the last ``tail`` rows of a result, tagged; no row comes twice.
 
-    Two bounded top-n reads; ``order_by`` must be a total order for the two not to overlap.
+    Two bounded top-n reads, and the tail without what the head has; ``order_by`` must be a total order.
     """
-    half = rows // 2
-    if df.limit(rows + 1).count() <= rows:
-        return df.select(F.lit("all").alias("part"), "*")
-    head = df.orderBy(*order_by).limit(half).select(F.lit("head").alias("part"), "*")
-    tail = df.orderBy(*[F.desc(c) for c in order_by]).limit(rows - half).select(F.lit("tail").alias("part"), "*")
-    return head.unionByName(tail)
+    first = df.orderBy(*order_by).limit(head)
+    last = df.orderBy(*[F.desc(c) for c in order_by]).limit(tail)
+    shown = first.select(*[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(order_by)])
+    same = [last[c].eqNullSafe(shown[f"__{i}"]) for i, c in enumerate(order_by)]
+    rest = last.join(shown, same, "left_anti")
+    return first.select(F.lit("head").alias("part"), "*").unionByName(rest.select(F.lit("tail").alias("part"), "*"))

@@ -1,13 +1,12 @@
-"""Row positions, ranks and medians that never gather a group in one task."""
+"""Row positions and ranks that never gather a group in one task."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shiftlens.plans.scratch import written
 from shiftlens.plans.sizing import broadcast_if_small
@@ -15,10 +14,19 @@ from shiftlens.plans.sizing import broadcast_if_small
 # monotonically_increasing_id() keeps the partition number above 33 bits of row number.
 ROW_BITS = 33
 
-# Values of a column that may be left when its median is read off, and the size of the samples that
-# narrow the range until then.
-MEDIAN_VALUES = 100_000
-MEDIAN_SAMPLE = 100_000
+
+def _holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _holds_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType)
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of the whole row, whatever the names and types of its columns; maps are hashed as JSON."""
+    columns = [(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
+    return F.xxhash64(*[F.to_json(F.struct(c.alias("v"))) if _holds_map(kind) else c for c, kind in columns])
 
 
 def with_row_index(
@@ -45,7 +53,7 @@ def with_row_index(
     copies is cut like any other. It is for scans and saved tables: a task that is run again must see
     its rows in the same order.
     """
-    keys = [F.col(k) if isinstance(k, str) else k for k in order_by] + [F.xxhash64(*df.columns)]
+    keys = [F.col(f"`{k}`") if isinstance(k, str) else k for k in order_by] + [row_hash(df)]
     if spread_copies:
         df = df.withColumn("__read_at", F.monotonically_increasing_id())
         keys.append(F.col("__read_at"))
@@ -85,153 +93,3 @@ def with_rank_in_group(
         .withColumn(name, F.col("__index") - F.col("__first") + 1)
         .drop("__index", "__first", *[f"__{g}" for g in groups])
     )
-
-
-def numeric_profile(df: DataFrame) -> DataFrame:
-    """Count, min, max and mean of numeric columns, one row per column, in one scan.
-
-    All columns must be numeric. ``ordinal`` is their order; ``n_rows`` counts all rows, ``n_values``
-    those that are neither null nor NaN.
-    """
-    values = _numbers(df)
-    aggregates = [F.count(F.lit(1)).alias("n_rows")]
-    for c in values.columns:
-        v = F.col(f"`{c}`")
-        parts = (F.count(v).alias("n_values"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"))
-        aggregates.append(F.struct(*parts).alias(f"stats_{c}"))
-    rows = F.array(
-        *[
-            F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column_name"), F.col(f"`stats_{c}`").alias("s"))
-            for i, c in enumerate(values.columns)
-        ]
-    )
-    return values.agg(*aggregates).select("n_rows", F.inline(rows)).select("ordinal", "column_name", "n_rows", "s.*")
-
-
-@dataclass
-class _Search:
-    """Looks for the value at ``rank`` (from 0) of a column. It lies strictly between the bounds:
-    ``before`` values are at most ``low``, and ``upto`` values are less than ``high``."""
-
-    column: str
-    rank: int
-    upto: int
-    before: int = 0
-    low: float | None = None
-    high: float | None = None
-    value: float | None = None
-
-    @property
-    def range(self) -> tuple[str, float | None, float | None]:
-        return self.column, self.low, self.high
-
-    @property
-    def inside(self) -> int:
-        return self.upto - self.before
-
-    def between(self) -> Column:
-        v = F.col(f"`{self.column}`")
-        above = v.isNotNull() if self.low is None else v > self.low
-        return above if self.high is None else above & (v < self.high)
-
-    def narrow(self, a: float, b: float, below_a: int, to_a: int, below_b: int, to_b: int) -> None:
-        """Keep the part that holds the rank, or take the value when it is a bound itself."""
-        if self.rank < below_a:
-            self.high, self.upto = a, below_a
-        elif self.rank < to_a:
-            self.value = a
-        elif self.rank < below_b:
-            self.low, self.before, self.high, self.upto = a, to_a, b, below_b
-        elif self.rank < to_b:
-            self.value = b
-        else:
-            self.low, self.before = b, to_b
-
-
-def exact_medians(
-    df: DataFrame, n_values: dict[str, int], at_most: int = MEDIAN_VALUES, sample: int = MEDIAN_SAMPLE
-) -> dict[str, float]:
-    """Exact median of numeric columns, given how many values each has.
-
-    The range around the middle rank is narrowed until at most ``at_most`` values are left: two
-    quantiles of a small sample of it are guessed, and one scan counts the values up to each of
-    them. A bad guess only costs another round, a hot value is found as soon as it is a bound. Each
-    round moves a few numbers per column; only the values that are left at the end are shuffled.
-    """
-    values = _numbers(df)
-    middle = {c: sorted({(n - 1) // 2, n // 2}) for c, n in n_values.items() if n}
-    searches = [_Search(c, rank, n_values[c]) for c, ranks in middle.items() for rank in ranks]
-    seed = 0
-    while wide := {s.range: s for s in searches if s.value is None and s.inside > at_most}:
-        seed += 1
-        guesses = _guess(values, list(wide.values()), sample, seed)
-        counts = []
-        for (column, _, _), (a, b) in guesses.items():
-            v = F.col(f"`{column}`")
-            counts += [F.count_if(v < a), F.count_if(v <= a), F.count_if(v < b), F.count_if(v <= b)]
-        counted = values.agg(F.count(F.lit(1)), *[c.alias(f"n{i}") for i, c in enumerate(counts)]).first()[1:]
-        found = {r: (*guess, *counted[4 * i : 4 * i + 4]) for i, (r, guess) in enumerate(guesses.items())}
-        for s in searches:
-            if s.value is None and s.range in found:
-                s.narrow(*found[s.range])
-    _finish(values, [s for s in searches if s.value is None])
-    by_column: dict[str, list[float]] = {}
-    for s in searches:
-        by_column.setdefault(s.column, []).append(s.value)
-    return {c: sum(v) / len(v) for c, v in by_column.items()}
-
-
-def _guess(values: DataFrame, searches: list[_Search], sample: int, seed: int) -> dict[tuple, tuple[float, float]]:
-    """Two values per range that very likely enclose the rank, from a sample of what is left.
-
-    A range whose sample came out empty is left for the next round, which draws anew.
-    """
-    slack = 2.5 / math.sqrt(sample)
-    drawn = values.withColumn("__draw", F.rand(seed))
-    picked, quantiles = [], []
-    for i, s in enumerate(searches):
-        drawn_here = s.between() & (F.col("__draw") * s.inside < sample)
-        picked.append(F.when(drawn_here, F.col(f"`{s.column}`")).alias(f"v{i}"))
-        middle = (s.rank - s.before + 0.5) / s.inside
-        around = [max(0.0, middle - slack), min(1.0, middle + slack)]
-        quantiles.append(F.percentile_approx(f"v{i}", around).alias(f"v{i}"))
-    guesses = drawn.select(*picked).agg(*quantiles).first()
-    return {s.range: tuple(guess) for s, guess in zip(searches, guesses) if guess}
-
-
-def _finish(values: DataFrame, searches: list[_Search]) -> None:
-    """Read off the ranks among the few values that are left.
-
-    Equal values are counted before the shuffle; the running count per range is over a bounded
-    number of rows.
-    """
-    if not searches:
-        return
-    ranges = list({s.range: s for s in searches}.values())
-    place = {s.range: str(i) for i, s in enumerate(ranges)}
-    cells = [F.when(s.between(), F.col(f"`{s.column}`")).alias(str(i)) for i, s in enumerate(ranges)]
-    counted = (
-        values.select(*cells)
-        .unpivot([], [f"`{i}`" for i in range(len(ranges))], "range", "value")
-        .where(F.col("value").isNotNull())
-        .groupBy("range", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    upto = Window.partitionBy("range").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = counted.withColumn("upto", F.sum("n").over(upto))
-    picks = [
-        F.min(F.when((F.col("range") == place[s.range]) & (F.col("upto") > s.rank - s.before), F.col("value")))
-        for s in searches
-    ]
-    row = running.agg(*[p.alias(f"p{i}") for i, p in enumerate(picks)]).first()
-    for s, value in zip(searches, row):
-        s.value = value
-
-
-def _numbers(df: DataFrame) -> DataFrame:
-    """Columns as double, NaN counted as missing."""
-    def number(column: str) -> Column:
-        value = F.col(f"`{column}`").cast("double")
-        return F.when(~F.isnan(value), value).alias(column)
-
-    return df.select(*[number(c) for c in df.columns])

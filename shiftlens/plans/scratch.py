@@ -1,8 +1,8 @@
 """Tables written to the folder that all executors share.
 
 Reliable storage, not executor-local blocks: a lost executor costs a re-read, never the data.
-The folder is the cluster's ``spark.checkpoint.dir``; a session without that setting uses a folder
-under its warehouse, which its executors share as well.
+The folder is the cluster's ``spark.checkpoint.dir``; only a local session without that setting uses
+a folder under its warehouse.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"set {_SETTING} to a folder that every executor can reach")
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
@@ -27,6 +29,11 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{_application_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def named_path(spark: SparkSession, name: str) -> str:
+    """A path under this application's part of the shared folder that is the same for the same name."""
+    return f"{_application_folder(spark)}/{name}"
+
+
 def _application_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/shiftlens/{spark.sparkContext.applicationId}"
 

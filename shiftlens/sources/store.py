@@ -11,9 +11,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftlens.functions.fixed import SAMPLE_CHUNKS, SAMPLE_COMPONENTS, SAMPLE_VECTORS
 from shiftlens.functions.text import first_line, truncated
 from shiftlens.functions.vectors import l2_norm, mean_of
+from shiftlens.plans.scratch import written
 
 STORE_SCHEMA = (
     "record_id string, table_name string, chunk_id bigint, kind string, chunk_text string, "
@@ -38,8 +38,11 @@ def store_or_empty(spark: SparkSession, path: str) -> DataFrame:
 
 
 def store_rows(embedded: DataFrame, created_at) -> DataFrame:
-    """Embedded chunks in the store's layout; the record id is ``table_chunk``."""
-    return embedded.withColumns(
+    """Embedded chunks in the store's layout; the record id is ``table_chunk``.
+
+    Chunks without a vector, whose embedding failed, are left out and so stay missing in the store.
+    """
+    return embedded.where(F.col("embedding").isNotNull()).withColumns(
         {
             "record_id": F.concat_ws("_", "table_name", "chunk_id"),
             "created_at": F.lit(created_at).cast("timestamp_ntz"),
@@ -127,22 +130,39 @@ def without_stale(store: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def pair_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Each chunk with its own vector, by key and never by position."""
-    return chunks.join(vectors, ["table_name", "chunk_id"])
+    """Each chunk with the vector of its own content, never by position.
+
+    A chunk id alone is not enough: after a change the store still holds what the chunk was before.
+    """
+    return chunks.join(vectors, ["table_name", "content_hash", "chunk_id"])
 
 
 def refresh_store(
     chunks: DataFrame, path: str, embed: Callable[[DataFrame], DataFrame], created_at
 ) -> DataFrame:
-    """Embed and append the chunks the store does not hold; returns the store.
+    """Embed and append the chunks the store does not hold; returns the store's rows of the present chunks.
 
     Nothing is embedded on a second run over the same data, and a batch that failed before is tried
-    again.
+    again. What changed data has left behind stays in the folder but is not returned, so a chunk id
+    comes once. Equal contents of one table are one stored row, under the chunk id that came first.
     """
     spark = chunks.sparkSession
+    chunks = written(chunks, "present")
     missing = missing_chunks(chunks, store_or_empty(spark, path))
     append_store(store_rows(embed(missing), created_at), path)
-    return read_store(spark, path)
+    return present_rows(read_store(spark, path), chunks)
+
+
+def present_rows(store: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The stored vectors under the present chunks' ids: one row per chunk, its content and kind as they are now."""
+    kept = store.groupBy("table_name", "content_hash").agg(
+        F.min(F.struct("created_at", "chunk_id", "embedding")).alias("s")
+    )
+    now = chunks.select("table_name", "content_hash", "chunk_id", "kind", "chunk_text")
+    return now.join(kept, ["table_name", "content_hash"]).select(
+        F.concat_ws("_", "table_name", "chunk_id").alias("record_id"), "table_name", "chunk_id", "kind", "chunk_text",
+        "content_hash", F.col("s.created_at").alias("created_at"), F.col("s.embedding").alias("embedding"),
+    )
 
 
 def store_metadata(store: DataFrame, schema: DataFrame) -> DataFrame:
@@ -197,14 +217,14 @@ def memory_estimate(store: DataFrame) -> DataFrame:
     )
 
 
-def chunk_samples(store: DataFrame, n: int = SAMPLE_CHUNKS) -> DataFrame:
-    """The first chunks by table and id, long texts cut."""
+def chunk_samples(store: DataFrame, n: int, length: int) -> DataFrame:
+    """The first ``n`` chunks by table and id, texts cut at ``length`` characters."""
     return store.orderBy("table_name", "chunk_id").limit(n).select(
-        "table_name", "chunk_id", truncated(F.col("chunk_text")).alias("sample_text")
+        "table_name", "chunk_id", truncated(F.col("chunk_text"), length).alias("sample_text")
     )
 
 
-def vector_samples(store: DataFrame, n: int = SAMPLE_VECTORS, shown: int = SAMPLE_COMPONENTS) -> DataFrame:
+def vector_samples(store: DataFrame, n: int, shown: int) -> DataFrame:
     """Leading components of the first vectors, as JSON, and how many follow."""
     lead = F.transform(F.slice("embedding", 1, shown), lambda x: F.round(x.cast("double"), 6))
     return store.orderBy("table_name", "chunk_id").limit(n).select(

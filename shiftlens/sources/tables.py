@@ -9,15 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shiftlens.functions.fixed import PREVIEW_ROWS, SAMPLE_ROWS
-
 
 def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of a folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def scan_sample(df: DataFrame, order_by: Sequence[str | Column], n: int = SAMPLE_ROWS) -> DataFrame:
+def scan_sample(df: DataFrame, order_by: Sequence[str | Column], n: int) -> DataFrame:
     """The first ``n`` rows by a key: a bounded sample that is the same on every run."""
     return df.orderBy(*order_by).limit(n)
 
@@ -65,7 +63,7 @@ def from_json_records(records: DataFrame, schema: T.StructType, name: str = "rec
     return records.select(F.from_json(name, schema).alias("r")).select("r.*")
 
 
-def csv_preview(df: DataFrame, order_by: Sequence[str | Column], n: int = PREVIEW_ROWS) -> DataFrame:
+def csv_preview(df: DataFrame, order_by: Sequence[str | Column], n: int) -> DataFrame:
     """Header and first ``n`` rows as one CSV text."""
     line = F.to_csv(F.struct(*df.columns), {"escape": '"', "nullValue": ""})
     position = F.struct(*[F.col(k) if isinstance(k, str) else k for k in order_by])

@@ -8,16 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from shiftlens.plans.scratch import fresh_path
+from shiftlens.plans.scratch import fresh_path, written
 from shiftlens.plans.sizing import broadcast_if_small
 from shiftlens.sources.logs import LOG_SCHEMA, TOKEN_SCHEMA
 from shiftlens.sources.store import append_store, missing_chunks, store_or_empty, store_rows
 
-WATERMARK = "2 days"
+#: Tables of a batch whose folders are picked out by name.
+PRUNED_TABLES = 100
 
 
 def available_now(writer: DataStreamWriter, checkpoint: str) -> None:
@@ -26,57 +28,70 @@ def available_now(writer: DataStreamWriter, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def token_daily_stream(lines: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """Daily token totals of a stream of token log lines; the state of closed days is dropped."""
-    timed = lines.withColumn("ts", F.to_timestamp("timestamp", "yyyy-MM-dd HH:mm:ss"))
-    return (
-        timed.withWatermark("ts", watermark)
-        .groupBy(F.window("ts", "1 day"))
-        .agg(
-            F.count(F.lit(1)).alias("n_turns"),
-            F.sum("total_tokens").alias("total_tokens"),
-            F.max("total_tokens").alias("max_tokens"),
-        )
-        .select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n_turns", "total_tokens", "max_tokens")
+_DAILY = "day string, n_turns bigint, total_tokens bigint, max_tokens bigint"
+
+
+def token_daily_parts(lines: DataFrame) -> DataFrame:
+    """Token totals of some lines by the date that they bear; parts of a day add up."""
+    return lines.groupBy(F.substring("timestamp", 1, 10).alias("day")).agg(
+        F.count(F.lit(1)).alias("n_turns"), F.sum("total_tokens").alias("total_tokens"), F.max("total_tokens").alias("max_tokens")
     )
 
 
-def run_token_daily(spark: SparkSession, source: str, watermark: str = WATERMARK) -> DataFrame:
-    """Daily totals of a folder of JSON lines.
+def run_token_daily(spark: SparkSession, source: str, files_per_batch: int = 1000) -> DataFrame:
+    """Daily totals of a folder of JSON lines, however late a line comes.
 
-    Every micro-batch writes the days it changed under its own number, so a replayed batch replaces
-    what it wrote before; the newest batch of a day holds its total.
+    Every micro-batch saves its own part of each day under its number, so a replayed batch replaces what
+    it wrote before; the parts are added when they are read. No state is kept and nothing is too late.
     """
     out = fresh_path(spark, "token-daily")
-    lines = spark.readStream.schema(TOKEN_SCHEMA).json(source)
+    lines = spark.readStream.schema(TOKEN_SCHEMA).option("maxFilesPerTrigger", files_per_batch).json(source)
+
+    def save(part: DataFrame, batch: int) -> None:
+        token_daily_parts(part).write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
-    def save(changed: DataFrame, batch: int) -> None:
-        changed.withColumn("written_by", F.lit(batch)).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+    available_now(lines.writeStream.foreachBatch(save), fresh_path(spark, "token-daily-state"))
+    parts = _saved_batches(spark, out, _DAILY)
+    return parts.groupBy("day").agg(
+        F.sum("n_turns").alias("n_turns"), F.sum("total_tokens").alias("total_tokens"), F.max("max_tokens").alias("max_tokens")
+    )
 
-    writer = token_daily_stream(lines, watermark).writeStream.outputMode("update").foreachBatch(save)
-    available_now(writer, fresh_path(spark, "token-daily-state"))
-    schema = "day string, n_turns bigint, total_tokens bigint, max_tokens bigint, written_by int, batch int"
-    newest = F.max_by(F.struct("n_turns", "total_tokens", "max_tokens"), "written_by")
-    return spark.read.schema(schema).parquet(out).groupBy("day").agg(newest.alias("t")).select("day", "t.*")
 
+def _saved_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What the batches of a stream have saved under ``path``, with their number; empty before the first."""
+    try:
+        return spark.read.schema(f"{schema}, batch int").parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], f"{schema}, batch int")
 
-def log_dedup_stream(log: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """A stream of log rows with each query id once, however often it is delivered."""
-    return (
-        log.withColumn("event_time", F.col("created_at").cast("timestamp"))
-        .withWatermark("event_time", watermark)
-        .dropDuplicatesWithinWatermark(["query_id"])
-        .drop("event_time")
-    )
+
+def log_dedup_batch(out: str) -> Callable:
+    """A micro-batch step that saves only the query ids that no other batch has saved.
+
+    The saved log is cut to the batch's ids before anything else is done with it. However late an id comes, its first delivery is
+    kept and later ones are not; a replayed batch replaces what it wrote before.
+    """
+
+    def step(rows: DataFrame, batch: int) -> None:
+        columns = [c for c in rows.columns if c != "query_id"]
+        once = rows.groupBy("query_id").agg(F.min(F.struct(*columns)).alias("r")).select("query_id", "r.*").select(*rows.columns)
+        once = written(once, "delivered")
+        ids = broadcast_if_small(once.select("query_id"))
+        held = _saved_batches(rows.sparkSession, out, LOG_SCHEMA).where(F.col("batch") != batch).select("query_id")
+        held = written(held.join(ids, "query_id", "left_semi").distinct(), "held")
+        once.join(held, "query_id", "left_anti").write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    return step
 
 
-def run_log_dedup(spark: SparkSession, source: str, watermark: str = WATERMARK) -> DataFrame:
+def run_log_dedup(spark: SparkSession, source: str, files_per_batch: int = 1000) -> DataFrame:
     """Deliveries of log rows from a Parquet folder, each query id once."""
     out = fresh_path(spark, "log-dedup")
-    log = spark.readStream.schema(LOG_SCHEMA).parquet(source)
-    writer = log_dedup_stream(log, watermark).writeStream.outputMode("append").format("parquet").option("path", out)
-    available_now(writer, fresh_path(spark, "log-dedup-state"))
-    return spark.read.schema(LOG_SCHEMA).parquet(out)
+    log = spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    available_now(log.writeStream.foreachBatch(log_dedup_batch(out)), fresh_path(spark, "log-dedup-state"))
+    return _saved_batches(spark, out, LOG_SCHEMA).drop("batch")
 
 
 def store_missing_batch(embed: Callable[[DataFrame], DataFrame], path: str, created_at) -> Callable:
@@ -89,11 +104,15 @@ def store_missing_batch(embed: Callable[[DataFrame], DataFrame], path: str, crea
     def step(chunks: DataFrame, batch: int) -> None:
         rows = chunks.groupBy("table_name", "content_hash").agg(
             F.min(F.struct("chunk_id", "kind", "chunk_text")).alias("c")
-        ).select("table_name", "content_hash", "c.*").persist()
+        ).select("table_name", "content_hash", "c.*")
+        rows = written(rows, "arrived")
         keys = ["table_name", "content_hash"]
-        held = store_or_empty(chunks.sparkSession, path).join(broadcast_if_small(rows.select(*keys)), keys, "left_semi")
+        tables = [r[0] for r in rows.select("table_name").distinct().limit(PRUNED_TABLES + 1).collect()]
+        held = store_or_empty(chunks.sparkSession, path)
+        if len(tables) <= PRUNED_TABLES:  # then only their folders are opened
+            held = held.where(F.col("table_name").isin(tables))
+        held = held.join(broadcast_if_small(rows.select(*keys)), keys, "left_semi")
         append_store(store_rows(embed(missing_chunks(rows, held)), created_at), path, gather=True)
-        rows.unpersist()
 
     return step
 

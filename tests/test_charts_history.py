@@ -20,10 +20,10 @@ def _rows(df):
 def test_resolution(spark):
     df = spark.createDataFrame([(1, 2, 3)], "a int, b int, c int")
     one = spark.createDataFrame([(1,)], "a int")
-    assert ch.resolve_columns(df, ch.ChartSpec("bar", "?", "?", "?")) == ("a", "b", None)
-    assert ch.resolve_columns(df, ch.ChartSpec("bar", "c", "a", "b")) == ("c", "a", "b")
-    assert ch.resolve_columns(df, ch.ChartSpec("bar", "a", None)) is None
-    assert ch.resolve_columns(one, ch.ChartSpec("bar", "a", "?")) is None
+    assert ch.axes(df, ch.ChartSpec("bar", "?", "?", "?")) == {"x": "a", "y": "b", "color": None}
+    assert ch.axes(df, ch.ChartSpec("bar", "c", "a", "b")) == {"x": "c", "y": "a", "color": "b"}
+    assert ch.chart_columns(df, ch.ChartSpec("bar", "a", None)) is None
+    assert ch.chart_columns(one, ch.ChartSpec("bar", "a", "?")) is None
 
 
 @pytest.mark.parametrize("spec", [ch.ChartSpec("none", "a", "b"), ch.ChartSpec("radar", "a", "b"), ch.ChartSpec("heatmap", "a", "b"), ch.ChartSpec("bar")])
@@ -35,13 +35,18 @@ def test_no_chart_for_an_empty_result(spark):
     assert ch.chart_data(spark.createDataFrame([], "a int, b int"), ch.ChartSpec("bar", "a", "b")) is None
 
 
-def test_bar_gate(spark):
-    rows = [(i % 3 if i else None, float(i), "c") for i in range(25)]
+def test_bar_is_the_same_for_any_number_of_rows(spark):
+    rows = [(i % 3 if i else None, float(i), "c" if i % 2 else "d") for i in range(25)] + [(9, None, "c")]
     df = spark.createDataFrame(rows, "x int, y double, c string")
-    assert ch.bar(df, "x", "y", "c").columns == ["x", "y", "c"] and ch.bar(df, "x", "y", "c").count() == 25
-    more = df.unionByName(spark.createDataFrame([(9, None, "c")], df.schema))
-    got = {r.x: r.y for r in ch.bar(more, "x", "y", "c").collect()}
-    assert got == {i: float(sum(n for n in range(1, 25) if n % 3 == i)) for i in range(3)} | {9: 0.0}
+    for n in (25, 26):
+        few = spark.createDataFrame(rows[:n], df.schema)
+        assert ch.bar(few, "x", "y", "c").count() == n and set(ch.bar(few, "x", "y", "c").columns) == {"x", "y", "c"}
+    got = {(r.x, r.c): r.y for r in ch.bar(df, "x", "y", "c", rollup=True).collect()}
+    want = {}
+    for x, y, c in rows:
+        if x is not None:
+            want[x, c] = want.get((x, c), 0.0) + (y or 0.0)
+    assert got == want
 
 
 def test_line_sorts_time_only(spark):
@@ -57,6 +62,8 @@ def test_pie_histogram_heatmap(spark):
     assert _rows(ch.histogram(df, "v", 5, 20, 3)) == [(1, 1), (3, 1), (4, 1)]
     assert _rows(ch.heatmap_cells(df, "x", "y", "v")) == [(1.0, "a", 5.0), (1.0, "b", 15.0)]
     assert _rows(ch.heatmap(df, "x", "y", "v", ["a", "b"])) == [(1.0, 5.0, 15.0)]
+    with pytest.raises(Exception, match="not listed: b"):
+        ch.heatmap(df, "x", "y", "v", ["a"]).collect()
     assert sum(r.n_rows for r in ch.chart_data(df, ch.ChartSpec("histogram", "v", "y")).collect()) == 3
     plan = plan_of(ch.pie(df, "x", "y"))
     assert "NestedLoop" not in plan and "Window" not in plan
@@ -81,25 +88,49 @@ def test_relationship_join_and_text(spark):
         re.find_relationship(META, "Fact", "nope")
     routed = spark.createDataFrame([("q", "FACT"), ("q", "dim")], "query_id string, source string")
     assert re.relationship_info(routed, re.relationship_rows(spark, META)).first().relationship_info == lines[0].line
-    assert set(re.named_tables(["FACT", "none"], META)) == {"FACT"}
+
+
+def test_declared_join_types(spark):
+    fact = spark.createDataFrame([(1, "p"), (2, "q"), (None, "r")], "a int, v string")
+    dim = spark.createDataFrame([(1, "one"), (7, "no")], "x int, w string")
+
+    def joined(kind, *names):
+        declared = {"Fact": re.TableInfo("f", relationships=(re.Relationship("dim", (("a", "x"),), kind),))}
+        return _rows(re.join_by_relationship({"FACT": fact, "dim": dim}, declared, *names))
+
+    left = sorted([(1, "p", "one"), (2, "q", None), (None, "r", None)], key=str)
+    assert joined("LEFT JOIN", "fact", "DIM") == left and joined("left  outer join", "Fact", "dim") == left
+    assert joined("RIGHT JOIN", "Fact", "dim") == sorted([(1, "p", "one"), (7, None, "no")], key=str)
+    assert joined("LEFT JOIN", "dim", "Fact") == sorted([(1, "one", "p"), (2, None, "q"), (None, None, "r")], key=str)
+    assert len(joined("FULL OUTER JOIN", "Fact", "dim")) == 4
+    with pytest.raises(ValueError, match="CROSS"):
+        joined("CROSS JOIN", "Fact", "dim")
 
 
 def test_history(spark):
     log = spark.createDataFrame(
         [
-            ("q1", "one two three four five", dt.datetime(2025, 5, 3, 9)),
-            ("q2", "one two three four five six", dt.datetime(2025, 5, 3, 10)),
-            ("q3", "x", dt.datetime(2025, 5, 2, 1)),
-            ("q4", "x", dt.datetime(2025, 4, 2, 1)),
+            ("q1", "one two three four five", dt.datetime(2025, 5, 3, 9), "U1"),
+            ("q2", "one two three four five six", dt.datetime(2025, 5, 3, 10), "U1"),
+            ("q3", "x", dt.datetime(2025, 5, 2, 1), "U1"),
+            ("q4", "x", dt.datetime(2025, 4, 2, 1), "U1"),
         ],
-        "query_id string, query_text string, created_at timestamp_ntz",
+        "query_id string, query_text string, created_at timestamp_ntz, user_code string",
+    )
+    more = spark.createDataFrame(
+        [("q5", "of another", dt.datetime(2025, 5, 3, 11), "U2"), ("q6", "no answer", dt.datetime(2025, 5, 3, 12), "U1")], log.schema
+    )
+    given = spark.createDataFrame(
+        [(f"q{i}", dt.datetime(2025, 5, 4), "r", "x") for i in range(1, 6)],
+        "query_id string, created_at timestamp_ntz, response_id string, text_response string",
     )
-    panel = {r.query_id: (r.label, r.preview, r.place) for r in hi.history_panel(log, dt.date(2025, 5, 3)).collect()}
-    assert panel == {
-        "q1": ("Today", "one two three four five", 2),
-        "q2": ("Today", "one two three four five...", 1),
-        "q3": ("Yesterday", "x", 1),
-        "q4": ("2025-04-02", "x", 1),
+    rows = hi.history_panel(log.unionByName(more), given, dt.date(2025, 5, 3), 5).collect()
+    assert {r.query_id: (r.user_code, r.label, r.preview, r.place) for r in rows} == {
+        "q1": ("U1", "Today", "one two three four five", 2),
+        "q2": ("U1", "Today", "one two three four five...", 1),
+        "q3": ("U1", "Yesterday", "x", 1),
+        "q4": ("U1", "2025-04-02", "x", 1),
+        "q5": ("U2", "Today", "of another", 1),
     }
     assert [r.date for r in hi.history_dates(log).collect()] == ["2025-05-03", "2025-05-02", "2025-04-02"]
     assert hi.of_date(log, dt.date(2025, 5, 3)).count() == 2
@@ -133,9 +164,9 @@ def test_outcomes(spark):
 
 
 def test_preview_of_short_and_long_results(spark):
-    short = rs.result_preview(spark.range(10), ["id"])
-    assert _rows(short) == sorted((("all", i) for i in range(10)), key=str)
-    long = rs.result_preview(spark.range(11), ["id"])
+    short = rs.result_preview(spark.range(7), ["id"], 5, 5)
+    assert _rows(short) == sorted([("head", i) for i in range(5)] + [("tail", i) for i in (5, 6)], key=str)
+    long = rs.result_preview(spark.range(11), ["id"], 5, 5)
     assert _rows(long) == sorted([("head", i) for i in range(5)] + [("tail", i) for i in range(6, 11)], key=str)
 
 

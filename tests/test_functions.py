@@ -35,7 +35,7 @@ def test_every_white_space_character_is_pythons(spark):
 
 
 def test_preview(spark):
-    got = _values(spark, tx.text_preview(F.col("t")), [(t,) for t in TEXTS[:-1]])
+    got = _values(spark, tx.text_preview(F.col("t"), 5), [(t,) for t in TEXTS[:-1]])
     assert got == [" ".join(t.split()[:5]) + ("..." if len(t.split()) > 5 else "") for t in TEXTS[:-1]]
 
 
@@ -63,8 +63,8 @@ def test_row_text_shows_missing_cells(spark):
 
 def test_first_line_and_truncation(spark):
     long = "x" * 301
-    assert _values(spark, tx.first_line(F.col("t")), [("head\nrest",), ("y" * 60,)]) == ["head", "y" * 50]
-    assert _values(spark, tx.truncated(F.col("t")), [(long,), ("x" * 300,)]) == ["x" * 300 + "...", "x" * 300]
+    assert _values(spark, tx.first_line(F.col("t")), [("head\nrest",), ("y" * 60,)]) == ["head", "y" * 60]
+    assert _values(spark, tx.truncated(F.col("t"), 300), [(long,), ("x" * 300,)]) == ["x" * 300 + "...", "x" * 300]
 
 
 def test_final_response(spark):

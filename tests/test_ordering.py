@@ -2,12 +2,14 @@
 
 import random
 import statistics
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from shiftlens.plans import ordering, scratch
-from shiftlens.plans.ordering import exact_medians, numeric_profile, with_rank_in_group, with_row_index
+from shiftlens.operators.profiling import column_stats
+from shiftlens.plans import medians, ordering, scratch
+from shiftlens.plans.ordering import with_rank_in_group, with_row_index
 from shiftlens.plans.sizing import broadcast_if_small, is_longer_than, spread_small_scan
 from tests.conftest import plan_of
 
@@ -75,19 +77,48 @@ def test_rank_in_group_equals_row_number(spark):
     assert got == expected
 
 
-@pytest.mark.parametrize("limits", [(1_000_000, 1000), (50, 400)])
-def test_exact_medians(spark, limits):
+@pytest.mark.parametrize("few, accuracy", [(100_000, 10_000), (20, 50)])
+def test_exact_medians(spark, monkeypatch, few, accuracy):
+    monkeypatch.setattr(medians, "MEDIAN_VALUES", few)
+    monkeypatch.setattr(medians, "ACCURACY", accuracy)
     rng = random.Random(3)
     for n in (1, 2, 7, 1000, 5001):
         values = [rng.choice([5.0, rng.uniform(-10, 10), float(rng.randrange(4))]) for _ in range(n)]
         spread = [rng.uniform(0, 1) * 10 ** rng.randrange(-300, 300) for _ in range(n)]
         rows = [(x, None, 1, y) for x, y in zip(values, spread)]
         df = spark.createDataFrame(rows, "a double, b double, c int, `d.e` double").repartition(3)
-        profile = {r.column_name: r for r in numeric_profile(df).collect()}
-        got = exact_medians(df, {c: r.n_values for c, r in profile.items()}, *limits)
-        assert got == {"a": statistics.median(values), "c": 1.0, "d.e": statistics.median(spread)}
-        assert profile["a"].min == min(values) and profile["a"].max == max(values)
-        assert profile["b"].n_values == 0 and profile["b"].n_rows == n
+        got = {f.name: f for f in medians.column_facts(df)}
+        assert got["a"].median == statistics.median(values) and got["d.e"].median == statistics.median(spread)
+        assert got["c"].median == 1 and got["b"].median is None
+        assert got["a"].min == min(values) and got["a"].max == max(values)
+        assert got["b"].n_values == 0 and got["b"].n_rows == n
+
+
+def test_statistics_keep_every_digit(spark):
+    big = 9007199254740993
+    rows = [(big, Decimal("12345678901234567890123456789012345678"), 1e33, float("inf"), -big), (big + 2, Decimal(2), 1.0, 1.0, -big - 2)]
+    rows += [(big + 1, None, float("nan"), 2.0, -big - 1)]
+    df = spark.createDataFrame(rows, "a bigint, b decimal(38,0), c double, d double, e bigint")
+    got = {f.name: f for f in medians.column_facts(df)}
+    assert (got["a"].min, got["a"].max, got["a"].median, got["a"].mean) == (big, big + 2, big + 1, big + 1)
+    assert got["e"].median == -big - 1 and got["b"].median == Decimal("6172839450617283945061728394506172840")
+    assert (got["c"].max, got["d"].max, got["d"].median) == (1e33, float("inf"), 2.0)
+    text = {r.column_name: (r.min_text, r.max_text, r.mean_text, r.median_text) for r in column_stats(df).collect()}
+    assert text["a"] == (str(big), str(big + 2), f"{big + 1}.000000", f"{big + 1}.000000")
+    assert text["c"][1] == "1e+33" and text["d"] == ("1.000000", "Infinity", "Infinity", "2.000000")
+
+
+def test_statistics_take_three_scans(spark):
+    df = spark.range(0, 20_000, 1, 7).selectExpr("id", "rand(1) AS x", "cast(id % 7 AS int) AS k")
+    seen = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("statistics", "")
+    try:
+        medians.column_facts(df)
+        jobs = seen.getJobIdsForGroup("statistics")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    scans = {s for j in jobs for s in seen.getJobInfo(j).stageIds if seen.getStageInfo(s) and seen.getStageInfo(s).numTasks == 7}
+    assert len(scans) <= 3
 
 
 def test_size_checks(spark):

@@ -6,9 +6,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from shiftlens.operators import embedding
+from shiftlens.operators import embedding, retrieval
 from shiftlens.plans.scratch import fresh_path
-from shiftlens.sources import logs, store, tables
+from shiftlens.sources import logs, snapshots, store, tables
 from tests.conftest import plan_of
 
 NOW = dt.datetime(2025, 6, 1)
@@ -85,7 +85,7 @@ def test_json_decode_of_missing_values(spark):
 
 
 def test_pairing_keeps_failures_visible(spark, chunks, saved):
-    vectors = store.read_store(spark, saved).where("chunk_id <> 2").select("table_name", "chunk_id", "embedding")
+    vectors = store.read_store(spark, saved).where("chunk_id <> 2").select("table_name", "content_hash", "chunk_id", "embedding")
     paired = store.pair_vectors(chunks, vectors)
     assert sorted(r.chunk_id for r in paired.where("table_name = 'a'").collect()) == [0, 1, 3, 4, 5]
 
@@ -95,8 +95,8 @@ def test_stats_and_samples(spark, saved):
     stats = store.embedding_stats(held).first()
     assert (stats.num_chunks, stats.num_embeddings, stats.dimensions) == (7, 7, 8) and stats.avg_magnitude == 1.0
     assert {r.chunk_kind: r.n_chunks for r in store.chunk_kind_counts(held).collect()} == {"Data chunk:": 6, 'quote " tab\t é line': 1}
-    assert [r.chunk_id for r in store.chunk_samples(held).collect()] == [0, 1]
-    assert store.vector_samples(held, shown=5).first().n_more == 3
+    assert [r.chunk_id for r in store.chunk_samples(held, 2, 300).collect()] == [0, 1]
+    assert store.vector_samples(held, 1, 5).first().n_more == 3
     estimate = spark.createDataFrame([("t", [0.0] * 1536)] * 214, "table_name string, embedding array<double>")
     assert store.memory_estimate(estimate).first().size_mb == pytest.approx(1.25, abs=0.01)
 
@@ -114,10 +114,41 @@ def test_embed_batches_of_fifty_and_failures(spark):
         assert len(texts) <= 50
         if "t60" in texts:
             raise RuntimeError("no service")
-        return [[float(len(texts))] for _ in texts]
+        return [[float(len(texts))] for _ in texts][: 10 if "t110" in texts else None]
 
-    rows = embedding.embed_batches(df, embed).collect()
-    assert len(rows) == 180 and {r.embedding[0] for r in rows} == {50.0, 30.0}
+    embedded = embedding.embed_batches(df, embed)
+    rows = embedded.collect()
+    assert len(rows) == 230 and {r.embedding[0] for r in rows if r.embedding} == {50.0, 30.0}
+    assert {r.error: r.n_chunks for r in embedding.embedding_errors(embedded).collect()} == {"RuntimeError: no service": 50, "10 vectors for 50 texts": 50}
+    chunks = embedded.withColumns({c: F.lit("x") for c in ("table_name", "kind", "content_hash")}).withColumnRenamed("id", "chunk_id")
+    assert store.store_rows(chunks, dt.datetime(2025, 1, 1)).count() == 130
+
+
+def test_refresh_after_a_change_returns_each_chunk_once(spark):
+    path = fresh_path(spark, "store")
+
+    def chunks(texts):
+        rows = [("a", i, "data", t) for i, t in enumerate(texts)]
+        df = spark.createDataFrame(rows, "table_name string, chunk_id bigint, kind string, chunk_text string")
+        return df.withColumn("content_hash", F.sha2("chunk_text", 256))
+
+    embed = lambda d: embedding.embed_hashed(d, dims=8)
+    store.refresh_store(chunks(["one", "two", "two"]), path, embed, dt.datetime(2025, 1, 1))
+    now = store.refresh_store(chunks(["one", "changed", "two"]), path, embed, dt.datetime(2025, 1, 2))
+    assert sorted((r.chunk_id, r.chunk_text) for r in now.collect()) == [(0, "one"), (1, "changed"), (2, "two")]
+    hits = retrieval.retrieve_topk(embedding.embed_hashed(spark.createDataFrame([(1, "two changed")], "query_id int, t string"), "t", 8), now)
+    assert retrieval.with_chunk_text(hits, now).count() == 3
+
+
+def test_snapshots(spark):
+    root = fresh_path(spark, "versions")
+    assert snapshots.current_path(spark, root) is None
+    snapshots.write_snapshot(spark.range(5), root)
+    old = snapshots.read_snapshot(spark, root)
+    snapshots.write_snapshot(old.where("id > 2"), root)
+    assert old.count() == 5 and snapshots.read_snapshot(spark, root).count() == 2
+    snapshots.drop_old_versions(spark, root)
+    assert snapshots.read_snapshot(spark, root).count() == 2
 
 
 def test_sparse_cosine_equals_dense(spark, folder):
@@ -166,11 +197,11 @@ def test_json_and_csv_export(spark):
     df = spark.createDataFrame([(2, 'say "hi", ok', 1.5), (1, None, None)], "k int, s string, x double")
     back = tables.from_json_records(tables.json_records(df), df.schema)
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
-    assert tables.csv_preview(df, ["k"]).first()[0] == 'k,s,x\n1,,\n2,"say ""hi"", ok",1.5\n'
-    assert tables.csv_preview(df.limit(0), ["k"]).first()[0] == "k,s,x\n"
+    assert tables.csv_preview(df, ["k"], 10).first()[0] == 'k,s,x\n1,,\n2,"say ""hi"", ok",1.5\n'
+    assert tables.csv_preview(df.limit(0), ["k"], 10).first()[0] == "k,s,x\n"
 
 
 def test_scan_sample_is_a_bounded_top_n(spark):
-    sample = tables.scan_sample(spark.range(5000).select(F.col("id").alias("k")), ["k"])
+    sample = tables.scan_sample(spark.range(5000).select(F.col("id").alias("k")), ["k"], 1000)
     assert [r.k for r in sample.collect()] == list(range(1000))
     assert "TakeOrderedAndProject" in plan_of(sample)

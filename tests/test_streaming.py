@@ -20,22 +20,27 @@ def test_daily_totals_over_several_batches(spark, folder):
     assert got == sorted(map(tuple, batch.collect()))
 
 
-def test_late_lines_beyond_the_watermark_are_left_out(spark):
+def test_late_lines_and_deliveries_are_kept(spark):
+    """Three micro-batches, the last with rows that are 19 days late."""
     def line(day, n):
-        return (f"2025-05-{day:02d} 10:00:00", n, 0, 0, n)
+        return (f"2025-05-{day:02d} 02:00:00", n, 0, 0, n)
 
-    path, out = fresh_path(spark, "tokens"), fresh_path(spark, "out")
-    checkpoint = fresh_path(spark, "state")
-    schema = logs.TOKEN_SCHEMA
-    def save(df, batch):
-        df.withColumn("b", F.lit(batch)).write.mode("append").parquet(out)
+    path, batches = fresh_path(spark, "tokens"), ([line(1, 1)], [line(20, 2)], [line(1, 100), line(20, 5)])
+    for rows in batches:
+        logs.append_tokens(spark.createDataFrame(rows, logs.TOKEN_SCHEMA).coalesce(1), path)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        got = {r.day: (r.n_turns, r.total_tokens, r.max_tokens) for r in flows.run_token_daily(spark, path, files_per_batch=1).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == {"2025-05-01": (2, 101, 100), "2025-05-20": (2, 7, 5)}
 
-    for rows in ([line(1, 1)], [line(20, 2)], [line(1, 100), line(20, 5)]):
-        logs.append_tokens(spark.createDataFrame(rows, schema), path)
-        stream = flows.token_daily_stream(spark.readStream.schema(schema).json(path))
-        flows.available_now(stream.writeStream.outputMode("update").foreachBatch(save), checkpoint)
-    newest = spark.read.parquet(out).groupBy("day").agg(F.max_by("total_tokens", "b").alias("t"))
-    assert {r.day: r.t for r in newest.collect()} == {"2025-05-01": 1, "2025-05-20": 7}
+    path = fresh_path(spark, "deliveries")
+    for ids, day in ((["q1"], 1), (["q2"], 20), (["q3", "q1", "q3"], 1)):
+        rows = [(i, "r", "t", "x", "U", "P", dt.datetime(2025, 5, day), 0) for i in ids]
+        spark.createDataFrame(rows, logs.LOG_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    assert sorted(r.query_id for r in flows.run_log_dedup(spark, path, files_per_batch=1).collect()) == ["q1", "q2", "q3"]
 
 
 def test_each_query_id_once(spark, folder):
