@@ -1,10 +1,10 @@
 """Top chunks for batches of queries by cosine similarity, exact.
 
-A query batch of limited size is broadcast, and each task scores its rows of the store against it
-with one matrix product, keeping only the best k per query and source. What is shuffled is k rows
-per task, query and source; the pairs themselves are never written out, and a source that holds
-much of the store is spread over its tasks like any other. A larger query batch is worked off in
-blocks of the same limited size, one scan of the store each.
+Queries are dealt to blocks and the store to lanes, both of limited size, by hashes of their keys. A task
+scores one block against one lane with one matrix product, keeping only the best k per query and
+source. No query vector passes through the driver, and the plan is the same for any number of queries:
+a lane is shuffled once per block, a block once per lane. The pairs themselves are never written out,
+and a source that holds much of the store is spread over the lanes like any other.
 
 Scores are rounded before they are ranked; equal scores rank by source and chunk id.
 """
@@ -19,14 +19,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from shiftlens.functions.fixed import TOP_K
 from shiftlens.plans.ordering import with_row_index
-from shiftlens.plans.scratch import fresh_path, written
+from shiftlens.plans.scratch import written
 from shiftlens.plans.sizing import broadcast_if_small
 
 SCORE_DIGITS = 6
-BLOCK_BYTES = 32 * 1024 * 1024  # vectors of one broadcast query block
+BLOCK_BYTES = 32 * 1024 * 1024  # vectors of one block of queries
+LIST_COPIES = 16  # of the fallback list, so that many queries without a vector are spread
+LANE_ROWS = 20_000  # rows of the store that a block meets at once
 _TILE = 2_000_000  # scores worked out at once in a task
 _HELD = 4_000_000  # part results a task keeps before it passes them on
 
@@ -34,7 +37,7 @@ _NO_CHUNK = np.iinfo(np.int64).max
 
 
 def _unit_rows(vectors: pa.Array, dims: int) -> np.ndarray:
-    """Vectors scaled to length 1, as a matrix; missing, empty and zero vectors are zero rows.
+    """Vectors scaled to length 1, as a matrix; missing, empty, zero and non-finite vectors are zero rows.
 
     With no dimensions, which is a query batch without any vector, every row is empty.
     """
@@ -46,6 +49,7 @@ def _unit_rows(vectors: pa.Array, dims: int) -> np.ndarray:
     flat = pc.fill_null(pc.cast(vectors.flatten(), pa.float64()), 0.0).to_numpy(zero_copy_only=False)
     rows = np.zeros((len(lengths), dims))
     rows[lengths == dims] = flat.reshape(-1, dims)
+    rows[~np.isfinite(rows).all(axis=1)] = 0.0
     norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
@@ -90,8 +94,8 @@ def _merge(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], k
     return np.take_along_axis(scores, order, axis=0), np.take_along_axis(ids, order, axis=0)
 
 
-def _top_k_task(block, k: int) -> Callable:
-    """Arrow batches of the store to the best k rows per query and source of a task."""
+def _top_k_task(k: int) -> Callable:
+    """A block's queries and Arrow batches of the store to the best k rows per query and source of a task."""
     def rows(query_ids, source, scores, ids):
         held = ids != _NO_CHUNK
         _, query = np.nonzero(held)
@@ -101,8 +105,7 @@ def _top_k_task(block, k: int) -> Callable:
             names=["query_id", "source", "chunk_id", "score"],
         )
 
-    def run(batches):
-        query_ids, units = block.value
+    def run(query_ids, units, batches):
         best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for source, ids, scores in _scored_tiles(batches, units):
             found = _best(ids, scores, k)
@@ -116,16 +119,15 @@ def _top_k_task(block, k: int) -> Callable:
     return run
 
 
-def _summary_task(block) -> Callable:
-    """Arrow batches of the store to one summary row per query and source of a task."""
+def _summary_task() -> Callable:
+    """A block's queries and Arrow batches of the store to one summary row per query and source of a task."""
     def rows(query_ids, source, n, low, high, total):
         return pa.RecordBatch.from_arrays(
             [query_ids, pa.array([source] * len(n), pa.string()), pa.array(n), pa.array(low), pa.array(high), pa.array(total)],
             names=["query_id", "source", "n", "low", "high", "total"],
         )
 
-    def run(batches):
-        query_ids, units = block.value
+    def run(query_ids, units, batches):
         sums: dict[str, tuple[np.ndarray, ...]] = {}
         for source, ids, scores in _scored_tiles(batches, units):
             n = np.full(len(units), len(ids), dtype="int64")
@@ -142,39 +144,32 @@ def _summary_task(block) -> Callable:
     return run
 
 
-def _per_block(queries: DataFrame, store: DataFrame, search: Callable, block_bytes: int) -> DataFrame:
-    """Run ``search(store, broadcast block)`` over the query batch, block by block.
-
-    One block stays a lazy plan. Several are run one after the other into a scratch table, so the
-    driver never holds more than one.
-    """
-    spark = store.sparkSession
-    queries = queries.select("query_id", "embedding")
+def _per_block(queries: DataFrame, store: DataFrame, task: Callable, schema: T.StructType, block_bytes: int) -> DataFrame:
+    """``task`` for every block of queries and lane of the store, as one plan."""
+    queries = written(queries.select("query_id", "embedding"), "queries")
     n, dims = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
     rows = store.select(
         F.col("table_name").cast("string").alias("source"), F.col("chunk_id").cast("bigint").alias("chunk_id"), "embedding"
     )
-    per_block = max(1, block_bytes // (8 * max(1, dims)))
-
-    def broadcast(block: DataFrame):
-        table = block.toArrow().combine_chunks()
-        return spark.sparkContext.broadcast(
-            (table.column("query_id").chunk(0), _unit_rows(table.column("embedding").chunk(0), dims))
-        )
-
-    if n == 0:
-        return search(rows.where(F.lit(False)), None)
-    if n <= per_block:
-        return search(rows, broadcast(queries))
-    numbered = with_row_index(queries, ["query_id"], "__position")
-    path = fresh_path(spark, "query-blocks")
-    for start in range(0, n, per_block):
-        inside = (F.col("__position") >= start) & (F.col("__position") < start + per_block)
-        block = broadcast(numbered.where(inside).select("query_id", "embedding"))
-        found = search(rows, block)
-        found.write.mode("append").parquet(path)
-        block.unpersist()
-    return spark.read.schema(found.schema).parquet(path)
+    blocks = max(1, -(-n * 8 * max(1, dims) // block_bytes))
+    lanes = max(store.sparkSession.sparkContext.defaultParallelism, -(-store.count() // LANE_ROWS))
+
+    def run(_: tuple, block: pa.Table, lane: pa.Table) -> pa.Table:
+        ids = block.column("query_id").combine_chunks()
+        units = _unit_rows(block.column("embedding").combine_chunks(), dims)
+        if not len(ids) or not lane.num_rows:
+            return pa.Table.from_batches([], found)
+        parts = lane.select(["source", "chunk_id", "embedding"]).combine_chunks().to_batches(max_chunksize=LANE_ROWS)
+        return pa.Table.from_batches(list(task(ids, units, parts)), found)
+
+    found = to_arrow_schema(schema)
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn(
+        "lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))
+    )
+    spread = rows.withColumn("lane", F.pmod(F.xxhash64("source", "chunk_id"), F.lit(lanes)).cast("int")).withColumn(
+        "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
+    )
+    return dealt.groupBy("block", "lane").cogroup(spread.groupBy("block", "lane")).applyInArrow(run, schema)
 
 
 def topk_per_source(queries: DataFrame, store: DataFrame, k: int = TOP_K, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -192,15 +187,8 @@ def topk_per_source(queries: DataFrame, store: DataFrame, k: int = TOP_K, block_
         ]
     )
     order = Window.partitionBy("query_id", "source").orderBy(F.desc("score"), "chunk_id")
-
-    def search(rows: DataFrame, block) -> DataFrame:
-        return (
-            rows.mapInArrow(_top_k_task(block, k), schema)
-            .withColumn("rank", F.row_number().over(order))
-            .where(F.col("rank") <= k)
-        )
-
-    return _per_block(queries, store, search, block_bytes)
+    found = _per_block(queries, store, _top_k_task(k), schema, block_bytes)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def best_overall(hits: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -230,19 +218,13 @@ def score_summary(queries: DataFrame, store: DataFrame, block_bytes: int = BLOCK
         ]
     )
 
-    def search(rows: DataFrame, block) -> DataFrame:
-        return (
-            rows.mapInArrow(_summary_task(block), schema)
-            .groupBy("query_id", "source")
-            .agg(
-                F.sum("n").alias("n_pairs"),
-                F.min("low").alias("min_score"),
-                F.max("high").alias("max_score"),
-                F.round(F.sum("total") / F.sum("n"), 6).alias("mean_score"),
-            )
-        )
-
-    return _per_block(queries, store, search, block_bytes)
+    found = _per_block(queries, store, _summary_task(), schema, block_bytes)
+    return found.groupBy("query_id", "source").agg(
+        F.sum("n").alias("n_pairs"),
+        F.min("low").alias("min_score"),
+        F.max("high").alias("max_score"),
+        F.round(F.sum("total") / F.sum("n"), 6).alias("mean_score"),
+    )
 
 
 def retrieve_fallback(store: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -263,21 +245,22 @@ def retrieve_fallback(store: DataFrame, k: int = TOP_K) -> DataFrame:
 def retrieve_contexts(queries: DataFrame, store: DataFrame, k: int = TOP_K) -> DataFrame:
     """The k best chunks of each query; a query without a vector gets the first k of every table.
 
-    The fallback list, k rows per table, is one scalar value that the queries without a vector unfold.
+    The fallback rows, k per table, are a frame that the queries without a vector are joined with behind a size check.
     """
     has_vector = F.coalesce(F.size("embedding") > 0, F.lit(False))
     found = retrieve_topk(queries.where(has_vector), store, k)
-    rows = F.sort_array(F.collect_list(F.struct("source", "rank", "chunk_id")))
-    first = retrieve_fallback(store, k).agg(rows).scalar()
-    unfolded = queries.where(~has_vector).select("query_id", F.posexplode(first).alias("position", "c"))
-    listed = unfolded.select(
-        "query_id", "c.source", "c.chunk_id", F.lit(None).cast("double").alias("score"), (F.col("position") + 1).alias("rank")
+    first = retrieve_fallback(store, k).select("source", "chunk_id", F.col("rank").alias("__i"))
+    numbered = written(with_row_index(first, ["source", "__i"], "__position"), "fallback")
+    every = broadcast_if_small(numbered.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(LIST_COPIES - 1)))))
+    copy = F.pmod(F.xxhash64("query_id"), F.lit(LIST_COPIES)).cast("int").alias("__copy")
+    listed = queries.where(~has_vector).select("query_id", copy).join(every, "__copy").select(
+        "query_id", "source", "chunk_id", F.lit(None).cast("double").alias("score"), (F.col("__position") + 1).cast("int").alias("rank")
     )
     return found.unionByName(listed)
 
 
 def with_chunk_text(hits: DataFrame, store: DataFrame) -> DataFrame:
-    """Hits with their text, read only after the ranking.
+    """Hits with their text, read only after the ranking; ``store`` has each chunk once, as :func:`refresh_store` returns it.
 
     The hits are saved and counted first: a short list is broadcast so that the store is scanned in
     place, a long one is joined by shuffle.

@@ -117,7 +117,7 @@ def test_statistics_take_three_scans(spark):
         jobs = seen.getJobIdsForGroup("statistics")
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-    scans = {s for j in jobs for s in seen.getJobInfo(j).stageIds if seen.getStageInfo(s) and seen.getStageInfo(s).numTasks == 7}
+    scans = {s for j in jobs for s in seen.getJobInfo(j).stageIds if seen.getStageInfo(s) and seen.getStageInfo(s).numCompletedTasks == 7}
     assert len(scans) <= 3
 
 

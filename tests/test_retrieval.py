@@ -79,15 +79,13 @@ def test_small_tiles_give_the_same(frames, monkeypatch):
     )
     monkeypatch.setattr(r, "_TILE", 3 * len(units))
 
-    class Block:
-        value = (pa.array([q for q, _ in QUERIES]), units)
-
+    block = pa.array([q for q, _ in QUERIES]), units
     expected = sorted((w[0], w[1], w[2]) for w in whole)
-    rows = [x for out in r._top_k_task(Block, 3)([batch]) for x in out.to_pylist()]
+    rows = [x for out in r._top_k_task(3)(*block, [batch]) for x in out.to_pylist()]
     assert sorted((x["query_id"], x["source"], x["chunk_id"]) for x in rows) == expected
     # Passing part results on early only adds rows that lose later.
     monkeypatch.setattr(r, "_HELD", 100)
-    early = [x for out in r._top_k_task(Block, 3)([batch]) for x in out.to_pylist()]
+    early = [x for out in r._top_k_task(3)(*block, [batch]) for x in out.to_pylist()]
     assert len(early) > len(rows) and set(expected) <= {(x["query_id"], x["source"], x["chunk_id"]) for x in early}
 
 
@@ -116,6 +114,12 @@ def test_queries_without_any_vector_score_zero(spark, frames):
     ]
 
 
+def test_infinite_components_score_zero(spark, frames):
+    odd = frames[1].unionByName(spark.createDataFrame([("inf", 2000, [float("inf")] + [1.0] * 5)], frames[1].schema))
+    rows = r.topk_per_source(frames[0], odd, k=1).where("source = 'inf'").collect()
+    assert len(rows) == len(QUERIES) and {x.score for x in rows} == {0.0}
+
+
 def test_wrong_dimensions_are_an_error(spark, frames):
     odd = spark.createDataFrame([("q", [1.0, 2.0])], "query_id string, embedding array<double>")
     with pytest.raises(Exception, match="components"):
@@ -125,7 +129,7 @@ def test_wrong_dimensions_are_an_error(spark, frames):
 def test_plan_has_no_pair_join_and_limits_before_the_shuffle(frames):
     plan = plan_of(r.topk_per_source(*frames))
     assert "Cartesian" not in plan and "NestedLoop" not in plan
-    assert "WindowGroupLimit" in plan and "MapInArrow" in plan
+    assert "WindowGroupLimit" in plan and "FlatMapCoGroupsInArrow" in plan
     assert plan_of(r.retrieve_fallback(frames[1])).count("WindowGroupLimit") >= 2
 
 
