@@ -1,13 +1,22 @@
 """Every registered query equals its SQL counterpart on the smallest given tables."""
 
+import os
+import re
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import SMOKE_FOLDER, entry, oracle_sql, queries
 from shiftlens.catalog.oracles import ORACLES
 from shiftlens.catalog.queries import QUERIES
+from shiftlens.plans.scratch import drop_scratch
 from tools.check_queries import TABLES, _rows
 
+ROOT = Path(__file__).resolve().parents[1]
+
 
 @pytest.fixture(scope="module")
 def db(folder):
@@ -35,3 +44,24 @@ def test_query(spark, folder, db, name):
     names, rows = list(expected.columns), expected.fetchall()
     assert sorted(df.columns) == sorted(names)
     assert _rows(df.columns, got) == _rows(names, rows)
+
+
+def test_queries_run_after_scratch_is_dropped(spark, folder):
+    before = sorted(map(tuple, queries()["store_count"](spark, folder).collect()))
+    drop_scratch(spark)
+    assert sorted(map(tuple, queries()["store_count"](spark, folder).collect())) == before
+
+
+def test_workers_find_the_package_from_any_folder(tmp_path):
+    """A session of its own, started elsewhere, whose workers know nothing of this folder."""
+    code = (
+        "import importlib.util, sys\n"
+        f"spec = importlib.util.spec_from_file_location('__spark_entry__', {str(ROOT / '__spark_entry__.py')!r})\n"
+        "entry = importlib.util.module_from_spec(spec); spec.loader.exec_module(entry)\n"
+        "from pyspark.sql import SparkSession\n"
+        f"spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.warehouse.dir', {str(tmp_path)!r}).getOrCreate()\n"
+        f"print('rows', entry.queries()['topk_per_source'](spark, {SMOKE_FOLDER!r}).count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert re.search(r"rows \d+", out.stdout), out.stderr[-2000:]
