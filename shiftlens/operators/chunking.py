@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from shiftlens.functions.fixed import CHUNK_ROWS, DATA_HEADER, SCHEMA_HEADER, SCHEMA_LINE
 from shiftlens.functions.text import content_hash, row_text
-from shiftlens.operators.profiling import column_stats
+from shiftlens.operators.profiling import numeric_facts, stats_frame
+from shiftlens.plans.medians import ColumnStats
 from shiftlens.plans.ordering import with_row_index
-from shiftlens.sources.tables import numeric_columns
 
 TABLES_AT_ONCE = 4
 CHUNK_COLUMNS = ["table_name", "chunk_id", "kind", "chunk_text", "content_hash"]
@@ -57,24 +57,28 @@ def _chunks_before(n_rows: Column, size: int) -> Column:
     return F.ceil(n_rows / size).cast("bigint")
 
 
-def schema_chunk(df: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
-    """One chunk naming every column and its type; its id follows the data chunks."""
+def schema_chunk(df: DataFrame, size: int = CHUNK_ROWS, n_rows: int | None = None) -> DataFrame:
+    """One chunk naming every column and its type; its id follows the data chunks.
+
+    The rows are counted unless their number is given.
+    """
     lines = "".join(
         SCHEMA_LINE.format(column=f.name, type=f.dataType.simpleString()) + "\n" for f in df.schema.fields
     )
-    return df.agg(F.count(F.lit(1)).alias("n")).select(
+    counted = df.agg(F.count(F.lit(1)).alias("n")) if n_rows is None else df.sparkSession.range(1).select(F.lit(n_rows).alias("n"))
+    return counted.select(
         _chunks_before(F.col("n"), size).alias("chunk_id"),
         F.lit("schema").alias("kind"),
         F.lit(f"{SCHEMA_HEADER}\n{lines}").alias("chunk_text"),
     )
 
 
-def stats_chunks(df: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
-    """One chunk per numeric column with min, max, mean and median."""
+def stats_chunks(df: DataFrame, size: int = CHUNK_ROWS, facts: list[ColumnStats] | None = None) -> DataFrame:
+    """One chunk per numeric column with min, max, mean and median, worked out unless they are given."""
     parts = [("\nMin: ", "min_text"), (", Max: ", "max_text"), (", Mean: ", "mean_text"), (", Median: ", "median_text")]
     shown = [c for label, column in parts for c in (F.lit(label), F.col(column))]
     text = F.concat(F.lit("Stats for "), "column_name", F.lit(":"), *shown, F.lit("\n"))
-    return column_stats(df).select(
+    return stats_frame(df.sparkSession, numeric_facts(df) if facts is None else facts).select(
         (_chunks_before(F.col("n_rows"), size) + 1 + F.col("ordinal")).alias("chunk_id"),
         F.lit("stats").alias("kind"),
         text.alias("chunk_text"),
@@ -82,10 +86,11 @@ def stats_chunks(df: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
 
 
 def table_chunks(df: DataFrame, table_name: str, order_by: Sequence[str], size: int = CHUNK_ROWS) -> DataFrame:
-    """All chunks of a table with the hash of their content."""
-    parts = [data_chunks(df, order_by, size), schema_chunk(df, size)]
-    if numeric_columns(df):
-        parts.append(stats_chunks(df, size))
+    """All chunks of a table with the hash of their content; the statistics' scans also count its rows."""
+    facts = numeric_facts(df)
+    parts = [data_chunks(df, order_by, size), schema_chunk(df, size, facts[0].n_rows if facts else None)]
+    if facts:
+        parts.append(stats_chunks(df, size, facts))
     return reduce(DataFrame.unionByName, parts).select(
         F.lit(table_name).alias("table_name"), "chunk_id", "kind", "chunk_text",
         content_hash(F.col("chunk_text")).alias("content_hash"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from decimal import ROUND_HALF_UP, Decimal, localcontext
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftlens.functions.fixed import MISSING
@@ -35,8 +35,17 @@ def column_stats(df: DataFrame) -> DataFrame:
     As doubles, and as text that keeps every digit of large whole numbers and decimals. The scans run at
     once; what comes back is one row per column.
     """
-    facts = column_facts(select_numeric(df)) if numeric_columns(df) else []
-    return df.sparkSession.createDataFrame([_stats_row(i, f) for i, f in enumerate(facts)], STATS_SCHEMA)
+    return stats_frame(df.sparkSession, numeric_facts(df))
+
+
+def numeric_facts(df: DataFrame) -> list[ColumnStats]:
+    """Statistics of the numeric columns, for callers that need them for more than one frame."""
+    return column_facts(select_numeric(df)) if numeric_columns(df) else []
+
+
+def stats_frame(spark: SparkSession, facts: list[ColumnStats]) -> DataFrame:
+    """:func:`column_stats` from statistics that are known."""
+    return spark.createDataFrame([_stats_row(i, f) for i, f in enumerate(facts)], STATS_SCHEMA)
 
 
 def _stats_row(ordinal: int, facts: ColumnStats) -> tuple:
