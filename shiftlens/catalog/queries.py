@@ -149,8 +149,7 @@ def json_export(spark, folder):
     """Every column as JSON, and every column back from it."""
     customers = tables.load_table(spark, folder, "customer")
     rows = customers.withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(18,2)"))
-    back = F.from_json("record", rows.schema).alias("r")
-    read = tables.json_records(rows).select("record", back).select("record", "r.*")
+    read = tables.from_json_records(tables.json_records(rows), rows.schema)
     return read.withColumn("c_acctbal", F.col("c_acctbal").cast("double"))
 
 

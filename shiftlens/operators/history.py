@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftlens.functions.text import content_hash, text_preview
-from shiftlens.functions.times import created_or, date_text, iso_text, on_date, relative_date
+from shiftlens.functions.times import created_or, date_text, iso_text, relative_date
 from shiftlens.plans.ordering import with_rank_in_group
 
 MESSAGE_COLUMNS = ["role", "content", "id", "created_at"]
@@ -25,16 +25,6 @@ def user_messages(log: DataFrame) -> DataFrame:
     )
 
 
-def response_records(log: DataFrame) -> DataFrame:
-    """The responses of a log; data, chart and SQL are not kept in it."""
-    return log.select(
-        F.col("query_text").alias("user_query"),
-        "query_id",
-        "response_id",
-        F.col("response_text").alias("text_response"),
-    )
-
-
 def log_to_messages(log: DataFrame) -> DataFrame:
     """Question and response of each log row in one flat row."""
     return log.select(
@@ -68,11 +58,6 @@ def history_dates(log: DataFrame) -> DataFrame:
     return days.select(date_text(F.col("date")).alias("date"))
 
 
-def of_date(log: DataFrame, day: dt.date) -> DataFrame:
-    """Log rows of one date."""
-    return log.where(on_date(F.col("created_at"), day))
-
-
 def history_ranked(log: DataFrame) -> DataFrame:
     """Questions with their date and their place among their user's of that date, newest first."""
     rows = log.select("query_id", "user_code", "query_text", "created_at", date_text(F.col("created_at")).alias("date"))

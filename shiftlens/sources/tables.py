@@ -59,8 +59,8 @@ def json_records(df: DataFrame, name: str = "record") -> DataFrame:
 
 
 def from_json_records(records: DataFrame, schema: T.StructType, name: str = "record") -> DataFrame:
-    """Typed rows back from :func:`json_records`; the schema is given, never guessed again."""
-    return records.select(F.from_json(name, schema).alias("r")).select("r.*")
+    """Typed rows back from :func:`json_records`, beside their JSON; the schema is given, never guessed again."""
+    return records.select(name, F.from_json(name, schema).alias("r")).select(name, "r.*")
 
 
 def csv_preview(df: DataFrame, order_by: Sequence[str | Column], n: int) -> DataFrame:

@@ -133,7 +133,6 @@ def test_history(spark):
         "q5": ("U2", "Today", "of another", 1),
     }
     assert [r.date for r in hi.history_dates(log).collect()] == ["2025-05-03", "2025-05-02", "2025-04-02"]
-    assert hi.of_date(log, dt.date(2025, 5, 3)).count() == 2
     assert sorted((r.n_queries, r.first_query_id) for r in hi.query_dedup(log).collect()) == [(1, "q1"), (1, "q2"), (2, "q3")]
     responses = spark.createDataFrame(
         [("q1", dt.datetime(2025, 5, 4), "r-late", "late"), ("q1", dt.datetime(2025, 5, 3), "r-first", "first"), ("q9", dt.datetime(2025, 5, 3), "r", "x")],
