@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shiftlens.llm.batches import saved, small_batches
+from shiftlens.llm.batches import small_batches
 from shiftlens.llm.fingerprints import Words, mix, slices, words_of
 
 SHAPES, PAIRS, WORDS = 512, 1024, 512

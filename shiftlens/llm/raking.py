@@ -58,8 +58,8 @@ def _targets(cells: DataFrame, margin: str, given: DataFrame | None, temperature
     else:
         share = given.select(F.col(given.columns[0]).alias("value"), F.col(given.columns[1]).cast("double").alias("share"))
         wanted = sums.join(share, sums[margin].eqNullSafe(share["value"])).where("share > 0")
-    whole = wanted.agg(F.sum("share").alias("whole"))
-    return wanted.crossJoin(F.broadcast(whole)).select(F.col(margin).alias("value"), (F.col("share") / F.col("whole")).alias(f"target_{margin}"))
+    whole = wanted.agg(F.sum("share")).scalar()
+    return wanted.select(F.col(margin).alias("value"), (F.col("share") / whole).alias(f"target_{margin}"))
 
 
 def raked(
