@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ def _unit(df: DataFrame) -> DataFrame:
         for batch in batches:
             column = batch.column("embedding")
             flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            ends = np.cumsum(pa.compute.list_value_length(column).to_numpy())
+            ends = np.cumsum(pc.list_value_length(column).to_numpy())
             parts = [flat[a:z] for a, z in zip(np.r_[0, ends[:-1]], ends, strict=True)] if len(ends) else []
             vec = []
             for p in parts:
@@ -299,7 +300,7 @@ _NAMES = ["q", "vec", "ids", "scores", "done", "seen"]
 
 
 def nearest(
-    vectors: DataFrame, every: int = 50, k: int = 5, graph_k: int = 24, rounds: int = 2, beam: int = 256, walk: int = 12, reverse: int = 12
+    vectors: DataFrame, every: int = 50, k: int = 5, graph_k: int = 24, rounds: int = 2, beam: int = 256, walk: int = 6, reverse: int = 12
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found for each row whose ``vec_id`` divides by ``every``.
 
