@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftlens.plans.scratch import written
+from shiftlens.plans.scratch import fresh_path, written
 from shiftlens.plans.sizing import broadcast_if_small
 
 #: Vectors compared with each other in a cell at the start.
@@ -215,8 +215,13 @@ def neighbour_graph(points: DataFrame, k: int = 24, trees: int = 4, rounds: int
 _STATE = "q bigint, vec binary, ids array<bigint>, scores array<float>, done array<boolean>, seen binary"
 
 
-def _walk(graph: DataFrame, points: DataFrame, queries: DataFrame, reverse: int, beam: int, rounds: int) -> DataFrame:
-    """``q, ids``: the best nodes that greedy search finds for each query node (``q``), itself included."""
+def _walk(graph: DataFrame, points: DataFrame, queries: DataFrame, reverse: int, beam: int, rounds: int | None) -> DataFrame:
+    """``q, ids``: the best nodes that greedy search finds for each query node (``q``), itself included.
+
+    Each round expands every open node of every beam. A query with none left is done and leaves the
+    state, so late rounds carry only the queries that still move; the walk ends when none does, or
+    after ``rounds`` if a caller bounds it.
+    """
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,26 +286,34 @@ def _walk(graph: DataFrame, points: DataFrame, queries: DataFrame, reverse: int,
                 )
 
     adjacent = written(_links(graph, reverse).groupBy("node").agg(F.collect_list("other").alias("near")), "adjacent")
+    spark = points.sparkSession
+    ended = fresh_path(spark, "walked")
     state = written(queries.mapInArrow(begin, _STATE), "walk")
     vectors = broadcast_if_small(queries.select("q", F.col("vec").alias("qvec"), F.col("dims").alias("qdims")), 50_000)
-    for _ in range(rounds):
-        open_ends = state.select("q", F.explode(F.arrays_zip("ids", "done")).alias("e")).where("not e.done").select("q", F.col("e.ids").alias("node"))
-        if open_ends.isEmpty():
+    moves, turn = F.exists("done", lambda d: ~d), 0
+    while True:
+        moving = state.where(moves)
+        last = turn == rounds or moving.isEmpty()
+        (state if last else state.where(~moves)).select("q", "ids").write.parquet(f"{ended}/turn={turn}")
+        if last:
             break
+        open_ends = moving.select("q", F.explode(F.arrays_zip("ids", "done")).alias("e")).where("not e.done").select("q", F.col("e.ids").alias("node"))
         near = open_ends.join(adjacent, "node").groupBy("q").agg(F.collect_list("near").alias("near"))
-        pairs = near.join(state.select("q", "seen"), "q").mapInArrow(fresh, "q bigint, node bigint")
+        pairs = near.join(moving.select("q", "seen"), "q").mapInArrow(fresh, "q bigint, node bigint")
         measured = pairs.join(points, "node").join(vectors, "q").select("q", "node", "dims", "vec", "qvec", (F.col("dims") == F.col("qdims")).alias("same"))
         scored = measured.mapInArrow(score, "q bigint, node bigint, score float")
         new = scored.groupBy("q").agg(F.collect_list(F.struct("node", "score")).alias("new"))
-        state = written(state.join(new, "q", "left").mapInArrow(merge, _STATE), "walk")
-    return state.select("q", "ids")
+        state = written(moving.join(new, "q", "left").mapInArrow(merge, _STATE), "walk")
+        turn += 1
+        spark.sparkContext._jvm.System.gc()  # the driver lets go of the round's broadcasts, plans and shuffles
+    return spark.read.schema("q bigint, ids array<bigint>").parquet(ended).select("q", "ids")
 
 
 _NAMES = ["q", "vec", "ids", "scores", "done", "seen"]
 
 
 def nearest(
-    vectors: DataFrame, every: int = 50, k: int = 5, graph_k: int = 24, rounds: int = 2, beam: int = 256, walk: int = 6, reverse: int = 12
+    vectors: DataFrame, every: int = 50, k: int = 5, graph_k: int = 24, rounds: int = 2, beam: int = 256, walk: int | None = None, reverse: int = 12
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found for each row whose ``vec_id`` divides by ``every``.
 
@@ -308,7 +321,8 @@ def nearest(
     non-finite components take no part, nor do rows without a ``vec_id``; vectors of another length are
     no candidates for a query. Repeated rows count once. Scores are cosines in double precision on the
     original vectors; ties go to the smaller ``vec_id``, also among any number of equal vectors, of
-    which each needs only its ``k + 1`` smallest ids. Fewer candidates give fewer rows.
+    which each needs only its ``k + 1`` smallest ids. Fewer candidates give fewer rows. Searches go on
+    until their ``beam`` holds no unexpanded node; only a caller's ``walk`` ends them after so many rounds.
     """
     values = F.col("embedding").cast("array<double>")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))

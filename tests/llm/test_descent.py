@@ -62,6 +62,17 @@ def test_fewer_candidates_and_empty_table(spark):
     assert run(spark, rows[:1]) == [] and run(spark, []) == []
 
 
+def test_walks_end_only_when_nothing_is_open(spark):
+    """A chain of 16 links, each node naming the next, is walked to its end."""
+    angle = np.arange(17) * 0.1
+    unit = np.c_[np.cos(angle), np.sin(angle)].astype(np.float32)
+    points = spark.createDataFrame([(i, 2, bytearray(v.tobytes())) for i, v in enumerate(unit)], "node bigint, dims int, vec binary")
+    graph = spark.createDataFrame([(i, [i + 1], [0.9]) for i in range(16)], "node bigint, ids array<bigint>, scores array<float>")
+    queries = points.where("node in (0, 9)").withColumnRenamed("node", "q")
+    got = {r.q: set(r.ids) for r in module._walk(graph, points, queries, 0, 64, None).collect()}
+    assert got == {0: set(range(17)), 9: set(range(9, 17))}
+
+
 def test_recall_of_the_graph(spark, monkeypatch):
     monkeypatch.setattr(module, "CELL", 128)
     rows = vectors(1500, 24)
