@@ -3,14 +3,14 @@
 Equal vectors are one node. The graph begins with the best neighbours inside the cells of a few random
 hyperplane partitions. Each round of NN-descent joins a node's neighbours, reverse ones included, with
 their vectors: they are compared among themselves, and what beats a node's worst neighbour replaces
-it. A query walks the graph: its best unexpanded nodes are joined with their neighbours until none is
-left among the best ``beam``. The graph covers every vector; scores are made anew on the original
+it. A query walks the graph from its own node and from ``ENTRIES`` nodes of its length chosen by hash, so
+that a node that the graph ties to nothing, or to a few, still meets the others: its best unexpanded
+nodes are joined with their neighbours until none is left among the best ``beam``. The graph covers every vector; scores are made anew on the original
 vectors at the end.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +24,9 @@ from shiftlens.plans.sizing import broadcast_if_small
 
 #: Vectors compared with each other in a cell at the start.
 CELL = 512
+#: Nodes of each length that every search of that length also starts from. A length with no more nodes
+#: than this is compared whole.
+ENTRIES = 32
 
 
 def _unit(df: DataFrame) -> DataFrame:
@@ -69,16 +72,20 @@ def _graph_batch(nodes, ids: list[np.ndarray], scores: list[np.ndarray]) -> pa.R
 _GRAPH = "node bigint, ids array<bigint>, scores array<float>"
 
 
-def _cells(points: DataFrame, count: int, trees: int, k: int, seed: int) -> DataFrame:
-    """The best neighbours of each node inside its cells, one row per node and partition."""
-    levels = max(0, math.ceil(math.log2(max(1, count / CELL))))
+def _cells(points: DataFrame, trees: int, k: int, seed: int) -> DataFrame:
+    """The best neighbours of each node inside its cells, one row per node and partition.
+
+    Each length has as many planes as its own number of nodes asks for.
+    """
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column("dims").to_numpy()
             out = []
+            planned = batch.column("levels").to_numpy()
             for d in np.unique(dims):
                 rows = np.flatnonzero(dims == d)
+                levels = int(planned[rows[0]])
                 vec = np.stack([np.frombuffer(batch.column("vec")[int(r)].as_py(), np.float32) for r in rows])
                 for tree in range(trees):
                     planes = np.random.default_rng([seed, tree, int(d)]).normal(size=(int(d), levels)).astype(np.float32)
@@ -110,7 +117,9 @@ def _cells(points: DataFrame, count: int, trees: int, k: int, seed: int) -> Data
             scores += list(np.take_along_axis(s, top, 1))
         return pa.Table.from_batches([_graph_batch(node, ids, scores)])
 
-    placed = written(points.mapInArrow(place, "tree int, dims int, code bigint, node bigint, vec binary"), "cells")
+    levels = F.greatest(F.lit(0.0), F.ceil(F.log2(F.count("*") / F.lit(float(CELL))))).cast("int").alias("levels")
+    planned = points.join(broadcast_if_small(points.groupBy("dims").agg(levels)), "dims")
+    placed = written(planned.mapInArrow(place, "tree int, dims int, code bigint, node bigint, vec binary"), "cells")
     sizes = placed.groupBy("tree", "dims", "code").agg(F.ceil(F.count("*") / F.lit(2.0 * CELL)).cast("int").alias("parts"))
     cut = placed.join(broadcast_if_small(sizes), ["tree", "dims", "code"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")))
     return cut.groupBy("tree", "dims", "code", "part").applyInArrow(join, _GRAPH)
@@ -203,7 +212,7 @@ def neighbour_graph(points: DataFrame, k: int = 24, trees: int = 4, rounds: int
     Rounds end early when they change nothing.
     """
     count = points.count()
-    graph = written(_merged(_cells(points, count, trees, k, seed), k), "graph")
+    graph = written(_merged(_cells(points, trees, k, seed), k), "graph")
     if count <= CELL:
         return graph  # every pair has been compared
     small = written(_small(points), "small")
@@ -215,7 +224,14 @@ def neighbour_graph(points: DataFrame, k: int = 24, trees: int = 4, rounds: int
 _STATE = "q bigint, vec binary, ids array<bigint>, scores array<float>, done array<boolean>, seen binary"
 
 
-def _walk(graph: DataFrame, points: DataFrame, queries: DataFrame, reverse: int, beam: int, rounds: int | None) -> DataFrame:
+def _entries(points: DataFrame, entries: int) -> DataFrame:
+    """``dims, node, vec``: the ``entries`` nodes of each length with the smallest hashes."""
+    order = Window.partitionBy("dims").orderBy(F.xxhash64("node", F.lit("entry")), "node")
+    chosen = points.select("dims", "node").withColumn("n", F.row_number().over(order)).where(F.col("n") <= entries)
+    return points.join(broadcast_if_small(chosen.select("node")), "node").select("dims", "node", "vec")
+
+
+def _walk(graph: DataFrame, points: DataFrame, queries: DataFrame, reverse: int, beam: int, rounds: int | None, entries: int = ENTRIES) -> DataFrame:
     """``q, ids``: the best nodes that greedy search finds for each query node (``q``), itself included.
 
     Each round expands every open node of every beam. A query with none left is done and leaves the
@@ -225,12 +241,22 @@ def _walk(graph: DataFrame, points: DataFrame, queries: DataFrame, reverse: int,
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            q = batch.column("q").to_numpy()
+            if not batch.num_rows:
+                continue
+            ids, scores = [], []
+            for q, vec, name, other in zip(*(batch.column(c) for c in ("q", "vec", "entry", "other")), strict=True):
+                one = np.frombuffer(vec.as_py(), np.float32)
+                every = name.values.to_numpy(zero_copy_only=False) if name.is_valid else np.zeros(0, np.int64)
+                worth = np.frombuffer(b"".join(other.as_py() or ()), np.float32).reshape(len(every), len(one)) @ one
+                here = every != q.as_py()
+                every, worth = np.r_[q.as_py(), every[here]], np.r_[np.float32(1), worth[here]]
+                order = np.r_[0, 1 + np.lexsort((every[1:], -worth[1:]))][:beam]
+                ids.append(every[order])
+                scores.append(worth[order])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("q"), batch.column("vec"), _lists([q[i : i + 1] for i in range(len(q))], pa.int64()),
-                    _lists([np.ones(1, np.float32)] * len(q), pa.float32()), _lists([np.zeros(1, bool)] * len(q), pa.bool_()),
-                    pa.array([q[i : i + 1].astype(np.uint32).tobytes() for i in range(len(q))], pa.binary()),
+                    batch.column("q"), batch.column("vec"), _lists(ids, pa.int64()), _lists(scores, pa.float32()),
+                    _lists([np.zeros(len(i), bool) for i in ids], pa.bool_()), pa.array([i.astype(np.uint32).tobytes() for i in ids], pa.binary()),
                 ],
                 _NAMES,
             )
@@ -288,7 +314,8 @@ def _walk(graph: DataFrame, points: DataFrame, queries: DataFrame, reverse: int,
     adjacent = written(_links(graph, reverse).groupBy("node").agg(F.collect_list("other").alias("near")), "adjacent")
     spark = points.sparkSession
     ended = fresh_path(spark, "walked")
-    state = written(queries.mapInArrow(begin, _STATE), "walk")
+    doors = written(_entries(points, entries).groupBy("dims").agg(F.collect_list("node").alias("entry"), F.collect_list("vec").alias("other")), "entries")
+    state = written(queries.join(broadcast_if_small(doors, 1000), "dims", "left").mapInArrow(begin, _STATE), "walk")
     vectors = broadcast_if_small(queries.select("q", F.col("vec").alias("qvec"), F.col("dims").alias("qdims")), 50_000)
     moves, turn = F.exists("done", lambda d: ~d), 0
     while True:
@@ -337,7 +364,8 @@ def nearest(
     graph = neighbour_graph(points, graph_k, rounds=rounds, reverse=reverse)
     asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "node").distinct()
     queries = written(points.join(asked.select("node").distinct(), "node").withColumnRenamed("node", "q"), "queries")
-    found = _walk(graph, points, queries, reverse, beam, walk)
+    # with k + 1 entries and as wide a beam, every query has k others wherever its length has as many
+    found = _walk(graph, points, queries, reverse, max(beam, k + 1), walk, max(ENTRIES, k + 1))
     near = found.select("q", F.explode(F.slice("ids", 1, 4 * k + 4)).alias("node"))
     scored = (
         near.join(different, "node")

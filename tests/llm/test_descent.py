@@ -69,10 +69,24 @@ def test_walks_end_only_when_nothing_is_open(spark):
     points = spark.createDataFrame([(i, 2, bytearray(v.tobytes())) for i, v in enumerate(unit)], "node bigint, dims int, vec binary")
     graph = spark.createDataFrame([(i, [i + 1], [0.9]) for i in range(16)], "node bigint, ids array<bigint>, scores array<float>")
     queries = points.where("node in (0, 9)").withColumnRenamed("node", "q")
-    got = {r.q: set(r.ids) for r in module._walk(graph, points, queries, 0, 64, None).collect()}
+    got = {r.q: set(r.ids) for r in module._walk(graph, points, queries, 0, 64, None, 0).collect()}
     assert got == {0: set(range(17)), 9: set(range(9, 17))}
 
 
+def test_every_query_has_k_rows(spark, monkeypatch):
+    """A query off the bulk, and one of a rare length, whose cells hold too few others."""
+    monkeypatch.setattr(module, "CELL", 16)
+    rng = np.random.default_rng(3)
+    bulk = rng.normal(size=(900, 8)) * 0.05 + np.eye(8)[0]
+    rows = [(i + 1001, [float(x) for x in v.astype(np.float32)]) for i, v in enumerate(bulk) if (i + 1001) % 50]
+    rows += [(50, [-1.0, 0.1] + [0.0] * 6), (51, [-1.0, 0.0] + [0.0] * 6), (100, [0.0, 0.0, -1.0] + [0.0] * 5)]
+    rows += [(10_000 + 10 * i, [float(x) for x in v.astype(np.float32)]) for i, v in enumerate(rng.normal(size=(30, 5)))]
+    got = run(spark, rows)
+    same([g for g in got if g[0] >= 10_000], [p for p in plain(rows) if p[0] >= 10_000])
+    assert [g[:2] for g in got] == [p[:2] for p in plain(rows)]
+    assert (50, 1, 51) in {g[:3] for g in got}
+
+
 def test_recall_of_the_graph(spark, monkeypatch):
     monkeypatch.setattr(module, "CELL", 128)
     rows = vectors(1500, 24)
