@@ -1,7 +1,7 @@
 """URL filter: rules first, then words of the host name and path scored by naive Bayes.
 
 Host names run words together. A unigram Viterbi search cuts them at the most likely places; the
-counts come from the hosts of the table itself and a short list of common words. A multinomial naive
+counts come from the pieces that other host names of the table set apart, and a short list of common words. A multinomial naive
 Bayes model over the words of host and path is fitted on all rows, with labels from a list of telling
 words, and judges every url that no rule fits.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: Words kept for cutting, and tokens kept in the model: the most frequent ones of the whole table.
 VOCABULARY = 50_000
 MODEL_TOKENS = 50_000
-#: A listed word counts as often as this in the unigram model, and in the class that it tells.
+#: A listed word counts at least as often as this in the unigram model, and in the class that it tells.
 LISTED_COUNT = 1000
 LISTED_EXAMPLES = 20
 #: Tokens of the background that are added to either class.
@@ -74,36 +74,34 @@ def rule_for(rules: tuple[tuple[str, str, str], ...] = RULES) -> F.Column:
 
 
 class Segmenter:
-    """Cuts a run of letters into the words that make it most likely."""
-
-    def __init__(self, counts: dict[str, int]):
-        self.counts = Counter(counts)
-        for word in (*TELLING, *COMMON):
-            self.counts[word] += LISTED_COUNT
-        self.total = math.log(sum(self.counts.values()))
-        self.longest = max(map(len, self.counts), default=1)
-        self.known: dict[str, tuple[str, ...]] = {}
-
-    def cut(self, run: str) -> tuple[str, ...]:
-        """The words of a run; recent runs are remembered."""
-        words = self.known.get(run)
-        if words is None:
-            if len(self.known) > 50_000:
-                self.known.clear()
-            words = self.known[run] = self._cut(run)
-        return words
-
-    def _cost(self, word: str) -> float:
-        count = self.counts.get(word)
+    """Cuts a run of letters into the words that make it most likely.
+
+    ``counts`` are words with their counts. ``total`` is the sum of all counts, where ``counts`` holds
+    only some, and ``longest`` the most letters of a word. A listed word counts at least as often as the mean
+    listed word must for all of them to make up half of the total, so that the size of the table does
+    not decide whether listed words are found.
+    """
+
+    def __init__(self, counts: dict[str, int], total: int | None = None, longest: int = 0):
+        self.counts = counts
+        every = sum(counts.values()) if total is None else total
+        self.listed = max(LISTED_COUNT, every / len(_LISTED))
+        self.total = math.log(every + self.listed * len(_LISTED))
+        self.longest = max(longest, *map(len, _LISTED), *map(len, counts)) if counts else max(longest, *map(len, _LISTED))
+
+    def _cost(self, word: str, counts: dict[str, int]) -> float:
+        count = counts.get(word, 0) + (self.listed if word in _LISTED else 0)
         # an unknown word is less likely the longer it is
         return self.total - math.log(count) if count else self.total + 2.3 * len(word)
 
-    def _cut(self, run: str) -> tuple[str, ...]:
+    def cut(self, run: str, counts: dict[str, int] | None = None) -> tuple[str, ...]:
+        """The words of a run; ``counts`` stands for the counts of all words that are in it."""
+        counts = self.counts if counts is None else counts
         best: list[tuple[float, int]] = [(0.0, 0)]
         for end in range(1, len(run) + 1):
             low = max(0, end - self.longest)
-            whole = (self._cost(run[:end]), 0) if low else (math.inf, 0)
-            best.append(min([whole, *((best[k][0] + self._cost(run[k:end]), k) for k in range(low, end))]))
+            whole = (self.total + 2.3 * end, 0) if low else (math.inf, 0)
+            best.append(min([whole, *((best[k][0] + self._cost(run[k:end], counts), k) for k in range(low, end))]))
         words, at = [], len(run)
         while at:
             words.append(run[best[at][1] : at])
@@ -129,13 +127,42 @@ def _telling(tokens: list[str]) -> bool:
 
 
 _TOLD = frozenset(TELLING)
+_LISTED = frozenset((*TELLING, *COMMON))
+
+
+def _made_of_listed(run: str) -> bool:
+    """Whether a run that is not listed itself is listed words set together."""
+    reached = {0}
+    for end in range(1, len(run) + 1):
+        if any(run[k:end] in _LISTED for k in range(max(0, end - _LONGEST), end) if k in reached):
+            reached.add(end)
+    return run not in _LISTED and len(run) in reached
+
+
+_LONGEST = max(map(len, _LISTED))
+
+
+def vocabulary_of(urls: DataFrame) -> DataFrame:
+    """``word, n``: delimited pieces of host names, with the number of other names that have each.
+
+    A name is a label with all that follows it in the host: ``a.shop.com`` and ``b.shop.com`` have
+    ``shop`` in one name, ``shop.com``. No run is a word by its own name alone, however many hosts are
+    below that, nor is one that listed words make up.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [not _made_of_listed(w) for w in batch.column("word").to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    labels = urls.select("host").distinct().select(F.split(F.lower("host"), r"\.").alias("labels")).select("labels", F.posexplode("labels").alias("at", "label"))
+    names = labels.select("label", F.array_join(F.slice("labels", F.col("at") + 1, F.size("labels")), ".").alias("name")).distinct()
+    pieces = names.select("name", F.explode(F.array_distinct(F.split("label", r"[^\p{L}]+"))).alias("word")).where("word <> ''").distinct()
+    return pieces.groupBy("word").agg((F.count("*") - 1).alias("n")).where("n > 0").mapInArrow(run, "word string, n bigint")
 
 
 def segmenter_for(urls: DataFrame, vocabulary: int = VOCABULARY) -> Segmenter:
-    """Unigram counts over the different hosts: a piece counts once for each host that has it."""
-    pieces = urls.select("host").distinct().select(F.explode(F.array_distinct(F.split(F.lower("host"), r"[^\p{L}]+"))).alias("word"))
-    counted = pieces.where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
-    return Segmenter({r["word"]: r["n"] for r in counted.orderBy(F.col("n").desc(), "word").limit(vocabulary).collect()})
+    return Segmenter({r["word"]: r["n"] for r in vocabulary_of(urls).orderBy(F.col("n").desc(), "word").limit(vocabulary).collect()})
 
 
 class Bayes:

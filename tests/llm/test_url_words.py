@@ -1,6 +1,6 @@
 """Rules, word cutting and the model behind the URL filter."""
 
-from shiftlens.llm.url_words import RULES, Segmenter, judge_urls
+from shiftlens.llm.url_words import RULES, Segmenter, judge_urls, vocabulary_of
 
 SCHEMA = "page_id bigint, url string, rule string"
 
@@ -54,5 +54,19 @@ def test_cutting():
     assert s.cut("cheappills") == ("cheap", "pills") and s.cut("tionsh") == ("tionsh",) and s.cut("onlinecasinowin") == ("online", "casino", "win")
 
 
+def test_names_do_not_vouch_for_themselves(spark):
+    """Three words run together, and one name under many subdomains or endings, are cut all the same."""
+    good = [f"http://{n}.example.org/en/{i}" for i, n in enumerate(["thegarden", "citybooks", "ththre", "www.tionsh", "m.ther"] * 40)]
+    bad = ["http://onlinecasinowin.org/"] + [f"http://s{i}.cheappills.org/" for i in range(40)] + [f"http://freebets.e{i}.org/" for i in range(20)]
+    got = _judged(spark, good + bad)
+    assert {got[i][3] for i in range(len(good))} == {"allow"}
+    assert {got[len(good) + i][3] for i in range(len(bad))} == {"block"}
+
+
+def test_words_of_other_names_stay_whole(spark):
+    pages = spark.createDataFrame([(f"essex.{c}.org",) for c in "abc"] + [("essex.org",)], "host string")
+    assert {r.word: r.n for r in vocabulary_of(pages).collect()} == {"essex": 3}
+
+
 def test_empty_table(spark):
     assert judge_urls(spark.createDataFrame([], SCHEMA)).count() == 0
