@@ -1,25 +1,25 @@
 """URL filter: rules first, then words of the host name and path scored by naive Bayes.
 
 Host names run words together. A unigram Viterbi search cuts them at the most likely places; the
-counts come from the pieces that other host names of the table set apart, and a short list of common words. A multinomial naive
-Bayes model over the words of host and path is fitted on all rows, with labels from a list of telling
-words, and judges every url that no rule fits.
+counts come from the pieces that other host names of the table set apart, and a short list of common
+words. A multinomial naive Bayes model over the words of host and path is fitted on all rows, with
+labels from a list of telling words, and judges every url that no rule fits. Runs of any length are
+cut, and all words and tokens count: they are joined in Spark, not held by the driver.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words kept for cutting, and tokens kept in the model: the most frequent ones of the whole table.
-VOCABULARY = 50_000
-MODEL_TOKENS = 50_000
+from shiftlens.plans.scratch import written
+from shiftlens.plans.sizing import broadcast_if_small
+
 #: A listed word counts at least as often as this in the unigram model, and in the class that it tells.
 LISTED_COUNT = 1000
 LISTED_EXAMPLES = 20
@@ -77,7 +77,7 @@ class Segmenter:
     """Cuts a run of letters into the words that make it most likely.
 
     ``counts`` are words with their counts. ``total`` is the sum of all counts, where ``counts`` holds
-    only some, and ``longest`` the most letters of a word. A listed word counts at least as often as the mean
+    only some, and ``longest`` the most letters of a word. A listed word counts as often as the mean
     listed word must for all of them to make up half of the total, so that the size of the table does
     not decide whether listed words are found.
     """
@@ -108,23 +108,6 @@ class Segmenter:
             at = best[at][1]
         return tuple(reversed(words))
 
-    def tokens(self, host: str, path: str) -> list[str]:
-        """Words of host and path, told apart by a prefix; a number is one token whatever its value."""
-        out = []
-        for side, text in (("h", host), ("p", path)):
-            for piece in _PIECE.findall(text.lower()):
-                if piece.isdigit():
-                    out.append(f"{side}:#")
-                elif len(piece) <= 64:
-                    out += [f"{side}:{word}" for word in self.cut(piece)]
-                else:
-                    out.append(f"{side}:{piece[:64]}")
-        return out
-
-
-def _telling(tokens: list[str]) -> bool:
-    return any(t[2:] in _TOLD for t in tokens if t[0] == "h")
-
 
 _TOLD = frozenset(TELLING)
 _LISTED = frozenset((*TELLING, *COMMON))
@@ -161,58 +144,95 @@ def vocabulary_of(urls: DataFrame) -> DataFrame:
     return pieces.groupBy("word").agg((F.count("*") - 1).alias("n")).where("n > 0").mapInArrow(run, "word string, n bigint")
 
 
-def segmenter_for(urls: DataFrame, vocabulary: int = VOCABULARY) -> Segmenter:
-    return Segmenter({r["word"]: r["n"] for r in vocabulary_of(urls).orderBy(F.col("n").desc(), "word").limit(vocabulary).collect()})
+def _pieces(pairs: DataFrame) -> DataFrame:
+    """``pair, n, at, side, piece``: runs of letters in host and path; a number is one piece whatever its value."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row, texts in enumerate(zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)):
+                found = [(side, "#" if p.isdigit() else p) for side, text in zip("hp", texts, strict=True) for p in _PIECE.findall(text.lower())]
+                rows += [(row, at, side, piece) for at, (side, piece) in enumerate(found)]
+            take = pa.array([r for r, *_ in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("pair").take(take), batch.column("n").take(take), pa.array([r[1] for r in rows], pa.int32()),
+                    pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.string()),
+                ],
+                ["pair", "n", "at", "side", "piece"],
+            )
 
-class Bayes:
-    """Log odds of ``block``; tokens that the model does not hold tell nothing."""
+    return pairs.mapInArrow(run, "pair bigint, n bigint, at int, side string, piece string")
 
-    def __init__(self, counts: dict[str, tuple[int, int]], totals: tuple[int, int], rows: tuple[int, int]):
-        listed = {f"h:{w}": LISTED_EXAMPLES for w in TELLING}
-        every = {*counts, *listed}
-        whole = sum(totals) + len(every)
 
-        def share(count: int, total: int, token: str) -> float:
-            # smoothed towards the token's share of all rows, so that everyday words tell nothing
-            return math.log((count + SMOOTHING * (sum(counts.get(token, (0, 0))) + 1) / whole) / (total + SMOOTHING))
+def cut_runs(runs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``piece, words``: each run cut with the whole vocabulary, whose words in the run are found by a join."""
+    size = vocabulary.agg(F.sum("n").alias("total"), F.max(F.char_length("word")).alias("longest")).first()
+    segmenter = Segmenter({}, size["total"] or 0, size["longest"] or 0)
+    most = size["longest"] or 0
 
-        self.odds = {}
-        for t in every:
-            (block, allow), told = counts.get(t, (0, 0)), listed.get(t, 0)
-            self.odds[t] = share(block + told, totals[0] + told, t) - share(allow, totals[1], t)
-        self.prior = math.log((rows[0] + 1) / (rows[1] + 1))
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, run in zip(batch.column("run").to_pylist(), batch.column("piece").to_pylist(), strict=True):
+                inside = list({run[i:j] for i in range(len(run)) for j in range(i + 1, min(len(run), i + most) + 1)})
+                for low in range(0, len(inside), 10_000):
+                    some = inside[low : low + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([at] * len(some), pa.int64()), pa.array(some, pa.string())], ["run", "word"])
 
-    def score(self, tokens: list[str]) -> float:
-        """A url without words is allowed."""
-        return self.prior + sum(self.odds.get(t, 0.0) for t in tokens) if tokens else -math.inf
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = batch.column("piece").to_pylist()
+            known = [{w["word"]: w["n"] for w in words or ()} for words in batch.column("known").to_pylist()]
+            words = [["#"] if run == "#" else segmenter.cut(run, counts) for run, counts in zip(runs, known, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("piece"), pa.array(words, pa.list_(pa.string()))], ["piece", "words"])
 
+    inside = runs.mapInArrow(parts, "run bigint, word string").join(broadcast_if_small(vocabulary), "word")
+    known = inside.groupBy("run").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    return runs.join(known, "run", "left").select("piece", "known").mapInArrow(cut, "piece string, words array<string>")
 
-def fit(urls: DataFrame, segmenter: Segmenter, size: int = MODEL_TOKENS) -> Bayes:
-    """Counts over all rows, summed in the tasks first; the ``size`` most frequent tokens are kept."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: Counter[tuple[str, int]] = Counter()
-            for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True):
-                tokens = segmenter.tokens(host, path)
-                told = 0 if _telling(tokens) else 1
-                seen.update((t, told) for t in tokens)
-                seen["", told] += 1
-            rows = list(seen.items())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([t for (t, _), _ in rows], pa.string()), pa.array([n if not c else 0 for (_, c), n in rows], pa.int64()), pa.array([n if c else 0 for (_, c), n in rows], pa.int64())],
-                ["token", "block", "allow"],
-            )
+def token_odds(tokens: DataFrame, rows: tuple[int, int]) -> tuple[DataFrame, float]:
+    """``side, word, odds`` of all tokens (``side, word, block, allow``), and the log odds of any row."""
+    listed = (F.col("side") == "h") & F.col("word").isin(*TELLING)
+    sums = tokens.agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"), F.count("*").alias("n"), F.count_if(listed).alias("listed")).first()
+    block, allow = sums["block"] or 0, sums["allow"] or 0
+    whole = block + allow + sums["n"] + len(_TOLD) - sums["listed"]
+    told = F.when(listed, LISTED_EXAMPLES).otherwise(0)
+    # smoothed towards the token's share of all rows, so that everyday words tell nothing
+    share = SMOOTHING * (F.col("block") + F.col("allow") + 1) / whole
+    odds = F.log((F.col("block") + told + share) / (block + told + SMOOTHING)) - F.log((F.col("allow") + share) / (allow + SMOOTHING))
+    return tokens.select("side", "word", odds.alias("odds")), math.log((rows[0] + 1) / (rows[1] + 1))
+
 
-    counted = urls.select("host", "path").mapInArrow(run, "token string, block bigint, allow bigint")
-    summed = counted.groupBy("token").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"))
-    # the empty token counts the rows, so it comes first
-    kept = summed.orderBy((F.col("token") == "").desc(), (F.col("block") + F.col("allow")).desc(), "token").limit(size + 1).collect()
-    counts = {r["token"]: (r["block"], r["allow"]) for r in kept}
-    rows = counts.pop("", (0, 0))
-    totals = (sum(b for b, _ in counts.values()), sum(a for _, a in counts.values()))
-    return Bayes(counts, totals, rows)
+def scored_pairs(urls: DataFrame) -> DataFrame:
+    """``host, path, score`` of the different hosts with paths: the log odds of ``block`` over all their words.
+
+    A url without words is allowed. Counts are over all rows, and no token is left out.
+    """
+    counted = urls.groupBy("host", "path").agg(F.count("*").alias("n"))
+    pairs = written(counted.withColumn("pair", F.monotonically_increasing_id()), "pairs")
+    pieces = written(_pieces(pairs), "pieces")
+    runs = written(pieces.select("piece").distinct().withColumn("run", F.monotonically_increasing_id()), "runs")
+    cuts = written(cut_runs(runs, written(vocabulary_of(pairs), "vocabulary")), "cuts")
+    telling = cuts.where(F.arrays_overlap("words", F.array(*map(F.lit, TELLING)))).select("piece")
+    told = pieces.where("side = 'h'").join(broadcast_if_small(telling), "piece").select("pair").distinct().withColumn("told", F.lit(True))
+    by_pair = pairs.select("pair", "n").join(told, "pair", "left")
+    block = F.coalesce(F.sum(F.when(F.col("told"), F.col("n"))), F.lit(0)).alias("block")
+    allow = F.coalesce(F.sum(F.when(F.col("told").isNull(), F.col("n"))), F.lit(0)).alias("allow")
+    rows = by_pair.agg(block, allow).first()
+    kinds = written(pieces.join(told, "pair", "left").groupBy("side", "piece").agg(block, allow), "kinds")
+    words = kinds.join(broadcast_if_small(cuts), "piece").select("side", "piece", "block", "allow", F.posexplode("words").alias("at", "word"))
+    tokens = written(words.groupBy("side", "word").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow")), "tokens")
+    odds, prior = token_odds(tokens, (rows["block"], rows["allow"]))
+    # sums in the order of the words, so that they are the same in every run
+    worth = words.join(broadcast_if_small(odds), ["side", "word"]).groupBy("side", "piece").agg(_summed("at", "odds").alias("worth"))
+    worth = written(worth, "worth")
+    of_pair = pieces.join(broadcast_if_small(worth), ["side", "piece"]).groupBy("pair").agg((F.lit(prior) + _summed("at", "worth")).alias("score"))
+    return pairs.join(of_pair, "pair", "left").select("host", "path", F.coalesce("score", F.lit(-math.inf)).alias("score"))
+
+
+def _summed(at: str, value: str) -> F.Column:
+    return F.aggregate(F.sort_array(F.collect_list(F.struct(at, value))), F.lit(0.0), lambda x, y: x + y[value])
 
 
 def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
@@ -223,17 +243,7 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
     rows are kept and count in the fit as often as they occur. Other columns are not read.
     """
     urls = pages.select("page_id", host_of().alias("host"), path_of().alias("path"))
-    segmenter = segmenter_for(urls)
-    model = fit(urls, segmenter)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)
-            scores = [model.score(segmenter.tokens(host, path)) for host, path in pairs]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
-
-    kind = pages.schema["page_id"].dataType.simpleString()
-    scored = urls.mapInArrow(run, f"page_id {kind}, host string, path string, score double")
+    scored = urls.join(scored_pairs(urls), ["host", "path"])
     told = scored.withColumn("told", rule_for(rules))
     method = F.when(F.col("score") > 0, F.lit("block")).otherwise(F.lit("allow"))
     return told.select(

@@ -68,5 +68,13 @@ def test_words_of_other_names_stay_whole(spark):
     assert {r.word: r.n for r in vocabulary_of(pages).collect()} == {"essex": 3}
 
 
+def test_long_runs_are_cut_and_no_token_is_left_out(spark):
+    long = "garden" * 20
+    hosts = [f"http://w{''.join(chr(97 + int(d)) for d in str(i))}.org/" for i in range(300)]
+    got = judge_urls(spark.createDataFrame([(i, u, "") for i, u in enumerate([*hosts, f"http://{long}casino.org/", f"http://{'coffee' * 20}farm.org/"])], SCHEMA))
+    verdict = {r.page_id: (r.verdict, r.score) for r in got.collect()}
+    assert verdict[300][0] == "block" and verdict[301][0] == "allow"
+
+
 def test_empty_table(spark):
     assert judge_urls(spark.createDataFrame([], SCHEMA)).count() == 0
