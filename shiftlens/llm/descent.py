@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by cosine: a neighbour graph from NN-descent, and greedy search in it.
 
 Equal vectors are one node. The graph begins with the best neighbours inside the cells of a few random
-hyperplane partitions. Each round of NN-descent joins a node's neighbours, reverse ones included, with
+hyperplane partitions; a cell that is still large is cut by further planes, through its own medians.
+Rounds go on until hardly a link changes (``TOLERANCE``). Each round of NN-descent joins a node's neighbours, reverse ones included, with
 their vectors: they are compared among themselves, and what beats a node's worst neighbour replaces
 it. A query walks the graph from its own node and from ``ENTRIES`` nodes of its length chosen by hash, so
 that a node that the graph ties to nothing, or to a few, still meets the others: its best unexpanded
@@ -11,6 +12,7 @@ vectors at the end.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +26,8 @@ from shiftlens.plans.sizing import broadcast_if_small
 
 #: Vectors compared with each other in a cell at the start.
 CELL = 512
+#: Rounds of NN-descent go on until one changes no more than this share of the links.
+TOLERANCE = 0.01
 #: Nodes of each length that every search of that length also starts from. A length with no more nodes
 #: than this is compared whole.
 ENTRIES = 32
@@ -120,28 +124,69 @@ def _cells(points: DataFrame, trees: int, k: int, seed: int) -> DataFrame:
     levels = F.greatest(F.lit(0.0), F.ceil(F.log2(F.count("*") / F.lit(float(CELL))))).cast("int").alias("levels")
     planned = points.join(broadcast_if_small(points.groupBy("dims").agg(levels)), "dims")
     placed = written(planned.mapInArrow(place, "tree int, dims int, code bigint, node bigint, vec binary"), "cells")
-    sizes = placed.groupBy("tree", "dims", "code").agg(F.ceil(F.count("*") / F.lit(2.0 * CELL)).cast("int").alias("parts"))
-    cut = placed.join(broadcast_if_small(sizes), ["tree", "dims", "code"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")))
-    return cut.groupBy("tree", "dims", "code", "part").applyInArrow(join, _GRAPH)
+    parted = _parted(placed, seed).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("n") / F.lit(2.0 * CELL)).cast("int")))
+    return parted.groupBy("tree", "dims", "code", "part").applyInArrow(join, _GRAPH)
+
+
+def _parted(placed: DataFrame, seed: int) -> DataFrame:
+    """``tree, dims, code, node, vec, n``: cells of over ``2 * CELL`` nodes cut by planes through their medians.
+
+    A cell that four planes do not part by a tenth holds vectors that are all but equal; it keeps its
+    ``n`` over the bound.
+    """
+    cell, bound = ["tree", "dims", "code"], 2 * CELL
+    columns = [*cell, "node", "vec", "n"]
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tree, dims, turns = (batch.column(c).to_numpy() for c in ("tree", "dims", "turn"))
+            out = np.zeros((batch.num_rows, 4))
+            for t, d, turn in {*zip(tree.tolist(), dims.tolist(), turns.tolist(), strict=True)}:
+                rows = np.flatnonzero((tree == t) & (dims == d))
+                planes = np.random.default_rng([seed, t, d, turn]).normal(size=(d, 4))
+                packs = batch.column("vec").take(pa.array(rows)).to_pylist()
+                out[rows] = np.frombuffer(b"".join(packs), np.float32).reshape(len(rows), d) @ planes
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *(pa.array(out[:, i]) for i in range(4))], [*columns, *sides])
+
+    sides = [f"s{i}" for i in range(4)]
+    kind = "tree int, dims int, code bigint, node bigint, vec binary, n bigint, " + ", ".join(f"{c} double" for c in sides)
+    parts, turn = [], 0
+    hot = placed.withColumn("was", F.lit(None).cast("bigint"))
+    while True:
+        sizes = written(hot.groupBy(*cell, "was").agg(F.count("*").alias("n")), "sizes")
+        stays = (F.col("n") <= bound) | F.coalesce(F.col("n") > 0.9 * F.col("was"), F.lit(False))
+        sized = hot.drop("was").join(broadcast_if_small(sizes.select(*cell, "n", stays.alias("stays"))), cell)
+        parts.append(sized.where("stays").select(columns))
+        if sizes.where(~stays).isEmpty():
+            return functools.reduce(DataFrame.unionByName, parts)
+        turn += 1
+        cast = written(sized.where("not stays").withColumn("turn", F.lit(turn)).mapInArrow(project, kind), "sides")
+        middle = cast.groupBy(*cell).agg(*(F.percentile_approx(c, 0.5, 1000).alias(f"m{c}") for c in sides))
+        bits = [(F.col(c) > F.col(f"m{c}")).cast("int") for c in sides]
+        hot = cast.join(broadcast_if_small(middle), cell).withColumn("code", F.xxhash64("code", *bits)).select(*cell, "node", "vec", F.col("n").alias("was"))
+        hot = written(hot, "cells")
 
 
 def _merged(candidates: DataFrame, k: int) -> DataFrame:
-    """One row per node with its ``k`` best neighbours of all rows for it."""
+    """One row per node with its ``k`` best neighbours of all rows for it, and how many no ``old`` row had."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_ids, out_scores = [], []
-            for ids, scores in zip(batch.column("ids"), batch.column("scores"), strict=True):
-                one = ids.values.flatten().to_numpy(zero_copy_only=False)
-                two = scores.values.flatten().to_numpy(zero_copy_only=False)
+            out_ids, out_scores, changed = [], [], []
+            for rows in batch.column("rows"):
+                lists = rows.values
+                one = lists.field("ids").flatten().to_numpy(zero_copy_only=False)
+                two = lists.field("scores").flatten().to_numpy(zero_copy_only=False)
+                had = lists.filter(lists.field("old")).field("ids").flatten().to_numpy(zero_copy_only=False)
                 best = _best(one, two, k)
                 out_ids.append(best[0])
                 out_scores.append(best[1])
+                changed.append(int((~np.isin(best[0], had)).sum()))
             if len(out_ids):
-                yield _graph_batch(batch.column("node"), out_ids, out_scores)
+                yield _graph_batch(batch.column("node"), out_ids, out_scores).append_column("changed", pa.array(changed, pa.int64()))
 
-    gathered = candidates.groupBy("node").agg(F.collect_list("ids").alias("ids"), F.collect_list("scores").alias("scores"))
-    return gathered.mapInArrow(run, _GRAPH)
+    gathered = candidates.groupBy("node").agg(F.collect_list(F.struct("ids", "scores", "old")).alias("rows"))
+    return gathered.mapInArrow(run, f"{_GRAPH}, changed bigint")
 
 
 def _links(graph: DataFrame, reverse: int) -> DataFrame:
@@ -187,7 +232,7 @@ def _round(graph: DataFrame, small: DataFrame, k: int, reverse: int, per_list: i
     around = _links(graph, reverse).unionByName(graph.select("node", F.col("node").alias("other")))
     lists = around.join(known, "other").groupBy("node").agg(F.collect_list(F.struct("other", "worst", "scale", "vec")).alias("members"))
     found = lists.select("members").mapInArrow(run, _GRAPH)
-    return _merged(graph.unionByName(found), k)
+    return _merged(graph.withColumn("old", F.lit(True)).unionByName(found.withColumn("old", F.lit(False))), k)
 
 
 def _small(points: DataFrame) -> DataFrame:
@@ -206,18 +251,23 @@ def _small(points: DataFrame) -> DataFrame:
     return points.mapInArrow(run, "node bigint, scale float, vec binary")
 
 
-def neighbour_graph(points: DataFrame, k: int = 24, trees: int = 4, rounds: int = 2, reverse: int = 12, per_list: int = 6, seed: int = 8) -> DataFrame:
+def neighbour_graph(points: DataFrame, k: int = 24, trees: int = 4, rounds: int | None = None, reverse: int = 12, per_list: int = 6, seed: int = 8) -> DataFrame:
     """``node, ids, scores``: up to ``k`` near neighbours of each node of ``points`` (``node, dims, vec``).
 
-    Rounds end early when they change nothing.
+    Rounds end when one changes no more than ``TOLERANCE`` of the links, or after ``rounds`` if a caller bounds them.
     """
     count = points.count()
-    graph = written(_merged(_cells(points, trees, k, seed), k), "graph")
+    graph = written(_merged(_cells(points, trees, k, seed).withColumn("old", F.lit(False)), k).drop("changed"), "graph")
     if count <= CELL:
         return graph  # every pair has been compared
     small = written(_small(points), "small")
-    for _ in range(rounds):
-        graph = written(_round(graph, small, k, reverse, per_list), "graph")
+    turn, changed = 0, 1.0
+    while turn != rounds and changed > TOLERANCE:
+        fresh = written(_round(graph, small, k, reverse, per_list), "graph")
+        moved = fresh.agg(F.sum("changed").alias("changed"), F.sum(F.size("ids")).alias("links")).first()
+        graph, changed = fresh.drop("changed"), moved["changed"] / max(1, moved["links"])
+        turn += 1
+        points.sparkSession.sparkContext._jvm.System.gc()  # the driver lets go of the round's plans and shuffles
     return graph
 
 
@@ -340,7 +390,7 @@ _NAMES = ["q", "vec", "ids", "scores", "done", "seen"]
 
 
 def nearest(
-    vectors: DataFrame, every: int = 50, k: int = 5, graph_k: int = 24, rounds: int = 2, beam: int = 256, walk: int | None = None, reverse: int = 12
+    vectors: DataFrame, every: int = 50, k: int = 5, graph_k: int = 24, rounds: int | None = None, beam: int = 256, walk: int | None = None, reverse: int = 12
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found for each row whose ``vec_id`` divides by ``every``.
 

@@ -93,3 +93,34 @@ def test_recall_of_the_graph(spark, monkeypatch):
     found = {(q, i) for q, _, i, _ in run(spark, rows, beam=64, walk=5)}
     wanted = {(q, i) for q, _, i, _ in plain(rows)}
     assert len(found & wanted) >= 0.9 * len(wanted)
+
+
+def test_large_cells_are_cut_by_nearness(spark, monkeypatch):
+    """A third of the vectors in one tight cluster: all in one cell at first, and still each cell is of near ones."""
+    monkeypatch.setattr(module, "CELL", 32)
+    rng = np.random.default_rng(5)
+    tight = np.eye(12)[0] + rng.normal(size=(500, 12)) * 0.02
+    rows = [(i, v) for i, v in enumerate(np.r_[tight, rng.normal(size=(1000, 12))].astype(np.float32))]
+    units = [v / np.float32(np.sqrt(v @ v)) for _, v in rows]
+    placed = spark.createDataFrame([(0, 12, 0, i, bytearray(v.tobytes())) for i, v in enumerate(units)], "tree int, dims int, code bigint, node bigint, vec binary")
+    cells = {}
+    for r in module._parted(placed, 8).collect():
+        cells.setdefault(r.code, []).append(r.node)
+    assert sorted(n for c in cells.values() for n in c) == list(range(1500))
+    assert max(map(len, cells.values())) <= 64
+
+
+def test_rounds_go_on_until_links_stay(spark, monkeypatch):
+    monkeypatch.setattr(module, "CELL", 16)
+    rows = vectors(600, 12)
+    unit = [(i, np.array(v) / np.linalg.norm(v)) for i, v in rows]
+    points = spark.createDataFrame([(i, 12, bytearray(v.astype(np.float32).tobytes())) for i, v in unit], "node bigint, dims int, vec binary").cache()
+
+    def recall(rounds):
+        graph = {r.node: set(r.ids) for r in module.neighbour_graph(points, k=8, trees=2, rounds=rounds, reverse=6).collect()}
+        m = np.stack([v for _, v in unit])
+        s = m @ m.T
+        np.fill_diagonal(s, -2)
+        return np.mean([len(graph[i] & set(np.argsort(-s[i])[:8].tolist())) / 8 for i in range(600)])
+
+    assert recall(None) > recall(1) + 0.05
