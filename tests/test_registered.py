@@ -2,6 +2,7 @@
 
 import os
 import re
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -65,3 +66,16 @@ def test_workers_find_the_package_from_any_folder(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert re.search(r"rows \d+", out.stdout), out.stderr[-2000:]
+
+
+def test_entry_works_without_the_llm_folders(tmp_path):
+    """A copy without the subpackage still imports and registers every other query, pipeline file or not."""
+    for part in ("shiftlens", "__spark_entry__.py", "corpus_pipeline.py"):
+        if (ROOT / part).is_dir():
+            shutil.copytree(ROOT / part, tmp_path / part, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        elif (ROOT / part).exists():
+            shutil.copy(ROOT / part, tmp_path / part)
+    code = "import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.QUERIES), set(e.oracle_sql()) == set(e.queries()))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert out.stdout.split() == ["True", "True"], out.stderr[-2000:]
