@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shiftlens.llm.batches import saved
 from shiftlens.llm.block_dedup import block_dedup
 from shiftlens.llm.descent import nearest
+from shiftlens.llm.merkle import document_manifest
 from shiftlens.llm.quality_vote import score_quality
 from shiftlens.llm.raking import mix
 from shiftlens.llm.randomness import scan_secrets
@@ -70,6 +71,12 @@ def op10_warc_writer(spark: SparkSession, folder: str) -> DataFrame:
     return read_warc(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_path_copying(spark: SparkSession, folder: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    manifest = document_manifest(_table(spark, folder, "documents"), tampered, F.translate("text", "\n", ""))
+    return manifest.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_templates": op1_site_templates,
     "op2_quality_vote": op2_quality_vote,
@@ -81,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nn_descent": op8_nn_descent,
     "op9_randomness": op9_randomness,
     "op10_warc_writer": op10_warc_writer,
+    "op13_path_copying": op13_path_copying,
 }
 
 ORACLES: dict[str, str] = {
@@ -132,5 +140,42 @@ i AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAS
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)
+""",
+    "op13_path_copying": """
+WITH RECURSIVE c AS (
+  SELECT doc_id, source, text, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+         list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+           lambda a, x: list_reduce(list_concat([xor(a, x)], [CAST(0 AS BIGINT) for i in range(8)]),
+             lambda h, z: xor(h >> 1, CASE WHEN h % 2 = 1 THEN CAST(3988292384 AS BIGINT) ELSE 0 END))) AS flipped
+  FROM documents),
+l AS (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN doc_id IS NOT NULL AND flipped % 2 = 1 THEN replace(text, chr(10), '') ELSE text END AS now, head FROM c),
+d AS (SELECT doc_id, coalesce('=' || source, '') AS tree, leaf, sha256(head || coalesce(strlen(now) || ':' || now, '-')) AS now FROM l),
+p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+n AS (
+  SELECT 0 AS height, tree, pos, leaf AS digest, count(*) OVER (PARTITION BY tree) AS size FROM p
+  UNION ALL
+  SELECT height + 1, tree, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(size) + 2) // 3
+  FROM n WHERE size > 1 GROUP BY height, tree, pos // 3),
+s AS (SELECT tree, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos FROM n WHERE size = 1),
+m AS (
+  SELECT 0 AS height, '*' AS tree, pos, subroot AS digest, count(*) OVER () AS size FROM s
+  UNION ALL
+  SELECT height + 1, tree, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(size) + 2) // 3
+  FROM m WHERE size > 1 GROUP BY height, tree, pos // 3),
+w AS (
+  SELECT height, tree, pos, coalesce(lag(digest, 2) OVER run, '') || coalesce(lag(digest) OVER run, '') AS lefts,
+         coalesce(lead(digest) OVER run, '') || coalesce(lead(digest, 2) OVER run, '') AS rights
+  FROM (FROM n WHERE size > 1 UNION ALL FROM m WHERE size > 1) AS x WINDOW run AS (PARTITION BY tree, height, pos // 3 ORDER BY pos)),
+f AS (
+  SELECT doc_id, leaf, now, p.tree, p.pos, p.tree AS part, 0 AS height, p.pos AS spot, now AS folded, '' AS proof, FALSE AS done FROM p
+  UNION ALL
+  SELECT doc_id, leaf, now, f.tree, f.pos, CASE WHEN w.pos IS NULL THEN '*' ELSE part END, CASE WHEN w.pos IS NULL THEN 0 ELSE f.height + 1 END,
+         CASE WHEN w.pos IS NULL THEN s.pos ELSE spot // 3 END, CASE WHEN w.pos IS NULL THEN folded ELSE sha256(lefts || folded || rights) END,
+         proof || coalesce(lefts || rights, ''), w.pos IS NULL AND part = '*'
+  FROM f JOIN s ON s.tree = f.tree LEFT JOIN w ON w.tree = f.part AND w.height = f.height AND w.pos = f.spot WHERE NOT done)
+SELECT doc_id, leaf, s.subroot, r.digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = r.digest AS verified
+FROM f JOIN s USING (tree), (SELECT digest FROM m WHERE size = 1) AS r WHERE done
 """,
 }
