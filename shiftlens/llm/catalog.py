@@ -16,6 +16,7 @@ from shiftlens.llm.raking import mix
 from shiftlens.llm.randomness import scan_secrets
 from shiftlens.llm.signature_join import signature_join
 from shiftlens.llm.site_template import extract_main_text
+from shiftlens.llm.token_stream import read_tokens, write_tokens
 from shiftlens.llm.url_words import judge_urls
 from shiftlens.llm.warc_writer import read_warc, write_warc
 from shiftlens.llm.winnowing import decontaminate
@@ -71,6 +72,14 @@ def op10_warc_writer(spark: SparkSession, folder: str) -> DataFrame:
     return read_warc(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_ranked_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    files = fresh_path(spark, "tokens")
+    write_tokens(_table(spark, folder, "documents"), files, public_tokenizers.path("word_bpe_49k.json"))
+    return read_tokens(spark, files, with_ids=False)
+
+
 def op13_path_copying(spark: SparkSession, folder: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
     manifest = document_manifest(_table(spark, folder, "documents"), tampered, F.translate("text", "\n", ""))
@@ -88,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nn_descent": op8_nn_descent,
     "op9_randomness": op9_randomness,
     "op10_warc_writer": op10_warc_writer,
+    "op11_ranked_bytes": op11_ranked_bytes,
     "op13_path_copying": op13_path_copying,
 }
 
