@@ -18,8 +18,8 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +35,13 @@ from shiftlens.plans.scratch import written
 #: Ids of a block, which ends with the document that fills it, and of a file, likewise.
 BLOCK_IDS = 1 << 18
 FILE_IDS = 1 << 24
-#: Words up to this length are encoded once per worker and kept, this many of them at a time.
+#: Pieces of a text up to this length are remembered by a worker, twice this many of them at a time.
 KEPT_LENGTH = 48
-KEPT_WORDS = 400_000
+KEPT_PIECES = 500_000
+_LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", "!-&(-/:;=-@[-`{-~"
+#: For tokenizers that drop white space and part letters from signs: Latin letters before a sign or a space, signs before
+#: letters, any other word whole. Apostrophes, which may begin an ending, and what begins a special token are no signs here.
+WORDS = rf"[{_LETTERS}]++(?=[{_SIGNS} \t\n\r]|\Z)|[{_SIGNS}]++(?=[{_LETTERS} \t\n\r]|\Z)|[^ \t\n\r]+"
 #: Control bytes decoded at a time.
 _SLICE = 1 << 18
 _MAGIC = b"RTOK"
@@ -109,39 +113,53 @@ def _blocks(stream) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]
         yield [None if missing else d for d, missing in zip(numbers, nulls, strict=True)], sizes, ranks
 
 
-class _Encoder:
-    """A tokenizer with the ids of the words seen so far.
+class _Pieces(dict):
+    """The ids of pieces of text, as bytes; pieces not seen for long are forgotten.
 
-    Only pieces that the tokenizer treats apart may be encoded apart; with no ``piece`` pattern the
-    texts are encoded whole.
+    When ``KEPT_PIECES`` have been added these become the older half, from which a piece comes back
+    when it is seen again.
     """
 
-    def __init__(self, tokenizer: str, piece: str | None):
+    def __init__(self, tokenizer: str, kind: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.piece = Tokenizer.from_str(tokenizer), piece and re.compile(piece)
+        self.tokenizer, self.kind, self.older = Tokenizer.from_str(tokenizer), kind, {}
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.kept: dict[str, tuple[int, ...]] = {}
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> Iterator[list[int]]:
-        if self.piece is None:
-            yield from self._encode(texts)
-            return
-        for text in texts:
-            words = self.piece.findall(text)
-            new = list(set(words).difference(self.kept))
-            if len(self.kept) + len(new) > KEPT_WORDS:
-                self.kept, new = {}, list(set(words))
-            if new:
-                self.kept.update(zip(new, map(tuple, self._encode(new)), strict=True))
-            yield list(chain.from_iterable(map(self.kept.__getitem__, words)))
-            for word in new:
-                if len(word) > KEPT_LENGTH:
-                    del self.kept[word]
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.pop(piece, None)
+        if ids is None:
+            ids = array(self.kind, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        if len(piece) <= KEPT_LENGTH:
+            if len(self) >= KEPT_PIECES:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
+_KNOWN: dict[tuple[str, str], _Pieces] = {}
+
+
+class Encoder:
+    """Texts to ids, as little-endian numbers of ``kind``.
+
+    The parts of a text that match ``piece`` are encoded one by one, each of them once while it is remembered;
+    with None texts are encoded whole. A worker's tasks share what is known.
+    """
+
+    def __init__(self, tokenizer: str, kind: np.dtype, piece: str | None):
+        key = (hashlib.sha256(tokenizer.encode()).hexdigest(), kind.str)
+        if key not in _KNOWN:
+            _KNOWN.clear()
+            _KNOWN[key] = _Pieces(tokenizer, "H" if kind.itemsize == 2 else "I")
+        self.pieces, self.cut = _KNOWN[key], piece and re.compile(piece).findall
+
+    def __call__(self, text: str) -> bytes:
+        if self.cut is None:
+            return self.pieces.__missing__(text)
+        return b"".join(map(self.pieces.__getitem__, self.cut(text)))
 
 
 def _id_type(vocabulary: int) -> np.dtype:
@@ -156,14 +174,11 @@ def tokenized(documents: DataFrame, tokenizer: str, end_id: int, piece: str | No
     kind, shared = _id_type(vocabulary), documents.sparkSession.sparkContext.broadcast(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _Encoder(shared.value, piece)
+        encode, end = Encoder(shared.value, kind, piece), np.array([end_id], kind).tobytes()
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids = [np.array([*x, end_id], kind) for x in encode(texts)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
-                names=["doc_id", "n_tokens", "ids"],
-            )
+            ids = [encode(text.as_py() or "") + end for text in batch.column("text")]
+            sizes = pa.array([len(x) // kind.itemsize for x in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     read = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return saved(read.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary"), "token-ids", 500), vocabulary
@@ -217,14 +232,20 @@ class _File:
 
 
 def write_tokens(
-    documents: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1, piece: str | None = "[^ \t\n\r]+", block_ids: int = BLOCK_IDS, file_ids: int = FILE_IDS
+    documents: DataFrame,
+    folder: str,
+    tokenizer_path: str,
+    end_id: int = 1,
+    piece: str | None = WORDS,
+    block_ids: int = BLOCK_IDS,
+    file_ids: int = FILE_IDS,
 ) -> DataFrame:
     """Encode ``documents`` (``doc_id, text``) into ``folder`` and return the manifest, one row a file.
 
     ``tokenizer_path`` is a file of the tokenizers library, read on the driver; special tokens are not
-    added, ``end_id`` follows every document, and a null text is an empty one. ``piece`` matches the
-    parts of a text that the tokenizer encodes apart from each other, which is so for words between
-    white space where it drops white space; None encodes whole texts. Documents are written in order
+    added, ``end_id`` follows every document, and a null text is an empty one. Parts of a text that
+    match ``piece`` are encoded apart from each other, and nothing else is: the pattern must cut only where
+    the tokenizer does, and pass over only what gives no id. None encodes whole texts. Documents are written in order
     of ``doc_id``, nulls first; rows that repeat an id follow by a hash of their ids. An empty table gives
     an empty manifest. ``folder`` must be one that every executor reaches; ``ranks`` in it has the
     vocabulary by rank, ``manifest`` the files and the number of ids before each, and is written last.

@@ -11,10 +11,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from shiftlens.llm.token_stream import _Encoder, pack, read_tokens, unpack, write_tokens
+from shiftlens.llm.token_stream import WORDS, Encoder, pack, read_tokens, unpack, write_tokens
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-PIECE = "[^ \t\n\r]+"
 SCHEMA = "doc_id bigint, text string, ids string, start int"
 
 
@@ -38,13 +37,14 @@ ODD = ["", None, " ", "<|endoftext|>x <|startoftext|>", "á ́b ë", "café CA
        "it's we'll I'd 's 't", "1234 5,6.7", "你好世界 \U0001f600\U0001f600", "x" * 5000, "a\x00b", "﻿q ​", "word " * 3000, "\n\t\r\n", "<|endof text|>"]
 
 
-def test_words_apart_are_encoded_like_whole_texts():
+def test_words_apart_are_encoded_like_whole_texts(monkeypatch):
     """Splitting at white space gives what the library gives for the whole text."""
     t, rng = Tokenizer.from_file(PATH), random.Random(4)
-    marks = ["a", "B", "́", " ", "\n", "\t", "'s", "7", "é", "!", " ", "ᄀ", "ᅡ", "<|endoftext|>", "İ", "\r", "ͅ", "‍", "\x85", "ཱ"]
-    texts = [x or "" for x in ODD] + ["".join(rng.choices(marks, k=rng.randrange(30))) for _ in range(3000)]
-    encode = _Encoder(open(PATH, encoding="utf-8").read(), PIECE)
-    assert [list(x) for x in encode(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    marks = ["a", "B", "́", " ", "\n", "\t", "'s", "7", "é", "!", " ", "ᄀ", "ᅡ", "<|endoftext|>", "İ", "\r", "ͅ", "‍", "\x85", "ཱ", "ß", "ÿ", "È", "-", "<", "|", ".", "²", "×"]
+    texts = [x or "" for x in ODD] + ["".join(rng.choices(marks, k=rng.randrange(30))) for _ in range(20000)]
+    monkeypatch.setattr("shiftlens.llm.token_stream.KEPT_PIECES", 30)
+    encode = Encoder(open(PATH, encoding="utf-8").read(), np.dtype("<u2"), WORDS)
+    assert [np.frombuffer(encode(x), "<u2").tolist() for x in texts] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
 @pytest.mark.parametrize("kw", [{}, {"block_ids": 50, "file_ids": 400}, {"piece": None}])
