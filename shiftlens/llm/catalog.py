@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shiftlens.llm.batches import saved
 from shiftlens.llm.block_dedup import block_dedup
 from shiftlens.llm.descent import nearest
+from shiftlens.llm.gnat import hard_negatives, usable
 from shiftlens.llm.merkle import document_manifest
 from shiftlens.llm.quality_vote import score_quality
 from shiftlens.llm.raking import mix
@@ -80,6 +81,12 @@ def op11_ranked_bytes(spark: SparkSession, folder: str) -> DataFrame:
     return read_tokens(spark, files, with_ids=False)
 
 
+def op12_hyperplane_tree(spark: SparkSession, folder: str) -> DataFrame:
+    rows = usable(_table(spark, folder, "embeddings"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", moved))
+
+
 def op13_path_copying(spark: SparkSession, folder: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
     manifest = document_manifest(_table(spark, folder, "documents"), tampered, F.translate("text", "\n", ""))
@@ -98,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_randomness": op9_randomness,
     "op10_warc_writer": op10_warc_writer,
     "op11_ranked_bytes": op11_ranked_bytes,
+    "op12_hyperplane_tree": op12_hyperplane_tree,
     "op13_path_copying": op13_path_copying,
 }
 
@@ -150,6 +158,21 @@ i AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAS
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)
+""",
+    "op12_hyperplane_tree": """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM e AS a JOIN e AS b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER best AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER best <= 3 WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)
 """,
     "op13_path_copying": """
 WITH RECURSIVE c AS (
