@@ -172,7 +172,7 @@ p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHE
       QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
 SELECT anchor_id, positive_id, CAST(row_number() OVER best AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
 FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
-QUALIFY row_number() OVER best <= 3 WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)
+WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) QUALIFY row_number() OVER best <= 3
 """,
     "op13_path_copying": """
 WITH RECURSIVE c AS (
