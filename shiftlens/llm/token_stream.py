@@ -14,6 +14,7 @@ runs twice disturbs nothing.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import struct
 import uuid
@@ -37,7 +38,7 @@ BLOCK_IDS = 1 << 18
 FILE_IDS = 1 << 24
 #: Pieces of a text up to this length are remembered by a worker, twice this many of them at a time.
 KEPT_LENGTH = 48
-KEPT_PIECES = 500_000
+KEPT_PIECES = 700_000
 _LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", "!-&(-/:;=-@[-`{-~"
 #: For tokenizers that drop white space and part letters from signs: Latin letters before a sign or a space, signs before
 #: letters, any other word whole. Apostrophes, which may begin an ending, and what begins a special token are no signs here.
@@ -126,10 +127,14 @@ class _Pieces(dict):
         self.tokenizer, self.kind, self.older = Tokenizer.from_str(tokenizer), kind, {}
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        steps = json.loads(tokenizer).get("normalizer") or {}
+        self.lowers = any(step["type"] == "Lowercase" for step in steps.get("normalizers", [steps]) if step)
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.pop(piece, None)
-        if ids is None:
+        if ids is None and self.lowers and piece.isascii() and not piece.islower() and piece.isalpha():
+            ids = self[piece.lower()]
+        elif ids is None:
             ids = array(self.kind, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
         if len(piece) <= KEPT_LENGTH:
             if len(self) >= KEPT_PIECES:
@@ -194,8 +199,7 @@ def ranked_ids(tokens: DataFrame, vocabulary: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for ids in batch.column("ids"):
-                counts += np.bincount(np.frombuffer(ids.as_buffer(), kind), minlength=vocabulary)
+            counts += np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind), minlength=vocabulary)
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(counts[seen])], names=["id", "n"])
 
