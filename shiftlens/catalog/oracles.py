@@ -348,6 +348,7 @@ FROM seen GROUP BY 1""")
 # ---- top-k, ranks, limits
 
 oracle("topk_per_source", f"WITH {VECTOR_SCORES}, {TOP_PER_SOURCE} SELECT * FROM top WHERE rank <= 3")
+oracle("retrieve_indexed", f"WITH {VECTOR_SCORES}, {TOP_OVERALL} SELECT * FROM top WHERE rank <= 3")
 oracle("retrieve_topk", f"WITH {VECTOR_SCORES}, {TOP_OVERALL} SELECT * FROM top WHERE rank <= 3")
 oracle("retrieve_fallback", """SELECT source, chunk_id, rank FROM (
   SELECT CAST(label AS VARCHAR) AS source, vec_id AS chunk_id,

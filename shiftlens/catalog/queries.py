@@ -15,7 +15,7 @@ from shiftlens.functions import text as tx
 from shiftlens.functions import times as tm
 from shiftlens.functions import vectors as vc
 from shiftlens.operators import (
-    charts, chunking, embedding, governance, history, profiling, relationships, responses, retrieval, usage,
+    charts, chunking, embedding, governance, history, profiling, relationships, responses, retrieval, usage, vector_index,
 )
 from shiftlens.plans.scratch import fresh_path, written
 from shiftlens.plans.sizing import spread_small_scan
@@ -480,6 +480,13 @@ def retrieve_topk(spark, folder):
     return retrieval.retrieve_topk(v.vector_queries(spark, folder), v.vector_store(spark, folder))
 
 
+@query
+def retrieve_indexed(spark, folder):
+    """The same hits through an index of the store, which is built first."""
+    index = vector_index.build_index(v.vector_store(spark, folder), fresh_path(spark, "vector-index"))
+    return vector_index.retrieve_indexed(v.vector_queries(spark, folder), index)
+
+
 @query
 def retrieve_fallback(spark, folder):
     return retrieval.retrieve_fallback(v.vector_store(spark, folder)).drop("score")

@@ -1,12 +1,15 @@
 """Top chunks for batches of queries by cosine similarity, exact.
 
-Queries are dealt to blocks and the store to lanes, both of limited size, by hashes of their keys. A task
-scores one block against one lane with one matrix product, keeping only the best k per query and
-source. No query vector passes through the driver, and the plan is the same for any number of queries:
-a lane is shuffled once per block, a block once per lane. The pairs themselves are never written out,
-and a source that holds much of the store is spread over the lanes like any other.
-
-Scores are rounded before they are ranked; equal scores rank by source and chunk id.
+Queries are dealt to blocks and the store to lanes by hashes of their keys; how many of each follows from
+the bytes of both sides (``plans.grid``): as few bytes as possible are shuffled while a block and a lane
+fit in one task. A task scores one block against one lane with matrix products, keeping only the best
+k per query and source. Queries that are counted to fit in a single small block are sent to the
+store's own scan instead, so the store isn't shuffled. The pairs themselves are never written out, and
+a source that holds much of the store is spread over the lanes like any other.
+
+Scores are rounded before they are ranked; equal scores rank by source and chunk id. A vector that is
+missing, empty, zero, not finite or of another length than the batch's scores 0 with everything;
+``vector_faults`` lists such rows.
 """
 
 from __future__ import annotations
@@ -22,43 +25,64 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from shiftlens.functions.fixed import TOP_K
+from shiftlens.plans.grid import TASK_BYTES, Grid, plan_grid
 from shiftlens.plans.ordering import with_row_index
 from shiftlens.plans.scratch import written
 from shiftlens.plans.sizing import broadcast_if_small
 
 SCORE_DIGITS = 6
-BLOCK_BYTES = 32 * 1024 * 1024  # vectors of one block of queries
+SMALL_BYTES = 8 << 20  # vectors of queries that are sent to every task of the store's scan
 LIST_COPIES = 16  # of the fallback list, so that many queries without a vector are spread
-LANE_ROWS = 20_000  # rows of the store that a block meets at once
+_LANE_ROWS = 20_000  # rows of the store that a task scores at once
 _TILE = 2_000_000  # scores worked out at once in a task
 _HELD = 4_000_000  # part results a task keeps before it passes them on
 
 _NO_CHUNK = np.iinfo(np.int64).max
 
 
-def _unit_rows(vectors: pa.Array, dims: int) -> np.ndarray:
-    """Vectors scaled to length 1, as a matrix; missing, empty, zero and non-finite vectors are zero rows.
+def unit_rows(vectors: pa.Array, dims: int) -> np.ndarray:
+    """Vectors scaled to length 1, as a matrix; those without a direction in ``dims`` components are zero rows.
 
-    With no dimensions, which is a query batch without any vector, every row is empty.
+    A vector is divided by its largest component first, so that no square overflows or vanishes.
     """
+    rows = np.zeros((len(vectors), dims))
     if dims == 0:
-        return np.zeros((len(vectors), 0))
+        return rows
     lengths = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
-    if not np.isin(lengths, (0, dims)).all():
-        raise ValueError(f"vectors must have {dims} components, found {sorted(set(lengths.tolist()))}")
-    flat = pc.fill_null(pc.cast(vectors.flatten(), pa.float64()), 0.0).to_numpy(zero_copy_only=False)
-    rows = np.zeros((len(lengths), dims))
-    rows[lengths == dims] = flat.reshape(-1, dims)
+    whole = lengths == dims
+    fitting = vectors if whole.all() else vectors.filter(pa.array(whole))
+    # a null component has no value, so its row has no direction
+    rows[whole] = pc.fill_null(pc.cast(fitting.flatten(), pa.float64()), np.nan).to_numpy(zero_copy_only=False).reshape(-1, dims)
     rows[~np.isfinite(rows).all(axis=1)] = 0.0
+    largest = np.abs(rows).max(axis=1, keepdims=True)
+    rows = np.divide(rows, largest, out=np.zeros_like(rows), where=largest > 0)
     norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
+def common_length(rows: DataFrame) -> int:
+    """The length that most vectors of ``embedding`` have, of equally many the largest; 0 if there are none."""
+    sizes = rows.where(F.size("embedding") > 0).groupBy(F.size("embedding").alias("dims")).agg(F.count(F.lit(1)).alias("n"))
+    top = sizes.orderBy(F.desc("n"), F.desc("dims")).first()
+    return top["dims"] if top else 0
+
+
+def vector_faults(rows: DataFrame, dims: int, *keys: str) -> DataFrame:
+    """``keys`` of the rows whose ``embedding`` scores 0 with everything, its length, and why."""
+    value = F.col("embedding").cast("array<double>")
+    odd = F.exists(value, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    fault = (
+        F.when(value.isNull(), "missing").when(F.size(value) == 0, "empty").when(F.size(value) != dims, "length")
+        .when(odd, "not finite").when(F.forall(value, lambda x: x == 0), "zero")
+    )
+    return rows.select(*keys, F.when(value.isNotNull(), F.size(value)).alias("n_dims"), fault.alias("fault")).where(F.col("fault").isNotNull())
+
+
 def _scored_tiles(batches, units: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """(source, chunk ids ascending, scores by chunk and query) of each part of each batch."""
     tile = max(1, _TILE // max(1, len(units)))
     for batch in batches:
-        rows = _unit_rows(batch.column("embedding"), units.shape[1])
+        rows = unit_rows(batch.column("embedding"), units.shape[1])
         ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
         sources = batch.column("source").dictionary_encode()
         codes = sources.indices.to_numpy(zero_copy_only=False)
@@ -70,14 +94,15 @@ def _scored_tiles(batches, units: np.ndarray) -> Iterator[tuple[str, np.ndarray,
                 yield sources.dictionary[code].as_py(), ids[part], rows[part] @ units.T
 
 
-def _rounded(scores: np.ndarray) -> np.ndarray:
+def rounded(scores: np.ndarray) -> np.ndarray:
+    """Scores as they are ranked."""
     return np.round(scores, SCORE_DIGITS) + 0.0  # no negative zero
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best (scores, ids) of each query; ``ids`` ascend, so the first maximum wins a tie."""
     n, columns = scores.shape[0], np.arange(scores.shape[1])
-    left = _rounded(scores)
+    left = rounded(scores)
     top_scores = np.full((k, scores.shape[1]), -np.inf)
     top_ids = np.full((k, scores.shape[1]), _NO_CHUNK)
     for rank in range(min(k, n)):
@@ -131,7 +156,7 @@ def _summary_task() -> Callable:
         sums: dict[str, tuple[np.ndarray, ...]] = {}
         for source, ids, scores in _scored_tiles(batches, units):
             n = np.full(len(units), len(ids), dtype="int64")
-            part = (n, _rounded(scores.min(axis=0)), _rounded(scores.max(axis=0)), scores.sum(axis=0))
+            part = (n, rounded(scores.min(axis=0)), rounded(scores.max(axis=0)), scores.sum(axis=0))
             if source in sums:
                 held = sums[source]
                 part = (held[0] + part[0], np.minimum(held[1], part[1]), np.maximum(held[2], part[2]), held[3] + part[3])
@@ -144,39 +169,69 @@ def _summary_task() -> Callable:
     return run
 
 
-def _per_block(queries: DataFrame, store: DataFrame, task: Callable, schema: T.StructType, block_bytes: int) -> DataFrame:
-    """``task`` for every block of queries and lane of the store, as one plan."""
-    queries = written(queries.select("query_id", "embedding"), "queries")
-    n, dims = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+def vector_grid(queries: DataFrame, store: DataFrame, task_bytes: int = TASK_BYTES) -> tuple[Grid, int]:
+    """The grid for scoring all pairs, and the common length of the queries' vectors.
+
+    Both sides are counted; a vector takes 8 bytes a component.
+    """
+    dims = common_length(queries)
+    width = 8 * max(1, dims)
+    cores = store.sparkSession.sparkContext.defaultParallelism
+    return plan_grid(queries.count() * width, store.count() * width, max(task_bytes, 4 * width), cores), dims
+
+
+def _per_block(queries: DataFrame, store: DataFrame, task: Callable, schema: T.StructType, task_bytes: int, small_bytes: int) -> DataFrame:
+    """``task`` for every block of queries and part of the store, as one plan."""
     rows = store.select(
         F.col("table_name").cast("string").alias("source"), F.col("chunk_id").cast("bigint").alias("chunk_id"), "embedding"
     )
-    blocks = max(1, -(-n * 8 * max(1, dims) // block_bytes))
-    lanes = max(store.sparkSession.sparkContext.defaultParallelism, -(-store.count() // LANE_ROWS))
+    found = to_arrow_schema(schema)
+    asked = queries.select("query_id", "embedding")
+    size = F.lit(8) * F.greatest(F.coalesce(F.size("embedding"), F.lit(0)), F.lit(1)) + F.coalesce(F.octet_length(F.col("query_id").cast("string")), F.lit(0))
+    held = asked.select(size.alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if held <= small_bytes:  # counted: no more than this passes through the driver
+        block = asked.toArrow().combine_chunks()
+        dims = _dims_of(block.column("embedding"))
+        ids, units = block.column("query_id").combine_chunks(), unit_rows(block.column("embedding").combine_chunks(), dims)
+        shared = store.sparkSession.sparkContext.broadcast((ids, units))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if len(shared.value[0]):
+                yield from (part.cast(found) for part in task(*shared.value, batches))
+
+        return rows.mapInArrow(scan, schema)
+    asked = written(asked, "queries")
+    grid, dims = vector_grid(asked, rows, task_bytes)
 
     def run(_: tuple, block: pa.Table, lane: pa.Table) -> pa.Table:
         ids = block.column("query_id").combine_chunks()
-        units = _unit_rows(block.column("embedding").combine_chunks(), dims)
+        units = unit_rows(block.column("embedding").combine_chunks(), dims)
         if not len(ids) or not lane.num_rows:
             return pa.Table.from_batches([], found)
-        parts = lane.select(["source", "chunk_id", "embedding"]).combine_chunks().to_batches(max_chunksize=LANE_ROWS)
+        parts = lane.select(["source", "chunk_id", "embedding"]).combine_chunks().to_batches(max_chunksize=_LANE_ROWS)
         return pa.Table.from_batches(list(task(ids, units, parts)), found)
 
-    found = to_arrow_schema(schema)
-    dealt = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn(
-        "lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))
+    dealt = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(grid.blocks)).cast("int")).withColumn(
+        "lane", F.explode(F.sequence(F.lit(0), F.lit(grid.lanes - 1)))
     )
-    spread = rows.withColumn("lane", F.pmod(F.xxhash64("source", "chunk_id"), F.lit(lanes)).cast("int")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
+    spread = rows.withColumn("lane", F.pmod(F.xxhash64("source", "chunk_id"), F.lit(grid.lanes)).cast("int")).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.lit(grid.blocks - 1)))
     )
     return dealt.groupBy("block", "lane").cogroup(spread.groupBy("block", "lane")).applyInArrow(run, schema)
 
 
-def topk_per_source(queries: DataFrame, store: DataFrame, k: int = TOP_K, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _dims_of(vectors: pa.ChunkedArray) -> int:
+    """:func:`common_length` of vectors at hand."""
+    sizes = pc.drop_null(pc.list_value_length(vectors)).to_numpy()
+    sizes, counts = np.unique(sizes[sizes > 0], return_counts=True)
+    return int(sizes[counts == counts.max()].max()) if len(sizes) else 0
+
+
+def topk_per_source(queries: DataFrame, store: DataFrame, k: int = TOP_K, task_bytes: int = TASK_BYTES, small_bytes: int = SMALL_BYTES) -> DataFrame:
     """The k best chunks of every source for every query: query_id, source, rank, chunk_id, score.
 
-    ``queries`` has query_id and embedding; ``store`` has table_name, chunk_id and embedding.
-    Missing, empty and zero vectors score 0.
+    ``queries`` has query_id and embedding; ``store`` has table_name, chunk_id and embedding. Vectors without
+    a direction in the queries' space score 0.
     """
     schema = T.StructType(
         [
@@ -187,7 +242,7 @@ def topk_per_source(queries: DataFrame, store: DataFrame, k: int = TOP_K, block_
         ]
     )
     order = Window.partitionBy("query_id", "source").orderBy(F.desc("score"), "chunk_id")
-    found = _per_block(queries, store, _top_k_task(k), schema, block_bytes)
+    found = _per_block(queries, store, _top_k_task(k), schema, task_bytes, small_bytes)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -197,12 +252,12 @@ def best_overall(hits: DataFrame, k: int = TOP_K) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def retrieve_topk(queries: DataFrame, store: DataFrame, k: int = TOP_K, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def retrieve_topk(queries: DataFrame, store: DataFrame, k: int = TOP_K, task_bytes: int = TASK_BYTES, small_bytes: int = SMALL_BYTES) -> DataFrame:
     """The k best chunks of each query over all sources."""
-    return best_overall(topk_per_source(queries, store, k, block_bytes), k)
+    return best_overall(topk_per_source(queries, store, k, task_bytes, small_bytes), k)
 
 
-def score_summary(queries: DataFrame, store: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_summary(queries: DataFrame, store: DataFrame, task_bytes: int = TASK_BYTES, small_bytes: int = SMALL_BYTES) -> DataFrame:
     """How every query scores against all chunks of every source: count, min, max and mean score.
 
     Every pair is scored; what leaves a task is one row per query and source.
@@ -218,7 +273,7 @@ def score_summary(queries: DataFrame, store: DataFrame, block_bytes: int = BLOCK
         ]
     )
 
-    found = _per_block(queries, store, _summary_task(), schema, block_bytes)
+    found = _per_block(queries, store, _summary_task(), schema, task_bytes, small_bytes)
     return found.groupBy("query_id", "source").agg(
         F.sum("n").alias("n_pairs"),
         F.min("low").alias("min_score"),

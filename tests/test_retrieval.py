@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shiftlens.operators import retrieval as r
+from shiftlens.plans.grid import plan_grid
 from tests.conftest import plan_of
 
 RNG = random.Random(5)
@@ -48,11 +49,11 @@ def frames(spark):
     return queries, store
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 8 * DIMS * 7])
+@pytest.mark.parametrize("bounds", [{}, {"small_bytes": 0}, {"small_bytes": 0, "task_bytes": 8 * DIMS * 60}])
 @pytest.mark.parametrize("k", [1, 3, 120])
-def test_topk_equals_brute_force(frames, k, block_bytes):
+def test_topk_equals_brute_force(frames, k, bounds):
     got = {}
-    for row in r.topk_per_source(*frames, k=k, block_bytes=block_bytes).collect():
+    for row in r.topk_per_source(*frames, k=k, **bounds).collect():
         got.setdefault((row.query_id, row.source), []).append((row["rank"], row.chunk_id, row.score))
     for q, scored in _brute().items():
         for source in {s for _, s, _ in scored}:
@@ -120,16 +121,17 @@ def test_infinite_components_score_zero(spark, frames):
     assert len(rows) == len(QUERIES) and {x.score for x in rows} == {0.0}
 
 
-def test_wrong_dimensions_are_an_error(spark, frames):
+def test_queries_of_another_length_score_zero(spark, frames):
     odd = spark.createDataFrame([("q", [1.0, 2.0])], "query_id string, embedding array<double>")
-    with pytest.raises(Exception, match="components"):
-        r.retrieve_topk(odd, frames[1]).collect()
+    for bounds in ({}, {"small_bytes": 0}):
+        hits = r.topk_per_source(odd.unionByName(frames[0]), frames[1], **bounds).where("query_id = 'q'").collect()
+        assert hits and all(h.score == 0 for h in hits)
 
 
 def test_plan_has_no_pair_join_and_limits_before_the_shuffle(frames):
-    plan = plan_of(r.topk_per_source(*frames))
-    assert "Cartesian" not in plan and "NestedLoop" not in plan
-    assert "WindowGroupLimit" in plan and "FlatMapCoGroupsInArrow" in plan
+    for bounds in ({}, {"small_bytes": 0}):
+        plan = plan_of(r.topk_per_source(*frames, **bounds))
+        assert "Cartesian" not in plan and "NestedLoop" not in plan and "WindowGroupLimit" in plan
     assert plan_of(r.retrieve_fallback(frames[1])).count("WindowGroupLimit") >= 2
 
 
@@ -176,3 +178,40 @@ def test_float_vectors_and_integer_ids(spark, folder):
 
     hits = r.retrieve_topk(v.vector_queries(spark, folder), v.vector_store(spark, folder)).where(F.col("rank") == 1)
     assert hits.where(F.col("query_id") != F.col("chunk_id")).count() == 0
+
+
+def test_odd_vectors_score_zero_and_are_listed(spark):
+    """One vector of another length, or of huge or tiny numbers, doesn't disturb the others."""
+    rows = [("t", 1, [1e200, 0.0]), ("t", 2, [1e-200, 1e-200]), ("t", 3, [1.0, 2.0, 3.0]), ("t", 4, [float("nan"), 1.0]), ("t", 5, None), ("t", 6, []),
+            ("t", 7, [0.0, 0.0]), ("t", 8, [-1.0, 0.0]), ("t", 9, [None, 1.0])]
+    store = spark.createDataFrame(rows, "table_name string, chunk_id bigint, embedding array<double>")
+    queries = spark.createDataFrame([("a", [2e250, 0.0]), ("b", [1.0, 1.0]), ("long", [1.0, 1.0, 1.0])], "query_id string, embedding array<double>")
+    for bounds in ({}, {"small_bytes": 0}):
+        got = {(x.query_id, x.chunk_id): x.score for x in r.topk_per_source(queries, store, k=20, **bounds).collect()}
+        assert got["a", 1] == 1.0 and got["b", 2] == 1.0 and got["a", 8] == -1.0 and got["b", 1] == 0.707107
+        assert all(got["b", i] == 0.0 for i in (3, 4, 5, 6, 7, 9)) and all(got["long", i] == 0.0 for i in range(1, 10))
+    faults = {x.chunk_id: (x.n_dims, x.fault) for x in r.vector_faults(store, 2, "chunk_id").collect()}
+    assert faults == {3: (3, "length"), 4: (2, "not finite"), 5: (None, "missing"), 6: (0, "empty"), 7: (2, "zero"), 9: (2, "not finite")}
+
+
+def test_grid_shuffles_least():
+    """No grid that fits in a task's memory shuffles fewer bytes, and the flat lanes of old shuffle more."""
+    for left, right, task in ((10, 10_000, 64), (5_000, 5_000, 64), (1_000_000, 3_000_000, 4_000), (64, 1, 128), (1, 1, 64)):
+        grid = plan_grid(left, right, task)
+        assert grid.task_bytes <= task
+        fitting = [(left * c + right * b) for b in range(1, 1200) for c in [-(-right // max(1e-9, task - left / b))] if task > left / b]
+        assert grid.shuffled_bytes <= min(fitting) * 1.01 + 1
+    assert plan_grid(1 << 40, 1 << 45).shuffled_bytes < (1 << 40) * ((1 << 45) // (20_000 * 512)) + (1 << 45) * ((1 << 40) >> 25)
+    assert plan_grid(100, 100, least_tasks=8).lanes == 8
+
+
+def test_grid_of_real_sides(frames):
+    queries, store = frames
+    grid, dims = r.vector_grid(queries, store, task_bytes=8 * DIMS * 60)
+    assert dims == DIMS and (grid.left_bytes, grid.right_bytes) == (40 * 8 * DIMS, 401 * 8 * DIMS)
+    assert grid.blocks > 1 and grid.shuffled_bytes == grid.left_bytes * grid.lanes + grid.right_bytes * grid.blocks
+
+
+def test_small_batches_do_not_shuffle_the_store(frames):
+    small = plan_of(r.topk_per_source(*frames))
+    assert "MapInArrow" in small and "CoGroups" not in small and "CoGroups" in plan_of(r.topk_per_source(*frames, small_bytes=0))
