@@ -477,4 +477,8 @@ oracle("embed_hashed", _DOC_WEIGHTS)
 oracle("cosine_sparse", f"""WITH {QUERY_LOG}, {weights('a', 'query_log', 'query_id', 'query_text')}, {weights('b', 'query_log', 'query_id', 'response_text')}
 SELECT query_id, round(sum(a_weights.weight * b_weights.weight), 6) AS score
 FROM a_weights JOIN b_weights USING (query_id, bucket) GROUP BY query_id""")
+oracle("sparse_pairs", f"""WITH {QUERY_LOG}, talk AS (SELECT conv_id || '-' || turn AS turn_id, text FROM conversations),
+{weights('a', 'query_log', 'query_id', 'query_text')}, {weights('b', 'talk', 'turn_id', 'text')}
+SELECT query_id, turn_id, round(sum(a_weights.weight * b_weights.weight), 6) AS score
+FROM a_weights JOIN b_weights USING (bucket) GROUP BY query_id, turn_id HAVING round(sum(a_weights.weight * b_weights.weight), 6) >= 0.9""")
 oracle("route_tables", f"WITH {ROUTED} SELECT * FROM routed")

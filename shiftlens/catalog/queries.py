@@ -17,6 +17,7 @@ from shiftlens.functions import vectors as vc
 from shiftlens.operators import (
     charts, chunking, embedding, governance, history, profiling, relationships, responses, retrieval, usage, vector_index,
 )
+from shiftlens.operators import sparse_pairs as sparse
 from shiftlens.plans.scratch import fresh_path, written
 from shiftlens.plans.sizing import spread_small_scan
 from shiftlens.sources import logs, snapshots, store, tables
@@ -817,6 +818,15 @@ def cosine_sparse(spark, folder):
     return embedding.cosine_sparse(asked, answered, ["query_id"])
 
 
+@query
+def sparse_pairs(spark, folder):
+    """Every question with every turn of the conversations whose hashed words have a cosine of 0.9 or more."""
+    questions = sparse.weighted(v.query_log(spark, folder), "query_id", "query_text")
+    talk = tables.load_table(spark, folder, "conversations").withColumn("turn_id", F.concat_ws("-", "conv_id", "turn"))
+    found = sparse.similar_pairs(questions, sparse.weighted(talk, "turn_id", "text"), 0.9)
+    return found.select(F.col("left_key").alias("query_id"), F.col("right_key").alias("turn_id"), "score")
+
+
 @query
 def route_tables(spark, folder):
     return _routed(spark, folder)

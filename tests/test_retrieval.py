@@ -207,7 +207,7 @@ def test_grid_shuffles_least():
 
 def test_grid_of_real_sides(frames):
     queries, store = frames
-    grid, dims = r.vector_grid(queries, store, task_bytes=8 * DIMS * 60)
+    grid, dims = r.vector_grid(queries, store, task_bytes=8 * DIMS * 30)
     assert dims == DIMS and (grid.left_bytes, grid.right_bytes) == (40 * 8 * DIMS, 401 * 8 * DIMS)
     assert grid.blocks > 1 and grid.shuffled_bytes == grid.left_bytes * grid.lanes + grid.right_bytes * grid.blocks
 
