@@ -14,13 +14,14 @@ from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _folder(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
+def folder_at(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
+    """The file system of a path, and the path as it takes it."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
 def _pointers(spark: SparkSession, root: str) -> list[tuple[int, str]]:
-    files, where = _folder(spark, f"{root}/_current")
+    files, where = folder_at(spark, f"{root}/_current")
     if not files.exists(where):
         return []
     names = [s.getPath().getName() for s in files.listStatus(where)]
@@ -47,7 +48,7 @@ def write_snapshot(frame: DataFrame, root: str, *partition_by: str) -> str:
     number = seen[-1][0] + 1 if seen else 0
     if any(n >= number for n, _ in _pointers(spark, root)):
         raise RuntimeError(f"another version of {root} was written meanwhile")
-    files, where = _folder(spark, f"{root}/_current/{number:012d}-{version}")
+    files, where = folder_at(spark, f"{root}/_current/{number:012d}-{version}")
     files.create(where, False).close()
     return f"{root}/{version}"
 
@@ -63,5 +64,5 @@ def read_snapshot(spark: SparkSession, root: str, schema: str | None = None) ->
 def drop_old_versions(spark: SparkSession, root: str) -> None:
     """Delete all versions but the current one, once nothing reads them any more."""
     for _, version in _pointers(spark, root)[:-1]:
-        files, where = _folder(spark, f"{root}/{version}")
+        files, where = folder_at(spark, f"{root}/{version}")
         files.delete(where, True)

@@ -17,6 +17,7 @@ from shiftlens.plans.scratch import fresh_path, written
 from shiftlens.plans.sizing import broadcast_if_small
 from shiftlens.sources.logs import LOG_SCHEMA, TOKEN_SCHEMA
 from shiftlens.sources.store import append_store, missing_chunks, store_or_empty, store_rows
+from shiftlens.streaming import seen_ids
 
 #: Tables of a batch whose folders are picked out by name.
 PRUNED_TABLES = 100
@@ -67,21 +68,24 @@ def _saved_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], f"{schema}, batch int")
 
 
-def log_dedup_batch(out: str) -> Callable:
+def log_dedup_batch(out: str, fan: int = seen_ids.FAN, bucket_ids: int = seen_ids.BUCKET_IDS) -> Callable:
     """A micro-batch step that saves only the query ids that no other batch has saved.
 
-    The saved log is cut to the batch's ids before anything else is done with it. However late an id comes, its first delivery is
-    kept and later ones are not; a replayed batch replaces what it wrote before.
+    The saved ids are kept apart from the rows, in buckets of which a batch opens only its own (``seen_ids``), so
+    what it reads does not grow with the log. However late an id comes, its first delivery is
+    kept and later ones are not; a replayed batch replaces what it wrote before. Rows without an id are kept once a batch.
     """
 
     def step(rows: DataFrame, batch: int) -> None:
+        spark, kept = rows.sparkSession, f"{out}-ids"
         columns = [c for c in rows.columns if c != "query_id"]
         once = rows.groupBy("query_id").agg(F.min(F.struct(*columns)).alias("r")).select("query_id", "r.*").select(*rows.columns)
         once = written(once, "delivered")
-        ids = broadcast_if_small(once.select("query_id"))
-        held = _saved_batches(rows.sparkSession, out, LOG_SCHEMA).where(F.col("batch") != batch).select("query_id")
-        held = written(held.join(ids, "query_id", "left_semi").distinct(), "held")
+        seen_ids.merge_sets(spark, kept, batch, "query_id", fan, bucket_ids)
+        held = seen_ids.held_ids(once.select("query_id"), kept, batch)
         once.join(held, "query_id", "left_anti").write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        new = spark.read.schema(LOG_SCHEMA).parquet(f"{out}/batch={batch}").select("query_id").where(F.col("query_id").isNotNull())
+        seen_ids.save_ids(new, kept, batch, bucket_ids)
 
     return step
 
