@@ -309,6 +309,16 @@ oracle("chart_heatmap", """SELECT l_returnflag, round(avg(l_quantity) FILTER (l_
 oracle("chart_heatmap_long", "SELECT l_returnflag, l_suppkey, round(avg(l_quantity), 6) AS l_quantity FROM lineitem GROUP BY ALL")
 oracle("chart_histogram", """SELECT CAST(CASE WHEN o_totalprice < 0 THEN 0 WHEN o_totalprice >= 500000 THEN 21
        ELSE floor(20 * (o_totalprice - 0) / (500000 - 0)) + 1 END AS BIGINT) AS bin, count(*) AS n_rows FROM orders GROUP BY 1""")
+oracle("chart_histogram_values", """WITH o AS (
+  SELECT CASE o_orderkey % 50 WHEN 1 THEN 'NaN'::DOUBLE WHEN 2 THEN 'Infinity'::DOUBLE WHEN 3 THEN '-Infinity'::DOUBLE WHEN 4 THEN NULL ELSE o_totalprice END AS p FROM orders),
+k AS (SELECT p, CASE WHEN p IS NULL THEN 'null' WHEN isnan(p) THEN 'nan' WHEN isinf(p) THEN CASE WHEN p > 0 THEN 'infinity' ELSE '-infinity' END ELSE 'value' END AS kind FROM o),
+f AS (SELECT count(*) AS n, min(p) AS low, max(p) AS high, quantile_disc(p, 0.75) - quantile_disc(p, 0.25) AS spread FROM k WHERE kind = 'value'),
+b AS (SELECT low, high, least(200, CAST(ceil((high - low) / (2 * spread / pow(n, 1.0 / 3))) AS BIGINT)) AS bins FROM f),
+c AS (SELECT kind, CASE WHEN kind = 'value' THEN least(bins - 1, floor((p - low) / ((high - low) / bins))) END AS bin, count(*) AS n_rows FROM k, b GROUP BY 1, 2)
+SELECT kind, CAST(NULL AS VARCHAR) AS label, round(low + (high - low) * bin / bins, 6) AS low,
+       round(CASE WHEN bin = bins - 1 THEN high ELSE low + (high - low) * (bin + 1) / bins END, 6) AS high, n_rows FROM c, b""")
+oracle("chart_histogram_text", """SELECT CASE WHEN o_orderpriority IS NULL THEN 'null' ELSE 'category' END AS kind, o_orderpriority AS label,
+       CAST(NULL AS DOUBLE) AS low, CAST(NULL AS DOUBLE) AS high, count(*) AS n_rows FROM orders GROUP BY ALL""")
 oracle("chart_pie", """WITH totals AS (
   SELECT o_orderpriority, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders GROUP BY 1),
 whole AS (SELECT CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS w FROM orders)

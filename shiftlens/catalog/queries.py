@@ -405,6 +405,28 @@ def chart_histogram(spark, folder):
     return charts.histogram(orders, "o_totalprice", 0, 500_000, 20)
 
 
+def _edges_rounded(bars):
+    return bars.select("kind", "label", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "n_rows")
+
+
+@query
+def chart_histogram_values(spark, folder):
+    """Bins whose width follows from the spread; some prices are missing, unknown or without end."""
+    key = F.col("o_orderkey") % 50
+    price = (
+        F.when(key == 1, F.lit(float("nan"))).when(key == 2, F.lit(float("inf"))).when(key == 3, F.lit(float("-inf")))
+        .when(key != 4, F.col("o_totalprice"))
+    )
+    return _edges_rounded(charts.value_histogram(tables.load_table(spark, folder, "orders").select(price.alias("price")), "price"))
+
+
+@query
+def chart_histogram_text(spark, folder):
+    orders = tables.load_table(spark, folder, "orders")
+    spec = charts.ChartSpec("histogram", "o_orderpriority", "o_totalprice")
+    return _edges_rounded(charts.chart_data(orders, spec))
+
+
 @query
 def chart_pie(spark, folder):
     orders = tables.load_table(spark, folder, "orders").withColumn("total", F.col("o_totalprice").cast("decimal(18,2)"))

@@ -65,9 +65,11 @@ def from_json_records(records: DataFrame, schema: T.StructType, name: str = "rec
 
 def csv_preview(df: DataFrame, order_by: Sequence[str | Column], n: int) -> DataFrame:
     """Header and first ``n`` rows as one CSV text."""
-    line = F.to_csv(F.struct(*df.columns), {"escape": '"', "nullValue": ""})
+    options = {"escape": '"', "nullValue": ""}
+    line = F.to_csv(F.struct(*[F.col(f"`{c}`") for c in df.columns]), options)
     position = F.struct(*[F.col(k) if isinstance(k, str) else k for k in order_by])
     top = df.orderBy(*order_by).limit(n).select(F.struct(position.alias("k"), line.alias("line")).alias("row"))
     lines = F.transform(F.sort_array(F.collect_list("row")), lambda r: r["line"])
-    header = F.lit(",".join(df.columns) + "\n")
+    names = F.to_csv(F.struct(*[F.lit(c).alias(f"c{i}") for i, c in enumerate(df.columns)]), options)
+    header = F.concat(names, F.lit("\n"))
     return top.agg(F.concat(header, F.array_join(F.transform(lines, lambda s: F.concat(s, F.lit("\n"))), "")).alias("csv_text"))

@@ -56,6 +56,36 @@ def test_line_sorts_time_only(spark):
     assert ch.line(df, "y", "t").columns == ["y", "t"]
 
 
+def _bars(df, x, **kw):
+    return sorted((r.kind, r.label, r.low, r.high, r.n_rows) for r in ch.value_histogram(df, x, **kw).collect())
+
+
+def test_histogram_of_any_values(spark):
+    nan, inf = float("nan"), float("inf")
+    numbers = [1.0, 2.0, 2.0, 3.0, 9.0, nan, nan, inf, -inf, None]
+    df = spark.createDataFrame([(v, None if v is None else f"t{i % 2}", i % 2 == 0) for i, v in enumerate(numbers)], "v double, t string, b boolean")
+    # quartiles 2 and 3, five values: bins 2 / 5 ** (1 / 3) wide, seven of them
+    bars = _bars(df, "v")
+    assert [b[4] for b in bars if b[0] != "value"] == [1, 1, 2, 1] and [b[0] for b in bars if b[0] != "value"] == ["-infinity", "infinity", "nan", "null"]
+    assert [(round(b[2], 4), round(b[3], 4), b[4]) for b in bars if b[0] == "value"] == [(1.0, 2.1429, 3), (2.1429, 3.2857, 1), (7.8571, 9.0, 1)]
+    assert [(b[2], b[3], b[4]) for b in _bars(df, "v", bins=2) if b[0] == "value"] == [(1.0, 5.0, 4), (5.0, 9.0, 1)]
+    assert {(b[0], b[1]): b[4] for b in _bars(df.na.fill({"t": "none"}), "t")} == {("category", "t0"): 5, ("category", "t1"): 4, ("category", "none"): 1}
+    assert {(b[0], b[1]): b[4] for b in _bars(df.select("t"), "t")} == {("category", "t0"): 5, ("category", "t1"): 4, ("null", None): 1}
+    assert {(b[1]): b[4] for b in _bars(df, "b")} == {"true": 5, "false": 5}
+
+
+@pytest.mark.parametrize("values,bars", [([], []), ([4.0] * 3, [(4.0, 4.0, 3)]), ([0.0] * 7 + [8.0], [(0.0, 2.0, 7), (6.0, 8.0, 1)]), ([1e308, -1e308], [(-1e308, 1e308, 2)])])
+def test_histogram_of_few_or_equal_values(spark, values, bars):
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [(b[2], b[3], b[4]) for b in _bars(df, "v")] == bars
+
+
+def test_histogram_through_a_chart(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "name string, n int")
+    assert sorted((r.label, r.n_rows) for r in ch.chart_data(df, ch.ChartSpec("histogram", "name", "n")).collect()) == [("a", 2), ("b", 1)]
+    assert sum(r.n_rows for r in ch.chart_data(df, ch.ChartSpec("histogram", "n", "name")).collect()) == 3
+
+
 def test_pie_histogram_heatmap(spark):
     df = spark.createDataFrame([("a", 1.0, 5), ("a", 2.0, None), ("b", 1.0, 15), (None, 4.0, 20)], "x string, y double, v int")
     assert _rows(ch.pie(df, "x", "y")) == _rows(spark.createDataFrame([("a", 3.0, 0.375), ("b", 1.0, 0.125), (None, 4.0, 0.5)], "x string, y double, share double"))
@@ -64,7 +94,7 @@ def test_pie_histogram_heatmap(spark):
     assert _rows(ch.heatmap(df, "x", "y", "v", ["a", "b"])) == [(1.0, 5.0, 15.0)]
     with pytest.raises(Exception, match="not listed: b"):
         ch.heatmap(df, "x", "y", "v", ["a"]).collect()
-    assert sum(r.n_rows for r in ch.chart_data(df, ch.ChartSpec("histogram", "v", "y")).collect()) == 3
+    assert sum(r.n_rows for r in ch.chart_data(df, ch.ChartSpec("histogram", "v", "y")).where("kind = 'value'").collect()) == 3
     plan = plan_of(ch.pie(df, "x", "y"))
     assert "NestedLoop" not in plan and "Window" not in plan
 

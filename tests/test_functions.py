@@ -129,3 +129,14 @@ def test_hashing_a_long_text_is_not_quadratic(spark):
     df = spark.createDataFrame([(text,)], "t string")
     weights = df.select(F.inline(vc.hashed_weights(F.col("t")))).collect()
     assert len(weights) == 256 and sum(w.weight**2 for w in weights) == pytest.approx(1.0)
+
+
+def test_csv_header_is_quoted_like_the_rows(spark):
+    import csv
+    import io
+
+    from shiftlens.sources.tables import csv_preview
+
+    df = spark.createDataFrame([(1, "x,y", "plain")], 'a int, `b,c` string, `say "d"` string')
+    text = csv_preview(df, ["a"], 5).first().csv_text
+    assert list(csv.reader(io.StringIO(text))) == [["a", "b,c", 'say "d"'], ["1", "x,y", "plain"]]

@@ -56,11 +56,33 @@ def locked(spark, folder):
     from shiftlens.catalog import views as v
 
     spark.range(3).createOrReplaceTempView("raw_rows")
+    spark.range(30).write.mode("overwrite").saveAsTable("saved_rows")
+    spark.sql("CREATE OR REPLACE VIEW saved_view AS SELECT * FROM saved_rows")
 
     def views(session):
         return {"shift_fact": g.governed(v.shift_fact(session, folder), v.machine_access(session, folder), "U3", "P3")}
 
-    return g.locked_session(spark, views)
+    locked = g.locked_session(spark, views)
+    locked.udf.register("own_function", lambda x: x)
+    yield locked
+    spark.sql("DROP VIEW saved_view")
+    spark.sql("DROP TABLE saved_rows")
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SELECT 1 AS one",
+        "SELECT round(avg(total_count), 2) AS a, count(DISTINCT VALUES.x) AS n FROM shift_fact CROSS JOIN (VALUES (1), (2)) AS VALUES(x)",
+        "WITH a AS (SELECT total_count AS t FROM shift_fact), b AS (SELECT max(t) AS m FROM a) SELECT * FROM a JOIN b ON t = m",
+        "SELECT total_count, row_number() OVER (ORDER BY total_count) AS r FROM shift_fact WHERE total_count IN (SELECT id FROM range(100))",
+        "SELECT CASE WHEN total_count > 3 THEN upper('a') ELSE concat('b', 'c') END AS k FROM SHIFT_FACT f WHERE EXISTS (SELECT 1 FROM shift_fact g WHERE g.total_count < f.total_count)",
+        "SELECT sum(x) AS s FROM (SELECT explode(sequence(1, 4)) AS x)",
+        "SELECT date_format(ShiftStartTime, 'yyyy') AS y, extract(MONTH FROM ShiftStartTime) AS m, total_count % 2 = 0 OR total_count BETWEEN 1 AND 3 AS c FROM shift_fact WHERE total_count IS NOT NULL",
+    ],
+)
+def test_governed_sql_allows(locked, text):
+    assert g.run_sql(locked, text).count() >= 1
 
 
 def test_governed_sql_runs_with_parameters(locked):
@@ -80,9 +102,27 @@ def test_governed_sql_runs_with_parameters(locked):
         "CREATE TEMP VIEW x USING parquet OPTIONS (path '/root/testdata/sf0.001/lineitem.parquet')",
         "DROP VIEW shift_fact",
         "SELECT 1; SELECT 2",
+        "SELECT java_method('java.lang.System', 'getProperty', 'user.home')",
+        "SELECT reflect('java.util.UUID', 'randomUUID')",
+        "SELECT try_reflect('java.util.UUID', 'randomUUID')",
+        "SELECT VALID FROM shift_fact WHERE VALID > (SELECT java_method('java.lang.Math', 'random'))",
+        "WITH a AS (SELECT reflect('java.util.UUID', 'randomUUID') AS x) SELECT * FROM a",
+        "SELECT * FROM saved_rows",
+        "SELECT * FROM default.saved_rows",
+        "SELECT count(*) FROM shift_fact WHERE total_count IN (SELECT id FROM saved_rows)",
+        "SELECT (SELECT max(id) FROM saved_rows) AS m FROM shift_fact",
+        "SELECT * FROM shift_fact f WHERE EXISTS (SELECT 1 FROM saved_rows s WHERE s.id = f.total_count)",
+        "WITH a AS (SELECT id FROM saved_rows) SELECT total_count FROM shift_fact JOIN a ON id = total_count",
+        "SELECT total_count FROM shift_fact UNION ALL SELECT id FROM saved_rows",
+        "SELECT * FROM saved_view",
+        "SELECT transform(array(1), x -> reflect('java.util.UUID', 'randomUUID'))",
+        "SELECT input_file_name() FROM shift_fact",
+        "SELECT current_user()",
+        "SELECT spark_catalog.default.secret(1)",
+        "SELECT own_function(1)",
     ],
 )
 def test_governed_sql_refuses(locked, text):
-    with pytest.raises((AnalysisException, ParseException)):
+    with pytest.raises((AnalysisException, ParseException, g.QueryRefused)):
         g.run_sql(locked, text).collect()
     assert g.run_sql_or_none(locked, text) is None

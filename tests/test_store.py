@@ -118,10 +118,48 @@ def test_embed_batches_of_fifty_and_failures(spark):
 
     embedded = embedding.embed_batches(df, embed)
     rows = embedded.collect()
-    assert len(rows) == 230 and {r.embedding[0] for r in rows if r.embedding} == {50.0, 30.0}
-    assert {r.error: r.n_chunks for r in embedding.embedding_errors(embedded).collect()} == {"RuntimeError: no service": 50, "10 vectors for 50 texts": 50}
+    assert len(rows) == 230 and [r.id for r in rows if r.embedding is None] == [60]
+    assert {r.error: r.n_chunks for r in embedding.embedding_errors(embedded).collect()} == {"RuntimeError: no service": 1}
     chunks = embedded.withColumns({c: F.lit("x") for c in ("table_name", "kind", "content_hash")}).withColumnRenamed("id", "chunk_id")
-    assert store.store_rows(chunks, dt.datetime(2025, 1, 1)).count() == 130
+    assert store.store_rows(chunks, dt.datetime(2025, 1, 1)).count() == 229
+
+
+def test_bad_answers_stand_alone():
+    good = [1.0, 0.0]
+    odd = {"none": None, "nan": [float("nan"), 1.0], "short": [1.0], "words": ["a", "b"], "number": 3}
+
+    def embed(texts):
+        if "raises" in texts:
+            raise ValueError("bad text")
+        if "silent" in texts:
+            return None
+        return [odd.get(t, good) for t in texts]
+
+    texts = [f"t{i}" for i in range(40)] + ["raises", "silent", *odd, "last"]
+    found = dict(zip(texts, embedding.embedded_texts(embed, texts), strict=True))
+    assert {t: reason for t, (vector, reason) in found.items() if vector is None} == {
+        "raises": "ValueError: bad text", "silent": "no answer", "none": "no vector", "nan": "a component is not finite",
+        "short": "1 components, not 2", "words": "not a vector of numbers", "number": "not a vector of numbers",
+    }
+    assert all(found[t] == (good, None) for t in texts if t.startswith("t") or t == "last")
+    assert embedding.embedded_texts(lambda x: [[1.0]], ["a"], dims=2) == [(None, "1 components, not 2")]
+
+
+def test_an_outage_is_not_asked_for_every_text():
+    calls = []
+
+    def embed(texts):
+        calls.append(len(texts))
+        raise ConnectionError("down")
+
+    found = embedding.embedded_texts(embed, ["x"] * 50)
+    assert {reason for _, reason in found} == {"ConnectionError: down"} and len(found) == 50 and len(calls) < 20
+
+
+def test_columns_by_the_names_of_the_result_are_replaced(spark):
+    df = spark.createDataFrame([(1, "a", 5, "old"), (2, None, 6, "older")], "id int, chunk_text string, embedding int, error string")
+    rows = embedding.embed_batches(df, lambda texts: [[1.0] if t else None for t in texts]).orderBy("id").collect()
+    assert [(r.id, r.embedding, r.error) for r in rows] == [(1, [1.0], None), (2, None, "no vector")]
 
 
 def test_refresh_after_a_change_returns_each_chunk_once(spark):
