@@ -221,6 +221,9 @@ SELECT query_id, response_id, query_text, response_text, strftime(created_at, {I
 FROM query_log WHERE user_code = 'U3' ORDER BY created_at DESC, query_id""")
 oracle("log_append", f"""WITH {QUERY_LOG}
 SELECT query_id, response_id, query_text, response_text, user_code, plant_code, strftime(created_at, {ISO}) AS created_at FROM query_log""")
+oracle("log_time_travel", f"""WITH {QUERY_LOG}, v AS (
+  SELECT 0 AS version, user_code FROM query_log UNION ALL SELECT 1, user_code FROM query_log WHERE NOT (user_code = 'U3' AND plant_code = 'P3'))
+SELECT version, user_code, count(*) AS n_rows FROM v GROUP BY ALL""")
 oracle("log_delete", f"""WITH {QUERY_LOG}
 SELECT query_id, user_code, plant_code FROM query_log WHERE NOT (user_code = 'U3' AND plant_code = 'P3')""")
 oracle("token_log_append", f"WITH {TOKENS} SELECT * FROM token_lines")

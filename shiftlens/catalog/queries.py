@@ -20,7 +20,7 @@ from shiftlens.operators import (
 from shiftlens.operators import sparse_pairs as sparse
 from shiftlens.plans.scratch import fresh_path, written
 from shiftlens.plans.sizing import spread_small_scan
-from shiftlens.sources import logs, snapshots, store, tables
+from shiftlens.sources import file_versions, logs, store, tables
 from shiftlens.streaming import flows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,14 +117,26 @@ def log_append(spark, folder):
     return saved.withColumn("created_at", tm.iso_text(F.col("created_at")))
 
 
+def _deleted_log(spark, folder):
+    root = fresh_path(spark, "query-log")
+    logs.append_log_version(v.query_log(spark, folder), root)
+    logs.delete_user_plant(spark, root, v.USER, v.PLANT)
+    return root
+
+
 @query
 def log_delete(spark, folder):
     """The log is saved, then its next version without the deleted rows, which readers then see."""
-    root = fresh_path(spark, "query-log")
-    snapshots.write_snapshot(v.query_log(spark, folder).select(*logs.LOG_COLUMNS), root)
-    kept = logs.without_user_plant(snapshots.read_snapshot(spark, root), v.USER, v.PLANT)
-    snapshots.write_snapshot(kept, root)
-    return snapshots.read_snapshot(spark, root).select("query_id", "user_code", "plant_code")
+    return logs.read_log_version(spark, _deleted_log(spark, folder)).select("query_id", "user_code", "plant_code")
+
+
+@query
+def log_time_travel(spark, folder):
+    """Rows by user before and after the delete, each read from its own version."""
+    root = _deleted_log(spark, folder)
+    counts = F.count(F.lit(1)).alias("n_rows")
+    each = [logs.read_log_version(spark, root, n).groupBy("user_code").agg(counts).select(F.lit(n).alias("version"), "user_code", "n_rows") for n in (0, 1)]
+    return each[0].unionByName(each[1])
 
 
 @query
@@ -163,12 +175,11 @@ def csv_preview(spark, folder):
 
 @query
 def store_invalidate(spark, folder):
-    """The store less one table is written as its next version and read back."""
+    """The store's next version without one table, which shares the files of all others."""
     root = fresh_path(spark, "store-versions")
-    snapshots.write_snapshot(v.chunk_store(spark, folder), root, "table_name")
-    kept = store.without_tables(snapshots.read_snapshot(spark, root, store.STORE_SCHEMA), ["part"])
-    snapshots.write_snapshot(kept, root, "table_name")
-    return snapshots.read_snapshot(spark, root, store.STORE_SCHEMA).select("record_id", "table_name", "content_hash")
+    file_versions.append_version(v.chunk_store(spark, folder), root, "table_name")
+    file_versions.delete_rows(spark, root, store.STORE_SCHEMA, F.col("table_name") == "part", "table_name")
+    return file_versions.read_version(spark, root, store.STORE_SCHEMA).select("record_id", "table_name", "content_hash")
 
 
 @query

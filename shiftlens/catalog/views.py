@@ -15,8 +15,8 @@ from shiftlens.operators.embedding import embed_hashed
 from shiftlens.operators.relationships import Relationship, TableInfo
 from shiftlens.plans.scratch import fresh_path, named_path
 from shiftlens.plans.sizing import spread_small_scan
-from shiftlens.sources.snapshots import current_path, read_snapshot, write_snapshot
-from shiftlens.sources.store import STORE_SCHEMA, read_store, refresh_store
+from shiftlens.sources.snapshots import current_path, publish, read_snapshot
+from shiftlens.sources.store import STORE_SCHEMA, refresh_store
 from shiftlens.sources.tables import load_table
 
 # The identity that the registered queries act for.
@@ -205,5 +205,5 @@ def chunk_store(spark: SparkSession, folder: str) -> DataFrame:
         facts.append((file, status.getLen(), status.getModificationTime()))
     root = named_path(spark, f"chunk-store-{hashlib.sha256(repr(facts).encode()).hexdigest()[:24]}")
     if current_path(spark, root) is None:
-        write_snapshot(read_store(spark, build_store(spark, folder)), root, "table_name")
+        publish(spark, root, lambda path: refresh_store(chunks(spark, folder), path, embed_hashed, STORE_TIME))
     return read_snapshot(spark, root, STORE_SCHEMA)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftlens.functions.times import log_time_text
+from shiftlens.sources import file_versions
 
 # The log is partitioned by a hash of the user, so the number of folders does not grow with the
 # number of users and a read for one user opens one folder.
@@ -26,15 +27,35 @@ def user_bucket(user: Column) -> Column:
     return F.pmod(F.crc32(user.cast("binary")), F.lit(USER_BUCKETS)).cast("int")
 
 
+def _bucketed(rows: DataFrame) -> DataFrame:
+    """Log rows by their user's bucket; a heavy user's rows are split over tasks by the rebalance."""
+    by_user = F.coalesce(user_bucket(F.col("user_code")), F.lit(0)).alias("user_bucket")
+    return rows.select(*LOG_COLUMNS, by_user).hint("rebalance", "user_bucket")
+
+
 def append_log(rows: DataFrame, path: str) -> None:
-    """Append query/response rows; a heavy user's rows are split over tasks by the rebalance."""
-    (
-        rows.select(*LOG_COLUMNS, F.coalesce(user_bucket(F.col("user_code")), F.lit(0)).alias("user_bucket"))
-        .hint("rebalance", "user_bucket")
-        .write.mode("append")
-        .partitionBy("user_bucket")
-        .parquet(path)
-    )
+    """Append query/response rows."""
+    _bucketed(rows).write.mode("append").partitionBy("user_bucket").parquet(path)
+
+
+def append_log_version(rows: DataFrame, root: str) -> int:
+    """Append query/response rows to a log whose versions share files; returns the version's number."""
+    return file_versions.append_version(_bucketed(rows), root, "user_bucket")
+
+
+def read_log_version(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """A version of such a log, the newest if none is named."""
+    return file_versions.read_version(spark, root, LOG_SCHEMA, version)
+
+
+def delete_user_plant(spark: SparkSession, root: str, user: str, plant: str) -> int:
+    """A version without one user's rows of one plant; only the files of that user's bucket are opened or rewritten.
+
+    Rows with a missing code never match, so they stay.
+    """
+    mine = F.col("user_bucket") == user_bucket(F.lit(user))
+    hit = mine & (F.col("user_code") == user) & (F.col("plant_code") == plant)
+    return file_versions.delete_rows(spark, root, LOG_SCHEMA, hit, "user_bucket")
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
