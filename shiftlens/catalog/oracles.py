@@ -216,6 +216,7 @@ oracle("store_decode", f"""WITH {CHUNK_VECTORS}
 SELECT table_name || '_' || chunk_id AS record_id, chunk_text, CAST({DIMS} AS INTEGER) AS n_dims, CAST(1 AS DOUBLE) AS norm, components FROM embedded""")
 oracle("store_append", f"""WITH {CHUNK_VECTORS}
 SELECT table_name || '_' || chunk_id AS record_id, table_name, chunk_id, kind, content_hash, CAST({DIMS} AS INTEGER) AS n_dims, components FROM embedded""")
+oracle("store_versioned", ORACLES["store_append"])
 oracle("log_scan_user", f"""WITH {QUERY_LOG}
 SELECT query_id, response_id, query_text, response_text, strftime(created_at, {ISO}) AS created_at
 FROM query_log WHERE user_code = 'U3' ORDER BY created_at DESC, query_id""")

@@ -20,7 +20,7 @@ from shiftlens.operators import (
 from shiftlens.operators import sparse_pairs as sparse
 from shiftlens.plans.scratch import fresh_path, written
 from shiftlens.plans.sizing import spread_small_scan
-from shiftlens.sources import file_versions, logs, store, tables
+from shiftlens.sources import file_versions, logs, store, store_versions, tables
 from shiftlens.streaming import flows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +103,16 @@ def store_append(spark, folder):
     return saved.select("record_id", "table_name", "chunk_id", "kind", "content_hash", F.size("embedding").alias("n_dims"), _shown("embedding"))
 
 
+@query
+def store_versioned(spark, folder):
+    """A store laid out by hash: built, compacted, and refreshed from the same tables, which adds nothing."""
+    root, chunks = fresh_path(spark, "store-layout"), written(v.chunks(spark, folder), "chunks")
+    store_versions.refresh_version(chunks, root, embedding.embed_hashed, v.STORE_TIME)
+    store_versions.compact_store(spark, root)
+    present = store_versions.refresh_version(chunks, root, embedding.embed_hashed, v.STORE_TIME)
+    return present.select("record_id", "table_name", "chunk_id", "kind", "content_hash", F.size("embedding").alias("n_dims"), _shown("embedding"))
+
+
 @query
 def log_scan_user(spark, folder):
     rows = logs.scan_user(v.query_log(spark, folder), v.USER)

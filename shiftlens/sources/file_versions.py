@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shiftlens.plans.sizing import broadcast_if_small
 from shiftlens.sources.snapshots import folder_at, make_pointer, pointer_numbers, read_pointer
 
 _LIST = "path string, write string"
@@ -75,10 +76,11 @@ def append_version(frame: DataFrame, root: str, *partition_by: str) -> int:
 
 def read_version(spark: SparkSession, root: str, schema: str, version: int | None = None) -> DataFrame:
     """A version's rows; ``schema`` is that of the table, partition columns last."""
-    return _read(spark, root, schema, files_of(spark, root, version))
+    return read_files(spark, root, schema, files_of(spark, root, version))
 
 
-def _read(spark: SparkSession, root: str, schema: str, paths: list[str]) -> DataFrame:
+def read_files(spark: SparkSession, root: str, schema: str, paths: list[str]) -> DataFrame:
+    """The rows of some data files of the table."""
     if not paths:
         return spark.createDataFrame([], schema)
     full = spark.read.schema(f"{schema}, write string").option("basePath", f"{root}/data").parquet(*[f"{root}/{p}" for p in paths])
@@ -94,7 +96,7 @@ def delete_rows(spark: SparkSession, root: str, schema: str, condition: Column,
     """
     known = versions(spark, root)
     paths = files_of(spark, root, known[-1] if known else None)
-    hits = _read(spark, root, schema, paths)
+    hits = read_files(spark, root, schema, paths)
     touched = set()
     if paths:
         for row in hits.where(condition).select(F.col("_metadata.file_path").alias("f")).distinct().collect():  # files, not rows
@@ -102,9 +104,16 @@ def delete_rows(spark: SparkSession, root: str, schema: str, condition: Column,
             touched.add(row["f"][at + 1 :])
     if not touched:
         return known[-1]
-    kept = _read(spark, root, schema, sorted(touched)).where(~F.coalesce(condition, F.lit(False)))
-    write, new = _write(kept, root, partition_by)
-    old = _listed(spark, root, known[-1]).where(~F.col("path").isin(sorted(touched)))
+    kept = read_files(spark, root, schema, sorted(touched)).where(~F.coalesce(condition, F.lit(False)))
+    return replace_files(kept, root, sorted(touched), *partition_by)
+
+
+def replace_files(frame: DataFrame, root: str, replaced: list[str], *partition_by: str) -> int:
+    """A version with the rows of ``frame`` in place of the files ``replaced``; all other files are shared."""
+    spark, known = frame.sparkSession, versions(frame.sparkSession, root)
+    write, new = _write(frame, root, partition_by)
+    gone = broadcast_if_small(spark.createDataFrame([(p,) for p in replaced], "path string"))
+    old = _listed(spark, root, known[-1]).join(gone, "path", "left_anti")
     return _commit(spark, root, known[-1] + 1, old.unionByName(_as_list(spark, write, new)))
 
 
