@@ -436,8 +436,15 @@ def nearest(
 
 
 def _cosine(a: str, b: str) -> F.Column:
+    """The cosine of two vectors; where squares could overflow or vanish both are divided by their largest component first."""
+
     def total(values: F.Column) -> F.Column:
         return F.aggregate(values, F.lit(0.0), lambda x, y: x + y)
 
-    product = total(F.zip_with(a, b, lambda x, y: x * y))
-    return product / F.sqrt(total(F.transform(a, lambda x: x * x))) / F.sqrt(total(F.transform(b, lambda x: x * x)))
+    def safe(name: str) -> F.Column:
+        largest = F.array_max(F.transform(name, lambda x: F.abs(x)))
+        return F.when(largest.between(1e-120, 1e120), F.col(name)).otherwise(F.transform(name, lambda x: x / largest))
+
+    product = total(F.zip_with(safe(a), safe(b), lambda x, y: x * y))
+    length = [F.sqrt(total(F.transform(safe(c), lambda x: x * x))) for c in (a, b)]
+    return product / length[0] / length[1]

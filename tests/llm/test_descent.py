@@ -56,6 +56,17 @@ def test_odd_vectors_ties_and_repeats(spark):
     same(run(spark, rows), plain(rows))
 
 
+def test_huge_and_tiny_vectors(spark):
+    """Scores of finite vectors are cosines whatever their size."""
+    rows = [(0, [1e200, 1e200]), (50, [1e-200, 0.0]), (100, [3.0, 4.0]), (1, [1e-300, 1e-300]), (2, [1e308, 0.0]), (3, [0.0, 5e-324]), (4, [-1e250, 1.0])]
+    got = nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    unit = {i: np.array(v) / max(map(abs, v)) for i, v in rows}
+    unit = {i: v / math.sqrt(v @ v) for i, v in unit.items()}
+    want = {(q, i): float(unit[q] @ unit[i]) for q in (0, 50, 100) for i in unit if i != q}
+    assert len(got) == 15 and all(r.score == pytest.approx(want[r.query_id, r.vec_id], abs=1e-12) for r in got)
+    assert {(r.query_id, r.vec_id) for r in got if r["rank"] == 1} == {(0, 1), (50, 2), (100, 0)}
+
+
 def test_fewer_candidates_and_empty_table(spark):
     rows = vectors(3, 4)
     same(run(spark, rows), plain(rows))
