@@ -304,6 +304,10 @@ oracle("column_stats", " UNION ALL ".join(
   round(avg({c}), 6) AS mean_value, round(median(CAST({c} AS DOUBLE)), 6) AS median_value FROM lineitem"""
     for i, c in enumerate(["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"])
 ))
+LINE_NUMBERS = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax".split()
+oracle("column_quantiles", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST({share} AS DOUBLE) AS share, round(quantile_cont(CAST({c} AS DOUBLE), {share}), 6) AS value FROM lineitem"
+    for c in LINE_NUMBERS for share in (0.05, 0.25, 0.5, 0.95)))
 oracle("chart_bar", """SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total
 FROM orders GROUP BY ALL""")
 oracle("chart_bar_short", """SELECT event_type, count(*) AS n_events, CASE WHEN event_type = 'error' THEN 'bad' ELSE 'good' END AS tone

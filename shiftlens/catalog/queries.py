@@ -18,6 +18,7 @@ from shiftlens.operators import (
     charts, chunking, embedding, governance, history, profiling, relationships, responses, retrieval, usage, vector_index,
 )
 from shiftlens.operators import sparse_pairs as sparse
+from shiftlens.plans import radix
 from shiftlens.plans.scratch import fresh_path, written
 from shiftlens.plans.sizing import spread_small_scan
 from shiftlens.sources import file_versions, logs, store, store_versions, tables
@@ -389,6 +390,16 @@ def column_stats(spark, folder):
     return stats.select("ordinal", "column_name", "n_rows", "n_values", *rounded)
 
 
+@query
+def column_quantiles(spark, folder):
+    """Exact quantiles of every numeric column, found by counting digits."""
+    lines = tables.load_table(spark, folder, "lineitem")
+    shares = ["0.05", "0.25", "0.5", "0.95"]
+    found = radix.exact_quantiles(profiling.select_numeric(lines), shares)
+    rows = [(name, float(s), None if x is None else float(x)) for name, values in found.items() for s, x in zip(shares, values, strict=True)]
+    return spark.createDataFrame(rows, "column_name string, share double, value double").withColumn("value", F.round("value", 6))
+
+
 @query
 def chart_bar(spark, folder):
     orders = tables.load_table(spark, folder, "orders").select(

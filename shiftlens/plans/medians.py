@@ -1,8 +1,7 @@
-"""Exact column statistics in a column's own type, by a few scans of the table.
+"""Exact column statistics in a column's own type.
 
-The first scan takes counts, extremes, sums and, from a sketch with a known rank error, a band of values
-that holds the middle. The next counts what lies below and inside the band; if little is left, the last
-one reads the middle off. Only a table of some hundred million values needs another round in between.
+One scan takes counts, extremes and sums; the middle values are found by radix selection (``radix``), which
+scans again for each digit of them, all columns at once.
 """
 
 from __future__ import annotations
@@ -10,14 +9,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from decimal import Decimal, localcontext
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Values of a column that may be left when its median is read off, and the sketch's accuracy: its ranks
-# are wrong by one part in this many at most.
-MEDIAN_VALUES = 100_000
-ACCURACY = 10_000
+from shiftlens.plans.radix import values_at_ranks
 
 
 @dataclass
@@ -31,35 +27,18 @@ class ColumnStats:
     min: object
     max: object
     mean: object
-    low: float | None = None
-    high: float | None = None
-    below: int = 0
-    inside: int = 0
     median: object = None
 
     @property
     def ranks(self) -> tuple[int, int]:
         return (self.n_values - 1) // 2, self.n_values // 2
 
-    @property
-    def holds(self) -> bool:
-        return self.below <= self.ranks[0] and self.ranks[1] < self.below + self.inside
-
-    @property
-    def few(self) -> bool:
-        return self.low == self.high or self.inside <= MEDIAN_VALUES
-
 
 def _value(field: T.StructField) -> Column:
     value = F.col(f"`{field.name}`")
     return F.when(~F.isnan(value), value) if isinstance(field.dataType, (T.DoubleType, T.FloatType)) else value
 
 
-def _around(rank: Column | float) -> Column:
-    slack = 2.0 / ACCURACY
-    return F.array(F.lit(max(0.0, rank - slack)), F.lit(min(1.0, rank + slack)))
-
-
 def _profile(df: DataFrame) -> list[ColumnStats]:
     """The first scan."""
     parts = [F.count(F.lit(1)).alias("rows")]
@@ -70,88 +49,31 @@ def _profile(df: DataFrame) -> list[ColumnStats]:
         total = F.sum(v.cast(f"decimal(38,{scale})")) if exact else F.avg(v.cast("double"))
         parts += [
             F.count(v).alias(f"n{i}"), F.min(v).alias(f"a{i}"), F.max(v).alias(f"z{i}"), total.alias(f"m{i}"),
-            F.percentile_approx(v.cast("double"), _around(0.5), F.lit(ACCURACY)).alias(f"p{i}"),
         ]
     row = df.agg(*parts).first()
     out = []
     for i, field in enumerate(df.schema.fields):
         exact = not isinstance(field.dataType, (T.DoubleType, T.FloatType))
-        n, mean, band = row[f"n{i}"], row[f"m{i}"], row[f"p{i}"] or [None, None]
+        n, mean = row[f"n{i}"], row[f"m{i}"]
         if exact and mean is not None:
             mean = Decimal(mean) / n
-        out.append(ColumnStats(field.name, exact, row["rows"], n, row[f"a{i}"], row[f"z{i}"], mean, band[0], band[1]))
+        out.append(ColumnStats(field.name, exact, row["rows"], n, row[f"a{i}"], row[f"z{i}"], mean))
     return out
 
 
-def _in_band(field: T.StructField, s: ColumnStats) -> Column:
-    d = _value(field).cast("double")
-    return (d >= F.lit(s.low)) & (d <= F.lit(s.high))
-
-
-def _narrow(df: DataFrame, stats: list[ColumnStats]) -> None:
-    """Bands that hold few values around the middle."""
-    fields = {f.name: f for f in df.schema.fields}
-    open_ = [s for s in stats if s.n_values]
-    while open_:
-        counts = []
-        for s in open_:
-            d = _value(fields[s.name]).cast("double")
-            counts += [F.count_if(d < F.lit(s.low)), F.count_if(_in_band(fields[s.name], s))]
-        row = df.agg(*[c.alias(f"c{i}") for i, c in enumerate(counts)]).first()
-        for i, s in enumerate(open_):
-            s.below, s.inside = row[2 * i], row[2 * i + 1]
-            if not s.holds:  # the sketch was off by more than it may be: begin with all values
-                s.low, s.high, s.below, s.inside = float(s.min), float(s.max), 0, s.n_values
-        open_ = [s for s in open_ if not s.few]
-        if not open_:
-            break
-        picks = []
-        for s in open_:
-            inside = F.when(_in_band(fields[s.name], s), _value(fields[s.name]).cast("double"))
-            picks.append(F.percentile_approx(inside, _around((s.ranks[0] - s.below + 0.5) / s.inside), F.lit(ACCURACY)))
-        row = df.agg(*[p.alias(f"p{i}") for i, p in enumerate(picks)]).first()
-        for i, s in enumerate(open_):
-            s.low, s.high = row[i]
-
-
-def _read_off(df: DataFrame, stats: list[ColumnStats]) -> None:
-    """The values at the middle ranks, in their own type.
-
-    Equal values are counted before the shuffle, and a column has few different ones left. Numbers that
-    are the same as a double are told apart by their digits.
-    """
-    todo = [s for s in stats if s.n_values]
-    if not todo:
+def _medians(df: DataFrame, stats: list[ColumnStats]) -> None:
+    known = [s for s in stats if s.n_values]
+    if not known:
         return
-    fields = {f.name: f for f in df.schema.fields}
-    entries = []
-    for i, s in enumerate(todo):
-        v = _value(fields[s.name])
-        entry = F.struct(F.lit(i).alias("at"), v.cast("double").alias("d"), v.cast("string").alias("t"))
-        entries.append(F.when(_in_band(fields[s.name], s), entry))
-    kept = df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e")).select("e.*")
-    counted = kept.groupBy("at", "d", "t").agg(F.count(F.lit(1)).alias("n"))
-    size, up = F.length("t"), F.col("d") >= 0
-    order = ["d", F.when(up, size).otherwise(-size), F.when(up, F.col("t")), F.when(~up, F.col("t")).desc()]
-    upto = Window.partitionBy("at").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = counted.withColumn("upto", F.sum("n").over(upto))
-    hit = F.lit(False)
-    for i, s in enumerate(todo):
-        for rank in s.ranks:
-            hit = hit | ((F.col("at") == i) & (F.col("upto") > rank - s.below) & (F.col("upto") - F.col("n") <= rank - s.below))
-    found: dict[int, list[tuple]] = {}
-    for r in running.where(hit).collect():  # two rows a column at most
-        found.setdefault(r["at"], []).append((r["upto"], r["d"], r["t"]))
-    for i, s in enumerate(todo):
-        ends = sorted(found[i])
-        first, last = ends[0], ends[-1]
-        s.median = (Decimal(first[2]) + Decimal(last[2])) / 2 if s.exact else (first[1] + last[1]) / 2
+    found = values_at_ranks(df, {s.name: sorted(set(s.ranks)) for s in known}, {s.name: (s.min, s.max) for s in known})
+    for s in known:
+        first, last = found[s.name][0], found[s.name][-1]
+        s.median = (Decimal(first) + Decimal(last)) / 2 if s.exact else (first + last) / 2
 
 
 def column_facts(df: DataFrame) -> list[ColumnStats]:
     """Statistics of the columns of ``df``, all of which must be numeric; nulls and NaN are missing values."""
     with localcontext(prec=80):
         stats = _profile(df)
-        _narrow(df, stats)
-        _read_off(df, stats)
+        _medians(df, stats)
     return stats
