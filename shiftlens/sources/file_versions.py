@@ -10,6 +10,7 @@ a part.
 from __future__ import annotations
 
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,8 +101,10 @@ def delete_rows(spark: SparkSession, root: str, schema: str, condition: Column,
     touched = set()
     if paths:
         for row in hits.where(condition).select(F.col("_metadata.file_path").alias("f")).distinct().collect():  # files, not rows
-            at = row["f"].rfind("/data/write=")
-            touched.add(row["f"][at + 1 :])
+            path = unquote(row["f"])  # a URI, while files are listed by their plain names
+            touched.add(path[path.rfind("/data/write=") + 1 :])
+        if not touched <= set(paths):
+            raise RuntimeError(f"files of {root} that its version does not list: {sorted(touched - set(paths))[:3]}")
     if not touched:
         return known[-1]
     kept = read_files(spark, root, schema, sorted(touched)).where(~F.coalesce(condition, F.lit(False)))

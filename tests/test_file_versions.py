@@ -44,6 +44,17 @@ def test_appends_nulls_and_no_hits(spark):
     assert fv.append_version(more, root, "part") == 4 and _ids(spark, root) == [100, 101, 102]
 
 
+def test_partitions_with_special_signs(spark):
+    root, kinds = fresh_path(spark, "versions"), "id int, part string"
+    names = ["a b=c", "50%", "x/y", "é", "plain", None]
+    rows = spark.createDataFrame([(i, names[i % 6]) for i in range(30)], kinds).coalesce(1)
+    fv.append_version(rows, root, "part")
+    for name in names[:4]:
+        fv.delete_rows(spark, root, kinds, (F.col("part") == name) & (F.col("id") > 6), "part")
+    left = sorted((r.id, r.part) for r in fv.read_version(spark, root, kinds).collect())
+    assert left == [(i, names[i % 6]) for i in range(30) if i <= 6 or i % 6 > 3]
+
+
 def test_of_two_writers_one_fails(spark, monkeypatch):
     root = _table(spark)
     monkeypatch.setattr(fv, "versions", lambda *a, seen=fv.versions(spark, root): seen)
