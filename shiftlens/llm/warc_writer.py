@@ -1,8 +1,8 @@
 """Sharded WARC archives with the same bytes on every run.
 
-Pages are dealt to shards by ranges of their id that depend on the data alone. A task writes each of
-its shards in id order, one gzip member a record, and starts a new file when the compressed size is
-reached. Headers and digests are made anew. Files are written under names of their own, so a task that
+Pages are range-sorted by id and payload digest and cut into shards of equal bytes, at places that follow
+from the data alone. A task writes one shard in that order, one gzip member a record, and starts a new
+file when the compressed size is reached. Headers and digests are made anew. Files are written under names of their own, so a task that
 runs twice disturbs nothing; the manifest names the files of the attempts that succeeded, and only
 those are renamed and committed.
 """
@@ -15,17 +15,21 @@ import io
 import re
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shiftlens.plans.scratch import written
 
-#: Ranges of ids whose bytes are counted before shards are cut; this many rows reach the driver.
-RANGES = 2048
+#: Shards at most; beyond, each holds more than asked for. Their first keys (60 bytes each) reach the driver.
+MAX_SHARDS = 20_000
+#: What a record is counted to need besides its payload.
+RECORD_BYTES = 100
+#: Rows alike in id and payload that are dealt to several shards; fewer stay together.
+ALIKE = 100
 MANIFEST = "name string, part string, shard bigint, number int, records bigint, bytes bigint, sha256 string, first_id bigint, last_id bigint"
 
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -97,35 +101,52 @@ class _File:
         return (self.name, self.part, self.shard, self.number, self.records, self.bytes, self.sha.hexdigest(), self.first, self.last)
 
 
-def _shards(facts: DataFrame, shard_bytes: int) -> tuple[Callable[[DataFrame], DataFrame], int]:
-    """How to give rows their shard, and the number of shards: id ranges of about ``shard_bytes``.
+def _key() -> Column:
+    """Text that sorts as ``page_id`` (nulls first) and then ``sha`` do, for all 64-bit ids."""
+    moved = F.lpad(F.hex(F.col("page_id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.coalesce(F.concat(F.lit("1"), moved), F.lit("0")), F.lit("-"), F.col("sha"))
 
-    The id span is cut into equal ranges, their bytes are counted, and each range becomes as many
-    shards as its bytes ask for; light neighbours share one.
+
+def _bounds(facts: DataFrame, shard_bytes: int) -> list[str]:
+    """The keys at which new shards begin: where the bytes in key order pass each multiple of a shard.
+
+    They follow from the data alone. Sizes are summed by key first, the keys are range-sorted, and running
+    sums within a range are moved by the sums of the ranges before. A key of ``ALIKE`` rows with the bytes of
+    several shards is listed once for each. At most ``MAX_SHARDS`` keys reach the driver.
     """
-    span = facts.agg(F.min("page_id").alias("low"), F.max("page_id").alias("high")).first()
-    low, high = (span["low"] or 0), (span["high"] or 0)
-    width = (high - low) // RANGES + 1
-    offset = F.coalesce(F.col("page_id") - F.lit(low), F.lit(0)).cast("bigint")
-    at = F.expr(f"coalesce(page_id - {low}L, 0L) div {width}L")
-    weights = facts.groupBy(at.alias("range")).agg(F.sum("size").alias("bytes")).orderBy("range").collect()  # RANGES rows at most
-    cuts, shard, held = [], 0, 0
-    for row in weights:
-        parts = max(1, -(-row["bytes"] // shard_bytes))
-        if held and held + row["bytes"] > shard_bytes:
-            shard, held = shard + 1, 0
-        cuts.append((row["range"], shard, parts))
-        held += row["bytes"]
-        if parts > 1:
-            shard, held = shard + parts, 0
-    bounds = facts.sparkSession.createDataFrame(cuts or [(0, 0, 1)], "range bigint, base bigint, parts bigint")
-
-    def place(rows: DataFrame) -> DataFrame:
-        inside = F.floor((offset % F.lit(width)) * F.col("parts") / F.lit(float(width))).cast("bigint")
-        placed = rows.withColumn("range", at).join(F.broadcast(bounds), "range")
-        return placed.withColumn("shard", F.col("base") + inside).drop("range", "base", "parts")
-
-    return place, shard + 1
+    keys = facts.groupBy(_key().alias("key")).agg(F.sum(F.col("size") + RECORD_BYTES).alias("bytes"), F.count("*").alias("n"))
+    ranges = written(keys.repartitionByRange("key").withColumn("range", F.spark_partition_id()), "page-keys")
+    sums = ranges.groupBy("range").agg(F.sum("bytes").alias("bytes")).orderBy("range").collect()  # one row a range
+    step = max(shard_bytes, -(-sum(r["bytes"] for r in sums) // MAX_SHARDS))
+    before, offsets = 0, []
+    for row in sums:
+        offsets.append((row["range"], before))
+        before += row["bytes"]
+    if before <= step:
+        return []
+    start = F.broadcast(facts.sparkSession.createDataFrame(offsets, "range int, start bigint"))
+    end = F.sum("bytes").over(Window.partitionBy("range").orderBy("key")) + F.col("start")
+    placed = ranges.join(start, "range").select("key", "n", end.alias("end"), (end - F.col("bytes")).alias("begin"))
+    first = F.greatest(F.lit(1), F.expr(f"(begin + {step - 1}L) div {step}L"))
+    last = F.expr(f"(end - 1L) div {step}L")
+    cuts = placed.withColumns({"first": first, "last": last}).where("first <= last")
+    begins = F.when(F.col("n") < ALIKE, F.col("last")).otherwise(F.col("first"))
+    found = cuts.select("key", F.explode(F.sequence(begins, F.col("last"))).alias("shard")).collect()
+    return sorted(r["key"] for r in found)
+
+
+def _passed(bounds: list[str], key: Column, same: bool) -> Column:
+    """How many of the sorted ``bounds`` come before ``key`` (with ``same``, or equal it), by halving."""
+    if not bounds:
+        return F.lit(0)
+    listed = F.split(F.lit(",".join(bounds)), ",")  # folded to one literal
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+
+    def move(at: Column, step: Column) -> Column:
+        bound = F.get(listed, at + step - 1)
+        return F.when((bound <= key) if same else (bound < key), at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), move)
 
 
 def write_warc(
@@ -144,7 +165,8 @@ def write_warc(
     Of the pages with equal payloads of at least ``min_revisit_bytes`` bytes the one with the largest
     ``page_id`` is written whole, those with a smaller id or none become revisits of it; rows that
     repeat that id are written whole as well. Payloads that only rows without an id have are all
-    written whole. An empty table gives an empty manifest. ``folder`` must be one that every executor
+    written whole. At least ``ALIKE`` rows of one id and payload that fill several shards are dealt to them by url
+    and by where they were read; all others have one place. An empty table gives an empty manifest. ``folder`` must be one that every executor
     reaches and is committed by ``manifest``, a Parquet table that is written last.
     """
     spark = pages.sparkSession
@@ -154,41 +176,47 @@ def write_warc(
         F.octet_length(payload).cast("bigint").alias("size"), F.sha1(payload.cast("binary")).alias("sha"),
     )
     facts = written(pages.select("page_id", "size", "sha"), "payloads")
+    bounds = _bounds(facts, shard_bytes)
     whole = (
         facts.where(F.col("size") >= min_revisit_bytes).groupBy("sha")
         .agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").drop("n")
     )
     again = facts.join(whole, "sha").where("page_id is null or page_id < refers_to").select("page_id", "sha", "refers_to").distinct()
-    place, shards = _shards(facts, shard_bytes)
     nothing = F.lit(None).cast("string")
-    rows = pages.select("page_id", F.lit(1).alias("kind"), "sha", "url", "html", F.lit(None).cast("bigint").alias("refers_to")).unionByName(
-        again.select("page_id", F.lit(0).alias("kind"), "sha", nothing.alias("url"), nothing.alias("html"), "refers_to")
+    low, high = (_passed(bounds, _key(), same).alias(name) for same, name in ((False, "low"), (True, "high")))
+    spread = F.col("low") + 1 + F.pmod(F.xxhash64("url", F.monotonically_increasing_id()), F.col("high") - F.col("low")).cast("int")
+    shard = F.when(F.col("high") - F.col("low") > 1, spread).otherwise(F.col("high"))
+    pages = pages.select("*", low, high).withColumn("shard", shard)
+    names = F.explode(F.sequence(F.least(F.col("low") + 1, F.col("high")), F.col("high"))).alias("shard")
+    again = again.select("*", low, high).select(names, "page_id", "sha", "refers_to")
+    rows = pages.select("shard", "page_id", F.lit(1).alias("kind"), "sha", "url", "html", F.lit(None).cast("bigint").alias("refers_to")).unionByName(
+        again.select("shard", "page_id", F.lit(0).alias("kind"), "sha", nothing.alias("url"), nothing.alias("html"), "refers_to")
     )
-    rows = place(rows).select("shard", "page_id", "kind", "sha", "url", "html", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
-        out, here, known = None, None, {}
+        out, here, refers = None, None, None
         for batch in batches:
             for shard, page_id, kind, sha, url, html, refers_to in zip(*(batch.column(i) for i in range(7)), strict=True):
                 shard, page_id, sha = shard.as_py(), page_id.as_py(), sha.as_py()
-                if here != (shard, page_id):
-                    here, known = (shard, page_id), {}
+                if here != (page_id, sha):
+                    here, refers = (page_id, sha), None
                 if kind.as_py() == 0:
-                    known[sha] = refers_to.as_py()
+                    refers = refers_to.as_py()
                     continue
                 if out is not None and (out.shard != shard or out.bytes >= file_bytes):
                     done.append(out.close())
                     out = _File(folder, prefix, shard, out.number + 1 if out.shard == shard else 0, date, level)
                 elif out is None:
                     out = _File(folder, prefix, shard, 0, date, level)
-                out.add(page_id, page_record(page_id, url.as_py(), html.as_py().encode(), known.get(sha), date, level))
+                out.add(page_id, page_record(page_id, url.as_py(), html.as_py().encode(), refers, date, level))
         if out is not None:
             done.append(out.close())
         if done:
             yield pa.RecordBatch.from_pylist([dict(zip(_COLUMNS, row, strict=True)) for row in done], schema=_ARROW)
 
-    ordered = rows.repartition(min(shards, 20_000), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "kind", "sha", "url")
+    dealt = rows.repartitionById(len(bounds) + 1, "shard")  # a task a shard
+    ordered = dealt.sortWithinPartitions(F.col("page_id").asc_nulls_first(), "sha", "kind", "url")
     manifest = written(ordered.mapInArrow(run, MANIFEST), "manifest")
     return _committed(spark, manifest, folder)
 

@@ -71,3 +71,28 @@ def test_hot_payload_and_long_page(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     manifest, records = _written(spark, tmp_path, [])
     assert manifest.count() == 0 and records == []
+
+
+def test_outlying_extreme_and_missing_ids_make_even_shards(spark, tmp_path):
+    ids = [*range(400), 10**18, -(2**63), 2**63 - 1, *[None] * 200]
+    rows = [(i, "http://h/", f"{n} " + "y" * 3000) for n, i in enumerate(ids)]
+    manifest, records = _written(spark, tmp_path, rows, shard_bytes=60_000)
+    assert _got(records) == _expected(rows)
+    held = defaultdict(int)
+    for row in manifest.collect():
+        held[row.shard] += row.records
+    assert len(held) > 25 and max(held.values()) <= 21
+
+
+def test_one_repeated_row_fills_several_shards(spark, tmp_path):
+    rows = [(5, "http://h/", "z" * 2000)] * 300 + [(9, "http://h/", "z" * 2000)] + [(7, "u", "w")] * 100
+    manifest, records = _written(spark, tmp_path, rows, shard_bytes=50_000)
+    assert _got(records) == _expected(rows)
+    alike = [r.records for r in manifest.collect() if r.first_id == r.last_id == 5]
+    assert len(alike) > 8 and max(alike) < 60
+
+
+def test_shards_are_ranges_of_ids(spark, tmp_path):
+    manifest, _ = _written(spark, tmp_path, [(i * i, "u", f"p{i}" * 100) for i in range(-300, 300, 7)], shard_bytes=9_000)
+    files = sorted((r.shard, r.number, r.first_id, r.last_id) for r in manifest.collect())
+    assert len(files) > 5 and all(a[3] <= b[2] for a, b in zip(files, files[1:], strict=False))
