@@ -154,9 +154,10 @@ def fit(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Model:
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     kind = docs.schema["doc_id"].dataType.simpleString()
     with small_batches(docs.sparkSession):
-        found = texts.select("doc_id", F.col("label").cast("double").alias("label"), "text").mapInArrow(run, f"doc_id {kind}, label double, terms binary").collect()
+        packed = texts.select("doc_id", F.col("label").cast("double").alias("label"), "text").mapInArrow(run, f"doc_id {kind}, label double, terms binary")
+        each = packed.groupBy("doc_id", "label").agg(F.min("terms").alias("terms"))  # one row of an id, so at most ``sample``
+        found = each.collect()
     found.sort(key=lambda r: (r["doc_id"], r["label"], bytes(r["terms"])))
-    found = found[:sample]  # repeated ids may have brought more rows
     labels = np.array([r["label"] for r in found])
     prior = float(labels.mean()) if len(labels) else 0.5
     x = np.zeros((len(found), TERMS), np.float32)
@@ -181,7 +182,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sa
     """``docs`` with ``held_out``, ``score`` and ``predicted``.
 
     ``labels`` has ``doc_id`` and ``quality`` (0 or 1); rows with a null in either are not learned from,
-    nor are held-out ones. Only the text is scored: an empty or null one gets the share of label 1.
+    nor are held-out ones; of rows that repeat an id one text is. Only the text is scored: an empty or null one gets the share of label 1.
     Rows that repeat an id keep a score of their own. Without any label every score is 0.5. Columns of
     ``docs`` called like a new one are replaced.
     """
