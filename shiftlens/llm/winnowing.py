@@ -1,9 +1,11 @@
 """Benchmark decontamination by winnowing, in SQL functions only.
 
-Every window of ``window`` words keeps the smallest hash of its ``k``-word grams. Two equal windows keep
-the same one, so a document that shares a window with a benchmark item shares a fingerprint: joining
-fingerprints finds every candidate. Hits are then extended to the whole window and compared word by
-word. Items shorter than a window are looked up whole, by their own length.
+Every window of ``window`` words keeps the smallest hash of its ``k``-word grams; neighbours that keep the
+same gram count once. Two equal windows keep the same hash, so a document that shares a window with a
+benchmark item shares a fingerprint: joining fingerprints, which are rows of a few numbers without any
+words, finds every candidate. The texts of documents with candidates are then read again, hits are
+extended to the windows around them and compared word by word. Items shorter than a window are
+looked up whole, by their own length.
 """
 
 from __future__ import annotations
@@ -26,15 +28,33 @@ def words_in(text: str) -> Column:
     return F.array_remove(F.split(folded, APART), "")
 
 
+def _with_grams(rows: DataFrame, k: int) -> DataFrame:
+    """``rows`` with ``g``, the hash of the ``k`` words from each word on; those at the end have fewer."""
+    return rows.withColumn("g", F.transform("words", lambda w, i: F.xxhash64(w, *[F.get("words", i + m) for m in range(1, k)])))
+
+
 def _fingerprint(at: Column, window: int, k: int) -> Column:
-    """The smallest gram hash of the window that begins at word ``at`` of the word hashes ``h``."""
-    grams = [F.xxhash64(*[F.get("h", at + j + m) for m in range(k)]) for j in range(window - k + 1)]
+    """The smallest gram hash of the window that begins at word ``at``."""
+    grams = [F.get("g", at + j) for j in range(window - k + 1)]
     return F.least(*grams) if len(grams) > 1 else grams[0]
 
 
+def _selects(at: Column, window: int, k: int) -> Column:
+    """Whether the window at ``at`` keeps another gram than the window before it does.
+
+    It keeps the same one if that one is in both windows: the gram that left is larger than the
+    smallest shared one, the gram that came is not smaller.
+    """
+    if window - k < 1:
+        return F.lit(True)
+    shared = [F.get("g", at + j) for j in range(window - k)]
+    least = F.least(*shared) if len(shared) > 1 else shared[0]
+    return (at == 0) | (F.get("g", at - 1) <= least) | (F.get("g", at + window - k) < least)
+
+
 def _whole(at: Column, length: int) -> Column:
     """A hash of ``length`` words from word ``at``, apart from the fingerprints of other lengths."""
-    return F.xxhash64(F.lit(length), *[F.get("h", at + m) for m in range(length)])
+    return F.xxhash64(F.lit(length), *[F.get("words", at + m) for m in range(length)])
 
 
 def _run(at: Column, length: Column | int) -> Column:
@@ -45,7 +65,7 @@ def _run(at: Column, length: Column | int) -> Column:
 def benchmark_windows(benchmark: DataFrame, window: int, k: int) -> DataFrame:
     """``item_id, length, mark, run``: every window of every item, with its fingerprint."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_in("text").alias("words"))
-    items = items.withColumn("h", F.transform("words", lambda w: F.xxhash64(w))).withColumn("n", F.size("words")).where("n > 0")
+    items = _with_grams(items, k).withColumn("n", F.size("words")).where("n > 0")
     at = F.col("at")
     long = items.where(F.col("n") >= window).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - window)))
     out = long.select("item_id", F.lit(window).alias("length"), _fingerprint(at, window, k).alias("mark"), _run(at, window).alias("run"))
@@ -55,25 +75,35 @@ def benchmark_windows(benchmark: DataFrame, window: int, k: int) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, marks: DataFrame, lengths: list[int], window: int, k: int) -> DataFrame:
-    """``doc_id, key, n_words, at, length, run``: windows whose fingerprint a benchmark window has.
+    """``doc_id, key, n_words, at, length``: places whose fingerprint a benchmark window has.
 
-    Besides, one row per document with a null ``length`` carries its number of words.
+    Besides, one row per document with length -1 carries its number of words. Only numbers and the id
+    go through the join; that row's mark is the document's key, so a shuffle spreads these rows.
     """
-    words = docs.withColumn("words", words_in("text")).drop("text")
-    words = words.withColumn("h", F.transform("words", lambda w: F.xxhash64(w))).withColumn("n_words", F.size("words"))
+    words = _with_grams(docs.withColumn("words", words_in("text")).drop("text"), k).withColumn("n_words", F.size("words"))
     at = F.col("at")
     each = words.withColumn("at", F.explode(F.sequence(F.lit(-1), F.col("n_words") - F.lit(min([window, *lengths])))))
-    marked = each.where("at >= -1").withColumn("mark", F.when((at >= 0) & (at + window <= F.col("n_words")), _fingerprint(at, window, k)))
-    marked = marked.withColumn("length", F.lit(window))
+    kept = (at >= 0) & (at + window <= F.col("n_words")) & _selects(at, window, k)
+    mark = F.when(at == -1, F.col("key")).when(kept, _fingerprint(at, window, k))
+    length = F.when(at == -1, F.lit(-1)).otherwise(F.lit(window))
     if lengths:
-        probes = [F.struct(F.col("mark"), F.lit(window).alias("length"))]
+        probes = [F.struct(mark.alias("mark"), length.alias("length"))]
         probes += [F.struct(F.when((at >= 0) & (at + n <= F.col("n_words")), _whole(at, n)).alias("mark"), F.lit(n).alias("length")) for n in lengths]
-        marked = marked.drop("length").withColumn("probe", F.explode(F.array(*probes))).drop("mark")
-        marked = marked.withColumns({"mark": F.col("probe.mark"), "length": F.col("probe.length")})
-    found = marked.join(marks.withColumn("found", F.lit(True)), ["mark", "length"], "left")
-    kept = found.where("found or (at = -1 and length = %d)" % window)
-    run = F.when(F.col("found"), F.array_join(F.slice("words", at + 1, F.col("length")), " "))
-    return kept.select("doc_id", "key", "n_words", "at", F.when(F.col("found"), F.col("length")).alias("length"), run.alias("run"))
+        marked = each.withColumn("probe", F.explode(F.array(*probes))).select("doc_id", "key", "n_words", "at", "probe.mark", "probe.length")
+    else:
+        marked = each.select("doc_id", "key", "n_words", "at", mark.alias("mark"), length.alias("length"))
+    found = marked.where("mark is not null").join(marks.withColumn("found", F.lit(True)), ["mark", "length"], "left")
+    return found.where("found or length = -1").drop("mark", "found")
+
+
+def _windows_at(docs: DataFrame, places: DataFrame, window: int, k: int) -> DataFrame:
+    """``key, at, length, run``: the words of the windows that may hold the fingerprints at ``places``."""
+    spots = places.groupBy("key").agg(F.collect_set(F.struct("at", "length")).alias("spots"))  # places of one document
+    read = docs.join(broadcast_if_small(written(spots, "spots")), "key").select("key", words_in("text").alias("words"), "spots")
+    last = F.when(F.col("spot.length") == window, F.least(F.col("spot.at") + (window - k), F.size("words") - window)).otherwise(F.col("spot.at"))
+    each = read.select("key", "words", F.explode("spots").alias("spot"))
+    each = each.select("key", "words", F.explode(F.sequence("spot.at", last)).alias("at"), F.col("spot.length").alias("length"))
+    return each.select("key", "at", "length", _run(F.col("at"), F.col("length")).alias("run"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
@@ -90,9 +120,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
     lengths = sorted(r["length"] for r in windows.where(F.col("length") < window).select("length").distinct().collect())  # window - 1 at most
     marks = broadcast_if_small(windows.select("mark", "length").distinct())
     seen = written(_candidates(rows, marks, lengths, window, k), "windows")
-    every = seen.where("length is null").select("doc_id", "key", "n_words")
+    every = seen.where("length = -1").select("doc_id", "key", "n_words")
     runs = windows.groupBy("run", "length").agg(F.collect_set("item_id").alias("items"))
-    hits = seen.where("length is not null").select("key", "at", "length", "run").join(broadcast_if_small(runs), ["run", "length"])
+    around = _windows_at(rows.select("key", "text"), seen.where("length > 0").select("key", "at", "length"), window, k)
+    hits = around.join(broadcast_if_small(runs), ["run", "length"])
     hits = written(hits.select("key", "at", "length", "items"), "hits")
     spans = hits.select("key", "at", "length").distinct().groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "length"))).alias("spans"))
     covered = F.aggregate(

@@ -4,7 +4,10 @@ import hashlib
 import random
 import re
 
+from shiftlens.llm import winnowing
 from shiftlens.llm.winnowing import decontaminate
+from shiftlens.plans.scratch import written
+from tests.conftest import plan_of
 
 DOCS, ITEMS = "doc_id bigint, text string, n_words string", "item_id bigint, text string, key string"
 _FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -71,3 +74,33 @@ def test_other_sizes_and_empty_tables(spark):
     assert run(spark, docs, items, window=6, k=3) == plain(docs, items, 6)
     assert run(spark, docs, []) == plain(docs, [])
     assert run(spark, [], items) == []
+
+
+def test_the_same_without_broadcasts_and_no_words_in_the_join(spark, monkeypatch):
+    docs, items = passages(5, True)
+    monkeypatch.setattr(winnowing, "broadcast_if_small", lambda frame: frame.hint("shuffle_hash"))
+    assert run(spark, docs, items) == plain(docs, items)
+    rows = written(spark.createDataFrame([(i, i, t) for i, t in docs], "doc_id bigint, key bigint, text string"), "docs")
+    frame = written(spark.createDataFrame(items, "item_id bigint, text string"), "items")
+    marks = written(winnowing.benchmark_windows(frame, 10, 5).select("mark", "length").distinct(), "marks")
+    plan = plan_of(winnowing._candidates(rows, marks.hint("shuffle_hash"), [1, 2, 9], 10, 5))
+    moved = re.findall(r"\) Exchange\s*\nInput \[\d+\]: (.*)", plan)
+    names = {n for m in moved for n in re.findall(r"(\w+)#", m)}
+    assert names == {"doc_id", "key", "n_words", "at", "mark", "length", "found"}
+
+
+def test_few_different_words(spark):
+    rng = random.Random(8)
+    items = [(i, " ".join(rng.choice("ab") for _ in range(n))) for i, n in enumerate([10, 14, 40, 7])] + [(9, "a " * 30)]
+    docs = [(i, " ".join(rng.choice("aab") for _ in range(rng.randrange(90)))) for i in range(60)] + [(99, "a " * 500)]
+    for k in (1, 5, 10):
+        assert run(spark, docs, items, k=k) == plain(docs, items)
+
+
+def test_fingerprints_are_thinner_than_windows(spark):
+    rng = random.Random(9)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(4000))
+    docs = spark.createDataFrame([(1, 5, text)], "doc_id bigint, key bigint, text string")
+    marks = winnowing.benchmark_windows(spark.createDataFrame([(1, text)], "item_id bigint, text string"), 10, 5).select("mark", "length")
+    places = winnowing._candidates(docs, marks.distinct(), [], 10, 5).where("length > 0").count()
+    assert places < 4000 * 0.36  # two of seven windows are expected
