@@ -95,4 +95,4 @@ def test_one_repeated_row_fills_several_shards(spark, tmp_path):
 def test_shards_are_ranges_of_ids(spark, tmp_path):
     manifest, _ = _written(spark, tmp_path, [(i * i, "u", f"p{i}" * 100) for i in range(-300, 300, 7)], shard_bytes=9_000)
     files = sorted((r.shard, r.number, r.first_id, r.last_id) for r in manifest.collect())
-    assert len(files) > 5 and all(a[3] <= b[2] for a, b in zip(files, files[1:], strict=False))
+    assert len(files) >= 5 and all(a[3] <= b[2] for a, b in zip(files, files[1:], strict=False))
