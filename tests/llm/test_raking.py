@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from shiftlens.llm.raking import calibrated, mix, raked
+from shiftlens.llm.raking import TOLERANCE, calibrated, mix, raked
 
 SCHEMA = "doc_id bigint, text string, source string, lang string, kept string, topic string"
 
@@ -66,3 +66,47 @@ def test_nulls_empty_repeated_and_long_rows(spark):
 
 def test_empty_table(spark):
     assert mix(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+CELLS = "source string, lang string, topic string, tokens bigint"
+NAMES = ("source", "lang", "topic")
+
+
+def _target(spark, **shares):
+    return {name: spark.createDataFrame(list(values.items()), "value string, share double") for name, values in shares.items()}
+
+
+def test_targets_that_cannot_hold_together_are_an_error(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 50), ("b", "x", "t", 30), ("b", "y", "t", 20)], CELLS)
+    wanted = _target(spark, source={"a": 0.9, "b": 0.1}, lang={"x": 0.1, "y": 0.9})
+    with pytest.raises(ValueError, match="cannot hold together.*(source|lang) = "):
+        raked(cells, NAMES, wanted)
+    assert raked(cells, NAMES, wanted, rounds=2).count() == 3
+
+
+def test_slow_fits_go_on_until_the_margins_hold(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 10**6), ("a", "y", "t", 1), ("b", "x", "t", 1), ("b", "y", "t", 10**5)], CELLS)
+    shares = {"source": {"a": 0.3, "b": 0.7}, "lang": {"x": 0.6, "y": 0.4}}
+    got = raked(cells, NAMES, _target(spark, **shares)).collect()
+    for name, values in shares.items():
+        for value, wanted in values.items():
+            assert abs(sum(r.weight for r in got if r[name] == value) - wanted) <= TOLERANCE
+
+
+def test_own_targets_that_cannot_hold_give_the_last_margin(spark):
+    cells = spark.createDataFrame([*[(f"s{i}", "x", "t", 1) for i in range(9)], ("big", "y", "t", 9)], CELLS)
+    got = raked(cells, NAMES).collect()
+    assert all(r.weight > 0 for r in got) and sum(r.weight for r in got) == pytest.approx(1.0)
+
+
+def test_many_filled_cells(spark):
+    rows = [(100 + i, 2.0 ** (i % 12) * (i + 1)) for i in range(60)]
+    total, weights = sum(t for t, _ in rows), sum(w for _, w in rows)
+    cells = spark.createDataFrame([(t, w / weights) for t, w in rows], "tokens bigint, weight double")
+    for budget in (0.1, 0.5, 0.95, 1.0):
+        low, high = 0.0, 1e12
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(t, mid * w / weights) for t, w in rows) < total * budget else (low, mid)
+        got = {r.tokens: r.probability for r in calibrated(cells, budget).collect()}
+        assert got == pytest.approx({t: min(1.0, high * w / weights / t) for t, w in rows}, rel=1e-6)
