@@ -8,6 +8,7 @@ its id, so a rerun keeps the same ones.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -95,8 +96,8 @@ def raked(
     others follow ``temperature``. Fitting ends after ``ROUNDS`` rounds or more, when every share is within
     ``tolerance`` of its target; with ``rounds`` given it does just these, unmeasured. Targets that cannot
     hold together never get there: a ``ValueError`` names the margin and value that are farthest off, if any
-    targets were given. Without given ones the fit ends when the distance no longer shrinks, or after
-    ``MAX_ROUNDS``, and the last margin holds. A window holds the cells of one value; there are at most as many
+    targets were given. Without given ones the fit ends as soon as the distance shrinks too slowly to get there
+    in ``MAX_ROUNDS``, and the last margin holds. A window holds the cells of one value; there are at most as many
     cells as the margins have combinations.
     """
     for margin in margins:
@@ -125,6 +126,8 @@ def raked(
         if off <= tolerance:
             break
         stuck = off > 0.99 * before  # an error that still shrinks loses more than that in these rounds
+        if not targets and 0 < off < before < float("inf"):  # own targets are worth no long wait
+            stuck = done + TOGETHER * math.log(tolerance / off) / math.log(off / before) > MAX_ROUNDS
         if stuck or done >= MAX_ROUNDS:
             if targets:
                 raise ValueError(f"targets cannot hold together: after {done} rounds the share of {margin} = {value!r} is {off:.3g} off")
