@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from shiftlens.operators.sparse_pairs import prefix_entries, similar_classes, similar_pairs, weighted
+from tests.conftest import plan_of
 
 SIDE = "key string, weights array<struct<bucket:int,weight:double>>"
 
@@ -71,3 +72,21 @@ def test_texts(spark):
     side = weighted(texts, "id", "body")
     got = sorted(map(tuple, similar_pairs(side, side, 0.9).collect()))
     assert got == [("a", "a", 1.0), ("a", "b", 1.0), ("b", "a", 1.0), ("b", "b", 1.0), ("c", "c", 1.0)]
+
+
+@pytest.mark.parametrize("bounds", [{"row_cost": 0}, {"row_cost": 1e12}, {"row_cost": 1e12, "task_bytes": 8 * 40 * 30}])
+@pytest.mark.parametrize("threshold", [0.2, 0.8, 1.0])
+def test_index_and_products_give_the_same(spark, threshold, bounds):
+    rng = random.Random(6)
+    left, right = _side(rng, 60, 40, "a"), _side(rng, 150, 40, "b")
+    got = {(r.left_key, r.right_key): r.score for r in similar_pairs(_frame(spark, left), _frame(spark, right), threshold, 40, **bounds).collect()}
+    want = {(a, b): round(float(x @ y), 6) for a, x in left for b, y in right if round(float(x @ y), 6) >= threshold}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want) and want
+
+
+def test_common_components_are_not_joined(spark):
+    """Where every component is common, the index would join more rows than there are pairs: blocks are multiplied."""
+    rng = np.random.default_rng(8)
+    sides = [_frame(spark, [(f"{n}{i}", v / np.linalg.norm(v)) for i, v in enumerate(rng.random((80, 12)) + 0.2)]) for n in "ab"]
+    plan = plan_of(similar_pairs(*sides, 0.97, 12))
+    assert "CoGroups" in plan and similar_pairs(*sides, 0.97, 12).count() == similar_pairs(*sides, 0.97, 12, row_cost=0).count() > 0
