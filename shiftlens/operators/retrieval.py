@@ -3,7 +3,8 @@
 Queries are dealt to blocks and the store to lanes by hashes of their keys; how many of each follows from
 the bytes of both sides (``plans.grid``): as few bytes as possible are shuffled while a block and a lane
 fit in one task. A task scores one block against one lane with matrix products, keeping only the best
-k per query and source. Queries that are counted to fit in a single small block are sent to the
+k per query and source: products in single precision, whose error is bounded, screen out what cannot be among them,
+and the rest is scored in double precision. Batches are taken in slices, so a task's memory does not follow theirs. Queries that are counted to fit in a single small block are sent to the
 store's own scan instead, so the store isn't shuffled. The pairs themselves are never written out, and
 a source that holds much of the store is spread over the lanes like any other.
 
@@ -33,8 +34,10 @@ from shiftlens.plans.sizing import broadcast_if_small
 SCORE_DIGITS = 6
 SMALL_BYTES = 8 << 20  # vectors of queries that are sent to every task of the store's scan
 LIST_COPIES = 16  # of the fallback list, so that many queries without a vector are spread
-_LANE_ROWS = 20_000  # rows of the store that a task scores at once
+_SLICE_BYTES = 4 << 20  # vectors of the store that a task makes ready at once
 _TILE = 2_000_000  # scores worked out at once in a task
+_HEAD = 32  # rows scored in full before there is anything to screen by
+_PAIRS = 4_000  # pairs scored in full at once
 _HELD = 4_000_000  # part results a task keeps before it passes them on
 
 _NO_CHUNK = np.iinfo(np.int64).max
@@ -45,9 +48,15 @@ def unit_rows(vectors: pa.Array, dims: int) -> np.ndarray:
 
     A vector is divided by its largest component first, so that no square overflows or vanishes.
     """
+    out = np.zeros((len(vectors), dims))
+    step = max(1, _SLICE_BYTES // (8 * max(1, dims)))
+    for low in range(0, len(vectors) if dims else 0, step):
+        out[low : low + step] = _unit_slice(vectors.slice(low, step), dims)
+    return out
+
+
+def _unit_slice(vectors: pa.Array, dims: int) -> np.ndarray:
     rows = np.zeros((len(vectors), dims))
-    if dims == 0:
-        return rows
     lengths = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
     whole = lengths == dims
     fitting = vectors if whole.all() else vectors.filter(pa.array(whole))
@@ -78,20 +87,28 @@ def vector_faults(rows: DataFrame, dims: int, *keys: str) -> DataFrame:
     return rows.select(*keys, F.when(value.isNotNull(), F.size(value)).alias("n_dims"), fault.alias("fault")).where(F.col("fault").isNotNull())
 
 
+def _parts(batches, dims: int) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(source, chunk ids ascending, unit vectors) of each source in each slice of each batch."""
+    step = max(1, _SLICE_BYTES // (8 * max(1, dims)))
+    for batch in batches:
+        for low in range(0, batch.num_rows, step):
+            part = batch.slice(low, step)
+            rows = unit_rows(part.column("embedding"), dims)
+            ids = part.column("chunk_id").to_numpy(zero_copy_only=False)
+            sources = part.column("source").dictionary_encode()
+            codes = sources.indices.to_numpy(zero_copy_only=False)
+            order = np.lexsort((ids, codes))
+            for code in np.unique(codes):
+                mine = order[codes[order] == code]
+                yield sources.dictionary[code].as_py(), ids[mine], rows[mine]
+
+
 def _scored_tiles(batches, units: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """(source, chunk ids ascending, scores by chunk and query) of each part of each batch."""
     tile = max(1, _TILE // max(1, len(units)))
-    for batch in batches:
-        rows = unit_rows(batch.column("embedding"), units.shape[1])
-        ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
-        sources = batch.column("source").dictionary_encode()
-        codes = sources.indices.to_numpy(zero_copy_only=False)
-        order = np.lexsort((ids, codes))
-        for code in np.unique(codes):
-            mine = order[codes[order] == code]
-            for start in range(0, len(mine), tile):
-                part = mine[start : start + tile]
-                yield sources.dictionary[code].as_py(), ids[part], rows[part] @ units.T
+    for source, ids, rows in _parts(batches, units.shape[1]):
+        for start in range(0, len(ids), tile):
+            yield source, ids[start : start + tile], rows[start : start + tile] @ units.T
 
 
 def rounded(scores: np.ndarray) -> np.ndarray:
@@ -119,27 +136,100 @@ def _merge(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], k
     return np.take_along_axis(scores, order, axis=0), np.take_along_axis(ids, order, axis=0)
 
 
+def single_error(dims: int) -> float:
+    """More than a product of two vectors of length 1 is off in single precision: each term and each sum rounds once."""
+    return 4 * (dims + 4) * 2.0**-24
+
+
+class BestRows:
+    """The k best (scores, ids) of each query so far, by rounded score, then id; ranks by queries.
+
+    ``floors`` are scores below which a row is not wanted. ``single`` are the queries' ``units`` in single precision.
+    """
+
+    def __init__(self, units: np.ndarray, single: np.ndarray, k: int, floors: np.ndarray | None = None):
+        self.units, self.single, self.k, self.seen = units, single, k, 0
+        self.scores = np.full((k, len(units)), -np.inf)
+        self.ids = np.full((k, len(units)), _NO_CHUNK)
+        self.floors = np.full(len(units), -np.inf) if floors is None else floors.copy()
+        # a row's rounded score may be above its score by half a digit
+        self.slack = 10.0**-SCORE_DIGITS + single_error(units.shape[1])
+
+    def add(self, ids: np.ndarray, rows: np.ndarray, among: np.ndarray | None = None) -> None:
+        """Rows with ascending ``ids``, for all queries or those at the places ``among``."""
+        n = len(self.units) if among is None else len(among)
+        single = self.single if among is None else self.single[among]
+        start = 0
+        while n and start < len(ids):
+            step = max(1, _TILE // n)
+            if among is None:  # few rows seen screen little
+                step = min(step, max(_HEAD, self.seen))
+                self.seen += min(step, len(ids) - start)
+            self._tile(ids[start : start + step], rows[start : start + step], single, among)
+            start += step
+
+    def _tile(self, ids: np.ndarray, rows: np.ndarray, single: np.ndarray, among: np.ndarray | None) -> None:
+        at = slice(None) if among is None else among
+        floors = self.floors[at]
+        open_ended = np.count_nonzero(np.isneginf(floors))
+        if 16 * open_ended <= len(floors):
+            near = np.flatnonzero(rows.astype(np.float32) @ single.T >= (floors - self.slack).astype(np.float32))
+            if 16 * len(near) <= len(ids) * len(floors):
+                row, column = np.divmod(near, len(floors))
+                self._take(ids, rows, row, column if among is None else among[column])
+                return
+        # too much is left to be taken one by one
+        found = _best(ids, rows @ self.units[at].T, self.k)
+        self._set(at, *_merge((self.scores[:, at], self.ids[:, at]), found, self.k))
+
+    def _take(self, ids: np.ndarray, rows: np.ndarray, row: np.ndarray, column: np.ndarray) -> None:
+        exact = np.empty(len(row))
+        for low in range(0, len(row), _PAIRS):
+            part = slice(low, low + _PAIRS)
+            exact[part] = rounded(np.einsum("ij,ij->i", rows[row[part]], self.units[column[part]]))
+        own, last, last_id = ids[row], self.scores[-1, column], self.ids[-1, column]
+        better = (exact > last) | ((exact == last) & (own < last_id))
+        exact, own, column = exact[better], own[better], column[better]
+        if not len(column):
+            return
+        at = np.unique(column)
+        of = np.concatenate([np.repeat(at, self.k), column])
+        scores = np.concatenate([self.scores[:, at].T.ravel(), exact])
+        every = np.concatenate([self.ids[:, at].T.ravel(), own])
+        order = np.lexsort((every, -scores, of))
+        firsts = np.searchsorted(of[order], at)  # a query has k places, so k rows at least
+        taken = order[firsts[:, None] + np.arange(self.k)]
+        self._set(at, scores[taken].T, every[taken].T)
+
+    def _set(self, at, scores: np.ndarray, ids: np.ndarray) -> None:
+        self.scores[:, at], self.ids[:, at] = scores, ids
+        self.floors[at] = np.maximum(self.floors[at], scores[-1])
+
+
 def _top_k_task(k: int) -> Callable:
     """A block's queries and Arrow batches of the store to the best k rows per query and source of a task."""
-    def rows(query_ids, source, scores, ids):
-        held = ids != _NO_CHUNK
+    def rows(query_ids, source, best):
+        held = best.ids != _NO_CHUNK
         _, query = np.nonzero(held)
         return pa.RecordBatch.from_arrays(
             [query_ids.take(pa.array(query)), pa.array([source] * len(query), pa.string()),
-             pa.array(ids[held]), pa.array(scores[held])],
+             pa.array(best.ids[held]), pa.array(best.scores[held])],
             names=["query_id", "source", "chunk_id", "score"],
         )
 
     def run(query_ids, units, batches):
-        best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for source, ids, scores in _scored_tiles(batches, units):
-            found = _best(ids, scores, k)
-            best[source] = _merge(best[source], found, k) if source in best else found
-            if len(best) * k * len(units) > _HELD:
-                # Part results are merged after the shuffle anyway.
-                yield from (rows(query_ids, name, *part) for name, part in best.items())
-                best = {}
-        yield from (rows(query_ids, name, *part) for name, part in best.items())
+        best: dict[str, BestRows] = {}
+        single, tile = units.astype(np.float32), max(1, _TILE // max(1, len(units)))
+        for source, ids, vectors in _parts(batches, units.shape[1]):
+            for start in range(0, len(ids), tile):
+                if source not in best:
+                    best[source] = BestRows(units, single, k)
+                best[source].add(ids[start : start + tile], vectors[start : start + tile])
+                if len(best) * k * len(units) > _HELD:
+                    # Part results are merged after the shuffle anyway.
+                    yield from (rows(query_ids, name, found) for name, found in best.items())
+                    best = {}
+        yield from (rows(query_ids, name, found) for name, found in best.items())
 
     return run
 
@@ -208,7 +298,7 @@ def _per_block(queries: DataFrame, store: DataFrame, task: Callable, schema: T.S
         units = unit_rows(block.column("embedding").combine_chunks(), dims)
         if not len(ids) or not lane.num_rows:
             return pa.Table.from_batches([], found)
-        parts = lane.select(["source", "chunk_id", "embedding"]).combine_chunks().to_batches(max_chunksize=_LANE_ROWS)
+        parts = lane.select(["source", "chunk_id", "embedding"]).to_batches()
         return pa.Table.from_batches(list(task(ids, units, parts)), found)
 
     dealt = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(grid.blocks)).cast("int")).withColumn(

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftlens.functions.vectors import DIMENSIONS, hashed_weights
+from shiftlens.operators.retrieval import single_error
 from shiftlens.plans.grid import TASK_BYTES, plan_grid
 from shiftlens.plans.scratch import written
 
@@ -94,11 +95,6 @@ def _dense(weights: pa.ListArray, dims: int) -> np.ndarray:
     return out
 
 
-def single_error(dims: int) -> float:
-    """More than a product of two vectors of length 1 is off in single precision: each term and each sum rounds once."""
-    return 4 * (dims + 4) * 2.0**-24
-
-
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.round((a * b).sum(axis=1), DIGITS)
 

@@ -3,8 +3,9 @@
 Cells are made of a bounded sample by spherical k-means; then every stored vector goes to the cell whose
 centre is nearest in angle, and each cell keeps the largest angle of its members to the centre. A
 query's angle to the centre less that radius bounds the cosine with anything in the cell from above. The
-queries first score the cells with the best bounds; then only cells whose bound is not below a query's
-``k``-th score so far. What remains cannot hold a hit, so the result is that of the full search, row for
+queries first score the cells with the best bounds; then blocks of queries meet lanes of cells (``plans.grid``), and a
+task scores only cells whose bound is not below a query's ``k``-th score so far, so no list of queries and
+cells is made. What remains cannot hold a hit, so the result is that of the full search, row for
 row, for any data; how much is left out depends on how the vectors cluster, and is reported.
 
 The index is saved in a folder: ``members`` by cell, cut into pieces of limited size, and ``cells``.
@@ -23,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shiftlens.functions.fixed import TOP_K
-from shiftlens.operators.retrieval import SCORE_DIGITS, common_length, rounded, unit_rows
+from shiftlens.operators.retrieval import SCORE_DIGITS, BestRows, common_length, rounded, unit_rows
+from shiftlens.plans.grid import TASK_BYTES, plan_grid
 from shiftlens.plans.scratch import written
 from shiftlens.plans.sizing import broadcast_if_small
 
@@ -49,7 +51,7 @@ APART = -1
 _TILE = 2_000_000
 _MEMBERS = "cell bigint, source string, chunk_id bigint, unit array<double>"
 _FOUND = "query bigint, source string, chunk_id bigint, score double"
-_TARGETS = "query bigint, cell bigint, unit array<double>"
+_TARGETS = "query bigint, unit array<double>, cells array<bigint>"
 
 
 @dataclass
@@ -71,12 +73,18 @@ class VectorIndex:
         return int(self.counts.sum()) + self.apart
 
 
+def _nearest(units: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The centre nearest to each vector."""
+    step = max(1, _TILE // len(centres))
+    return np.concatenate([(units[low : low + step] @ centres.T).argmax(axis=1) for low in range(0, max(1, len(units)), step)])
+
+
 def _centres(sample: np.ndarray, cells: int) -> np.ndarray:
     """Spherical k-means on unit vectors."""
     rng = np.random.default_rng(3)
     centres = sample[rng.choice(len(sample), min(cells, len(sample)), replace=False)]
     for _ in range(ROUNDS):
-        home = (sample @ centres.T).argmax(axis=1)
+        home = _nearest(sample, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, home, sample)
         norms = np.linalg.norm(sums, axis=1)
@@ -121,7 +129,7 @@ def build_index(store: DataFrame, path: str, cell_rows: int = CELL_ROWS) -> Vect
             cell = np.full(len(units), APART)
             pointed = (units != 0).any(axis=1)
             if len(centres):
-                cell[pointed] = (units[pointed] @ centres.T).argmax(axis=1)
+                cell[pointed] = _nearest(units[pointed], centres)
             yield pa.RecordBatch.from_arrays([pa.array(cell), batch.column("source"), batch.column("chunk_id"), _lists(units)], names=["cell", "source", "chunk_id", "unit"])
 
     placed = written(rows.mapInArrow(place, _MEMBERS), "index-rows")
@@ -163,32 +171,36 @@ def open_index(spark: SparkSession, path: str) -> VectorIndex:
     )
 
 
-def upper_bounds(index: VectorIndex, units: np.ndarray) -> np.ndarray:
-    """For each query and cell, last the cell apart, no lower than the rounded score of any member."""
-    near = np.cos(np.maximum(0, angles(units, index.centres) - index.radii - SLACK)) if len(index.centres) else np.zeros((len(units), 0))
-    near = np.where(index.counts > 0, near + 10.0**-SCORE_DIGITS, -np.inf)
-    zero = ~(units != 0).any(axis=1)
-    near = np.where(zero[:, None] & (index.counts > 0), 0.0, near)
-    apart = np.full((len(units), 1), 0.0 if index.apart else -np.inf)
-    return np.hstack([near, apart])
+def upper_bounds(index: VectorIndex, units: np.ndarray, cells: np.ndarray | None = None) -> np.ndarray:
+    """For each query and cell, last the cell apart, no lower than the rounded score of any member; or for the given cells alone."""
+    at = np.arange(len(index.centres) + 1) if cells is None else np.where(cells == APART, len(index.centres), cells)
+    out = np.empty((len(units), len(at)))
+    apart = at == len(index.centres)
+    out[:, apart] = 0.0 if index.apart else -np.inf
+    at = at[~apart]
+    if len(at):
+        near = np.cos(np.maximum(0, angles(units, index.centres[at]) - index.radii[at] - SLACK))
+        near = np.where(index.counts[at] > 0, near + 10.0**-SCORE_DIGITS, -np.inf)
+        zero = ~(units != 0).any(axis=1)
+        out[:, ~apart] = np.where(zero[:, None] & (index.counts[at] > 0), 0.0, near)
+    return out
 
 
-def _targets(index: VectorIndex, queries: DataFrame, first: int | None) -> DataFrame:
-    """A row for each query and cell to score: the ``first`` by bound, or all others that reach ``floor``."""
+def _targets(index: VectorIndex, queries: DataFrame, first: int) -> DataFrame:
+    """Each query with the ``first`` cells by bound."""
+    step = max(1, _TILE // (len(index.centres) + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units = _matrix(batch.column("unit"), index.dims)
-            floors = batch.column("floor").to_numpy(zero_copy_only=False)
-            bounds = upper_bounds(index, units)
-            order = np.argsort(-bounds, axis=1, kind="stable")
-            place = np.empty_like(order)
-            np.put_along_axis(place, order, np.broadcast_to(np.arange(order.shape[1]), order.shape), axis=1)
-            chosen = np.isfinite(bounds) & ((place < first) if first is not None else (place >= FIRST_CELLS) & (bounds >= floors[:, None]))
-            at, cell = np.nonzero(chosen)
-            taken = batch.column("query").take(pa.array(at))
-            cell = np.where(cell == len(index.centres), APART, cell)
-            yield pa.RecordBatch.from_arrays([taken, pa.array(cell.astype(np.int64)), _lists(units[at])], names=["query", "cell", "unit"])
+            for low in range(0, batch.num_rows, step):
+                part = batch.slice(low, step)
+                bounds = upper_bounds(index, _matrix(part.column("unit"), index.dims))
+                order = np.argsort(-bounds, axis=1, kind="stable")[:, :first]
+                usable = np.isfinite(np.take_along_axis(bounds, order, axis=1))
+                cells = np.where(order == len(index.centres), APART, order)[usable].astype(np.int64)
+                offsets = np.concatenate([[0], np.cumsum(usable.sum(axis=1))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(cells))
+                yield pa.RecordBatch.from_arrays([part.column("query"), part.column("unit"), lists], names=["query", "unit", "cells"])
 
     return queries.mapInArrow(run, _TARGETS)
 
@@ -213,24 +225,70 @@ def _best(queries: pa.Table, members: pa.Table, dims: int, k: int) -> pa.Table:
     return pa.Table.from_arrays([pa.array(np.concatenate(found[0])), taken.column(0), taken.column(1), pa.array(np.concatenate(found[2]))], names=["query", "source", "chunk_id", "score"])
 
 
-def _scored(index: VectorIndex, targets: DataFrame, k: int, blocks: int) -> DataFrame:
-    """The ``k`` best members of every piece of a target's cell."""
+def _scored(index: VectorIndex, targets: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best members of every piece of a target's cell; queries of a cell are cut into blocks of limited size."""
     schema = pa.schema([("query", pa.int64()), ("source", pa.string()), ("chunk_id", pa.int64()), ("score", pa.float64())])
     dims = index.dims
 
     def run(_: tuple, queries: pa.Table, members: pa.Table) -> pa.Table:
         return _best(queries, members, dims, k).cast(schema) if queries.num_rows and members.num_rows else schema.empty_table()
 
-    spark = targets.sparkSession
+    asked = {r["cell"]: r["count"] for r in targets.groupBy("cell").count().collect()}  # a row for each cell
     counts = [*enumerate(index.counts), (APART, index.apart)]
-    pieces = spark.createDataFrame([(int(i), max(1, -(-int(n) // PIECE_ROWS))) for i, n in counts], "cell bigint, pieces int")
-    dealt = targets.join(F.broadcast(pieces), "cell").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
-    copies = index.members(spark).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    shape = [(int(i), max(1, -(-int(n) // PIECE_ROWS)), -(-asked[i] // BLOCK_QUERIES)) for i, n in counts if i in asked]
+    cut = F.broadcast(targets.sparkSession.createDataFrame(shape, "cell bigint, pieces int, blocks int"))
+    dealt = targets.join(cut, "cell").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("query"), "blocks").cast("int")).drop("pieces", "blocks")
+    copies = index.members(targets.sparkSession).join(cut, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("pieces", "blocks")
     keys = ["cell", "piece", "block"]
     return dealt.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInArrow(run, _FOUND)
 
 
+def _lane_best(index: VectorIndex, queries: pa.Table, members: pa.Table, k: int) -> tuple[pa.Table, int]:
+    """Each query's ``k`` best members of the cells that can hold one and are not among its ``cells``, and how many pairs were scored."""
+    units = _matrix(queries.column("unit"), index.dims)
+    known, lists = queries.column("floor").to_numpy(), queries.column("cells").combine_chunks()
+    passed, of = lists.flatten().to_numpy(), np.repeat(np.arange(len(units)), np.diff(lists.offsets.to_numpy()))
+    members = members.sort_by([("source", "ascending"), ("chunk_id", "ascending")])
+    rows, cell = _matrix(members.column("unit"), index.dims), members.column("cell").to_numpy()
+    best, scored = BestRows(units, units.astype(np.float32), k, known), 0
+    step = max(1, _TILE // len(units))
+    cells = np.unique(cell)
+    for low in range(0, len(cells), step):
+        bounds = upper_bounds(index, units, cells[low : low + step])
+        for i, c in enumerate(cells[low : low + step]):
+            wanted = bounds[:, i] >= best.floors
+            wanted[of[passed == c]] = False
+            asking, at = np.flatnonzero(wanted), np.flatnonzero(cell == c)
+            best.add(at, rows[at], asking)
+            scored += len(asking) * len(at)
+    held = best.ids < len(rows)
+    _, query = np.nonzero(held)
+    taken = members.select(["source", "chunk_id"]).take(pa.array(best.ids[held]))
+    return pa.table([queries.column("query").take(pa.array(query)), taken.column(0), taken.column(1), pa.array(best.scores[held])], names=["query", "source", "chunk_id", "score"]), scored
+
+
+def _others(index: VectorIndex, queries: DataFrame, k: int, n: int) -> DataFrame:
+    """The best members of all cells but the first of each query; ``scored``, on a row of its own for each task, counts pairs.
+
+    ``queries`` has ``query, unit, cells, floor``: the cells that were scored and the score that a hit must reach.
+    """
+    schema = pa.schema([("query", pa.int64()), ("source", pa.string()), ("chunk_id", pa.int64()), ("score", pa.float64()), ("scored", pa.int64())])
+    spark, width = queries.sparkSession, 8 * max(1, index.dims)
+    grid = plan_grid(n * width, index.rows * width, max(TASK_BYTES, 4 * width), spark.sparkContext.defaultParallelism)
+
+    def run(_: tuple, block: pa.Table, lane: pa.Table) -> pa.Table:
+        if not block.num_rows or not lane.num_rows:
+            return schema.empty_table()
+        found, scored = _lane_best(index, block, lane, k)
+        found = found.append_column("scored", pa.nulls(found.num_rows, pa.int64())).cast(schema)
+        return pa.concat_tables([found, pa.Table.from_pylist([{"scored": scored}], schema)])
+
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(grid.blocks)).cast("int")).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(grid.lanes - 1))))
+    spread = index.members(spark).withColumn("lane", F.pmod(F.xxhash64("cell", "piece"), F.lit(grid.lanes)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(grid.blocks - 1))))
+    return dealt.groupBy("block", "lane").cogroup(spread.groupBy("block", "lane")).applyInArrow(run, f"{_FOUND}, scored bigint")
+
+
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query").orderBy(F.desc("score"), "source", "chunk_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -251,16 +309,17 @@ def search_index(index: VectorIndex, queries: DataFrame, k: int = TOP_K) -> tupl
     named = written(queries.select(F.monotonically_increasing_id().alias("query"), "query_id", "embedding"), "queries")
     asked = written(named.select("query", "embedding").mapInArrow(units, "query bigint, unit array<double>"), "query-units")
     n = asked.count()
-    blocks = max(1, -(-n // BLOCK_QUERIES))
-    nearest = written(_targets(index, asked.withColumn("floor", F.lit(0.0)), FIRST_CELLS), "first-cells")
-    first = written(_ranked(_scored(index, nearest, k, blocks), k), "first-hits")
+    nearest = written(_targets(index, asked, FIRST_CELLS), "first-cells")
+    targets = nearest.select("query", F.explode("cells").alias("cell"), "unit")
+    first = written(_ranked(_scored(index, targets, k), k), "first-hits")
     floors = first.where(F.col("rank") == k).select("query", F.col("score").alias("floor"))
-    known = asked.join(broadcast_if_small(floors), "query", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    others = written(_targets(index, known, None), "other-cells")
-    hits = _ranked(first.drop("rank").unionByName(_scored(index, others, k, blocks)), k)
+    known = nearest.join(broadcast_if_small(floors), "query", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    others = written(_others(index, known, k, n), "other-hits")
+    hits = _ranked(first.drop("rank").unionByName(others.where("query is not null").drop("scored")), k)
     sizes = spark.createDataFrame([(int(i), int(c)) for i, c in [*enumerate(index.counts), (APART, index.apart)]], "cell bigint, n bigint")
-    visited = nearest.select("cell").unionByName(others.select("cell")).groupBy("cell").agg(F.count("*").alias("q")).join(F.broadcast(sizes), "cell")
-    pairs = F.coalesce(F.sum(F.col("q") * F.col("n")), F.lit(0))
+    visited = targets.groupBy("cell").agg(F.count("*").alias("q")).join(F.broadcast(sizes), "cell").select((F.col("q") * F.col("n")).alias("pairs"))
+    visited = visited.unionByName(others.select(F.col("scored").alias("pairs")))
+    pairs = F.coalesce(F.sum("pairs"), F.lit(0))
     report = visited.agg(pairs.alias("n_scored")).select(
         F.lit(n).cast("bigint").alias("n_queries"), F.lit(index.rows).cast("bigint").alias("n_chunks"), "n_scored",
         F.when(F.lit(n * index.rows > 0), F.col("n_scored") / F.lit(float(max(1, n * index.rows)))).alias("share"),

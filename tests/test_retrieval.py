@@ -215,3 +215,36 @@ def test_grid_of_real_sides(frames):
 def test_small_batches_do_not_shuffle_the_store(frames):
     small = plan_of(r.topk_per_source(*frames))
     assert "MapInArrow" in small and "CoGroups" not in small and "CoGroups" in plan_of(r.topk_per_source(*frames, small_bytes=0))
+
+
+def test_a_batch_is_taken_in_slices():
+    """A task's memory does not follow the batch: one of 20 MB of vectors is scored in half as much again."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng, n, dims = np.random.default_rng(1), 10_000, 256
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dims), pa.array(rng.random(n * dims)))
+    batch = pa.RecordBatch.from_pydict({"source": ["s"] * n, "chunk_id": np.arange(n), "embedding": vectors})
+    units = r.unit_rows(vectors.slice(0, 64), dims)
+    tracemalloc.start()
+    found = [x for out in r._top_k_task(3)(pa.array(np.arange(64)), units, [batch]) for x in out.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 192 and peak < 32e6
+
+
+@pytest.mark.parametrize("dims,decimals", [(3, 0), (64, 3)])
+def test_screened_rows_are_those_of_all_scores(dims, decimals):
+    """Single precision only screens: many ties, zero vectors and rows out of order of id give what full scores give."""
+    rng = np.random.default_rng(dims)
+    unit = lambda m: np.divide(m, np.linalg.norm(m, axis=1, keepdims=True), out=np.zeros_like(m), where=np.linalg.norm(m, axis=1, keepdims=True) > 0)
+    rows, units = unit(np.round(rng.normal(size=(3000, dims)), decimals)), unit(np.round(rng.normal(size=(90, dims)), decimals))
+    units[7] = 0
+    ids, best = rng.permutation(3000), r.BestRows(units, units.astype(np.float32), 4)
+    for part in np.array_split(np.arange(3000), 11):
+        part = part[np.argsort(ids[part])]
+        best.add(ids[part], rows[part])
+    order = np.argsort(ids)
+    scores, want = r._best(ids[order], rows[order] @ units.T, 4)
+    assert (best.scores == scores).all() and (best.ids == want).all()

@@ -74,3 +74,22 @@ def test_empty_store_and_no_queries(spark):
     assert got == want == [] and report.n_scored == 0
     got, want, report, _ = _both(spark, _clustered(50), [])
     assert got == want == [] and report.share is None
+
+
+def test_no_list_of_queries_and_cells_is_made(spark, monkeypatch):
+    """Of random directions nearly all cells are scored; what is saved grows with queries and hits, not with their cells."""
+    sizes = []
+
+    def counted(df, label):
+        saved = vi_written(df, label)
+        sizes.append((label, saved.count()))
+        return saved
+
+    vi_written = vi.written
+    monkeypatch.setattr(vi, "written", counted)
+    rng = np.random.default_rng(9)
+    rows = [("t", i, rng.normal(size=16).tolist()) for i in range(400)]
+    got, want, report, index = _both(spark, rows, [(f"q{i}", rows[i][2]) for i in range(100)], 3, 8)
+    assert got == want and report.share > 0.5 and len(index.centres) == 50
+    searched = dict(sizes[1:])
+    assert max(searched.values()) <= 100 * 3 * 12 + 12 and "other-cells" not in searched
