@@ -1,10 +1,12 @@
 """Main text of web pages: site templates are found by counting element subtrees per host.
 
-Every element outside the article is hashed with the text below it; Spark counts on how many pages of
-its host each hash occurs. Subtrees that recur on many pages of a host are template and go. Two things
-cannot be told by recurrence, and names decide: menus, adverts and footers whose words change from
-page to page or whose host has few pages go by their element, role or class, and what recurs inside
-an article (a licence line, a quotation) stays, as it is the article's own text.
+Every element is hashed with the text below it, those inside main areas and articles too; Spark counts on
+how many pages of its host each hash occurs. Subtrees that recur on many pages of a host are template and go, wherever
+they stand. Inside main areas and articles copies of one page count once, or a page that is served
+many times would be template as a whole. Two things cannot be told by recurrence, and names decide: menus, adverts and footers
+whose words change from page to page or whose host has few pages go by their element, role or class, and
+what recurs inside an article goes if most of it is links (lists of links, sharing bars); a licence
+line or a quotation stays, as it is the article's own text.
 """
 
 from __future__ import annotations
@@ -59,11 +61,12 @@ _NAME = re.compile(r"[a-z0-9]+")
 
 
 class _Element:
-    __slots__ = ("name", "dropped", "area", "texts", "mark", "slot")
+    __slots__ = ("name", "dropped", "area", "root", "texts", "linked", "mark", "slot")
 
-    def __init__(self, name: str, dropped: bool, area: int, slot: str):
-        self.name, self.dropped, self.area, self.slot = name, dropped, area, slot
+    def __init__(self, name: str, dropped: bool, area: int, slot: str, root: bool = False):
+        self.name, self.dropped, self.area, self.slot, self.root = name, dropped, area, slot, root
         self.texts: list[str] = []
+        self.linked = 0
         self.mark = 0
 
 
@@ -101,7 +104,7 @@ def _judged(name: str, attributes: str, inside: int) -> tuple[bool, int, str]:
 
 
 def blocks_of(page: str) -> list[tuple[str, int, list[_Element]]]:
-    """The text blocks outside named boilerplate: text, area, and the elements around each one.
+    """The text blocks outside named boilerplate: text, area, and the elements around each one, of a block in an area those inside it.
 
     Character references are decoded, white space inside a block is one space, empty blocks are left
     out. Unclosed and misplaced tags are taken as browsers do, as far as blocks are concerned.
@@ -109,14 +112,21 @@ def blocks_of(page: str) -> list[tuple[str, int, list[_Element]]]:
     out: list[tuple[str, int, list[_Element]]] = []
     stack: list[_Element] = [_Element("#root", False, 0, "")]
     said: list[str] = []
+    links: list[str] = []
 
     def flush() -> None:
         if said:
             text = " ".join(markup.unescape("".join(said)).split())
             said.clear()
             if text:
-                around = [e for e in stack[1:] if e.name not in ("html", "body") and not e.area]
-                out.append((text, stack[-1].area, around))
+                area = stack[-1].area
+                around = [e for e in stack[1:] if e.name not in ("html", "body") and e.area == area and not e.root]
+                out.append((text, area, around))
+                if links:
+                    linked = len("".join(" ".join(links).split()))
+                    for e in around:
+                        e.linked += linked
+            links.clear()
 
     def close(to: int) -> None:
         flush()
@@ -130,6 +140,8 @@ def blocks_of(page: str) -> list[tuple[str, int, list[_Element]]]:
         if not name:
             if not stack[-1].dropped and not m[0].startswith(("<!", "<?")):
                 said.append(m[0])
+                if any(e.name == "a" for e in stack):
+                    links.append(markup.unescape(m[0]))
             continue
         name = name.lower()
         if m[1] or m[4]:
@@ -189,21 +201,21 @@ def blocks_of(page: str) -> list[tuple[str, int, list[_Element]]]:
             if dropped and name not in _BLOCK:
                 flush()
             dropped, area = dropped or top.dropped, max(area, top.area)
-        stack.append(_Element(name, dropped, area, f"{name}{label}"))
+        stack.append(_Element(name, dropped, area, f"{name}{label}", area > top.area))
     close(1)
     return out
 
 
 def _marks(blocks: list[tuple[str, int, list[_Element]]]) -> None:
-    """Hash every element outside the main areas with all the text below it."""
-    elements = {id(e): e for _, area, around in blocks if not area for e in around}
-    for text, area, around in blocks:
-        if not area:
-            for e in around:
-                e.texts.append(text)
+    """Hash every element with all the text below it; inside articles only those that are mostly links."""
+    elements = {id(e): e for _, _, around in blocks for e in around}
+    for text, _, around in blocks:
+        for e in around:
+            e.texts.append(text)
     for e in elements.values():
-        digest = blake2b("\0".join([e.slot, *e.texts]).encode("utf-8", "replace"), digest_size=8).digest()
-        e.mark = int.from_bytes(digest, "little", signed=True)
+        if e.area < 2 or 2 * e.linked > sum(len("".join(t.split())) for t in e.texts):
+            key = "\0".join([*["main"] * bool(e.area), e.slot, *e.texts])
+            e.mark = int.from_bytes(blake2b(key.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) or 1
 
 
 def _host() -> F.Column:
@@ -211,37 +223,42 @@ def _host() -> F.Column:
 
 
 def parsed_pages(pages: DataFrame) -> DataFrame:
-    """``page_id, url, host, text, blocks, marks``: every page, parsed once.
+    """``page_id, url, host, text, blocks, marks, inner, copy``: every page, parsed once.
 
-    ``text`` is the text of the article, or of the main area, and null on a page that has neither;
-    then ``blocks`` holds its blocks with the hashes of the subtrees around each. ``marks`` are the
-    page's distinct subtrees outside main areas.
+    ``text`` is the text of the article, or of the main area, if no count can change it, and null on other pages;
+    then ``blocks`` holds the blocks of that area, or of the page, with the hashes of the subtrees around each. ``marks`` are the
+    page's distinct subtrees outside main areas, ``inner`` those inside, ``copy`` is a hash of the page.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = pa.list_(pa.struct([("text", pa.string()), ("marks", pa.list_(pa.int64()))]))
         for batch in batches:
-            texts, loose, marks = [], [], []
+            texts, loose, marks, inner, copies = [], [], [], [], []
             for page in batch.column("html"):
-                blocks = blocks_of(page.as_py() or "")
+                whole = page.as_py() or ""
+                blocks = blocks_of(whole)
                 _marks(blocks)
                 best = max((area for _, area, _ in blocks), default=0)
-                texts.append(" ".join(text for text, area, _ in blocks if area == best) if best or not blocks else None)
-                loose.append([] if best else [{"text": text, "marks": [e.mark for e in around]} for text, _, around in blocks])
+                main = [{"text": text, "marks": [e.mark for e in around if e.mark]} for text, area, around in blocks if area == best]
+                settled = not blocks or best and not any(b["marks"] for b in main)
+                texts.append(" ".join(b["text"] for b in main) if settled else None)
+                loose.append([] if settled else main)
                 marks.append(list({e.mark for _, area, around in blocks if not area for e in around}))
+                inner.append(list({e.mark for _, area, around in blocks if area for e in around if e.mark}))
+                copies.append(int.from_bytes(blake2b(whole.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(texts, pa.string()),
-                    pa.array(loose, block), pa.array(marks, pa.list_(pa.int64())),
+                    pa.array(loose, block), pa.array(marks, pa.list_(pa.int64())), pa.array(inner, pa.list_(pa.int64())), pa.array(copies, pa.int64()),
                 ],
-                ["page_id", "url", "host", "text", "blocks", "marks"],
+                ["page_id", "url", "host", "text", "blocks", "marks", "inner", "copy"],
             )
 
     kind = pages.schema["page_id"].dataType.simpleString()
     return pages.select("page_id", "url", _host().alias("host"), "html").mapInArrow(
         run,
         f"page_id {kind}, url string, host string, text string, "
-        "blocks array<struct<text:string,marks:array<bigint>>>, marks array<bigint>",
+        "blocks array<struct<text:string,marks:array<bigint>>>, marks array<bigint>, inner array<bigint>, copy bigint",
     )
 
 
@@ -249,10 +266,11 @@ def template_subtrees(parsed: DataFrame, min_pages: int = MIN_PAGES, min_share:
     """``host, mark``: the subtrees that recur on many pages of their host.
 
     Rows are counted per host and hash, summed before the shuffle, so a host with a third of all
-    pages is spread by its hashes.
+    pages is spread by its hashes. Inside main areas copies of one page count once.
     """
     on_host = parsed.groupBy("host").agg(F.count("*").alias("pages"))
-    seen = parsed.select("host", F.explode("marks").alias("mark"))
+    inside = parsed.select("host", "copy", F.explode("inner").alias("mark")).distinct().select("host", "mark")
+    seen = parsed.select("host", F.explode("marks").alias("mark")).unionByName(inside)
     often = seen.groupBy("host", "mark").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     return often.join(on_host, often.host.eqNullSafe(on_host.host)).where(F.col("n") >= min_share * F.col("pages")).select(often.host, "mark")
 
@@ -266,7 +284,7 @@ def extract_main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: f
     """
     parsed = written(parsed_pages(pages.select("page_id", "url", "html")), "parsed")
     template = template_subtrees(parsed, min_pages, min_share)
-    loose = parsed.where("text is null").select("page_id", "host", F.explode("marks").alias("mark"))
+    loose = parsed.where("text is null").select("page_id", "host", F.explode(F.concat("marks", "inner")).alias("mark"))
     found = loose.join(template, loose.host.eqNullSafe(template.host) & (loose.mark == template.mark))
     removed = found.groupBy("page_id").agg(F.collect_set(loose.mark).alias("gone"))
     left = F.filter("blocks", lambda b: ~F.arrays_overlap(b["marks"], F.coalesce("gone", F.array().cast("array<bigint>"))))

@@ -38,6 +38,22 @@ def test_article_keeps_what_recurs(spark):
     assert _texts(spark, rows, min_pages=3)[4] == ("Licence 4", 9)
 
 
+def test_recurring_subtrees_go_inside_main_areas_and_articles(spark):
+    """Unnamed template in a main area, and lists of links in an article, are told by the count."""
+    bar = "<ul><li><a href=/a>Top ten</a><li><a href=/b>Latest news</a></ul>"
+    rows = [(i, "http://h/", f"<main><div><p>Call us now</p></div><p>Own {i}</p></main>") for i in range(8)]
+    rows += [(10 + i, "http://g/", f"<article><h1>T</h1><p>Text {i}</p>{bar}<p>Licence</p></article>") for i in range(8)]
+    rows += [(30, "http://few/", f"<article><p>Text</p>{bar}</article>"), (31, "http://few/", "<main><div><p>Call us now</p></div></main>")]
+    got = _texts(spark, rows, min_pages=5)
+    assert got[3] == ("Own 3", 5) and got[13] == ("T Text 3 Licence", 16)
+    assert got[30][0] == "Text Top ten Latest news" and got[31][0] == "Call us now"
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    rows = [(i, "http://h/", "<main><div><p>One text</p></div><p>More</p></main>") for i in range(30)]
+    assert set(_texts(spark, rows, min_pages=5).values()) == {("One text More", 13)}
+
+
 def test_nulls_repeats_and_broken_markup(spark):
     rows = [(None, None, None), (1, None, ""), (2, "no host", "<p>a < b <i>c"), (2, "no host", "<p>a < b <i>c"), (3, "http://x", "<div class='x>")]
     got = extract_main_text(spark.createDataFrame([(*r, "") for r in rows], SCHEMA)).collect()
