@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shiftlens.functions.fixed import MISSING
 from shiftlens.plans.medians import ColumnStats, column_facts
-from shiftlens.sources.tables import column_profile, numeric_columns
+from shiftlens.sources.tables import column_profile, known_rows, numeric_columns
 
 STATS_SCHEMA = (
     "ordinal int, column_name string, n_rows bigint, n_values bigint, "
@@ -45,7 +45,7 @@ def numeric_facts(df: DataFrame) -> list[ColumnStats]:
 
 def stats_frame(spark: SparkSession, facts: list[ColumnStats]) -> DataFrame:
     """:func:`column_stats` from statistics that are known."""
-    return spark.createDataFrame([_stats_row(i, f) for i, f in enumerate(facts)], STATS_SCHEMA)
+    return known_rows(spark, [_stats_row(i, f) for i, f in enumerate(facts)], STATS_SCHEMA)
 
 
 def _stats_row(ordinal: int, facts: ColumnStats) -> tuple:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftlens.plans.sizing import broadcast_if_small
+from shiftlens.sources.tables import known_rows
 
 
 @dataclass(frozen=True)
@@ -91,7 +92,7 @@ def relationship_rows(spark: SparkSession, metadata: Metadata) -> DataFrame:
         for table, info in metadata.items()
         for i, rel in enumerate(info.relationships)
     ]
-    return spark.createDataFrame(rows, RELATIONSHIP_SCHEMA)
+    return known_rows(spark, rows, RELATIONSHIP_SCHEMA)
 
 
 def relationship_lines(relationships: DataFrame) -> DataFrame:

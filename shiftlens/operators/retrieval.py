@@ -35,6 +35,7 @@ SCORE_DIGITS = 6
 SMALL_BYTES = 8 << 20  # vectors of queries that are sent to every task of the store's scan
 LIST_COPIES = 16  # of the fallback list, so that many queries without a vector are spread
 _SLICE_BYTES = 4 << 20  # vectors of the store that a task makes ready at once
+_SCALE_BYTES = 512 << 10  # vectors scaled at once, which takes some copies of them
 _TILE = 2_000_000  # scores worked out at once in a task
 _HEAD = 32  # rows scored in full before there is anything to screen by
 _PAIRS = 4_000  # pairs scored in full at once
@@ -49,7 +50,7 @@ def unit_rows(vectors: pa.Array, dims: int) -> np.ndarray:
     A vector is divided by its largest component first, so that no square overflows or vanishes.
     """
     out = np.zeros((len(vectors), dims))
-    step = max(1, _SLICE_BYTES // (8 * max(1, dims)))
+    step = max(1, _SCALE_BYTES // (8 * max(1, dims)))
     for low in range(0, len(vectors) if dims else 0, step):
         out[low : low + step] = _unit_slice(vectors.slice(low, step), dims)
     return out

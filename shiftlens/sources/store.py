@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from shiftlens.functions.text import first_line, truncated
 from shiftlens.functions.vectors import l2_norm, mean_of
 from shiftlens.plans.scratch import written
+from shiftlens.sources.tables import known_rows
 
 STORE_SCHEMA = (
     "record_id string, table_name string, chunk_id bigint, kind string, chunk_text string, "
@@ -34,7 +35,7 @@ def store_or_empty(spark: SparkSession, path: str) -> DataFrame:
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], STORE_SCHEMA)
+        return known_rows(spark, [], STORE_SCHEMA)
 
 
 def store_rows(embedded: DataFrame, created_at) -> DataFrame:
@@ -237,4 +238,4 @@ def vector_samples(store: DataFrame, n: int, shown: int) -> DataFrame:
 
 def table_list(spark: SparkSession, names: Mapping[str, object] | Sequence[str]) -> DataFrame:
     """The configured table names as a frame."""
-    return spark.createDataFrame([(n,) for n in names], "table_name string")
+    return known_rows(spark, [(n,) for n in names], "table_name string")

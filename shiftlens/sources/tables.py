@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,6 +17,16 @@ def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def known_rows(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A few rows that the driver knows, as a frame that is part of the plan.
+
+    Made from a list, a frame is unpickled by Python workers on every executor whenever it is read.
+    """
+    kinds = T.StructType.fromDDL(schema)
+    names = kinds.names
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(names, r, strict=True)) for r in rows], to_arrow_schema(kinds)), kinds)
+
+
 def scan_sample(df: DataFrame, order_by: Sequence[str | Column], n: int) -> DataFrame:
     """The first ``n`` rows by a key: a bounded sample that is the same on every run."""
     return df.orderBy(*order_by).limit(n)

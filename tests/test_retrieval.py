@@ -248,3 +248,18 @@ def test_screened_rows_are_those_of_all_scores(dims, decimals):
     order = np.argsort(ids)
     scores, want = r._best(ids[order], rows[order] @ units.T, 4)
     assert (best.scores == scores).all() and (best.ids == want).all()
+
+
+def test_vectors_are_scaled_a_few_at_a_time():
+    """Beside the result, scaling holds copies of a few vectors only, whatever their number."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, dims = 2_048, 256
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dims), pa.array(np.random.default_rng(2).random(n * dims)))
+    tracemalloc.start()
+    units = r.unit_rows(vectors, dims)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(np.linalg.norm(units, axis=1), 1) and peak < units.nbytes + 4e6

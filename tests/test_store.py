@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from shiftlens.operators import embedding, retrieval
+from shiftlens.operators import embedding, profiling, relationships, retrieval
 from shiftlens.plans.scratch import fresh_path
 from shiftlens.sources import logs, snapshots, store, tables
 from tests.conftest import plan_of
@@ -243,3 +243,19 @@ def test_scan_sample_is_a_bounded_top_n(spark):
     sample = tables.scan_sample(spark.range(5000).select(F.col("id").alias("k")), ["k"], 1000)
     assert [r.k for r in sample.collect()] == list(range(1000))
     assert "TakeOrderedAndProject" in plan_of(sample)
+
+
+def test_known_rows_need_no_python_worker(spark):
+    """What the driver knows of a store, its tables and their columns is part of the plan."""
+    rows = [(1, float("nan"), None, [{"k": "a"}]), (None, float("inf"), "b", []), (-(2**62), -0.0, "", None)]
+    schema = "i bigint, d double, s string, l array<struct<k:string>>"
+    plain = spark.createDataFrame(rows, schema)
+    known = tables.known_rows(spark, rows, schema)
+    assert known.schema == plain.schema and [str(x) for x in known.collect()] == [str(x) for x in plain.collect()]
+    facts = profiling.numeric_facts(spark.range(5).selectExpr("id", "id / 3 AS third", "CAST(NULL AS int) AS none"))
+    declared = {"a": relationships.TableInfo("", (), (relationships.Relationship("b", (("k", "l"),)),))}
+    for frame in (
+        known, profiling.stats_frame(spark, facts), store.store_or_empty(spark, fresh_path(spark, "none")),
+        store.table_list(spark, ["a"]), relationships.relationship_rows(spark, declared),
+    ):
+        assert "LocalTableScan" in plan_of(frame) and "ExistingRDD" not in plan_of(frame)
