@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shiftlens.operators import retrieval as r
 from shiftlens.plans.grid import plan_grid
@@ -217,6 +218,17 @@ def test_small_batches_do_not_shuffle_the_store(frames):
     assert "MapInArrow" in small and "CoGroups" not in small and "CoGroups" in plan_of(r.topk_per_source(*frames, small_bytes=0))
 
 
+def test_blocks_and_lanes_are_not_merged_by_their_bytes(frames):
+    """Few bytes of many pairs are still spread: as many partitions as blocks meet lanes."""
+    queries, store = frames
+    room = 8 * DIMS * 60
+    rows = store.select(F.col("table_name").alias("source"), "chunk_id", "embedding")
+    grid = r.vector_grid(queries.select("query_id", "embedding"), rows, room)[0]
+    schema = T.StructType.fromDDL("query_id string, source string, chunk_id bigint, score double")
+    found = r._per_block(queries, store, r._top_k_task(3), schema, room, 0)
+    assert grid.blocks * grid.lanes > 8 and found.rdd.getNumPartitions() == grid.blocks * grid.lanes
+
+
 def test_a_batch_is_taken_in_slices():
     """A task's memory does not follow the batch: one of 20 MB of vectors is scored in half as much again."""
     import tracemalloc
