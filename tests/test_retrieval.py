@@ -1,6 +1,7 @@
 """Retrieval against brute force."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shiftlens.operators import retrieval as r
-from shiftlens.plans.grid import plan_grid
+from shiftlens.plans.grid import plan_grid, plan_streams
 from tests.conftest import plan_of
 
 RNG = random.Random(5)
@@ -275,3 +276,98 @@ def test_vectors_are_scaled_a_few_at_a_time():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert np.allclose(np.linalg.norm(units, axis=1), 1) and peak < units.nbytes + 4e6
+
+
+def test_the_store_is_in_no_shuffle(frames):
+    """What lies on disk follows the bytes of both sides, not their product: no exchange has a stored vector."""
+    plan = plan_of(r.topk_per_source(*frames, small_bytes=0, task_bytes=8 * DIMS * 60))
+    shuffled = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", plan)
+    assert any("embedding" in columns for columns in shuffled)
+    assert not any("chunk_id" in columns and ("embedding" in columns or "unit" in columns) for columns in shuffled)
+
+
+def test_a_query_has_few_part_results(frames):
+    """A block meets the whole store in one task, so its best rows are not passed on once for each part that fits in memory."""
+    schema = T.StructType.fromDDL("query_id string, source string, chunk_id bigint, score double")
+    for room in (8 * DIMS * 30, 8 * DIMS * 8):
+        found = r._per_block(*frames, r._top_k_task(3), schema, room, 0, 3)
+        best = r.topk_per_source(*frames, k=3).count()
+        assert best <= found.count() <= 2 * best
+
+
+def test_streams_hold_a_block_and_have_few_lanes():
+    for left, right, task, cores in ((1 << 20, 1 << 30, 64 << 20, 24), (250 << 20, 1 << 30, 64 << 20, 24), (3 << 30, 5 << 30, 64 << 20, 36), (1, 1, 64, 8), (1 << 40, 1 << 40, 64 << 20, 8)):
+        grid = plan_streams(left, right, task, cores)
+        assert left / grid.blocks <= task / 4 and cores <= grid.blocks * grid.lanes < max(2 * cores, grid.blocks + 1)
+        assert left * grid.lanes <= max(left, 2 * cores * max(task / 16, left / cores))
+    assert plan_streams(3 << 30, 5 << 30, 64 << 20, 36).lanes == 1
+
+
+@pytest.mark.parametrize("lanes", [1, 3, 7, 50])
+def test_lanes_are_ranges_of_the_saved_rows(tmp_path, lanes):
+    """Each saved row is in one lane, whatever the files' and row groups' sizes."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    counts, every = [], 0
+    for n in (37, 1, 120, 0, 64):
+        path, ids = str(tmp_path / f"some part {n}.parquet"), np.arange(every, every + n)
+        units = np.stack([ids, -ids], axis=1).astype(float).reshape(n, 2)
+        pq.write_table(pa.table([["s"] * n, ids, r._packed(units)], schema=pa.schema([("source", pa.string()), ("chunk_id", pa.int64()), ("unit", pa.binary())])), path, row_group_size=25)
+        counts.append(((tmp_path / f"some part {n}.parquet").as_uri(), n))
+        every += n
+    seen = []
+    for lane in range(lanes):
+        places = [dict(zip(("path", "low", "high"), p[1:], strict=True)) for p in r._lane_places(counts, lanes) if p[0] == lane]
+        got = [b for b in r._stored(pa.Table.from_pylist(places), 2)] if places else []
+        ids = [i for b in got for i in b.column("chunk_id").to_pylist()]
+        assert abs(len(ids) - every / lanes) <= 1
+        for b in got:
+            values = b.column("chunk_id").to_numpy()
+            assert (r._unpacked(b.column("unit"), 2) == np.stack([values, -values], axis=1)).all()
+        seen += ids
+    assert seen == list(range(every))
+
+
+def test_many_sources_pass_part_results_on(spark, monkeypatch):
+    """A task that holds too much passes results on before the end, and the ranking is that of all rows."""
+    rng = np.random.default_rng(11)
+    rows = [(f"s{i % 40}", i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(600)]
+    asked = [(f"q{i}", [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(25)]
+    store = spark.createDataFrame(rows, "table_name string, chunk_id bigint, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame(asked, "query_id string, embedding array<double>")
+    whole = sorted(map(tuple, r.topk_per_source(queries, store, 2).collect()))
+    monkeypatch.setattr(r, "_HELD", 100)
+    assert sorted(map(tuple, r.topk_per_source(queries, store, 2, small_bytes=0).collect())) == whole and len(whole) == 25 * 40 * 2
+
+
+def test_score_summary_of_blocks(frames):
+    few = {(x.query_id, x.source): x for x in r.score_summary(*frames).collect()}
+    blocks = r.score_summary(*frames, small_bytes=0, task_bytes=8 * DIMS * 60).collect()
+    assert len(blocks) == len(few)
+    for x in blocks:
+        y = few[x.query_id, x.source]
+        assert (x.n_pairs, x.min_score, x.max_score) == (y.n_pairs, y.min_score, y.max_score) and x.mean_score == pytest.approx(y.mean_score, abs=2e-6)
+
+
+def test_no_stored_rows(spark, frames):
+    none = spark.createDataFrame([], frames[1].schema)
+    assert r.topk_per_source(frames[0], none, small_bytes=0).count() == 0
+    assert r.score_summary(frames[0], none, small_bytes=0).count() == 0
+
+
+def test_blocks_of_queries_without_any_vector(spark, frames):
+    empty = spark.createDataFrame([("q", None), ("p", [])], "query_id string, embedding array<double>")
+    rows = r.retrieve_topk(empty, frames[1], 2, small_bytes=0).collect()
+    assert sorted((x.query_id, x.source, x.chunk_id, x.score) for x in rows) == [(q, "hot", c, 0.0) for q in "pq" for c in (1, 2)]
+
+
+def test_missing_ids_rank_the_same_in_any_split(spark):
+    rng = np.random.default_rng(13)
+    rows = [(f"t{i % 3}", None if i % 9 == 7 else i, [float(x) for x in rng.integers(-1, 2, 3)]) for i in range(600)]
+    queries = spark.createDataFrame([(f"q{i}", [float(x) for x in rng.integers(-1, 2, 3)]) for i in range(60)], "query_id string, embedding array<double>")
+    found = []
+    for files, bounds in ((2, {}), (7, {}), (2, {"small_bytes": 0}), (7, {"small_bytes": 0, "task_bytes": 24 * 40})):
+        store = spark.createDataFrame(rows, "table_name string, chunk_id bigint, embedding array<double>").repartition(files, "embedding")
+        found.append(sorted(map(tuple, r.topk_per_source(queries, store, 2, **bounds).collect())))
+    assert all(f == found[0] for f in found) and len(found[0]) == 60 * 3 * 2
